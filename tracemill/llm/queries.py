@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality, sharding, token_count
+from . import language_id, mixing, quality, sharding, token_count, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_source_mixing": op3_source_mixing,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op10_sharding": op10_sharding,
@@ -71,4 +76,19 @@ SELECT doc_id, size, source_size, target, taken,
 FROM t
 """
 
-ORACLES = {"op3_source_mixing": OP3_SQL}
+OP6_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), k AS (
+    SELECT digest, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1
+)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON p.digest = k.digest
+"""
+
+ORACLES = {
+    "op6_warc": OP6_SQL,
+    "op3_source_mixing": OP3_SQL,
+}
