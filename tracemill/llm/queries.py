@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality, sharding, token_count, warc
+from . import decontaminate, language_id, mixing, quality, sharding, token_count, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,6 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_source_mixing": op3_source_mixing,
+    "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
@@ -88,7 +94,31 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN k ON p.digest = k.digest
 """
 
+SHINGLES_SQL = r"""
+    SELECT {id}, unnest(list_distinct(CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS g
+    FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table})
+"""
+
+OP5_SQL = f"""
+WITH d AS ({SHINGLES_SQL.format(id="doc_id", table="documents")}),
+b AS ({SHINGLES_SQL.format(id="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS size FROM b GROUP BY item_id),
+m AS (
+    SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id
+), v AS (
+    SELECT doc_id, item_id, shared / size AS c FROM m JOIN n USING (item_id) WHERE 5 * shared >= 4 * size
+), a AS (
+    SELECT doc_id, count(*) AS n_items, list(item_id ORDER BY item_id) AS item_ids, max(c) AS containment FROM v GROUP BY doc_id
+)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(item_ids, []::BIGINT[]) AS item_ids, containment
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
 ORACLES = {
+    "op5_decontamination": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op3_source_mixing": OP3_SQL,
 }
