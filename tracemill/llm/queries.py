@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, quality, sharding, token_count, warc
+from . import chat, decontaminate, language_id, mixing, quality, sharding, token_count, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
 }
 
@@ -117,7 +122,29 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT
 FROM documents LEFT JOIN a USING (doc_id)
 """
 
+OP9_SQL = r"""
+WITH t AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t
+), h AS (
+    SELECT *, string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS h,
+           max(pos) OVER (PARTITION BY conv_id) AS last FROM p
+), i AS (
+    SELECT DISTINCT pos, md5(h) AS h FROM h WHERE pos < last
+), w AS (
+    SELECT pos, md5(h) AS h, min(conv_id) AS conv_id FROM h WHERE pos = last GROUP BY ALL
+), k AS (
+    SELECT conv_id, pos + 1 AS n_turns FROM w WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.pos = w.pos AND i.h = w.h)
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, (pos // 1024)::BIGINT AS part, count(*)::BIGINT AS n_part_turns,
+       string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>')
+                  || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+FROM p JOIN k USING (conv_id) GROUP BY ALL
+"""
+
 ORACLES = {
+    "op9_chat_formatting": OP9_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op3_source_mixing": OP3_SQL,
