@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LABEL = 1500
+PER_LABEL = 1000
 HALF = 1 << 12  # hashed features of words, and as many of bytes
 THRESHOLD = 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
