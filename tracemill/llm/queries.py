@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language_id, mixing, pii, quality, sharding, token_count, warc
+from . import chat, decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, token_count, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_personal_data": op2_personal_data,
     "op3_source_mixing": op3_source_mixing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
@@ -148,7 +153,23 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, (pos // 1024)::BIGINT AS part, count
 FROM p JOIN k USING (conv_id) GROUP BY ALL
 """
 
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, hash(g) AS g FROM ({SHINGLES_SQL.format(id="doc_id", table="documents")})),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+    SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), r AS (
+    SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, documents.doc_id) AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id
+LEFT JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = documents.doc_id
+"""
+
 ORACLES = {
+    "op4_ngram_join": OP4_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_warc": OP6_SQL,
