@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, token_count, warc
 from .common import table
 
@@ -60,6 +62,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 OP3_SQL = r"""
