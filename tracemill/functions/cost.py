@@ -1,0 +1,27 @@
+"""Pricing as column arithmetic over a small dimension.
+
+Fixed values: prices are dollars a million tokens of input; the other token types follow by
+factor: output 5, cache written for five minutes 1.25, for an hour 2, cache read 0.1. A web
+search costs one cent.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+OUTPUT, WRITE_5M, WRITE_1H, READ, SEARCH = 5.0, 1.25, 2.0, 0.1, 0.01
+COUNTERS = ("input", "output", "cache_creation", "cache_creation_1h", "cache_read", "web_search")
+
+
+def entry_cost(base: str | Column) -> Column:
+    """Dollars of a billed message, from its counters and its model's base price; an unknown model costs nothing."""
+    base = F.col(base) if isinstance(base, str) else base
+    hour = F.least("cache_creation_1h", "cache_creation")
+    tokens = F.col("input") + OUTPUT * F.col("output") + WRITE_5M * (F.col("cache_creation") - hour) + WRITE_1H * hour + READ * F.col("cache_read")
+    return F.coalesce(base, F.lit(0.0)) / 1e6 * tokens + SEARCH * F.col("web_search")
+
+
+def context_tokens() -> Column:
+    """What a message had in its context: everything read, fresh or from the cache."""
+    return F.col("input") + F.col("cache_creation") + F.col("cache_read")

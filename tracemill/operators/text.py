@@ -1,0 +1,74 @@
+"""Text operators: tokens, stems, search, near duplicates of short texts, secret scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Words too common to search for.
+STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "it", "this", "that")
+
+
+def tokens(text: str | Column) -> Column:
+    """Lower-case runs of ASCII letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def stem(word: Column) -> Column:
+    """A word without its ing, ed, es or s, if three letters stay."""
+    return F.regexp_replace(word, "^(.{3,}?)(?:ing|ed|es|s)$", "$1")
+
+
+def terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, tf: stemmed terms of each text without stop words."""
+    words = F.filter(tokens(text), lambda w: ~w.isin(*STOP_WORDS))
+    return df.select(key, F.explode(F.transform(words, stem)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def search(df: DataFrame, key: str, text: str, query: list[str], k: int, lexical: float = 0.68, semantic: float = 0.32, threshold: float = 0.12) -> DataFrame:
+    """The k best texts by a blend of matched query terms and cosine similarity of term counts.
+
+    The query's stems filter the exploded terms, so only matching rows are aggregated.
+    """
+    rows = terms(df, key, text)
+    hit = rows.filter(F.col("term").isin(*query)).groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("dot"))
+    norms = rows.join(hit.select(key), key, "left_semi").groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    score = lexical * F.col("hits") / len(query) + semantic * F.col("dot") / (F.col("norm") * F.sqrt(F.lit(float(len(query)))))
+    return hit.join(norms, key).withColumn("score", score).filter(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
+
+
+def similar_openers(df: DataFrame, key: str, scope: list[str], text: str, words: int, floor: float) -> DataFrame:
+    """Pairs of rows of one scope whose openings' two-word shingles have a Jaccard similarity of at least floor.
+
+    The join is on shingles, so only pairs with something in common meet.
+    """
+    def pairs(t: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)))
+        return F.when(F.size(t) >= 2, F.array_distinct(two))
+
+    head = F.transform(F.array(F.slice(tokens(text), 1, words)), pairs)[0]  # the tokens are computed once, in the array
+    rows = df.select(key, *scope, head.alias("s")).filter("s IS NOT NULL")
+    grams = rows.select(key, *scope, F.size("s").alias("n"), F.explode("s").alias("g"))
+    other = grams.select(F.col(key).alias("other"), *scope, F.col("n").alias("m"), "g")
+    both = grams.join(other, [*scope, "g"]).filter(F.col(key) < F.col("other")).groupBy(key, "other", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    return both.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).filter(F.col("similarity") >= floor)
+
+
+#: Shapes of secrets by kind.
+SECRETS = {
+    "assigned_token": r"token = \"[0-9a-f]{40}\"",
+    "access_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "bearer": r"\bBearer [A-Za-z0-9._-]{20,}",
+}
+
+
+def secret_counts(text: str) -> list[Column]:
+    return [F.regexp_count(text, F.lit(p)).alias(kind) for kind, p in SECRETS.items()]
+
+
+def scrub(text: Column) -> Column:
+    """text with every secret replaced by its kind."""
+    for kind, p in SECRETS.items():
+        text = F.regexp_replace(text, p, f"[REDACTED:{kind}]")
+    return text

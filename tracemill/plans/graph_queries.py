@@ -1 +1,67 @@
-"""Placeholder."""
+"""Queries over pages as a document graph: a page's host and language path is a node, hrefs are edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from .registry import Tables, query
+
+NODES = "n AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS node, html FROM pages)"
+
+
+def _pages(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("node"), "html")
+
+
+def _links(t: Tables) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
+    return _pages(t).select(F.col("node").alias("src"), F.explode(found).alias("dst")).distinct()
+
+
+LINKS = f"{NODES}, l AS (SELECT DISTINCT node AS src, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst FROM n)"
+
+
+@query(f"WITH {LINKS} SELECT src, dst FROM l")
+def doc_graph_edges(t: Tables) -> DataFrame:
+    return _links(t)
+
+
+@query(f"WITH {LINKS} SELECT dst, count(*) AS in_degree FROM l GROUP BY 1 HAVING count(*) >= 2")
+def in_degree(t: Tables) -> DataFrame:
+    return G.in_degree(_links(t)).filter("in_degree >= 2")
+
+
+@query(f"""WITH RECURSIVE {LINKS}, b AS (SELECT src AS x, dst AS y FROM l UNION SELECT dst, src FROM l),
+  w AS (SELECT min(src) AS node, 0 AS d FROM l UNION SELECT y, d + 1 FROM w JOIN b ON x = node WHERE d < 3) SELECT node, min(d)::INT AS distance FROM w GROUP BY 1""")
+def bfs_neighborhood(t: Tables) -> DataFrame:
+    """What lies within three links of the first page's host."""
+    links = _links(t)
+    return G.neighbourhood(links, links.agg(F.min("src").alias("node")), 3)
+
+
+@query("""WITH a AS (SELECT n_name AS node, n_nationkey AS k FROM nation), e AS (SELECT x.n_name AS src, y.n_name AS dst FROM nation x JOIN nation y ON x.n_nationkey = (y.n_nationkey * 3) % 25)
+  SELECT node FROM a WHERE node NOT IN (SELECT dst FROM e WHERE src <> dst)""")
+def orphan_nodes(t: Tables) -> DataFrame:
+    """Nodes without a link from elsewhere."""
+    n = t.nation.select("n_nationkey", F.col("n_name").alias("node"))
+    e = n.select(F.col("n_nationkey").alias("a"), F.col("node").alias("src")).join(n.select(F.expr("(n_nationkey * 3) % 25").alias("a"), F.col("node").alias("dst")), "a")
+    return G.orphans(n.select("node"), e.select("src", "dst"))
+
+
+@query(f"WITH {LINKS} SELECT src, dst FROM l WHERE dst NOT IN (SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) FROM pages) AND length(dst) > 8")
+def broken_links(t: Tables) -> DataFrame:
+    """Long links to nothing that exists."""
+    known = t.pages.select(F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("node")).distinct()
+    return G.dangling(known, _links(t)).filter(F.length("dst") > 8).select("src", "dst")
+
+
+@query(f"""WITH {NODES}, c AS (SELECT node, count(*) AS pages, count(DISTINCT sha256(html)) AS versions, max(page_id) AS latest FROM n GROUP BY 1)
+  SELECT node, pages, versions, latest, round(percent_rank() OVER (ORDER BY latest), 6) AS recency FROM c""")
+def doc_recency(t: Tables) -> DataFrame:
+    """Hosts by the recency rank of their last page. The window runs over one row a host."""
+    from pyspark.sql import Window
+
+    c = _pages(t).groupBy("node").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(F.sha2("html", 256)).alias("versions"), F.max("page_id").alias("latest"))
+    return c.withColumn("recency", F.round(F.percent_rank().over(Window.orderBy("latest")), 6))

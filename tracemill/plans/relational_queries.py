@@ -115,12 +115,12 @@ def cost_by_tool_alloc(t: Tables) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, array_agg(DISTINCT l_suppkey) AS ids, sum(l_extendedprice) AS cost FROM lineitem GROUP BY ALL)
-  SELECT id AS tool_id, round(sum(part), 2) AS cost, count(*) AS messages FROM (SELECT unnest(ids) AS id, cost / len(ids) AS part FROM m) GROUP BY 1""")
+  SELECT id AS tool_id, round(sum(part), 5) AS cost, count(*) AS messages FROM (SELECT unnest(ids) AS id, cost / len(ids) AS part FROM m) GROUP BY 1""")
 def cost_by_tool_id(t: Tables) -> DataFrame:
     """A message's cost in equal parts to the tool ids it names."""
     m = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.collect_set("l_suppkey").alias("ids"), F.sum("l_extendedprice").alias("cost"))
     rows = m.select(F.explode("ids").alias("tool_id"), (F.col("cost") / F.size("ids")).alias("part"))
-    return rows.groupBy("tool_id").agg(F.round(F.sum("part"), 2).alias("cost"), F.count(F.lit(1)).alias("messages"))
+    return rows.groupBy("tool_id").agg(F.round(F.sum("part"), 5).alias("cost"), F.count(F.lit(1)).alias("messages"))
 
 
 @query("""WITH r AS (SELECT l_suppkey, l_partkey, count(*) AS reads FROM lineitem GROUP BY ALL HAVING count(*) >= 2)
@@ -213,7 +213,7 @@ def semi_scope(t: Tables) -> DataFrame:
 @query("""WITH s AS (SELECT o_orderkey, o_orderdate, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n,
     sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS before, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total FROM orders),
   c AS (SELECT *, before / k - (total - before) / (n - k) AS drop FROM s WHERE k >= 2 AND n - k >= 2)
-  SELECT o_custkey AS project, arg_max(o_orderkey, (drop, -k)) AS pinned_after, round(max(drop), 4) AS saved_per_session FROM c GROUP BY 1 HAVING max(drop) > 0""")
+  SELECT o_custkey AS project, arg_max(o_orderkey, (drop, -k)) AS pinned_after, round(max(drop), 7) AS saved_per_session FROM c GROUP BY 1 HAVING max(drop) > 0""")
 def pin_split(t: Tables) -> DataFrame:
     """Where a project's mean cost fell most: prefix and suffix means, the best split by argmax."""
     w = Window.partitionBy("o_custkey")
@@ -224,7 +224,7 @@ def pin_split(t: Tables) -> DataFrame:
     ).filter("k >= 2 AND n - k >= 2")
     s = s.withColumn("drop", F.col("before") / F.col("k") - (F.col("total") - F.col("before")) / (F.col("n") - F.col("k")))
     best = s.groupBy(F.col("o_custkey").alias("project")).agg(F.max_by("o_orderkey", F.struct("drop", -F.col("k"))).alias("pinned_after"), F.max("drop").alias("d"))
-    return best.filter("d > 0").select("project", "pinned_after", F.round("d", 4).alias("saved_per_session"))
+    return best.filter("d > 0").select("project", "pinned_after", F.round("d", 7).alias("saved_per_session"))
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS priority, avg(o_totalprice) AS cost, count(*) AS n FROM orders GROUP BY 1) SELECT priority, n, round(cost / max(cost) OVER (), 6) AS relative FROM s""")
@@ -282,8 +282,8 @@ def steering_full_join(t: Tables) -> DataFrame:
     return a.join(b, "project", "full").select("project", F.coalesce("done", F.lit(0)).alias("done"), F.coalesce("urgent", F.lit(0)).alias("urgent"))
 
 
-@query("""WITH p AS (SELECT substr(p_name, 1, 8) AS prefix, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1) SELECT id AS part, prefix, count(*) AS refs FROM lineitem JOIN p ON l_partkey = id GROUP BY ALL""")
+@query("""WITH p AS (SELECT substr(md5(p_partkey::VARCHAR), 1, 3) AS prefix, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1) SELECT id AS part, prefix, count(*) AS refs FROM lineitem JOIN p ON l_partkey = id GROUP BY ALL""")
 def prefix_unique_lookup(t: Tables) -> DataFrame:
     """Short ids resolve only where they are unambiguous."""
-    p = t.part.groupBy(F.substring("p_name", 1, 8).alias("prefix")).agg(F.min("p_partkey").alias("part"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    p = t.part.groupBy(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 3).alias("prefix")).agg(F.min("p_partkey").alias("part"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     return t.lineitem.join(p, F.col("l_partkey") == F.col("part")).groupBy("part", "prefix").agg(F.count(F.lit(1)).alias("refs"))

@@ -1 +1,119 @@
-"""Placeholder."""
+"""Queries over documents and conversations: search, duplicates, features, secrets, flows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import text as X
+from .registry import Tables, query
+
+STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+TERMS = f"""w AS (SELECT doc_id, regexp_replace(w, '^(.{{3,}}?)(?:ing|ed|es|s)$', '\\1') AS term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents)
+  WHERE w <> '' AND w NOT IN ({STOPS})), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)"""
+QUERY = ("ering", "thhea", "ouor")
+
+
+@query(f"""WITH {TERMS}, h AS (SELECT doc_id, count(*) AS hits, sum(tf) AS dot FROM t WHERE term IN {QUERY} GROUP BY 1), n AS (SELECT doc_id, sqrt(sum(tf * tf)) AS norm FROM t GROUP BY 1)
+  SELECT doc_id, round(0.68 * hits / 3 + 0.32 * dot / (norm * sqrt(3.0)), 6) AS score FROM h JOIN n USING (doc_id) WHERE 0.68 * hits / 3 + 0.32 * dot / (norm * sqrt(3.0)) >= 0.12 ORDER BY 0.68 * hits / 3 + 0.32 * dot / (norm * sqrt(3.0)) DESC, doc_id LIMIT 20""")
+def hybrid_search(t: Tables) -> DataFrame:
+    """A top-k report: the twenty best documents for a query, by matched terms and cosine."""
+    return X.search(t.documents, "doc_id", "text", list(QUERY), 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {TERMS} SELECT term, count(*) AS documents, sum(tf)::BIGINT AS uses FROM t GROUP BY 1 HAVING count(*) >= 50""")
+def term_frequencies(t: Tables) -> DataFrame:
+    return X.terms(t.documents, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses")).filter("documents >= 50")
+
+
+@query("""WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:20] AS w FROM documents),
+  g AS (SELECT DISTINCT doc_id, source, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
+  SELECT x AS doc_id, y AS other, round(c / (p.n + q.n - c), 6) AS similarity FROM p r JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c / (p.n + q.n - c) >= 0.5""")
+def near_dup_openers(t: Tables) -> DataFrame:
+    """Openings of one source that were typed again."""
+    return X.similar_openers(t.documents, "doc_id", ["source"], "text", 20, 0.5).select("doc_id", "other", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT sha256(text) AS block, count(*) AS times, min(doc_id) AS first_id, (count(*) - 1) * any_value(length(text)) AS wasted FROM documents GROUP BY 1 HAVING count(*) >= 2")
+def paste_duplicates(t: Tables) -> DataFrame:
+    """Blocks pasted more than once, by hash, and the characters that costs."""
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("block"), F.length("text").alias("n"))
+    return d.groupBy("block").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("first_id"), ((F.count(F.lit(1)) - 1) * F.max("n")).alias("wasted")).filter("times >= 2")
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS assigned_token, regexp_replace(substr(text, 1, 0), 'x', '') AS clean FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+def secret_scan(t: Tables) -> DataFrame:
+    """Documents with secrets; what is left of the secrets' shapes after scrubbing is nothing."""
+    found = t.documents.select("doc_id", "text", *X.secret_counts("text")).filter("assigned_token > 0")
+    left = F.regexp_extract(X.scrub(F.col("text")), X.SECRETS["assigned_token"], 0)
+    return found.select("doc_id", F.col("assigned_token").cast("bigint").alias("assigned_token"), left.alias("clean"))
+
+
+@query("""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, len(regexp_extract_all(text, '\\n')) AS breaks, len(regexp_extract_all(text, '\\b(?:the|and)\\b')) AS joins, text LIKE '%@%' AS contact FROM documents""")
+def prompt_traits(t: Tables) -> DataFrame:
+    """Counts that describe a prompt."""
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("bigint")
+    return t.documents.select("doc_id", F.length("text").cast("bigint").alias("chars"), n(r"[^\x20\x09-\x0D]+").alias("words"), n(r"\n").alias("breaks"),
+                              n(r"\b(?:the|and)\b").alias("joins"), F.col("text").contains("@").alias("contact"))
+
+
+@query("""SELECT role, count(*) AS turns, round(avg(length(text)), 4) AS mean_chars, count(*) FILTER (regexp_matches(lower(text), '\\b(?:the|and|of)\\b')) AS english, round(count(*) FILTER (length(text) > 1000) / count(*), 6) AS long_share FROM conversations GROUP BY 1""")
+def assistant_features(t: Tables) -> DataFrame:
+    """Features of turns by role."""
+    c = t.conversations
+    return c.groupBy("role").agg(
+        F.count(F.lit(1)).alias("turns"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.count_if(F.lower("text").rlike(r"\b(?:the|and|of)\b")).alias("english"),
+        F.round(F.count_if(F.length("text") > 1000) / F.count(F.lit(1)), 6).alias("long_share"),
+    )
+
+
+@query("""WITH n AS (SELECT conv_id, turn, role, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS answer FROM conversations)
+  SELECT answer - turn AS wait, count(*) AS n FROM n WHERE role = 'user' AND answer IS NOT NULL GROUP BY 1""")
+def response_latency(t: Tables) -> DataFrame:
+    """How many turns on the next answer to each user turn is; one answer may serve several."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    n = t.conversations.withColumn("answer", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w))
+    return n.filter("role = 'user' AND answer IS NOT NULL").groupBy((F.col("answer") - F.col("turn")).alias("wait")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS prompts, sum(length(text))::BIGINT AS chars, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1""")
+def conv_stats(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("prompts"), F.sum(F.length("text")).alias("chars"), F.max_by("role", "turn").alias("last_role")
+    )
+
+
+@query("""SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS so_far, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS prompt_no FROM conversations""")
+def forensic_turns(t: Tables) -> DataFrame:
+    """Running characters and prompt number of every turn."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return t.conversations.select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("so_far"), F.count_if(F.col("role") == "user").over(w).alias("prompt_no"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, coalesce(sum((role = 'system')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS task, role, length(text) AS n FROM conversations)
+  SELECT conv_id, task::BIGINT AS task, count(*) FILTER (role = 'user') AS steering, sum(n)::BIGINT AS chars FROM s GROUP BY ALL""")
+def task_steering_spans(t: Tables) -> DataFrame:
+    """User turns within each task of a conversation."""
+    from ..operators.sequences import span_index
+
+    s = span_index(t.conversations, ["conv_id"], ["turn"], F.col("role") == "system", False, "task")
+    return s.groupBy("conv_id", "task").agg(F.count_if(F.col("role") == "user").alias("steering"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""WITH k AS (SELECT DISTINCT conv_id, turn, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM conversations),
+  x AS (SELECT c.conv_id, c.turn AS used, k.token, max(k.turn) AS produced FROM k c JOIN k ON c.conv_id = k.conv_id AND c.token = k.token AND k.turn < c.turn AND k.role = 'assistant' WHERE c.role = 'user' AND length(c.token) >= 7 GROUP BY ALL)
+  SELECT conv_id, produced, used, count(*) AS tokens FROM x GROUP BY ALL""")
+def value_flow_edges(t: Tables) -> DataFrame:
+    """Which earlier answer a user turn's rare words come from: the latest that has them, by a running maximum instead of a self-join."""
+    k = t.conversations.select("conv_id", "turn", "role", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("token")).filter(F.length("token") >= 7)
+    w = Window.partitionBy("conv_id", "token").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    k = k.withColumn("produced", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(w)).filter("role = 'user' AND produced IS NOT NULL")
+    return k.groupBy("conv_id", "produced", F.col("turn").alias("used")).agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query("""SELECT count(*) FILTER (regexp_matches(lower(text), '\\b(?:that|with|from)\\b')) AS waits, count(*) FILTER (regexp_matches(text, '^[A-ZÀ-Ý][a-zà-ÿ]+\\.')) AS openers, count(*) FILTER (text = '') AS blank FROM conversations WHERE role = 'assistant'""")
+def wait_flags(t: Tables) -> DataFrame:
+    """Language flags of assistant turns."""
+    c = t.conversations.filter("role = 'assistant'")
+    return c.agg(F.count_if(F.lower("text").rlike(r"\b(?:that|with|from)\b")).alias("waits"), F.count_if(F.col("text").rlike("^[A-ZÀ-Ý][a-zà-ÿ]+\\.")).alias("openers"), F.count_if(F.col("text") == "").alias("blank"))
