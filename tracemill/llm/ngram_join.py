@@ -17,8 +17,8 @@ is ever expanded into all its pairs.
 4. Candidates come in rounds. First every index entry's members are compared with one leader (the
    member with fewest tokens of its own, later a random one), at most `LEADERS` a set; links are
    contracted to components. At last all pairs of an entry that still lie in different components
-   and whose sizes and shared tokens allow a link are verified. Pairs within a component can't
-   change the result.
+   and whose sizes, own tokens and parity sketches allow a link are verified. Pairs within a
+   component can't change the result.
 
 Edge cases: a null text or one without words has no token and links with nothing; fewer than five
 words are one token; repeated rows and ids are each answered, equal texts share a component; a
@@ -28,6 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from .common import fingerprint, shingles, written
 from .graph import components
 
 #: Sets below this size are counted by all tokens, others by the region (of 1024 parts).
-WHOLE, REGION = 256, 307
+WHOLE, REGION = 128, 307
+#: 64-bit words of the bitmap that lets texts of classes with a chance of a partner through, and of a set's parity sketch.
+FILTER_WORDS, SKETCH_WORDS = 1 << 16, 8
 FREQUENT = 32
 LEADERS = 3
 ROUNDS = 2
@@ -50,9 +53,12 @@ def _need(n: Column) -> Column:
     return F.floor((n * 4 + 4) / 5).cast("int")
 
 
-def _can_link(n1: Column, s1: Column, n2: Column, s2: Column) -> Column:
-    """Whether sets of these sizes, of which so many tokens occur elsewhere, can reach the similarity: 9 * shared >= 4 * (n1 + n2)."""
-    return 9 * F.least(s1, s2) >= 4 * (n1 + n2)
+def _can_link(n1: Column, own1: Column, n2: Column, own2: Column, more: Column | int = 0) -> Column:
+    """Whether sets of these sizes can reach the similarity: 9 * |difference| <= n1 + n2.
+
+    own tokens, which no other set has, are in the difference, and so are `more`.
+    """
+    return 9 * (own1 + own2 + more) <= n1 + n2
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
@@ -64,21 +70,36 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 
 def survivors(rows: DataFrame) -> DataFrame:
-    """key, n and one doc_id of each class that can have a partner."""
+    """key, n and one text_hash of each class that can have a partner."""
     tokens = rows.filter("n > 0").select("key", F.explode("listed").alias("token"))
     single = tokens.groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("other")).filter("key = other")
     own = single.groupBy("key").agg(F.count(F.lit(1)).alias("own"), F.count_if(_in_region(F.col("token"))).alias("own_region"))
-    classes = rows.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.filter("n > 0").groupBy("key", "n").agg(F.min("text_hash").alias("text_hash"))
     unshared = F.coalesce(F.when(F.col("n") < WHOLE, F.col("own")).otherwise(F.col("own_region")), F.lit(0))
-    return classes.join(own, "key", "left").filter(unshared <= F.col("n") - _need(F.col("n"))).select("key", "n", "doc_id")
+    return classes.join(own, "key", "left").filter(unshared <= F.col("n") - _need(F.col("n"))).select("key", "n", "text_hash")
+
+
+def _passes(hashes: DataFrame, column: str, words: int = FILTER_WORDS):
+    """A test of a hash column against a one-hash Bloom filter of the hashes: never false for one of them.
+
+    The filter has a fixed number of bits, so what the driver gets is bounded whatever the table's size.
+    """
+    slot = lambda c: F.pmod(c, F.lit(words * 64))
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
+    rows = hashes.groupBy(F.floor(slot(F.col(column)) / 64).alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    bits = [0] * words
+    for r in rows:
+        bits[r["w"]] = r["bits"]
+    table = F.lit(np.array(bits, np.int64))
+    return lambda c: F.getbit(F.get(table, F.floor(slot(c) / 64).cast("int")), F.pmod(c, F.lit(64)).cast("int")) == 1
 
 
 def sets_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """key, n, s: the token sets of the classes in kept, from one document each."""
-    ids = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "text").join(ids, "_id", "left_semi")
-    sets = texts.select(shingles(F.col("text")).alias("s")).select(fingerprint(F.col("s")).alias("key"), "s")
-    return sets.join(kept.select("key", "n"), "key").groupBy("key", "n").agg(F.first("s").alias("s"))
+    """key, n, s: the token sets of the classes in kept, from one text each."""
+    likely = _passes(kept, "text_hash")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(likely(F.col("text_hash")))
+    single = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
+    return single.join(kept, "text_hash").select("key", "n", shingles(F.col("text")).alias("s"))
 
 
 def _combinations(frequent: Column, scheme: Column, m: Column) -> Column:
@@ -93,27 +114,43 @@ def _combinations(frequent: Column, scheme: Column, m: Column) -> Column:
     )
 
 
-def index(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """sig, key, n, shared: the index entries; shared is the number of the set's tokens that occur in other sets."""
+def shared_tokens(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """For each set that can have a partner: own (tokens no other set has), m (prefix tokens after those), bands, l and sketch.
+
+    l has the other tokens by count and hash, as far as a prefix reaches. The sketch is the parity
+    of those tokens in 512 cells: two sketches differ in at most as many cells as the sets in tokens.
+    """
     tokens = sets.select("key", "n", F.explode("s").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("f")).filter("f > 1")
-    ordered = tokens.join(counts, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"))
-    rows = ordered.withColumn("shared", F.size("l")).withColumn("m", F.col("n") - _need(F.col("n")) + 1 - (F.col("n") - F.col("shared"))).filter("m > 0")
-    prefix = F.slice("l", F.lit(1), F.col("m"))
-    rows = rows.withColumn("prefix", prefix).withColumn("crowded", F.exists("prefix", lambda t: t["f"] > frequent))
-    band = F.floor(F.log2(F.col("n").cast("double")) / 2).cast("int")
+    cell = F.expr("shiftleft(1L, cast(pmod(shiftright(token, 8), 64) as int))")
+    words = [F.coalesce(F.bit_xor(F.when(F.pmod("token", F.lit(SKETCH_WORDS)) == w, cell)), F.lit(0).cast("bigint")) for w in range(SKETCH_WORDS)]
+    ordered = tokens.join(counts, "token").groupBy("key", "n").agg(
+        F.array_sort(F.collect_list(F.struct("f", "token"))).alias("l"), *[w.alias(f"k{i}") for i, w in enumerate(words)]
+    )
+    rows = ordered.withColumn("own", F.col("n") - F.size("l")).withColumn("m", F.col("n") - _need(F.col("n")) + 1 - F.col("own")).filter("m > 0")
+    rows = rows.withColumn("band", F.floor(F.log2(F.col("n").cast("double")) / 2).cast("int"))
+    return rows.withColumn("l", F.slice("l", F.lit(1), F.col("m") + _classes(F.col("band")))).withColumn("crowded", F.exists(F.slice("l", F.lit(1), F.col("m")), lambda t: t["f"] > frequent))
+
+
+def _classes(band: Column) -> Column:
+    """Token classes of a size band: an eighth of its smallest size."""
+    return F.floor(F.pow(F.lit(4.0), band) / 8).cast("int")
+
+
+def index(rows: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """sig, key, n, own: the index entries of `shared_tokens`."""
     below = F.floor(F.col("n") * 4 / 5) < F.pow(F.lit(4.0), F.col("band"))
-    rows = rows.withColumn("band", band).withColumn("schemes", F.when(below & (F.col("band") > 0), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band")))
+    schemes = F.when(below & (F.col("band") > 0), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))
+    rows = rows.withColumn("schemes", schemes).withColumn("prefix", F.slice("l", F.lit(1), F.col("m")))
     rare = F.transform(F.filter("prefix", lambda t: t["f"] <= frequent), lambda t: F.xxhash64(t["token"]))
     singly = F.transform("prefix", lambda t: F.xxhash64(F.lit("single"), t["token"]))
 
     def scheme_entries(c: Column) -> Column:
-        m = F.floor(F.pow(F.lit(4.0), c) / 8).cast("int")
-        longer = F.filter(F.slice("l", F.lit(1), F.col("m") + m), lambda t: t["f"] > frequent)
-        return F.when(c < 2, singly).otherwise(_combinations(F.transform(longer, lambda t: t["token"]), c, m))
+        longer = F.filter(F.slice("l", F.lit(1), F.col("m") + _classes(c)), lambda t: t["f"] > frequent)
+        return F.when(c < 2, singly).otherwise(_combinations(F.transform(longer, lambda t: t["token"]), c, _classes(c)))
 
     crowded = F.when(F.col("crowded") | F.exists("schemes", lambda c: c < 2), F.flatten(F.transform("schemes", scheme_entries))).otherwise(F.array().cast("array<bigint>"))
-    entries = rows.select(F.explode(F.array_distinct(F.concat(rare, crowded))).alias("sig"), "key", "n", "shared")
+    entries = rows.select(F.explode(F.array_distinct(F.concat(rare, crowded))).alias("sig"), "key", "n", "own")
     lively = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return entries.join(lively.select("sig"), "sig")
 
@@ -131,28 +168,31 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def _leader_pairs(entries: DataFrame, number: int) -> DataFrame:
     """Pairs of an entry's leader with members of other components; at most LEADERS for a member."""
-    rank = F.col("n") - F.col("shared") if number == 0 else F.lit(0)
+    rank = F.col("own") if number == 0 else F.lit(0)
     leads = entries.groupBy("sig").agg(
-        F.min(F.struct(rank.alias("r"), F.xxhash64("key", "sig", F.lit(number)).alias("h"), "key", "n", "shared", "root")).alias("lead"),
+        F.min(F.struct(rank.alias("r"), F.xxhash64("key", "sig", F.lit(number)).alias("h"), "key", "n", "own", "root")).alias("lead"),
         F.min("root").alias("lo"), F.max("root").alias("hi"),
     ).filter("lo <> hi")
     met = entries.join(leads.select("sig", "lead"), "sig").filter(
-        (F.col("root") != F.col("lead.root")) & _can_link(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"))
+        (F.col("root") != F.col("lead.root")) & _can_link(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"))
     )
     few = met.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.struct("lead.r", "lead.h", F.col("lead.key").alias("other")))), 1, LEADERS).alias("l"))
     return few.select("key", F.explode("l.other").alias("other")).select(*_ordered("key", "other")).distinct()
 
 
-def _other_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of an entry that lie in different components and can link; one of each is outside the entry's largest component."""
+def _other_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs of an entry that lie in different components and can link by their sketches; one of each is outside the entry's largest component."""
     parts = entries.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("sig").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_entries = entries.join(largest.select("sig", F.col("top.root").alias("top")), "sig")
-    x = open_entries.filter("root <> top").select("sig", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "shared", "root", "top")])
-    y = open_entries.select("sig", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "shared", "root")])
+    words = [f"k{i}" for i in range(SKETCH_WORDS)]
+    rows = entries.join(largest.select("sig", F.col("top.root").alias("top")), "sig").join(sketches.select("key", *words), "key")
+    columns = ("key", "n", "own", "root", "top", *words)
+    x, y = (rows.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
+    x = x.filter("x_root <> x_top")
     once = (F.col("x_root") < F.col("y_root")) | (F.col("y_root") == F.col("x_top"))
-    near = _can_link(F.col("x_n"), F.col("x_shared"), F.col("y_n"), F.col("y_shared"))
-    return x.join(y, "sig").filter((F.col("x_root") != F.col("y_root")) & once & near).select(*_ordered("x_key", "y_key")).distinct()
+    differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
+    near = _can_link(F.col("x_n"), F.col("x_own"), F.col("y_n"), F.col("y_own"), differ)
+    return x.join(y, (x["sig"] == y["sig"]) & (F.col("x_root") != F.col("y_root")) & once & near).select(*_ordered("x_key", "y_key")).distinct()
 
 
 def linked(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -161,13 +201,14 @@ def linked(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     rows = written(token_sets(docs))
     kept = written(survivors(rows))
     sets = written(sets_of(docs, kept))
-    entries = written(index(sets))
+    sketches = written(shared_tokens(sets))
+    entries = written(index(sketches))
     edges, roots = None, None
     for number in range(rounds + 1):
         placed = entries.withColumn("root", F.col("key"))
         if roots is not None:
             placed = entries.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        pairs = _leader_pairs(placed, number) if number < rounds else _other_pairs(placed)
+        pairs = _leader_pairs(placed, number) if number < rounds else _other_pairs(placed, sketches)
         found = written(verified(written(pairs), sets))
         edges = found if edges is None else edges.unionByName(found)
         roots = written(components(edges))
