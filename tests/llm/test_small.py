@@ -1,0 +1,315 @@
+"""Contracts and edge cases of the operators on small tables."""
+
+import hashlib
+import re
+
+import pytest
+
+from tracemill.llm import chat, decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, token_count, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra int, shard string, row long, target string, score string, n_items int"
+
+
+def docs(spark, texts, sources=None):
+    rows = [(i, t, "en", (sources or {}).get(i, "a"), 0, 1, "x", 7, "y", "z", 3) for i, t in texts]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (None, "one two three four five six"), (5, "one two three four five six"), (5, "one two three four five six"), (6, "Ä" * 3000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, ODD, {1: None, 4: "b"})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs(spark, [])
+
+
+def rows(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_language(spark, odd, none):
+    train = docs(spark, [(i, ("the cat and the dog sat " if i % 2 else "der hund und die katze sass ") * 3) for i in range(40)]).withColumn
+    from pyspark.sql import functions as F
+
+    d = train("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
+    model = language_id.fit(language_id.training_rows(d))
+    out = rows(language_id.identify(d, model))
+    assert all(r["lang_pred"] == r["lang"] and 0 <= r["score"] <= 1 for r in out.values())
+    assert any(r["held_out"] for r in out.values())
+    got = language_id.identify(odd, model).collect()
+    assert len(got) == len(ODD) and all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if not re.search(r"[^\W\d_]", r["text"] or ""))
+    assert language_id.identify(none).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify(odd, language_id.fit([])).collect()} == {"und"}
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+        return 16 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 8 <= len(digits) <= 15
+
+
+def base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "", re.A) if valid(k, m.group())]
+
+
+PII = [
+    "a@b.c%d@e.f x@y z", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4 9999999999999.1.1.1", "4111-1111 1111 1111 1 41111111111111111111 4111 1111 1111 1111--5",
+    "+1 (743) 555-3824 +44 20 7946 0958-- +1.2 +12345678901234567", "é😀a@b.co 😀+1 (743) 555-3824", None, "", "a.b@c-d.e.f.@g.h", "@@a@b@c.d", "1.1.1.1@2.2.2.2",
+    "x" * 30000 + "@" + "y" * 10 + ".com " + "1" * 30000,
+]
+
+
+def test_pii_base(spark, none):
+    got = rows(pii.detect(docs(spark, list(enumerate(PII)))))
+    for i, text in enumerate(PII):
+        want = base(text)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
+        assert set(want) <= set(filter(None, got[i]["spans"].split(",")))
+    assert pii.detect(none).count() == 0
+
+
+def test_pii_bootstrap_finds_what_the_base_runs_together(spark):
+    cards = [n for n in range(4111111111110000, 4111111111119999) if valid("card", str(n))]
+    seeds = [(i, f"call +1 (743) 555-38{i:02d} now or pay with {cards[i]} today") for i in range(10)]
+    text = f"call +1 (743) 555-9999 {cards[50]} today"
+    assert base(text) == []
+    got = rows(pii.detect(docs(spark, [*seeds, (99, text), (100, "nothing here 12 34")])))
+    assert got[99]["spans"] == "card:23:39,phone:5:22"
+    assert got[100]["spans"] == "" and got[100]["n_added"] == 0
+
+
+def test_mixing(spark, odd, none):
+    d = docs(spark, [(i, "w " * (i % 7 + 1)) for i in range(60)], {i: f"s{i % 3}" if i < 57 else None for i in range(60)})
+    got = mixing.mix(d).collect()
+    total = sum(r["size"] for r in got)
+    by = {}
+    for r in got:
+        s = by.setdefault((r["source_size"], r["target"]), [0, 0])
+        s[0] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(t - target) <= 1 and target <= 3 * size for (size, target), (t, _) in by.items())
+    assert abs(sum(t for _, t in by) - total) < 1e-6
+    places = [r["position"] for r in got if r["position"] is not None]
+    assert places == sorted(places) and all(0 <= p <= 1 for p in places)
+    assert [tuple(r) for r in mixing.mix(d).collect()] == [tuple(r) for r in got]
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
+    words = {}
+    for r in mixing.mixture(d).collect():
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
+    assert words == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def components(texts):
+    sets = {i: shingle_set(t) for i, t in texts}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_join_matches_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts, k = [], 0
+    for size in (3, 6, 12, 30, 80, 300):
+        for _ in range(3):
+            stem = [r.choice(words) for _ in range(size)]
+            for _ in range(40 if size == 80 else 7):
+                own = list(stem)
+                for _ in range(r.choice([0, 0, 1, 1, 2, max(1, size // 25)])):
+                    own[r.randrange(size)] = r.choice(words)
+                texts.append((k, " ".join(own).upper() if r.random() < 0.2 else " ".join(own)))
+                k += 1
+    texts += [(k, None), (k + 1, ""), (k + 2, "  "), (k + 3, texts[50][1])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, texts)).collect()}
+    assert got == components(texts)
+    assert len({c for _, c in got.values()}) < len(texts) - 20
+
+
+def test_join_edges(spark, odd, none):
+    got = ngram_join.join(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r["component_id"] for r in got if r["n_shingles"] == 2} == {5}
+    kept = ngram_join.deduplicated(odd).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "5", "6"] and ngram_join.deduplicated(none).count() == 0
+
+
+def test_decontamination(spark, odd, none):
+    item = " ".join(f"i{k}" for k in range(40))
+    filler = [f"f{k}" for k in range(5000)]
+    hurt = item.split()
+    hurt[20] = "other"  # 5 of 36 shingles gone: contained
+    gone = list(hurt)
+    gone[5] = gone[30] = "other"  # 15 gone: not contained
+    texts = [(1, " ".join(filler + item.upper().split() + filler)), (2, " ".join(filler + hurt + filler)), (3, " ".join(filler + gone)), (4, " ".join(filler)), (5, "short one"), (6, None), (1, "the same id")]
+    items = spark.createDataFrame([(10, item), (11, item), (12, "short one"), (13, None), (14, "")], "item_id long, text string")
+    for limit in (200_000, 0):
+        found = decontaminate.matches(docs(spark, texts), items, broadcast_rows=limit).collect()
+        assert sorted((r["_id"], r["item_id"]) for r in found) == [("1", 10), ("1", 11), ("2", 10), ("2", 11), ("5", 12)]
+    got = decontaminate.decontaminate(docs(spark, texts), items).collect()
+    assert [r["contaminated"] for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))] == [True, False, True, False, False, True, False]
+    assert decontaminate.clean(docs(spark, texts), items).count() == 4
+    assert decontaminate.decontaminate(odd, items.limit(0)).filter("contaminated").count() == 0 and decontaminate.clean(none, items).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "é" * 600
+    pages = spark.createDataFrame([(1, "http://a/1", big), (2, "http://a/2 x", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (7, "u", "WARC/1.1\r\n in the text \r\n\r\n" * 50)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    for page_id, _, html in pages.collect():
+        data = (html or "").encode()
+        revisit = html == big and page_id != 2
+        assert got[page_id] == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_salvage():
+    body = [f"payload {i} ".encode() * 50 for i in range(5)]
+    plain = [warc.record(i, "u", b, hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(body)]
+    packed = [warc.member(p) for p in plain]
+    for parts in (plain, packed):
+        whole = b"".join(parts)
+        assert [r["payload"] for r in warc.salvage(whole)] == body
+        hurt = bytearray(whole)
+        at = len(parts[0]) + len(parts[1]) // 2
+        hurt[at : at + 20] = b"\0" * 20
+        out = list(warc.salvage(bytes(hurt)))
+        assert [r["payload"] for r in out if "payload" in r] == [body[0], *body[2:]]
+        assert [(r["offset"], r["gap_bytes"]) for r in out if r.get("gap_bytes")] == [(len(parts[0]), len(parts[1]))]
+        cut = list(warc.salvage(whole[:-7]))
+        assert len([r for r in cut if "payload" in r]) == 4 and cut[-1]["gap_bytes"] == len(parts[4]) - 7
+        assert [r.get("gap_bytes") for r in warc.salvage(b"junk" + whole)][0] == 4
+    assert list(warc.salvage(b"")) == []
+
+
+def repeated(words, n=8):
+    seen, hit = {}, set()
+    for i in range(len(words) - n + 1):
+        seen.setdefault(tuple(words[i : i + n]), []).append(i)
+    for at in seen.values():
+        if len(at) > 1:
+            hit |= {i + k for i in at for k in range(n)}
+    return len(hit)
+
+
+def test_quality_counts():
+    for text in ["a b c\na b c\n\n \n# $x", "w1 w2 w3 w4 w5 w6 w7 w8 " * 3, "x " * 9, "x " * 8, "ä|ö\x0bü\n ä|ö", " ".join(f"v{i % 11}" for i in range(100))]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeated(words))
+        assert quality.statistics(text)[0] == want
+    assert quality.statistics(None)[0] == (0, 0, 0, 0, 0)
+
+
+def test_quality_learns(spark, odd, none):
+    good = [(i, " ".join(f"word{(i * 7 + k) % 50} flows" for k in range(30))) for i in range(60)]
+    bad = [(100 + i, " ".join(f"##x{(i + k) % 9}$$" for k in range(40 + i))) for i in range(60)]
+    d = docs(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad] + [(None, 1, 0), (5000, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    x, y = quality.training_set(d, labels)
+    model = quality.fit(x, y)
+    got = quality.judge(d, labels, model).collect()
+    assert all((r["probability"] > 0.5) == (r["doc_id"] < 100) for r in got)
+    assert quality.judge(odd, labels, model).count() == len(ODD) and quality.judge(none, labels.limit(0)).count() == 0
+
+
+def test_token_counts(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    texts = [(1, "a <|endoftext|> b  \n x<|endoftext|>"), (2, None), (3, ""), (4, "  '’s don't 12 ½ \t\t z"), (5, "x" * 5000), (6, "日本語 text")]
+    tk = Tokenizer.from_file(token_count.vocabulary_path())
+    for size in (65_536, 3):
+        got = rows(token_count.token_counts(docs(spark, texts), limit=5, table_size=size))
+        for i, t in texts:
+            n = len(tk.encode(t or "", add_special_tokens=False).ids)
+            assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 5)
+    assert token_count.token_counts(odd).count() == len(ODD) and token_count.token_counts(none).count() == 0
+
+
+def test_chat(spark):
+    say = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
+    turns = [*say(1, "a"), *say(2, "a", "b"), *say(3, "a", "b", "c"), *say(4, "a", "x"), *say(5, "a", "b", "c"), *say(6, "z <|im_end|>"), (7, None, None, None), (6, 0, "user", "z <|im_end|>")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["part"]): r for r in chat.render(df).collect()}
+    assert {c for c, _ in got} == {3, 4, 6, 7}
+    assert got[3, 0]["chat"].count("<|im_start|>") == 3 and got[3, 0]["n_turns"] == 3
+    assert got[6, 0]["chat"] == "<|im_start|>user\nz <| im_end |><|im_end|>\n"
+    long = spark.createDataFrame([(1, i, "user", str(i)) for i in range(25)] + [(2, i, "user", str(i)) for i in range(12)], df.schema)
+    parts = sorted((r["conv_id"], r["part"], r["n_part_turns"]) for r in chat.render(long, part=10).collect())
+    assert parts == [(1, 0, 10), (1, 1, 10), (1, 2, 5)]
+    assert chat.render(df.limit(0)).count() == 0
+
+
+def test_sharding(spark, odd, none):
+    import zlib
+
+    d = docs(spark, [(i, "copy" if i % 3 == 0 else "t" * (i % 50)) for i in range(900)])
+    got = sharding.shard(d, 6).collect()
+    sizes, slots = {}, {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert r["text_crc32"] == zlib.crc32(("copy" if r["doc_id"] % 3 == 0 else "t" * (r["doc_id"] % 50)).encode())
+    assert set(sizes) == set(range(6)) and max(sizes.values()) - min(sizes.values()) <= 150
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    out = sharding.sharded(odd).collect()
+    assert len(out) == len(ODD) and {(r["size"], r["text_crc32"]) for r in out if r["doc_id"] in (1, 2)} == {(8, 0)}
+    assert sharding.sharded(none).count() == 0
+
+
+def test_pipeline_stages_keep_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [(i, f"the cat number {i} sat with the dog number {i * 7 % 40} and then it went home again to sleep on mat {i}") for i in range(40)]
+    texts += [(50, texts[3][1]), (51, None), (52, "12 34"), (53, " ".join(f"b{k}" for k in range(30)))]
+    spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = docs(spark, texts)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [None] * 5
+    now = d
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        path = f"{tmp_path}/{k}"
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
+        assert k == 4 or now.columns == d.columns
+        ids[k] = {r["doc_id"] for r in now.select("doc_id").collect()}
+    assert ids[0] == {*range(40), 50, 53} and ids[1] == ids[0] - {50} and ids[2] == ids[1] - {53} and ids[4] == ids[3] <= ids[2]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    empty = docs(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

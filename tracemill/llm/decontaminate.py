@@ -77,7 +77,8 @@ def matches(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_R
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with contaminated, n_items, item_ids (ascending) and the largest containment (null if none)."""
+    """docs with contaminated, n_items, item_ids (ascending) and the largest containment (null if none), in place of columns of these names."""
+    docs = docs.drop("contaminated", "n_items", "item_ids", "containment")
     found = matches(docs, items).groupBy("_id", "_text").agg(
         F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("containment").alias("containment")
     )

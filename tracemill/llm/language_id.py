@@ -171,10 +171,17 @@ def predictor(spark, model: Model):
     return predict
 
 
+def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    predict = predictor(docs.sparkSession, model or fit(training_rows(docs)))
+    return docs.withColumn("_p", predict(F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with held_out, lang_pred and score."""
-    model = model or fit(training_rows(docs))
-    predict = predictor(docs.sparkSession, model)
-    return docs.withColumn("_p", predict(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))).select(
-        *docs.columns, held_out().alias("held_out"), F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score")
-    )
+    """docs with held_out, lang_pred and score, in place of columns of these names."""
+    own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    return _predicted(docs, model).select(*own, held_out().alias("held_out"), F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+
+
+def accepted(docs: DataFrame, min_score: float, model: Model | None = None) -> DataFrame:
+    """The rows of docs, as they are, that have a language and at least min_score for it."""
+    return _predicted(docs, model).filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= min_score)).select(*docs.columns)

@@ -111,9 +111,11 @@ def mixture(docs: DataFrame) -> DataFrame:
     The copy in which its source's demand ends keeps its first words only.
     """
     words = [F.least(F.col("_size"), F.col("demand") - F.col("source_size") * k - F.col("offered")) for k in range(CAP)]
-    rows = mixed(measured(docs)).filter("taken > 0")
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # in a struct, no column of docs can clash
+    rows = mixed(measured(whole).drop("text", "source")).filter("taken > 0")
     rows = rows.select("*", F.posexplode(F.filter(F.array(*words), lambda n: n > 0)).alias("_copy", "_words"))
-    first = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', _words, '}+'), 0)")
-    text = F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("text"))
+    first = F.expr(r"regexp_extract(_row.text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', _words, '}+'), 0)")
+    text = F.when(F.col("_words") < F.col("_size"), first).otherwise(F.col("_row.text"))
     place = position((F.col("offered") + F.col("_copy") * F.col("source_size")).cast("double"), F.col("target"), F.col("weight"))
-    return rows.withColumn("text", text).withColumn("_place", place).orderBy("_place", "doc_id").select(*docs.columns)
+    row = F.col("_row").withField("text", text)
+    return rows.select(row.alias("_row"), place.alias("_place"), "doc_id").orderBy("_place", "doc_id").select("_row.*")

@@ -230,7 +230,7 @@ def join(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of linked or equal ones, the one of the smallest id; those without words all stay."""
     answer = join(docs)
-    least = answer.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    least = answer.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"))
     keep = least.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     texts = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_hash"] == keep["_hash"]), "left_semi").dropDuplicates(["doc_id", "_hash"])
