@@ -1,0 +1,117 @@
+import datetime as dt
+import math
+
+import pytest
+
+from tracemill.plans import rules
+
+NOW = dt.datetime(2026, 2, 1)
+T0 = dt.datetime(2026, 1, 31)
+INPUT = "struct<command:string,file_path:string>"
+
+
+def calls(spark, rows):
+    """(session, tool, command, path, error, bytes, seconds)"""
+    out, n = [], {}
+    for s, tool, command, path, error, size, at in rows:
+        n[s] = n.get(s, 0) + 1
+        ts = T0 + dt.timedelta(seconds=at)
+        out.append((s, f"{s}-{n[s]}", n[s], 0, ts, tool, "{}", (command, path), error, size, ts + dt.timedelta(seconds=20), n[s]))
+    schema = f"session_id string, tool_use_id string, seq long, pos int, ts timestamp, tool_name string, input_json string, input {INPUT}, is_error boolean, result_bytes long, result_ts timestamp, ord int"
+    return spark.createDataFrame(out, schema)
+
+
+def entries(spark, rows):
+    """(session, seconds, base, input, output, made, hour, read)"""
+    out = [(s, f"m{k}", k, T0 + dt.timedelta(seconds=at), "m", "sdk-py" if s.startswith("auto") else "cli", None, base, i, o, c, h, r, 0, o, 0) for k, (s, at, base, i, o, c, h, r) in enumerate(rows)]
+    schema = "session_id string, message_id string, seq long, ts timestamp, model string, entrypoint string, service_tier string, base double, input long, output long, cache_creation long, cache_creation_1h long, cache_read long, web_search long, visible long, thinking long"
+    return spark.createDataFrame(out, schema)
+
+
+def ids(df):
+    return [r["id"] for r in df.collect()]
+
+
+def run(s, *wanted):
+    return {r["id"]: r for r in rules.evaluate(s, [r for r in rules.RULES if r.id in wanted]).collect()}
+
+
+def test_tool_rules(spark):
+    rows = [("s", "Bash", "grep x", None, k % 2 == 0, 5, k * 60) for k in range(12)] + [("s", "Edit", None, "/a", False, 5, 1000 + k) for k in range(15)] + [("s", "Bash", "rm -rf /x", None, False, 1, 2000)]
+    s = rules.Signals(NOW, {"tool_calls": calls(spark, rows)})
+    got = run(s, "workflow.native-bypass", "workflow.file-churn", "reliability.tool-errors", "reliability.retry-storms", "safety.risky-actions", "workflow.repeated-commands")
+    assert got["workflow.native-bypass"]["affected"] == 12
+    assert got["workflow.file-churn"]["evidence"] == ["/a"]
+    assert got["reliability.tool-errors"]["affected"] == 6 and got["reliability.tool-errors"]["evidence"] == ["Bash"]
+    assert got["reliability.retry-storms"]["affected"] == 1
+    assert got["safety.risky-actions"]["severity"] == "critical" and got["workflow.repeated-commands"]["evidence"] == ["grep x"]
+
+
+def test_gap_is_inclusive_at_a_minute(spark):
+    at = [0, 60, 120, 181, 242]
+    s = rules.Signals(NOW, {"tool_calls": calls(spark, [("s", "Bash", "x", None, True, 1, t) for t in at])})
+    assert run(s, "reliability.retry-storms") == {}
+    s = rules.Signals(NOW, {"tool_calls": calls(spark, [("s", "Bash", "x", None, True, 1, 60 * k) for k in range(4)])})
+    assert run(s, "reliability.retry-storms")["reliability.retry-storms"]["affected"] == 1
+
+
+def test_cost_rules(spark):
+    rows = [(f"s{k}", k, 3.0, 1000, 1000, 0, 0, 0) for k in range(6)] + [("s0", 10, 3.0, 10**6, 10**5, 0, 0, 0), ("auto", 11, 3.0, 10**6, 10**4, 0, 0, 0), ("none", 12, None, 5, 5, 0, 0, 0)]
+    got = run(rules.Signals(NOW, {"token_entries": entries(spark, rows)}), "cost.expensive-sessions", "cost.automation-share", "cost.unknown-model", "cost.batchable-workload", "context.over-window")
+    assert got["cost.expensive-sessions"]["evidence"][0] == "s0"
+    assert math.isclose(got["cost.automation-share"]["est_savings_usd"], 3.15)
+    assert got["cost.unknown-model"]["affected"] == 1
+    assert math.isclose(got["cost.batchable-workload"]["est_savings_usd"], 1.575)
+    assert got["context.over-window"]["affected"] == 2
+
+
+@pytest.mark.parametrize(("after", "seconds", "n"), [(60_000, 240, 1), (60_000, 360, 0), (70_000, 240, 0)])
+def test_compactions(spark, after, seconds, n):
+    rows = [("s", 0, 3.0, 100_000, 1, 0, 0, 0), ("s", seconds, 3.0, after, 1, 0, 0, 0)]
+    assert rules.compactions(rules.Signals(NOW, {"token_entries": entries(spark, rows)})).count() == n
+
+
+def test_dark_rules_and_rank(spark):
+    s = rules.Signals(NOW, {"tool_calls": calls(spark, [("s", "Bash", "rm -rf /", None, True, 1, k) for k in range(6)])})
+    states = dict(rules.coverage(s))
+    assert states["cost.expensive-sessions"] == "dark" and states["reliability.tool-errors"] == "on"
+    got = rules.build(s).collect()
+    keys = [(-r["severity_rank"],) for r in got]
+    assert keys == sorted(keys) and got[0]["severity"] == "critical"
+    rejected = spark.createDataFrame([("safety.risky-actions",)], "id string")
+    assert "safety.risky-actions" not in ids(rules.build(s, rejected)) and "safety.risky-actions" in [r["id"] for r in got]
+    assert rules.build(rules.Signals(NOW, {"tool_calls": calls(spark, [])})).count() == 0
+
+
+def test_every_rule_plans(spark):
+    """All rules compile on tables of the right schema with no rows, and say nothing."""
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    s = rules.Signals(NOW, {
+        "token_entries": entries(spark, []), "tool_calls": calls(spark, []),
+        "sessions": empty("session_id string, project string, start_ts timestamp, end_ts timestamp, unattended boolean"),
+        "api_errors": empty("session_id string, seq long, ts timestamp, status int, retryAttempt int"),
+        "timeline": empty("session_id string, ord int, ts timestamp, kind string, summary string"),
+        "turns": empty("session_id string, durationMs double"), "stop_hooks": empty("ts timestamp, timed_ms double, errors int, preventedContinuation boolean"),
+        "permission_rows": empty("session_id string, mode string"), "attribution": empty("session_id string, kind string, name string, invocations long, output_tokens long"),
+        "tool_inventory": empty("session_id string, available array<string>, used array<string>"), "plans": empty("has_verification boolean, file_refs int, words int"),
+        "workflows": empty("tokens long, status string, rate_limited long"), "tasks": empty("session_id string, task_id string, status string, owner string, blocked_by array<string>, mtime timestamp"),
+        "installed": empty("kind string, name string"), "latency": empty("model string, api_ms double, output_tokens long"),
+        "steering": empty("corrections int, success double, specificity double"), "permission_rules": empty("kind string, rule string"), "daily": empty("day date, tool_calls long"),
+    })
+    assert all(state == "on" for _, state in rules.coverage(s))
+    assert rules.build(s).count() == 0
+
+
+def test_cascade_adds_up(spark):
+    claims = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.5), ("a", 3, 0.1), ("b", 1, 1.0), ("b", 2, 0.3)], "scope string, ord int, fraction double")
+    bill = spark.createDataFrame([("a", 100.0), ("b", 10.0)], "scope string, usd double")
+    out = {(r["scope"], r["ord"]): r["marginal"] for r in rules.cascade(claims, bill).collect()}
+    assert math.isclose(out["a", 1], 50) and math.isclose(out["a", 2], 25) and math.isclose(out["a", 3], 2.5)
+    assert math.isclose(sum(v for (s, _), v in out.items() if s == "b"), 10)
+
+
+def test_proof_needs_twelve_pairs(spark):
+    of = lambda n, d: spark.createDataFrame([(10.0 + k, 10.0 + k - d * (k + 1)) for k in range(n)], "control double, treatment double")
+    assert rules.paired_proof(of(11, 1)).first()["verdict"] == "not-yet-provable"
+    assert rules.paired_proof(of(12, 1)).first()["verdict"] == "better"
+    assert rules.paired_proof(of(12, 0)).first()["p"] == 1.0
