@@ -21,7 +21,7 @@ def test_windows_equal_batch(spark, tmp_path):
 
 
 def test_live_sessions_keep_state_over_batches(spark, tmp_path):
-    stream = live.live_sessions(live.event_stream(spark, landing(spark, str(tmp_path / "in")), files_per_trigger=1))
+    stream = live.live_sessions(live.event_stream(spark, landing(spark, str(tmp_path / "in")), files_per_trigger=1), late="60 days")
     q = live.latest_status(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination()
     last = max(tmp_path.joinpath("out").iterdir(), key=lambda p: int(p.name[1:]))

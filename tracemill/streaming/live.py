@@ -61,14 +61,17 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             break
         run += 1
     state.update((calls, errors, last, ",".join(recent)))
-    state.setTimeoutDuration(IDLE_MINUTES * 60_000)
+    state.setTimeoutTimestamp(max(last // 1000 + IDLE_MINUTES * 60_000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame([[key[0], calls, errors, run, last, "active"]], columns=["user_id", "calls", "errors", "retries", "last_us", "state"])
 
 
-def live_sessions(events: DataFrame) -> DataFrame:
-    """A status row whenever a session has new calls, and one when it goes idle."""
-    rows = events.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(_fold, STATUS, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def live_sessions(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A status row whenever a session has new calls, and one when it goes idle by the stream's own clock, the watermark.
+
+    Event time, so that a run over what is there ends: a processing-time timeout would keep it waiting.
+    """
+    rows = events.withWatermark("ts", late).select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id").applyInPandasWithState(_fold, STATUS, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
