@@ -109,7 +109,7 @@ def costs(s: Signals) -> DataFrame:
 def session_costs(s: Signals) -> DataFrame:
     return costs(s).groupBy("session_id").agg(
         F.sum("cost").alias("cost"), F.max("context").alias("peak"), F.sum("cache_read").alias("read"), F.sum("cache_creation").alias("made"), F.sum("output").alias("output"),
-        F.max("ts").alias("last_ts"), F.bool_or(F.col("base").isNull()).alias("unknown"), F.first("entrypoint", ignorenulls=True).alias("entrypoint"), F.count(F.lit(1)).alias("messages"),
+        F.max("ts").alias("last_ts"), F.bool_or(F.col("base").isNull()).alias("unknown"), F.max("entrypoint").alias("entrypoint"), F.count(F.lit(1)).alias("messages"),  # sdk-* sorts last: one such message makes a session unattended
     )
 
 
