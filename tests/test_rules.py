@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from tracemill.plans import rules
+from tracemill.plans import artifact_rules, rules  # noqa: F401  the former registers its rules
 
 NOW = dt.datetime(2026, 2, 1)
 T0 = dt.datetime(2026, 1, 31)
@@ -97,9 +97,18 @@ def test_every_rule_plans(spark):
         "workflows": empty("tokens long, status string, rate_limited long"), "tasks": empty("session_id string, task_id string, status string, owner string, blocked_by array<string>, mtime timestamp"),
         "installed": empty("kind string, name string"), "latency": empty("model string, api_ms double, output_tokens long"),
         "steering": empty("corrections int, success double, specificity double"), "permission_rules": empty("kind string, rule string"), "daily": empty("day date, tool_calls long"),
+        "model_targets": empty("model string, target_base double"), "routable_turns": empty("ts timestamp, saving_usd double"), "edit_hunks": empty("session_id string, file string, lines long, net_lines long, formatting_only boolean"),
+        "instructions": empty("scope string, project string, chars long"), "results": empty("session_id string, tool_use_id string, digest string, bytes long"),
+        "shadow": empty("axis string, variation string, at string, winner string"), "reviews": empty("id string, reviewer string, requestedAt string, closedAt string"),
+        "file_history": empty("session_id string, file string, version_ts timestamp"), "session_factors": empty("session_id string, factor string, present boolean, good boolean"),
+        "assignments": empty("team string, agent string, dropped boolean"), "updates": empty("status string, code int"), "backups": empty("at string, key string, value string"),
+        "mcp_auth": empty("name string, needs_auth boolean"), "settings_findings": empty("severity string"), "git_outcomes": empty("id string, merged_at timestamp, kind string, files array<string>"),
+        "deceit": empty("session_id string, unbacked int, contradicted int"), "doc_nodes": empty("node string"), "doc_edges": empty("src string, dst string, kind string"),
+        "memory_files": empty("store string, name string, bytes long, longest_line int, is_index boolean"), "memory_links": empty("store string, to string"), "path_refs": empty("path string, state string"),
     })
     assert all(state == "on" for _, state in rules.coverage(s))
-    assert rules.build(s).count() == 0
+    for r in rules.RULES:
+        assert rules.evaluate(s, [r]).isEmpty(), r.id
 
 
 def test_cascade_adds_up(spark):
@@ -115,3 +124,19 @@ def test_proof_needs_twelve_pairs(spark):
     assert rules.paired_proof(of(11, 1)).first()["verdict"] == "not-yet-provable"
     assert rules.paired_proof(of(12, 1)).first()["verdict"] == "better"
     assert rules.paired_proof(of(12, 0)).first()["p"] == 1.0
+
+
+def test_artifact_rules(spark):
+    of = lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
+    s = rules.Signals(NOW, {
+        "doc_nodes": of("node string", ("a",), ("b",)), "doc_edges": of("src string, dst string, kind string", ("a", "b", "md-link"), ("a", "gone", "md-link")),
+        "git_outcomes": of("id string, merged_at timestamp, kind string, files array<string>", ("1", T0, "feature", ["f"]), ("2", NOW, "revert", ["f", "g"])),
+        "backups": of("at string, key string, value string", ("2026-01-30T00:00:00Z", "mode", "default"), ("2026-01-31T00:00:00Z", "mode", "bypassPermissions")),
+        "instructions": of("scope string, project string, chars long", ("global", None, 30_000), ("project", "p", 9_000), ("project", "q", 11_000)),
+        "tool_calls": calls(spark, [("s", "Bash", c, None, False, 1, k) for k, c in enumerate(["git stash", "git switch main", "git stash pop"])]),
+    })
+    got = run(s, "maintenance.doc-hygiene", "reliability.post-shipment-rework", "reliability.config-drift", "safety.policy-change", "context.bloated-instructions", "workflow.shared-checkout-rework")
+    assert got["maintenance.doc-hygiene"]["evidence"] == ["gone"] and got["maintenance.doc-hygiene"]["affected"] == 2
+    assert {k: r["affected"] for k, r in got.items() if k != "maintenance.doc-hygiene"} == {
+        "reliability.post-shipment-rework": 1, "reliability.config-drift": 1, "safety.policy-change": 1, "context.bloated-instructions": 41_000, "workflow.shared-checkout-rework": 1,
+    }

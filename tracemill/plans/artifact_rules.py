@@ -1,0 +1,253 @@
+"""Rules over side artifacts and configuration; importing this module registers them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.cost import entry_cost
+from ..operators import graph as G
+from ..operators import sequences as S
+from ..sources import artifacts as A
+from .rules import CHARS_PER_TOKEN, EDIT_TOOLS, MIN_USD, RATE_LIMITS, STALE_WEEKS, Signals, bash, compactions, costs, recommend, rule, session_costs, with_evidence
+
+
+@rule("cost.legacy-model-overpay", "token_entries", "model_targets")
+def legacy_overpay(s: Signals) -> DataFrame:
+    """Messages on a legacy model at their price and at that of the model that follows it (model, target_base)."""
+    e = s.token_entries.join(s.model_targets, "model")
+    t = e.agg(F.sum(entry_cost("base") - entry_cost("target_base")).alias("usd"), F.count_distinct("session_id").alias("affected"))
+    return recommend(t, F.col("usd") >= 0.5, "warning", "A legacy model costs more than its successor", usd="usd")
+
+
+@rule("cost.model-routing-rollup", "routable_turns")
+def model_routing(s: Signals) -> DataFrame:
+    """Turns that a cheaper model could take (ts, saving_usd), as a month's saving."""
+    days = F.greatest(F.lit(1.0), (S.micros(F.max("ts")) - S.micros(F.min("ts"))) / 86_400e6)
+    t = s.routable_turns.agg(F.count(F.lit(1)).alias("affected"), (F.sum("saving_usd") / days * 30).alias("usd"))
+    return recommend(t, (F.col("affected") >= 20) & (F.col("usd") >= 1), F.when(F.col("usd") >= 10, "warning").otherwise("info"), "Turns could run on a cheaper model", usd="usd")
+
+
+@rule("cost.output-verbosity", "token_entries", "timeline")
+def output_verbosity(s: Signals) -> DataFrame:
+    prose = s.timeline.filter("kind = 'assistant'").groupBy("session_id").agg((F.sum(F.length("summary")) / CHARS_PER_TOKEN).alias("prose"))
+    c = s.token_entries.groupBy("session_id").agg(F.sum("output").alias("out"), F.max("base").alias("base")).join(prose, "session_id")
+    c = c.filter("prose >= 2000 AND prose >= 0.4D * out")
+    t = c.agg(F.count(F.lit(1)).alias("affected"), F.sum(F.col("prose") * 0.4 * F.col("base") * 5 / 1e6).alias("usd"))
+    return recommend(t, F.col("usd") >= MIN_USD, "info", "Answers are long", usd="usd")
+
+
+@rule("cost.edit-format-churn", "edit_hunks")
+def format_churn(s: Signals) -> DataFrame:
+    """Hunks that only change the form (session_id, file, lines, formatting_only)."""
+    t = s.edit_hunks.agg(F.count_if("formatting_only").alias("affected"), F.sum(F.when(F.col("formatting_only"), F.col("lines"))).alias("lines"), F.count(F.lit(1)).alias("n"))
+    return recommend(t, (F.col("affected") >= 12) & (F.col("lines") >= 120) & (F.col("affected") >= 0.25 * F.col("n")), "info", "Edits only change formatting")
+
+
+@rule("context.bloated-instructions", "instructions")
+def bloated_instructions(s: Signals) -> DataFrame:
+    """The largest set of instruction files that load together: the global ones and a project's (scope, project, chars)."""
+    g = s.instructions.filter("scope = 'global'").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("g"))
+    p = s.instructions.filter("scope = 'project'").groupBy("project").agg(F.sum("chars").alias("p")).agg(F.coalesce(F.max("p"), F.lit(0)).alias("p"))
+    t = g.crossJoin(F.broadcast(p)).withColumn("affected", F.col("g") + F.col("p"))  # one row each
+    return recommend(t, F.col("affected") > 40_000, "warning", "Instructions fill the context before work begins")
+
+
+@rule("context.compaction-hot-sessions", "token_entries")
+def hot_sessions(s: Signals) -> DataFrame:
+    n = compactions(s).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    c = session_costs(s).join(n, "session_id", "left").withColumn("pct", 100 * F.col("peak") / 200_000)
+    peak = F.when(F.col("pct") >= 80, 40).when(F.col("pct") >= 50, 20 + 20 * (F.col("pct") - 50) / 30).otherwise(20 * F.col("pct") / 50)
+    growth = F.col("peak") / F.col("messages")
+    score = peak + F.when(growth >= 15_000, 25).when(growth >= 5_000, 12).otherwise(0) + F.least(F.lit(15), 7 * F.coalesce("n", F.lit(0)))
+    t = c.withColumn("risk", score).agg(F.count_if(F.col("risk") >= 60).alias("affected"), F.count(F.lit(1)).alias("n"))
+    return recommend(t, (F.col("affected") >= 2) | ((F.col("n") >= 5) & (F.col("affected") >= 0.4 * F.col("n"))), "warning", "Sessions run close to compaction")
+
+
+@rule("context.compaction-large-tool-outputs", "tool_calls")
+def large_outputs(s: Signals) -> DataFrame:
+    g = s.tool_calls.groupBy("session_id").agg(F.avg((F.col("result_bytes") > 20_000).cast("int")).alias("rate")).filter("rate >= 0.25D")
+    t = g.agg(F.count(F.lit(1)).alias("affected"), F.avg("rate").alias("mean"))
+    return recommend(t, (F.col("affected") >= 3) & (F.col("mean") >= 0.1), "info", "Large tool results drive compaction")
+
+
+@rule("context.reclaim-potential", "tool_calls", "results")
+def reclaim_potential(s: Signals) -> DataFrame:
+    """Results that came again in a session, or are very large (session_id, tool_use_id, digest, bytes)."""
+    g = s.results.groupBy("session_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("b")).filter("n >= 2 OR b >= 20000")
+    t = g.agg(F.count(F.lit(1)).alias("affected"), F.sum(F.col("b") * F.greatest(F.col("n") - 1, F.lit(1))).alias("bytes"))
+    return recommend(t, F.col("affected") > 0, "info", "Results are carried twice")
+
+
+@rule("workflow.shadow-axis-wins", "shadow")
+def shadow_axis(s: Signals) -> DataFrame:
+    g = A.shadow_wins(s.shadow)
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "axis", "rate"), F.col("affected") > 0, "info", "A variation wins its experiment", evidence="evidence")
+
+
+@rule("workflow.review-bottleneck", "reviews")
+def review_bottleneck(s: Signals) -> DataFrame:
+    g = A.review_bottlenecks(s.reviews, s.now).filter("stale >= 2")
+    t = g.agg(F.sum("stale").alias("affected"), F.max("stale").alias("most"), F.max("oldest_hours").alias("oldest"))
+    bad = (F.col("most") >= 4) | (F.col("oldest") >= 120)
+    return recommend(with_evidence(t, g, "reviewer", "stale"), F.col("affected") >= 3, F.when(bad, "warning").otherwise("info"), "Reviews wait for few people", evidence="evidence")
+
+
+@rule("workflow.rework-signature", "file_history")
+def rework_signature(s: Signals) -> DataFrame:
+    """Versions of files by session (session_id, file, version_ts): churn times bursts within ten minutes."""
+    w = Window.partitionBy("session_id", "file").orderBy("version_ts")
+    near = (S.micros("version_ts") - S.micros(F.lag("version_ts").over(w)) <= 600_000_000).cast("int")
+    g = s.file_history.withColumn("near", near).groupBy("session_id").agg((F.count(F.lit(1)) - F.count_distinct("file")).alias("churn"), F.coalesce(F.sum("near"), F.lit(0)).alias("burst"))
+    g = g.withColumn("score", F.col("churn") * (1 + F.col("burst")))
+    t = g.agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("affected"), F.max_by("burst", "score").alias("burst"))
+    return recommend(t, (F.col("n") >= 3) & (F.col("affected") >= 10), F.when(F.col("burst") >= 3, "warning").otherwise("info"), "Files are saved and saved again")
+
+
+@rule("workflow.churn-geometry", "edit_hunks")
+def churn_geometry(s: Signals) -> DataFrame:
+    """Lines written against lines kept, by file (session_id, file, lines, net_lines)."""
+    g = s.edit_hunks.groupBy("session_id", "file").agg(F.sum("lines").alias("gross"), F.abs(F.sum("net_lines")).alias("net")).filter("gross >= 20 AND gross - net >= 8")
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "file", "gross"), F.col("affected") > 0, "info", "Much of what is written is written over", evidence="evidence")
+
+
+@rule("workflow.shared-checkout-rework", "tool_calls")
+def shared_checkout(s: Signals) -> DataFrame:
+    """A stash, then a switch of branch, then the stash taken back, in one session in this order."""
+    w = Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    c = bash(s)
+    stash = F.max(F.when(F.col("command").rlike(r"\bgit\s+stash\b(?!\s+(?:pop|apply|list))"), F.col("ord"))).over(w)
+    c = c.withColumn("stashed", stash)
+    switch = F.max(F.when(F.col("command").rlike(r"\bgit\s+(?:switch|checkout)\s") & (F.col("stashed") < F.col("ord")), F.col("ord"))).over(w)
+    c = c.withColumn("switched", switch).filter(F.col("command").rlike(r"\bgit\s+stash\s+(?:pop|apply)\b") & (F.col("switched") > F.col("stashed")))
+    return recommend(c.agg(F.count_distinct("session_id").alias("affected")), F.col("affected") >= 1, F.when(F.col("affected") >= 3, "warning").otherwise("info"), "Sessions share a checkout and get in each other's way")
+
+
+@rule("workflow.harmful-habit", "session_factors")
+def harmful_habit(s: Signals) -> DataFrame:
+    """Factors of sessions against their outcome (session_id, factor, present, good)."""
+    g = s.session_factors.groupBy("factor").agg(
+        F.avg(F.when(F.col("present"), F.col("good").cast("int"))).alias("a"), F.avg(F.when(~F.col("present"), F.col("good").cast("int"))).alias("b"),
+        F.count_if("present").alias("n"), F.count_if(~F.col("present")).alias("m"),
+    ).filter("n >= 3 AND m >= 3 AND b - a >= 0.1D").withColumn("gap", F.col("b") - F.col("a"))
+    t = g.agg(F.max_by("n", "gap").alias("affected"), F.max("gap").alias("gap"), F.array(F.max_by("factor", "gap")).alias("evidence"))
+    return recommend(t, F.col("gap").isNotNull(), F.when(F.col("gap") >= 0.25, "warning").otherwise("info"), "A habit goes with worse outcomes", evidence="evidence")
+
+
+@rule("reliability.retry-prefix-rewaste", "tool_calls", "token_entries")
+def retry_rewaste(s: Signals) -> DataFrame:
+    """Context read again by messages within groups of failing repeats."""
+    runs = S.islands(s.tool_calls.withColumn("us", S.micros("ts")), ["session_id"], ["ord"], ["tool_name"], "us", 60_000_000)
+    g = runs.groupBy("session_id", "island").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("bad")).filter("n >= 2 AND bad > 0")
+    e = S.asof(s.token_entries.select("session_id", S.micros("ts").alias("us"), "cache_read"), g.select("session_id", F.col("a").alias("a_us"), "b"), ["session_id"], "us", "a_us", "b", out="until")
+    return recommend(e.filter("us <= until").agg(F.sum("cache_read").alias("affected")), F.col("affected") > 0, "info", "Failing repeats send the context again")
+
+
+@rule("reliability.dropped-assignments", "assignments")
+def dropped_assignments(s: Signals) -> DataFrame:
+    """Messages to team members that nobody read in time (team, agent, dropped)."""
+    g = s.assignments.groupBy("team", "agent").agg(F.count_if("dropped").alias("lost"), F.count(F.lit(1)).alias("n")).filter("lost > 0")
+    t = g.agg(F.sum("lost").alias("affected"), F.max(F.col("lost") / F.col("n")).alias("worst"))
+    return recommend(with_evidence(t, g, "agent", "lost"), F.col("affected") > 0, F.when(F.col("worst") >= 0.5, "warning").otherwise("info"), "Assignments are dropped", evidence="evidence")
+
+
+@rule("reliability.self-update-health", "updates")
+def update_health(s: Signals) -> DataFrame:
+    t = s.updates.agg(F.count_if(F.lower("status").rlike("fail|error")).alias("affected"), F.slice(F.array_sort(F.collect_set(F.col("code").cast("string"))), 1, 5).alias("evidence"))
+    return recommend(t, F.col("affected") > 0, "info", "Updates failed", evidence="evidence")
+
+
+@rule("reliability.config-drift", "backups")
+def config_drift(s: Signals) -> DataFrame:
+    c = A.changes(s.backups).filter(F.try_to_timestamp("at") >= s.since(7))
+    return recommend(c.agg(F.count(F.lit(1)).alias("affected"), F.slice(F.array_sort(F.collect_set("key")), 1, 5).alias("evidence")), F.col("affected") > 0, "info", "The configuration changed", evidence="evidence")
+
+
+@rule("safety.policy-change", "backups")
+def policy_change(s: Signals) -> DataFrame:
+    """Transitions to a riskier mode that the latest snapshot still has."""
+    risk = lambda c: F.when(F.col(c) == "bypassPermissions", 3).when(F.col(c) == "acceptEdits", 2).when(F.col(c) == "default", 1).otherwise(0)
+    last = A.changes(s.backups.filter(F.lower("key").rlike("mode|sandbox|permission"))).groupBy("key").agg(F.max_by(F.struct("was", "value", "at"), "at").alias("c")).select("key", "c.*")
+    c = last.filter((risk("value") > risk("was")) & (F.try_to_timestamp("at") >= s.since(7 * STALE_WEEKS)))
+    return recommend(c.agg(F.count(F.lit(1)).alias("affected")), F.col("affected") > 0, "warning", "A policy became more permissive")
+
+
+@rule("reliability.mcp-needs-auth", "mcp_auth", "attribution")
+def mcp_needs_auth(s: Signals) -> DataFrame:
+    """Servers that need a login, and whether anything used them (name, needs_auth)."""
+    used = s.attribution.filter("kind = 'mcp_server'").groupBy("name").agg(F.sum("invocations").alias("calls"))
+    g = s.mcp_auth.filter("needs_auth").join(used, "name", "left")
+    t = g.agg(F.count(F.lit(1)).alias("affected"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.slice(F.array_sort(F.collect_set("name")), 1, 5).alias("evidence"))
+    return recommend(t, F.col("affected") > 0, F.when(F.col("calls") > 0, "critical").otherwise("info"), "Servers wait for a login", evidence="evidence")
+
+
+@rule("reliability.settings-invalid", "settings_findings")
+def settings_invalid(s: Signals) -> DataFrame:
+    t = s.settings_findings.filter("severity IN ('error', 'warning')").agg(F.count(F.lit(1)).alias("affected"), F.count_if(F.col("severity") == "error").alias("errors"))
+    return recommend(t, F.col("affected") > 0, F.when(F.col("errors") > 0, "warning").otherwise("info"), "Settings have faults")
+
+
+@rule("reliability.discovery-freshness", "tool_calls")
+def discovery_freshness(s: Signals) -> DataFrame:
+    """Edits of a file that was read before the tree moved and not since."""
+    moves = F.when(F.col("input.command").rlike(r"\bgit\s+(?:pull|merge|rebase|checkout|switch|reset)\b"), F.col("ord"))
+    moved = F.max(moves).over(Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    c = s.tool_calls.withColumn("moved", moved).withColumn("path", F.col("input.file_path")).filter("path IS NOT NULL")
+    read = F.max(F.when(F.col("tool_name") == "Read", F.col("ord"))).over(Window.partitionBy("session_id", "path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    c = c.withColumn("read", read).filter(F.col("tool_name").isin(*EDIT_TOOLS)).filter("read < moved")
+    return recommend(c.agg(F.count(F.lit(1)).alias("affected")), F.col("affected") >= 3, "info", "Files are edited from a stale reading")
+
+
+@rule("reliability.post-shipment-rework", "git_outcomes")
+def post_shipment(s: Signals) -> DataFrame:
+    """Merged changes that a later one reverts or patches in the same files (id, merged_at, kind, files); joined on the file."""
+    f = s.git_outcomes.select("id", "merged_at", "kind", F.explode("files").alias("file"))
+    later = f.filter("kind IN ('revert', 'fix')").select("file", F.col("merged_at").alias("then"), F.col("id").alias("by"))
+    hit = f.join(later, "file").filter((F.col("then") > F.col("merged_at")) & (F.col("id") != F.col("by")))
+    return recommend(hit.agg(F.count_distinct("id").alias("affected")), F.col("affected") >= 1, "warning", "Shipped changes were reworked")
+
+
+@rule("security.model-deceit", "deceit")
+def model_deceit(s: Signals) -> DataFrame:
+    """Claims that nothing backs or that the record contradicts (session_id, unbacked, contradicted)."""
+    t = s.deceit.agg(F.count_if(F.col("unbacked") + F.col("contradicted") > 0).alias("affected"), F.sum("contradicted").alias("c"))
+    return recommend(t, F.col("affected") > 0, F.when(F.col("c") > 0, "warning").otherwise("info"), "Claims of work are not borne out")
+
+
+@rule("maintenance.doc-hygiene", "doc_nodes", "doc_edges")
+def doc_hygiene(s: Signals) -> DataFrame:
+    links = s.doc_edges.filter("kind = 'md-link'")
+    broken = G.dangling(s.doc_nodes, links).agg(F.count(F.lit(1)).alias("broken"), F.slice(F.array_sort(F.collect_set("dst")), 1, 5).alias("evidence"))
+    alone = G.orphans(s.doc_nodes, links).agg(F.count(F.lit(1)).alias("alone"))
+    t = broken.crossJoin(F.broadcast(alone)).withColumn("affected", F.col("broken") + F.col("alone"))  # one row each
+    return recommend(t, F.col("affected") > 0, F.when(F.col("broken") > 0, "warning").otherwise("info"), "Documents have broken links or none to them", evidence="evidence")
+
+
+@rule("maintenance.memory-hygiene", "memory_files", "memory_links")
+def memory_hygiene(s: Signals) -> DataFrame:
+    """Index files too long, links to nothing, files that no index names (store, name, bytes, longest_line, is_index; store, to)."""
+    f = s.memory_files
+    big = f.filter("is_index AND (bytes > 24400 OR longest_line > 200)").agg(F.count(F.lit(1)).alias("a"))
+    named = s.memory_links.select("store", F.col("to").alias("name"))
+    lost = named.join(f.select("store", "name"), ["store", "name"], "left_anti").agg(F.count(F.lit(1)).alias("b"))
+    hidden = f.filter("NOT is_index").join(named, ["store", "name"], "left_anti").agg(F.count(F.lit(1)).alias("c"))
+    t = big.crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(hidden)).withColumn("affected", F.col("a") + F.col("b") + F.col("c"))  # one row each
+    return recommend(t, F.col("affected") > 0, "info", "The memory's index needs care")
+
+
+@rule("maintenance.skill-hook-integrity", "path_refs")
+def path_integrity(s: Signals) -> DataFrame:
+    t = s.path_refs.filter("state = 'missing'").agg(F.count(F.lit(1)).alias("affected"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("evidence"))
+    return recommend(t, F.col("affected") > 0, "warning", "Hooks or skills point at nothing", evidence="evidence")
+
+
+@rule("reliability.agent-report-card", "sessions", "api_errors", "tool_calls")
+def report_card(s: Signals) -> DataFrame:
+    """Projects whose sessions fail or are throttled much more than they work."""
+    e = s.api_errors.groupBy("session_id").agg(F.count_if(F.col("status").isin(*RATE_LIMITS)).alias("limited"), F.count(F.lit(1)).alias("errors"))
+    c = s.tool_calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("is_error").alias("bad"))
+    g = s.sessions.join(c, "session_id").join(e, "session_id", "left").groupBy("project").agg(F.sum("calls").alias("n"), F.sum("bad").alias("bad"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
+    verdict = F.when(F.col("bad") >= 0.4 * F.col("n"), "move").when((F.col("bad") >= 0.2 * F.col("n")) | (F.col("errors") >= 5), "flag").otherwise("keep")
+    g = g.filter("n >= 5").withColumn("verdict", verdict).filter("verdict <> 'keep'")
+    t = g.agg(F.count(F.lit(1)).alias("affected"), F.count_if(F.col("verdict") == "move").alias("moves"))
+    return recommend(with_evidence(t, g, "project", "bad"), F.col("affected") > 0, F.when(F.col("moves") > 0, "warning").otherwise("info"), "Projects where the agent fails often", evidence="evidence")

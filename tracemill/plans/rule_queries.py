@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import star
-from . import rules
+from . import artifact_rules, rules  # noqa: F401  the former registers its rules
 from .registry import Tables, query
 
 TOKENS = """t AS (SELECT l_orderkey::VARCHAR AS session_id, l_returnflag, CASE WHEN l_quantity < 49 THEN 3.0 END AS base, floor(l_quantity * 100)::BIGINT AS input, floor(l_quantity * 10)::BIGINT AS output,
