@@ -90,10 +90,11 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24) -> None:
-    """The documents themselves as Parquet, one folder a shard."""
-    placed = shard(docs, n_shards).select("doc_id", "text_crc32", "shard").distinct()
-    same = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")) == placed["text_crc32"]
-    docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]) & same).select(docs["*"], "shard").write.partitionBy("shard").parquet(path)
+    """The documents themselves as Parquet, one folder a shard; a column named shard is replaced."""
+    placed = shard(docs, n_shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard").distinct()
+    rows = docs.drop("shard").withColumn("_c", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    found = rows.join(placed, rows["doc_id"].eqNullSafe(placed["_id"]) & (F.col("_c") == F.col("_crc"))).drop("_c", "_id", "_crc")
+    found.write.partitionBy("shard").parquet(path)
 
 
 def sharded(docs: DataFrame) -> DataFrame:
