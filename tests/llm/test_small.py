@@ -165,7 +165,10 @@ def test_join_edges(spark, odd, none):
     assert len(got) == len(ODD)
     assert {r["component_id"] for r in got if r["n_shingles"] == 2} == {5}
     kept = ngram_join.deduplicated(odd).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "5", "6"] and ngram_join.deduplicated(none).count() == 0
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "5", "6"]
+    same_id = docs(spark, [(None, "some words here"), (None, "quite other words"), (7, "a third text"), (7, "a fourth text"), (7, "a fourth text")])
+    assert sorted(r["text"] for r in ngram_join.deduplicated(same_id).collect()) == ["a fourth text", "a third text", "quite other words", "some words here"]
+    assert ngram_join.deduplicated(none).count() == 0
 
 
 def test_decontamination(spark, odd, none):
@@ -274,7 +277,7 @@ def test_chat(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
-def test_sharding(spark, odd, none):
+def test_sharding(spark, odd, none, tmp_path):
     import zlib
 
     d = docs(spark, [(i, "copy" if i % 3 == 0 else "t" * (i % 50)) for i in range(900)])
@@ -289,6 +292,9 @@ def test_sharding(spark, odd, none):
     out = sharding.sharded(odd).collect()
     assert len(out) == len(ODD) and {(r["size"], r["text_crc32"]) for r in out if r["doc_id"] in (1, 2)} == {(8, 0)}
     assert sharding.sharded(none).count() == 0
+    sharding.write_shards(d, str(tmp_path / "shards"), 6)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {(r["doc_id"], r["shard"]) for r in back.select("doc_id", "shard").collect()} == {(r["doc_id"], r["shard"]) for r in got} and back.count() == 900
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):

@@ -216,23 +216,30 @@ def linked(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    """doc_id, text_hash, n_shingles, component_id (the smallest doc_id reachable by links) and group (its own number, null without words) of every row."""
     rows, roots = linked(docs)
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     shared = classes.join(roots, "key")
     least = shared.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = classes.join(roots, "key", "left").join(least, "root", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    by_key = classes.join(roots, "key", "left").join(least, "root", "left").select("key", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "key").alias("group"))
     return rows.join(by_key, "key", "left").select(
-        "doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+        "doc_id", "text_hash", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("group")).alias("group"),
+    )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of linked or equal ones, the one of the smallest id; those without words all stay."""
-    answer = join(docs)
-    least = answer.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"))
+    """docs with one document of each group of linked or equal ones, the one of the smallest id; those without words all stay.
+
+    Texts move once, to meet the rows that stay. Only where a row is there twice in full, which the narrow rows tell, they move again to lose the repeats.
+    """
+    answer = written(join(docs))
+    least = answer.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("k"))
     keep = least.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    repeats = answer.filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     rows = docs.withColumn("_hash", F.xxhash64("text"))
-    texts = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_hash"] == keep["_hash"]), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    texts = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_hash"] == keep["_hash"]), "left_semi")
+    if not repeats.isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "_hash"])
     wordless = rows.filter(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
     return texts.unionByName(wordless).select(*docs.columns)
