@@ -12,7 +12,7 @@ make 128 bits. A conversation is rendered in parts of at most `PART` turns, so t
 with it without bound.
 
 Edge cases: turns repeated in full are one turn; turns of equal number are ordered by role, then
-text; null turn numbers order first, a null role is `unknown`, a null text is empty; a null
+by their text's hash; null turn numbers order first, a null role is `unknown`, a null text is empty; a null
 conversation id is one conversation; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,22 +27,22 @@ PART = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def _turns(turns: DataFrame) -> DataFrame:
+    """Turns with defaults for nulls and 128 bits of their texts' hashes."""
+    text = F.coalesce("text", F.lit(""))
+    return turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), text.alias("text"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(7), text).alias("g2"))
+
+
 def positions(turns: DataFrame, part: int = PART) -> DataFrame:
-    """Distinct turns with block, pos (from 0 in the conversation), and prefix hashes h1, h2 up to and with the turn."""
-    rows = turns.select(
-        "conv_id",
-        "turn",
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).distinct()
-    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / part))
+    """Distinct turns with their texts' hashes, pos (from 0 in the conversation), and prefix hashes h1, h2 up to and with the turn. No texts."""
+    rows = _turns(turns).drop("text").distinct().withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / part))
     sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    order = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "g1", "g2")
     same = [rows["conv_id"].eqNullSafe(starts["conv_id"]), rows["block"] == starts["block"]]
     rows = rows.join(starts, same).select(rows["*"], "start").withColumn("pos", F.col("start") + F.row_number().over(order) - 1)
-    rows = rows.withColumn("t1", F.xxhash64("pos", "role", "text")).withColumn("t2", F.xxhash64(F.lit(7), "text", "role", "pos"))
+    rows = written(rows.withColumn("t1", F.xxhash64("pos", "role", "g1")).withColumn("t2", F.xxhash64(F.lit(7), "g2", "role", "pos")))
     sums = rows.groupBy("conv_id", "block").agg(F.bit_xor("t1").alias("b1"), F.bit_xor("t2").alias("b2"))
     before = sums.select(
         F.col("conv_id").alias("_conv"), F.col("block").alias("_block"),
@@ -51,7 +51,7 @@ def positions(turns: DataFrame, part: int = PART) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(before, [rows["conv_id"].eqNullSafe(before["_conv"]), rows["block"] == before["_block"]])
     return rows.select(
-        "conv_id", "block", "pos", "role", "text",
+        "conv_id", "turn", "role", "g1", "g2", "pos",
         F.bit_xor("t1").over(upto).bitwiseXOR(F.col("o1")).alias("h1"), F.bit_xor("t2").over(upto).bitwiseXOR(F.col("o2")).alias("h2"),
     )
 
@@ -73,12 +73,17 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def render(turns: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, n_turns, part, n_part_turns and the rendered chat of every maximal conversation."""
+    """conv_id, n_turns, part, n_part_turns and the rendered chat of every maximal conversation.
+
+    Positions are found without the texts, which only move to meet the turns that stay.
+    """
     prefixes = written(positions(turns, part))
     kept = maximal(prefixes).withColumnRenamed("conv_id", "_conv")
-    rows = prefixes.join(kept, prefixes["conv_id"].eqNullSafe(kept["_conv"]))
-    pieces = rows.select("conv_id", "n_turns", F.floor(F.col("pos") / part).alias("part"), "pos", _turn(F.col("role"), F.col("text")).alias("piece"))
-    grouped = pieces.groupBy("conv_id", "n_turns", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    stay = prefixes.join(kept, prefixes["conv_id"].eqNullSafe(kept["_conv"])).select("_conv", F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "pos", "n_turns")
+    texts = _turns(turns)
+    same = texts["conv_id"].eqNullSafe(stay["_conv"]) & texts["turn"].eqNullSafe(stay["_turn"]) & (F.col("role") == F.col("_role")) & (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))
+    pieces = texts.join(stay, same).select("conv_id", "n_turns", F.floor(F.col("pos") / part).alias("part"), "pos", _turn(F.col("role"), F.col("text")).alias("piece"))
+    grouped = pieces.groupBy("conv_id", "n_turns", "part").agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("p"))
     return grouped.select(
         "conv_id", F.col("n_turns").cast("bigint").alias("n_turns"), F.col("part").cast("bigint").alias("part"),
         F.size("p").cast("bigint").alias("n_part_turns"), F.array_join("p.piece", "").alias("chat"),
