@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-TABLE_SIZE = 65_536
-CACHE_SIZE = 400_000
+TABLE_SIZE = 32_768
+CACHE_SIZE = 150_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -84,7 +84,7 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text", size: int = TAB
         yield _trim(counts, size)
 
     texts = docs.select(text_col).filter(F.col(text_col).isNotNull())
-    merged = texts.rdd.mapPartitions(summary).treeAggregate(Counter(), _add(size), _add(size), depth=2)
+    merged = texts.rdd.mapPartitions(summary).treeAggregate(Counter(), _add(size), _add(size), depth=4)
     cutter = _cutter(path)
     return {t: cutter.length(t) for t in merged}
 
