@@ -96,6 +96,13 @@ def test_pii_bootstrap_finds_what_the_base_runs_together(spark):
     assert got[100]["spans"] == "" and got[100]["n_added"] == 0
 
 
+def test_pii_addresses_without_digits_or_at_signs(spark):
+    seeds = [(i, f"write to jane.doe{chr(97 + i)}@example.com today") for i in range(12)]
+    plain = "write to jane.doe [at] example [dot] com today"
+    got = rows(pii.detect(docs(spark, [*seeds, (90, plain), (91, plain.replace("doe", "doe7")), (92, plain.replace("[at]", "(at)")), (93, plain.replace("[at]", "{at}")), (94, "look at this")])))
+    assert [got[i]["spans"] for i in range(90, 95)] == ["email:9:40", "email:9:41", "email:9:40", "email:9:40", ""]
+
+
 def test_mixing(spark, odd, none):
     d = docs(spark, [(i, "w " * (i % 7 + 1)) for i in range(60)], {i: f"s{i % 3}" if i < 57 else None for i in range(60)})
     got = mixing.mix(d).collect()

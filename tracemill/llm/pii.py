@@ -16,7 +16,7 @@ overlaps them. They are held to the rules of their kind too.
 
 The regular expressions are written so that matching is linear in the text: a match can only
 begin at the start of a run, which a look-behind states, and repetitions are possessive.
-Only texts with a digit or an at sign are searched. The graph is made of hashes and counts.
+Only texts with a digit, an at sign or a bracketed `at` are searched. The graph is made of hashes and counts.
 
 Edge cases: a null text is empty; documents without findings have zeros, an empty string of
 spans and its hash; repeated rows and ids are each answered; an empty table gives no rows; other
@@ -46,6 +46,8 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}(?:[\x20.\-]?[0-9]{4}){3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.])(?:\+?[0-9]{1,3}[\x20.\-])?\(?[0-9]{3}\)?[\x20.\-][0-9]{3}[\x20.\-][0-9]{4}(?![0-9A-Za-z])",
 }
+#: What a text needs for any of the formats above to match.
+SEARCHED = r"[0-9@]|\[at\]|\(at\)|\{at\}"
 ROUNDS = 3
 ACCEPT, SUPPORT, RELIABLE = 0.8, 3, 0.5
 #: Characters on either side in which a neighbouring word is looked for.
@@ -127,7 +129,7 @@ def _contexts(text: Column, span: Column) -> Column:
 def found(docs: DataFrame) -> DataFrame:
     """A row a document with a finding: row, doc_id, base and loose spans with value and context hashes. No texts."""
     text = F.col("text")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(text.rlike("[0-9@]"), text).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(text.rlike(SEARCHED), text).alias("text"))
     rows = rows.withColumn("base", F.when(text.isNotNull(), base_spans(text)))
     rows = rows.withColumn("loose", F.when(text.isNotNull(), loose_spans(text, F.col("base"))))
 
