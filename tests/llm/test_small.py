@@ -103,6 +103,20 @@ def test_pii_addresses_without_digits_or_at_signs(spark):
     assert [got[i]["spans"] for i in range(90, 95)] == ["email:9:40", "email:9:41", "email:9:40", "email:9:40", ""]
 
 
+def test_pii_discovery_is_free_of_formats_and_goes_on(spark):
+    cards = [n for n in range(4111111111110000, 4111111111119999) if valid("card", str(n))]
+    long = [n for n in range(6011000000000000000, 6011000000000000099) if valid("card", str(n))]
+    seeds = [(i, f"call +1 (743) 555-3{i:03d} now or pay with {cards[i]} today") for i in range(200)]
+    local = [(300 + i, f"call 020 7946 0{i:03d} now") for i in range(40)]
+    texts = [(500, f"pay with {long[0]} {long[1]} today"), (501, "ring 020 7946 0999 later"), (502, "born 1999 2001 2003 later")]
+    assert base(texts[0][1]) == [] and base(local[0][1]) == []
+    got = rows(pii.detect(docs(spark, [*seeds, *local, *texts])))
+    assert got[500]["spans"] == "card:9:28,card:29:48"
+    assert got[300]["spans"] == "phone:5:18"  # no 3-3-4 group
+    assert got[501]["spans"] == "phone:5:18"  # by a shape that only found numbers have
+    assert got[502]["spans"] == ""
+
+
 def test_mixing(spark, odd, none):
     d = docs(spark, [(i, "w " * (i % 7 + 1)) for i in range(60)], {i: f"s{i % 3}" if i < 57 else None for i in range(60)})
     got = mixing.mix(d).collect()

@@ -5,18 +5,19 @@ to its rule (parts up to 255, Luhn, number of digits); failing matches are dropp
 
 Bootstrapping finds identifiers that the base misses: a phone number that the base's greedy match
 ran into the card number behind it, a number without a plus, an address with `[at]`. The base
-matches are the seeds, and looser formats give further instances, which begin without
-confidence. An instance fills up to three lexical patterns of its kind: the word before it, the
+matches are the seeds. Address runs and runs of digit groups that obey a kind's rule are further
+instances, which begin without confidence; their form is free, so contexts and shapes tell them. An instance fills up to three lexical patterns of its kind: the word before it, the
 word after it, and its own shape (digits and letters by class). Spark scores the bipartite graph
 of patterns and instances in `ROUNDS` rounds: a pattern's confidence is the mean confidence of
 its distinct instances, so one that seeds seldom fill counts for little; an instance's confidence
-is the chance that not all of its patterns err. At the end, instances of at least `ACCEPT`, by
-patterns of at least `RELIABLE` with `SUPPORT` distinct seeds, become spans where no base span
-overlaps them. They are held to the rules of their kind too.
+is the chance that not all of its patterns err. Instances of at least `ACCEPT`, by patterns of at
+least `RELIABLE` with the support of `SUPPORT` distinct instances, are accepted and count as support
+beside the seeds in the next round, so patterns that only they fill can become trusted. At the end
+the accepted become spans where no base span overlaps them and no better one of their own.
 
 The regular expressions are written so that matching is linear in the text: a match can only
 begin at the start of a run, which a look-behind states, and repetitions are possessive.
-Only texts with a digit, an at sign or a bracketed `at` are searched. The graph is made of hashes and counts.
+Only texts with a digit, an at sign, a bracketed `at` or a `dot` as a word are searched. The graph is made of hashes and counts.
 
 Edge cases: a null text is empty; documents without findings have zeros, an empty string of
 spans and its hash; repeated rows and ids are each answered; an empty table gives no rows; other
@@ -25,7 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -39,15 +40,14 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20\-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9\-]+[0-9]",
 }
-#: Looser formats, whose matches need a context to count.
-LOOSE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?(?:@|\[at\]|\(at\)|\{{at\}})\x20?[A-Za-z0-9\-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9\-]++)*+",
-    "ip": r"(?<![0-9A-Za-z.:])[0-9]{1,3}+(?:[-_.][0-9]{1,3}+){3}+(?![0-9A-Za-z.])",
-    "card": r"(?<![0-9A-Za-z.])[0-9]{4}(?:[\x20.\-]?[0-9]{4}){3}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+.])(?:\+?[0-9]{1,3}[\x20.\-])?\(?[0-9]{3}\)?[\x20.\-][0-9]{3}[\x20.\-][0-9]{4}(?![0-9A-Za-z])",
-}
+#: An address run: at and dot as signs, in brackets or, together, as words. Its matches need a context to count.
+_NAME = r"[A-Za-z0-9\-]++"
+_AT, _DOT = r"(?:@|[\[({<]\x20?(?i:at|@)\x20?[\])}>])", r"(?:\.|[\[({<]\x20?(?i:dot|\.)\x20?[\])}>])"
+ADDRESS = rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:\x20{{0,2}}{_AT}\x20{{0,2}}{_NAME}(?:\x20?{_DOT}\x20?{_NAME}|\x20(?i:dot)\x20{_NAME})*+|\x20(?i:at)\x20{_NAME}(?:\x20(?i:dot)\x20{_NAME})++)"
+#: The first digit of a group, with up to 15 groups from there on, of at most 19 digits each and 1 to 3 signs apart.
+GROUPS = r"(?<![0-9])(?=([0-9]{1,19}+(?![0-9])(?:[^\p{L}0-9\n]{1,3}+[0-9]{1,19}+(?![0-9])){0,14}+))[0-9]"
 #: What a text needs for any of the formats above to match.
-SEARCHED = r"[0-9@]|\[at\]|\(at\)|\{at\}"
+SEARCHED = rf"[0-9@]|{_AT}|\x20(?i:dot)\x20"
 ROUNDS = 3
 ACCEPT, SUPPORT, RELIABLE = 0.8, 3, 0.5
 #: Characters on either side in which a neighbouring word is looked for.
@@ -80,7 +80,7 @@ def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
         part = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return F.forall(F.split(value, r"[-_.]"), lambda p: (F.length(part(p)) <= 3) & (F.substring(part(p), 1, 3).cast("int") <= 255))
+        return F.forall(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), lambda p: (F.length(part(p)) <= 3) & (F.substring(part(p), 1, 3).cast("int") <= 255))
     if kind == "card":
         return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
@@ -103,13 +103,48 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[_of_kind(kind, _valid_only(kind, _located(text, BASE[kind]))) for kind in KINDS])
 
 
+def _digit_runs(text: Column) -> Column:
+    """(start, end, value, groups) of every run of whole digit groups that a card, an address or a phone number can be.
+
+    A run begins at any group and ends at any of the next 14, so numbers that stand side by side come apart.
+    A plus before it belongs to it, and so does a bracket that closes within it.
+    """
+    ahead = F.regexp_extract_all(text, F.lit(GROUPS), F.lit(1))
+    pairs = F.arrays_zip(F.slice(F.split(text, GROUPS, -1), F.lit(1), F.size(ahead)).alias("gap"), ahead.alias("value"))
+    none = F.array().cast("array<struct<start:int,value:string,lead:string>>")
+
+    def head(acc: Column, x: Column) -> Column:
+        start = (acc["at"] + F.length(x["gap"])).cast("int")
+        lead = F.regexp_extract(F.right(x["gap"], F.lit(2)), r"\+?\(?$", 0)
+        return F.struct((start + 1).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value"), lead.alias("lead")))).alias("out"))
+
+    heads = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), head, lambda acc: acc["out"])
+
+    def run(h: Column, g: Column, i: Column) -> Column:
+        core = F.substring(h["value"], F.lit(1), g["end"])
+        lead = F.when(F.contains(core, F.lit(")")), h["lead"]).otherwise(F.regexp_extract(h["lead"], r"\+$", 0))
+        return F.struct(
+            (h["start"] - F.length(lead)).cast("int").alias("start"), (h["start"] + g["end"]).cast("int").alias("end"), F.concat(lead, core).alias("value"), (i + 1).alias("groups"), F.length(lead).alias("lead"),
+        )
+
+    runs = F.flatten(F.transform(heads, lambda h: F.transform(_located(h["value"], "[0-9]++"), lambda g, i: run(h, g, i))))
+    return F.filter(runs, lambda r: F.length(F.regexp_replace(r["value"], "[^0-9]", "")).between(4, 19))
+
+
 def loose_spans(text: Column, base: Column) -> Column:
-    """Matches of the looser formats that no base span overlaps, in the same shape."""
+    """Address and digit runs that obey a kind's rule and that no base span overlaps, in the same shape."""
 
     def free(spans: Column) -> Column:
         return F.filter(spans, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
-    return F.concat(*[_of_kind(kind, free(_valid_only(kind, _located(text, LOOSE[kind])))) for kind in KINDS])
+    def of_kinds(runs: Column) -> Column:
+        bare = F.transform(
+            runs, lambda r: F.struct((r["start"] + r["lead"]).alias("start"), r["end"].alias("end"), F.substring(r["value"], r["lead"] + 1, F.length(r["value"])).alias("value"), r["groups"].alias("groups"))
+        )
+        of = {"ip": F.filter(bare, lambda r: r["groups"] == 4), "card": bare, "phone": runs}
+        return F.concat(*[_of_kind(k, _valid_only(k, of[k])) for k in of])
+
+    return F.concat(_of_kind("email", free(_located(text, ADDRESS))), F.transform(F.array(free(_digit_runs(text))), of_kinds)[0])
 
 
 def _contexts(text: Column, span: Column) -> Column:
@@ -142,37 +177,62 @@ def found(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", *[F.transform(c, slim).alias(c) for c in ("base", "loose")])
 
 
-def scored_patterns(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, confidence and seeds (its distinct seed instances) after the rounds of mutual scoring."""
+def scored_patterns(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
+    """pattern, confidence and support (its distinct seeds and accepted instances) after the rounds of mutual scoring."""
     edges = [
         rows.select(F.explode(c).alias("s")).select("s.instance", F.explode("s.patterns").alias("pattern"), F.lit(seed).alias("seed"))
         for c, seed in (("base", 1.0), ("loose", 0.0))
     ]
     graph = written(edges[0].unionByName(edges[1]).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    patterns = graph.groupBy("pattern").agg(F.avg("seed").alias("confidence"), F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
+    patterns = graph.groupBy("pattern").agg(F.avg("seed").alias("confidence"), F.sum("seed").alias("seeds"), F.sum("seed").alias("support"), F.count(F.lit(1)).alias("n"))
     for _ in range(rounds - 1):
         patterns = written(patterns)
         weighted = graph.join(patterns, "pattern").filter("seed = 0")
-        instances = weighted.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - _weight())))).alias("belief"))
-        rated = graph.filter("seed = 0").join(instances, "instance").groupBy("pattern").agg(F.sum("belief").alias("gained"))
+        beliefs = weighted.groupBy("instance").agg(_belief(_weight()).alias("belief"))
+        accepted = _accepted(rows, patterns.select("pattern", _weight().alias("confidence"), "support"), accept, support)
+        instances = beliefs.join(accepted.select("instance", F.lit(1.0).alias("one")).distinct(), "instance", "left")
+        rated = graph.filter("seed = 0").join(instances, "instance").groupBy("pattern").agg(F.sum("belief").alias("gained"), F.sum("one").alias("found"))
+        gained, found = (F.coalesce(c, F.lit(0.0)) for c in ("gained", "found"))
         patterns = patterns.join(rated, "pattern", "left").select(
-            "pattern", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("n")).alias("confidence"), "seeds", "n"
+            "pattern", ((F.col("seeds") + gained) / F.col("n")).alias("confidence"), "seeds", (F.col("seeds") + found).alias("support"), "n"
         )
-    return patterns.select("pattern", _weight().alias("confidence"), "seeds")
+    return patterns.select("pattern", _weight().alias("confidence"), "support")
 
 
 def _weight() -> Column:
-    """A pattern's confidence, shrunk where few seeds support it."""
-    return F.least(F.col("confidence") * F.col("seeds") / (F.col("seeds") + 1), F.lit(0.999))
+    """A pattern's confidence, shrunk where few seeds and accepted instances support it."""
+    return F.least(F.col("confidence") * F.col("support") / (F.col("support") + 1), F.lit(0.999))
+
+
+def _belief(weight: Column) -> Column:
+    """The chance that not all patterns of a group err; rounded, as sums of doubles depend on their order."""
+    return F.round(1 - F.exp(F.sum(F.log(1 - weight))), 9)
+
+
+def _accepted(rows: DataFrame, patterns: DataFrame, accept: float, support: int) -> DataFrame:
+    """row, kind, start, end, instance of the loose spans that trusted patterns accept; of those that overlap, the most certain, then the longest, goes first."""
+    span = ("kind", "start", "end", "instance")
+    loose = rows.select("row", F.explode("loose").alias("s")).select("row", *[f"s.{c}" for c in span], F.explode("s.patterns").alias("pattern"))
+    trusted = patterns.filter(F.col("support") >= support).filter(F.col("confidence") >= RELIABLE)
+    belief = loose.join(trusted, "pattern").groupBy("row", *span).agg(_belief(F.col("confidence")).alias("belief"))
+    w = Window.partitionBy("row").orderBy("start", "end", "kind")
+    good = belief.filter(F.col("belief") >= accept).withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    good = good.withColumn("cluster", F.count_if(F.col("start") >= F.coalesce("reach", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = F.struct((-F.col("belief")).alias("doubt"), (F.col("start") - F.col("end")).alias("short"), "start", "end", "kind", "instance")
+    clusters = good.groupBy("row", "cluster").agg(F.array_sort(F.collect_list(ranked)).alias("s"))
+
+    def keep(kept: Column, m: Column) -> Column:
+        one = F.array(F.struct(*[m[c].alias(c) for c in span]))
+        return F.when(F.exists(kept, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"])), kept).otherwise(F.concat(kept, one))
+
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,instance:bigint>>")
+    return clusters.select("row", F.explode(F.aggregate("s", none, keep)).alias("s")).select("row", "s.*")
 
 
 def extended(rows: DataFrame, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
     """row and the added spans of the documents that have some."""
-    loose = rows.select("row", F.explode("loose").alias("s")).select("row", "s.kind", "s.start", "s.end", F.explode("s.patterns").alias("pattern"))
-    patterns = scored_patterns(rows).filter(F.col("seeds") >= support).filter(F.col("confidence") >= RELIABLE)
-    belief = loose.join(patterns, "pattern").groupBy("row", "kind", "start", "end").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief"))
-    good = belief.filter(F.col("belief") >= accept).select("row", F.struct("kind", "start", "end").alias("s"))
-    return good.groupBy("row").agg(F.collect_list("s").alias("added"))
+    good = _accepted(rows, scored_patterns(rows, accept=accept, support=support), accept, support)
+    return good.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
 
 
 def _is(k: int):
