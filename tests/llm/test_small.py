@@ -240,6 +240,27 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_reads_archives_of_others():
+    import base64
+
+    def other(i, body, version="1.0", digest=None):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        digest = digest or base64.b32encode(hashlib.sha1(body).digest()).decode()
+        head = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    body = [b"<p>%d" % i * 40 for i in range(4)]
+    ok = [other(i, b, "1.0" if i % 2 else "1.1") for i, b in enumerate(body)]
+    for whole in (b"".join(ok), b"".join(map(warc.member, ok)), warc.member(b"".join(ok))):
+        out = list(warc.salvage(whole))
+        assert [r.get("payload") for r in out] == body
+        assert [r["payload_digest"] for r in out] == [hashlib.sha1(b).hexdigest() for b in body]
+    bad = other(9, b"hurt", digest="A" * 32)
+    out = list(warc.salvage(warc.member(ok[0] + bad + ok[1]) + warc.member(ok[2])))
+    assert [r["payload"] for r in out if "payload" in r] == body[:3]
+    assert [(r["gap_bytes"], r["gap_reason"]) for r in out if r.get("gap_bytes")] == [(len(bad), "in a member: payload digest differs")]
+
+
 def repeated(words, n=8):
     seen, hit = {}, set()
     for i in range(len(words) - n + 1):

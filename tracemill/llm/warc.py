@@ -9,6 +9,8 @@ Reading: a member or record is checked (inflation and its CRC, version line, hea
 content length, end mark, payload digest). After a failed check the reader searches for the next
 valid member (gzip magic that inflates to a version line) or, in plain archives, the next version
 line, goes on from there, and reports the bytes in between as a gap: file, start, length, reason.
+Archives of others are read too: any WARC/x.y, digests in hex or base32 (of the body behind an HTTP
+head), members of several records, where only the part that fails is a gap, in inflated bytes.
 
 Edge cases: a null html is an empty payload; a null url is written as empty; a null page id is
 smaller than any other; repeated rows with the winning page id are each a response; an empty
@@ -17,7 +19,9 @@ table makes no archives and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +35,9 @@ from .common import scratch_dir
 MIN_REVISIT = 1000
 LEVEL = 1
 VERSION = b"WARC/1.1\r\n"
+#: The version line of any archive, and how far it can reach.
+ANY_VERSION = re.compile(rb"WARC/[0-9]{1,3}\.[0-9]{1,3}\r\n")
+VERSION_BYTES = 14
 MAGIC = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
@@ -82,19 +89,61 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def entity(block: bytes) -> bytes:
+    """The body behind an HTTP head, as it was sent; a block without one is all body."""
+    if not block.startswith(b"HTTP/"):
+        return block
+    stop = re.search(rb"\r?\n\r?\n", block)
+    return block[stop.end() :] if stop else b""
+
+
+def _bytes_of(digest: str) -> tuple[str, bytes | None]:
+    """Algorithm and value of a digest in hex or base32; None where it is neither."""
+    name, colon, text = digest.strip().rpartition(":")
+    name = name.lower().replace("-", "") if colon else "sha1"
+    size = hashlib.new(name).digest_size if name in ("md5", "sha1", "sha256", "sha512") else 0
+    try:
+        if size and len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        value = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+        return name, value if len(value) == size else None
+    except ValueError:
+        return name, None
+
+
+def _agrees(digest: str, data: bytes) -> bool:
+    """Whether data has the digest; one that is absent or of an unknown kind cannot differ."""
+    name, colon, _ = digest.strip().rpartition(":")
+    if not digest or (colon and name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512")):
+        return True
+    name, value = _bytes_of(digest)
+    return value is not None and hashlib.new(name, data).digest() == value
+
+
+def _hex(digest: str) -> str:
+    """A digest without its algorithm, in lower-case hex where it can be read."""
+    value = _bytes_of(digest)[1]
+    return value.hex() if value is not None else digest.removeprefix("sha1:").lower()
+
+
 def parse(data: bytes, start: int) -> tuple[dict, int]:
     """The record at start and the place after it; ValueError says which check failed."""
-    if data[start : start + len(VERSION)] != VERSION:
+    version = ANY_VERSION.match(data, start)
+    if not version:
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", start)
     if stop < 0:
         raise ValueError("header block without an end")
     head = {}
-    for line in data[start + len(VERSION) : stop].split(b"\r\n"):
+    for line in data[version.end() : stop].split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and head:  # a folded header goes on
+            head[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
-        head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower()
+        head[name] = value.strip().decode("utf-8", "replace")
     length = head.get(b"content-length", "")
     if not length.isdigit():
         raise ValueError("no content length")
@@ -104,9 +153,15 @@ def parse(data: bytes, start: int) -> tuple[dict, int]:
         raise ValueError("no end mark after the content")
     payload = bytes(data[body:end])
     kind = head.get(b"warc-type")
-    digest = head.get(b"warc-payload-digest", "").removeprefix("sha1:").lower()
-    if kind == "response" and digest and hashlib.sha1(payload).hexdigest() != digest:
+    block = payload
+    if kind == "response" and head.get(b"content-type", "").lower().startswith("application/http"):
+        payload = entity(block)
+    digest = head.get(b"warc-payload-digest", "")
+    if kind == "response" and not _agrees(digest, payload):
         raise ValueError("payload digest differs")
+    if not _agrees(head.get(b"warc-block-digest", ""), block):
+        raise ValueError("block digest differs")
+    digest = _hex(digest)
     stated = head.get(b"x-payload-length", "")
     return {
         "record_type": kind,
@@ -140,15 +195,15 @@ def inflate(data: bytes, start: int, step: int = 1 << 16) -> tuple[bytes, int]:
 def _opens(data: bytes, at: int) -> bool:
     """Whether a gzip member at `at` begins with a version line."""
     try:
-        return zlib.decompressobj(31).decompress(data[at : at + 512], len(VERSION)) == VERSION
+        return ANY_VERSION.match(zlib.decompressobj(31).decompress(data[at : at + 512], VERSION_BYTES)) is not None
     except zlib.error:
         return False
 
 
 def _next(data: bytes, start: int) -> int:
     """The first place from start on where a member or record begins, or the end."""
-    plain = data.find(VERSION, start)
-    plain = len(data) if plain < 0 else plain
+    version = ANY_VERSION.search(data, start)
+    plain = version.start() if version else len(data)
     at = data.find(MAGIC, start, plain)
     while at >= 0:
         if _opens(data, at):
@@ -157,6 +212,27 @@ def _next(data: bytes, start: int) -> int:
     return plain
 
 
+def _records(content: bytes, offset: int) -> Iterator[dict]:
+    """Records of an inflated member, all with its offset, and gaps counted in inflated bytes."""
+    at, bad, reason = 0, None, ""
+    while at < len(content):
+        try:
+            found, end = parse(content, at)
+        except ValueError as e:
+            if bad is None:
+                bad, reason = at, str(e)
+            version = ANY_VERSION.search(content, at + 1)
+            at = version.start() if version else len(content)
+            continue
+        if bad is not None:
+            yield {"offset": offset, "gap_bytes": at - bad, "gap_reason": f"in a member: {reason}"}
+            bad = None
+        yield {"offset": offset, **found}
+        at = end
+    if bad is not None:
+        yield {"offset": offset, "gap_bytes": len(content) - bad, "gap_reason": f"in a member: {reason}"}
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order, and a row with gap_bytes and gap_reason for each stretch that had none."""
     at, bad, reason = 0, None, ""
@@ -164,11 +240,12 @@ def salvage(data: bytes) -> Iterator[dict]:
         try:
             if data[at : at + 3] == MAGIC:
                 content, end = inflate(data, at)
-                found, stop = parse(content, 0)
-                if stop != len(content):
-                    raise ValueError("member holds more than a record")
+                found = list(_records(content, at))
+                if content and all("gap_bytes" in r for r in found):
+                    raise ValueError(found[0]["gap_reason"].removeprefix("in a member: "))
             else:
-                found, end = parse(data, at)
+                one, end = parse(data, at)
+                found = [{"offset": at, **one}]
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
@@ -177,7 +254,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         if bad is not None:
             yield {"offset": bad, "gap_bytes": at - bad, "gap_reason": reason}
             bad = None
-        yield {"offset": at, **found}
+        yield from found
         at = end
     if bad is not None:
         yield {"offset": bad, "gap_bytes": len(data) - bad, "gap_reason": reason}
