@@ -3,7 +3,11 @@
 Language ID drops documents without a letter and those no language's regression comes near;
 the n-gram Jaccard join keeps one document of each group of near copies; decontamination drops
 documents that contain a benchmark item; mixing repeats or cuts sources to their targets; and
-sharding deals what is left over 24 shards of near equal bytes.
+sharding deals what is left over 24 shards of near equal bytes, with the documents themselves.
+
+Edge cases: null texts have no language and go in the first stage; null ids, repeated rows and
+extra columns pass through every stage, the last of which replaces columns that have its own
+columns' names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.sharded(docs)
+    return sharding.dealt(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
