@@ -8,12 +8,13 @@ so a turn that opens a third of all conversations is one row. Then the rest is r
 
 The rolling hash is the exclusive-or of the turns' hashes, each mixed with its position, so it
 can be computed in blocks of turns: offsets by block, then a window within the block. Two hashes
-make 128 bits. A conversation is rendered in parts of at most `PART` turns, so that no row grows
-with it without bound.
+make 128 bits. The rendering is a row a turn, whatever a conversation's length, so no row grows
+with it; `assembled` joins the turns of conversations that fit in a row.
 
 Edge cases: turns repeated in full are one turn; turns of equal number are ordered by role, then
-by their text's hash; null turn numbers order first, a null role is `unknown`, a null text is empty; a null
-conversation id is one conversation; an empty table gives no rows; other columns are ignored.
+by their text's hash; null turn numbers order first, a null role is `unknown`, a null text is empty;
+line breaks in a role are spaces, and marks in a role or text are broken; a null conversation id is
+one conversation; a long text is one turn; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Turn numbers that make a block of the rolling hash.
 PART = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -66,25 +68,32 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     return whole.join(inner, ["pos", "h1", "h2"], "left_anti").select("conv_id", (F.col("pos") + 1).alias("n_turns"))
 
 
+def _safe(value: Column) -> Column:
+    """A value with its marks broken, so that they can't be taken for turns."""
+    return F.replace(F.replace(value, F.lit(START), F.lit("<| im_start |>")), F.lit(END), F.lit("<| im_end |>"))
+
+
 def _turn(role: Column, text: Column) -> Column:
-    """A rendered turn; marks inside the text are broken so that they can't be taken for turns."""
-    safe = F.replace(F.replace(text, F.lit(START), F.lit("<| im_start |>")), F.lit(END), F.lit("<| im_end |>"))
-    return F.concat(F.lit(START), role, F.lit("\n"), safe, F.lit(END), F.lit("\n"))
+    """A rendered turn; neither a text nor a role, which is one line, can open another turn."""
+    return F.concat(F.lit(START), _safe(F.regexp_replace(role, r"[\r\n]+", " ")), F.lit("\n"), _safe(text), F.lit(END), F.lit("\n"))
 
 
 def render(turns: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, n_turns, part, n_part_turns and the rendered chat of every maximal conversation.
+    """A row a turn of every maximal conversation: conv_id, n_turns, pos (from 0) and the turn's chat.
 
-    Positions are found without the texts, which only move to meet the turns that stay.
+    The chat of a conversation is its turns' in order of pos (`assembled`). Positions are found
+    without the texts, which only move to meet the turns that stay.
     """
     prefixes = written(positions(turns, part))
     kept = maximal(prefixes).withColumnRenamed("conv_id", "_conv")
     stay = prefixes.join(kept, prefixes["conv_id"].eqNullSafe(kept["_conv"])).select("_conv", F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "pos", "n_turns")
     texts = _turns(turns)
     same = texts["conv_id"].eqNullSafe(stay["_conv"]) & texts["turn"].eqNullSafe(stay["_turn"]) & (F.col("role") == F.col("_role")) & (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2"))
-    pieces = texts.join(stay, same).select("conv_id", "n_turns", F.floor(F.col("pos") / part).alias("part"), "pos", _turn(F.col("role"), F.col("text")).alias("piece"))
-    grouped = pieces.groupBy("conv_id", "n_turns", "part").agg(F.array_sort(F.collect_set(F.struct("pos", "piece"))).alias("p"))
-    return grouped.select(
-        "conv_id", F.col("n_turns").cast("bigint").alias("n_turns"), F.col("part").cast("bigint").alias("part"),
-        F.size("p").cast("bigint").alias("n_part_turns"), F.array_join("p.piece", "").alias("chat"),
-    )
+    met = texts.join(stay, same).select("conv_id", F.col("n_turns").cast("bigint").alias("n_turns"), F.col("pos").cast("bigint").alias("pos"), _turn(F.col("role"), F.col("text")).alias("chat"))
+    return met.dropDuplicates(["conv_id", "pos"])
+
+
+def assembled(rendered: DataFrame) -> DataFrame:
+    """conv_id, n_turns and the whole chat, a row a conversation. Each must fit in a row, so turns of a null id stay apart in `render`'s rows."""
+    whole = rendered.filter(F.col("conv_id").isNotNull()).groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("pos", "chat"))).alias("p"))
+    return whole.select("conv_id", "n_turns", F.array_join("p.chat", "").alias("chat"))

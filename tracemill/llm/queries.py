@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat, decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, token_count, warc
 from .common import table
 
@@ -62,7 +60,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
-    "pipeline": corpus_pipeline.run,
 }
 
 OP3_SQL = r"""
@@ -150,10 +147,10 @@ WITH t AS (
 ), k AS (
     SELECT conv_id, pos + 1 AS n_turns FROM w WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.pos = w.pos AND i.h = w.h)
 )
-SELECT conv_id, n_turns::BIGINT AS n_turns, (pos // 1024)::BIGINT AS part, count(*)::BIGINT AS n_part_turns,
-       string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>')
-                  || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
-FROM p JOIN k USING (conv_id) GROUP BY ALL
+SELECT conv_id, n_turns::BIGINT AS n_turns, pos::BIGINT AS pos,
+       '<|im_start|>' || replace(replace(regexp_replace(role, '[\r\n]+', ' ', 'g'), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || chr(10)
+       || replace(replace(text, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || '<|im_end|>' || chr(10) AS chat
+FROM p JOIN k USING (conv_id)
 """
 
 OP4_SQL = f"""
