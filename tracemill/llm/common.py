@@ -22,15 +22,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (local tests), one is set on the session.
+    Where that setting is absent, a local master (tests) gets a temporary folder; on a cluster,
+    where executors would write to disks of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
 
 
+def sampled_ids(rows: DataFrame, group: str, per_group: int) -> list[tuple]:
+    """(group, doc_id) of at most per_group distinct ids a group, those of the lowest id hashes.
+
+    A hash threshold fitted to each group's number of ids leaves about twice as many candidates as
+    are wanted, so no task and not the driver sees more than that, whatever a group holds.
+    """
+    counts = rows.groupBy(group).agg(F.approx_count_distinct("doc_id").alias("_ids"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    few = rows.select(group, "doc_id").join(F.broadcast(counts), group).filter(place * F.col("_ids") < 2 * per_group + 50)  # a row a group
+    found = sorted((r[0], r["place"], r["doc_id"]) for r in few.groupBy(group, "doc_id").agg(F.first(place).alias("place")).collect())
+    out, now = [], {}
+    for g, _, i in found:
+        now[g] = now.get(g, 0) + 1
+        if now[g] <= per_group:
+            out.append((g, i))
+    return out
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the scratch area: its lineage ends there, and a lost executor costs no recomputation."""
     path = scratch_dir(df.sparkSession)

@@ -8,12 +8,13 @@ those features gives a value for each language. Scoring a batch is two matrix pr
 by landmarks, then kernel values by languages.
 
 Characters fall in `ALPHABET` classes: the landmarks' most frequent letters, one class for other
-letters, one for everything else (which parts words). The n-grams that count are the landmarks'.
+letters, one for everything else (which parts words). The n-grams that count are the landmarks',
+the `MAX_WIDTH` that most of them have.
 
-The training rows are a bounded sample: of each language at most `PER_LANGUAGE` texts, the ones
-of the lowest id hashes, of at most `LONGEST` characters while there are enough of those.
+The training rows are a bounded sample: of each language at most `PER_LANGUAGE` ids, the ones of
+the lowest id hashes, with at most `LONGEST` characters each; what is predicted are whole texts.
 
-Edge cases: a text that is null or has no letter gets `und` and score 0; with no training row
+Edge cases: of languages with equal values the first by code point wins; a text that is null or has no letter gets `und` and score 0; with no training row
 at all every text does. Null ids are not held out and never train. Repeated rows and ids are
 each answered; an empty table gives no rows; other columns are ignored.
 """
@@ -26,12 +27,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled_ids
+
 PER_LANGUAGE = 300
 LONGEST = 20_000
 LANDMARKS_PER_LANGUAGE = 48
+#: Landmarks of all languages together, and the n-grams they are described by (those that most landmarks have): the broadcast matrix has at most their product in bytes.
+MAX_LANDMARKS, MAX_WIDTH = 960, 32_768
 ALPHABET = 64
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -46,16 +51,21 @@ class Kernel:
     classes: np.ndarray  # of every code point
     columns: list[np.ndarray]  # of every n-gram of one, two, three classes; -1 for those no landmark has
     width: int
-    landmarks: np.ndarray | None = None  # landmarks x width
+    landmarks: np.ndarray | None = None  # landmarks x width, of bytes
+    piece: int = PIECE
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        """texts x width, 1 where the text has the n-gram; long texts go in overlapping pieces."""
+        """texts x width, 1 where the text has the n-gram.
+
+        Long texts go in pieces that overlap by two characters; only the text's own ends are padded, so pieces add no n-gram.
+        """
         out = np.zeros((len(texts), self.width), np.float32)
         flat = out.reshape(-1)
         for row, text in enumerate(texts):
-            for start in range(0, len(text), PIECE):
-                points = np.frombuffer(text[start : start + PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
-                c = np.concatenate(([0], self.classes[points], [0])).astype(np.int64)
+            for start in range(0, len(text), self.piece):
+                points = np.frombuffer(text[start : start + self.piece + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+                ends = start + self.piece + 2 >= len(text)
+                c = np.concatenate(([0] * (start == 0), self.classes[points], [0] * ends)).astype(np.int64)
                 code = c
                 for n, columns in enumerate(self.columns):
                     if n:
@@ -67,8 +77,9 @@ class Kernel:
     def values(self, texts: list[str]) -> np.ndarray:
         """texts x landmarks."""
         own = self.presence(texts)
-        product = own @ self.landmarks.T
-        return product / np.sqrt(np.maximum(own.sum(1), 1)[:, None] * np.maximum(self.landmarks.sum(1), 1)[None])
+        marks = self.landmarks.astype(np.float32)
+        product = own @ marks.T
+        return product / np.sqrt(np.maximum(own.sum(1), 1)[:, None] * np.maximum(marks.sum(1), 1)[None])
 
 
 @dataclass
@@ -96,20 +107,19 @@ def kernel_of(landmarks: list[str]) -> Kernel:
         classes[ord(c)] = k
         if len(c.upper()) == 1:
             classes[ord(c.upper())] = k
-    probe = Kernel(classes, [np.arange(ALPHABET), np.arange(ALPHABET**2), np.arange(ALPHABET**3)], ALPHABET**3)
-    columns, width = [], 0
-    for n in (1, 2, 3):
-        only = Kernel(classes, [np.full(ALPHABET**m, -1) if m != n else probe.columns[n - 1] for m in (1, 2, 3)], ALPHABET**n)
-        seen = np.zeros(ALPHABET**n, bool)
-        for t in landmarks:
-            seen |= only.presence([t])[0] > 0
-        seen[0] = False  # white space and signs alone say nothing
-        at = np.full(ALPHABET**n, -1, np.int32)
-        at[seen] = np.arange(width, width + seen.sum())
-        width += int(seen.sum())
-        columns.append(at)
-    kernel = Kernel(classes, columns, width)
-    kernel.landmarks = np.concatenate([kernel.presence([t]) for t in landmarks])
+    offsets, probe_width = (0, ALPHABET, ALPHABET + ALPHABET**2), ALPHABET + ALPHABET**2 + ALPHABET**3
+    probe = Kernel(classes, [np.arange(base, base + ALPHABET**n) for base, n in zip(offsets, (1, 2, 3))], probe_width)
+    held = np.zeros(probe_width, np.int32)  # landmarks that have the n-gram
+    for t in landmarks:
+        held += probe.presence([t])[0] > 0
+    for base in offsets:
+        held[base] = 0  # white space and signs alone say nothing
+    order = np.lexsort((np.arange(probe_width), -held))
+    chosen = np.sort(order[: min(MAX_WIDTH, int((held > 0).sum()))])
+    number = np.full(probe_width, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    kernel = Kernel(classes, [number[base : base + ALPHABET**n] for base, n in zip(offsets, (1, 2, 3))], len(chosen))
+    kernel.landmarks = np.concatenate([kernel.presence([t]).astype(np.uint8) for t in landmarks])
     return kernel
 
 
@@ -117,7 +127,8 @@ def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER
     """A model from (language, text) rows; they are few, so it runs on the driver."""
     languages = sorted({lang for lang, _ in rows})
     by = {lang: [t for x, t in rows if x == lang] for lang in languages}
-    landmarks = [t for lang in languages for t in by[lang][:landmarks_per_language]]
+    each = min(landmarks_per_language, MAX_LANDMARKS // max(1, len(languages)))
+    landmarks = [t for lang in languages for t in by[lang][: max(1, each)]]
     if not landmarks:
         return Model(None, None, [])
     kernel = kernel_of(landmarks)
@@ -138,15 +149,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> list[tuple[str, str]]:
-    """The sample to learn from: at most per_language rows of each language, by id hash."""
+    """The sample to learn from: at most per_language ids of each language, by id hash, and of each text at most its first `longest` characters."""
     usable = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = [F.length("text") > longest, F.xxhash64("doc_id"), F.xxhash64("text")]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*[F.col(c) for c in ("_long", "_h", "_t")]))
-    keys = usable.select("lang", "doc_id", *[c.alias(n) for c, n in zip(order, ("_long", "_h", "_t"))])
-    few = keys.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("lang", "doc_id", "_t", "_rank")
-    chosen = usable.withColumn("_t", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "_t"])  # at most per_language rows a language
-    rows = chosen.groupBy("lang", "_rank").agg(F.min("text").alias("text")).collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["_rank"]))]
+    few = sampled_ids(usable, "lang", per_language)
+    if not few:
+        return []
+    wanted = docs.sparkSession.createDataFrame(few, usable.select("lang", "doc_id").schema)
+    chosen = usable.select("lang", "doc_id", "text").join(F.broadcast(wanted), ["lang", "doc_id"])  # at most per_language rows a language
+    texts = chosen.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, longest)).alias("text")).collect()
+    known = {(r["lang"], r["doc_id"]): r["text"] for r in texts}
+    return [(lang, known[lang, i]) for lang, i in few]
 
 
 def predictor(spark, model: Model):

@@ -10,8 +10,10 @@ The training rows are a bounded sample: of each label at most `PER_LABEL` ids, b
 
 Edge cases: a null text has no words and fails the base rule; texts without n-grams score by the
 intercept; labels that are null, or of ids that aren't among the documents, are not used; with
-labels of one kind only, the verdict is that kind's for every text. Null and repeated ids are
-each answered; an empty table gives no rows; other columns are ignored.
+labels of one kind only, the verdict is that kind's for every text. An id with several labels
+counts by the best of them, one with several texts learns from the first by code point. Texts of
+any length are scored whole, in pieces. Null and repeated ids are each answered; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled_ids
+
 PER_LABEL = 1000
 HALF = 1 << 12  # hashed features of words, and as many of bytes
 THRESHOLD = 0.1
@@ -166,17 +170,20 @@ def fit(x: np.ndarray, y: np.ndarray, scale: float = 300.0) -> Model:
 def training_set(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the sample: at most per_label ids a label, the lowest by id hash."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = known.withColumn("_rank", rank).filter(F.col("_rank") <= per_label).drop("_rank")
+    ids = sampled_ids(known, "quality", per_label)
+    if not ids:
+        return np.zeros((0, 2 * HALF), np.float32), np.zeros(0)
+    few = docs.sparkSession.createDataFrame([(i, q) for q, i in ids], known.schema)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = [features(*statistics(t)[1:]).tobytes() for t in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "quality": rows["quality"], "x": out})
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most two labels' samples
-    rows = chosen.mapInPandas(vectors, "doc_id long, quality int, x binary").collect()
-    seen = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))}
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most per_label ids of each label
+    one = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of a repeated id, one text
+    rows = one.mapInPandas(vectors, "doc_id long, quality int, x binary").collect()
+    seen = {r["doc_id"]: r for r in rows}
     order = sorted(seen, key=lambda i: (i * 2654435761 % 2**32, i))
     x = np.frombuffer(b"".join(bytes(seen[i]["x"]) for i in order), np.float32).reshape(len(order), 2 * HALF)
     return x, np.array([seen[i]["quality"] for i in order], np.float64)
