@@ -4,23 +4,30 @@ A document's tokens are its distinct five-word shingles; two documents link when
 similarity of their token sets is at least 0.8. The result is exact, and no group of near copies
 is ever expanded into all its pairs.
 
-1. Equal sets form one class, by a fingerprint of the set.
+1. Equal sets form one class, by two 64-bit fingerprints of the set: the second tells where the
+   first is shared by different sets, which then get keys of their own.
 2. A class in which more than a fifth of the tokens occur in no other class has no partner. That
    is decided on all tokens of short sets and on a fixed region of token hashes for long ones
    (only the region is counted, and only unshared tokens within it count against a class).
 3. Of the classes that are left, tokens are counted and ordered, rare before frequent. A set of n
    tokens may lack n - ceil(0.8 n) of its partner's, so its prefix is one token longer than that.
-   Rare tokens of the prefix are indexed singly. Frequent ones (in more than `FREQUENT` sets) fall
-   in M token classes, of which pairs are indexed instead; the prefix is extended by M tokens, one
-   a class, which keeps the pigeonhole argument: whatever tokens are missing, two linked sets
-   share a rare prefix token or two frequent ones of a class. M grows with the size band.
+   Rare tokens of the prefix are indexed singly. Frequent ones (in more than `FREQUENT` sets) are
+   indexed by k at a time. Small sets (4 to 15 tokens) take k = 3 and a prefix two tokens longer:
+   linked sets of that size share at least four tokens, so three at least in that prefix. Larger
+   sets take k = 2, and their frequent tokens fall in M token classes, of which only pairs of one
+   class are indexed; the prefix is extended by M tokens, one a class, which keeps the pigeonhole
+   argument: whatever tokens are missing, two linked sets share a rare prefix token or two frequent
+   ones of a class. M grows with the size band. Sets below 4 tokens link with their equals only.
 4. Candidates come in rounds. First every index entry's members are compared with one leader (the
    member with fewest tokens of its own, later a random one), at most `LEADERS` a set; links are
    contracted to components. At last all pairs of an entry that still lie in different components
    and whose sizes, own tokens and parity sketches allow a link are verified. Pairs within a
    component can't change the result.
 
-Edge cases: a null text or one without words has no token and links with nothing; fewer than five
+Tokens are 64-bit hashes of shingles; apart from their collisions (some 1e-9 for two documents of
+ten thousand words) the result is exact.
+
+Edge cases: a long text is one set of narrow rows and moves as one row; a null text or one without words has no token and links with nothing; fewer than five
 words are one token; repeated rows and ids are each answered, equal texts share a component; a
 null id never is the smallest one unless all are null; an empty table gives no rows; other
 columns are ignored.
@@ -28,7 +35,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +43,13 @@ from .graph import components
 
 #: Sets below this size are counted by all tokens, others by the region (of 1024 parts).
 WHOLE, REGION = 128, 307
-#: 64-bit words of the bitmap that lets texts of classes with a chance of a partner through, and of a set's parity sketch.
-FILTER_WORDS, SKETCH_WORDS = 1 << 16, 8
+#: Up to so many classes, a bitmap of 16 bits a class (a broadcast table of at most a million rows) lets their texts through before texts move.
+FILTER_CLASSES = 1 << 22
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 8
 FREQUENT = 32
+#: Frequent tokens of sets below 16 tokens are indexed by so many at a time; sets below SMALLEST link with their equals only.
+SMALL_K, SMALLEST = 3, 4
 LEADERS = 3
 ROUNDS = 2
 
@@ -62,11 +72,21 @@ def _can_link(n1: Column, own1: Column, n2: Column, own2: Column, more: Column |
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, n, key (fingerprint of the set) and the tokens to be counted, of every row."""
+    """doc_id, text hash, n, key and check (fingerprints of the set) and the tokens to be counted, of every row."""
     sets = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shingles(F.col("text")).alias("s"))
     n = F.size("s")
     listed = F.when(F.floor(n * 4 / 5) < WHOLE, F.col("s")).otherwise(F.filter("s", _in_region))
-    return sets.select("doc_id", "text_hash", n.alias("n"), fingerprint(F.col("s")).alias("key"), listed.alias("listed"))
+    return sets.select("doc_id", "text_hash", n.alias("n"), fingerprint(F.col("s")).alias("key"), fingerprint(F.transform("s", lambda t: F.xxhash64(t, F.lit(1)))).alias("check"), listed.alias("listed"))
+
+
+def keyed_apart(rows: DataFrame) -> DataFrame:
+    """rows with keys that differ wherever the sets do, by both fingerprints and the size."""
+    mark = F.xxhash64("check", "n")
+    shared = rows.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("key", F.lit(True).alias("clash"))
+    if shared.isEmpty():
+        return rows.drop("check")
+    own = rows.join(shared, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64("key", "check", "n")).otherwise(F.col("key")))
+    return written(own.drop("clash", "check"))
 
 
 def survivors(rows: DataFrame) -> DataFrame:
@@ -79,30 +99,27 @@ def survivors(rows: DataFrame) -> DataFrame:
     return classes.join(own, "key", "left").filter(unshared <= F.col("n") - _need(F.col("n"))).select("key", "n", "text_hash")
 
 
-def _passes(hashes: DataFrame, column: str, words: int = FILTER_WORDS):
-    """A test of a hash column against a one-hash Bloom filter of the hashes: never false for one of them.
-
-    The filter has a fixed number of bits, so what the driver gets is bounded whatever the table's size.
-    """
-    slot = lambda c: F.pmod(c, F.lit(words * 64))
-    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
-    rows = hashes.groupBy(F.floor(slot(F.col(column)) / 64).alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
-    bits = [0] * words
-    for r in rows:
-        bits[r["w"]] = r["bits"]
-    table = F.lit(np.array(bits, np.int64))
-    return lambda c: F.getbit(F.get(table, F.floor(slot(c) / 64).cast("int")), F.pmod(c, F.lit(64)).cast("int")) == 1
+def _likely(texts: DataFrame, kept: DataFrame, limit: int = FILTER_CLASSES) -> DataFrame:
+    """texts without most of those whose text_hash isn't in kept, by a one-hash Bloom filter; all of texts where kept is too large for one."""
+    n = kept.count()
+    if n > limit:
+        return texts
+    words = max(1024, n // 4)
+    slot = F.pmod("text_hash", F.lit(words * 64))
+    bit = F.expr("shiftleft(1L, cast(pmod(text_hash, 64) as int))")
+    bits = kept.groupBy(F.floor(slot / 64).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    met = texts.withColumn("w", F.floor(slot / 64)).join(F.broadcast(bits), "w")
+    return met.filter(F.getbit("bits", F.pmod("text_hash", F.lit(64)).cast("int")) == 1).drop("w", "bits")
 
 
 def sets_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """key, n, s: the token sets of the classes in kept, from one text each."""
-    likely = _passes(kept, "text_hash")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").filter(likely(F.col("text_hash")))
+    texts = _likely(docs.select(F.xxhash64("text").alias("text_hash"), "text"), kept)
     single = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
     return single.join(kept, "text_hash").select("key", "n", shingles(F.col("text")).alias("s"))
 
 
-def _combinations(frequent: Column, scheme: Column, m: Column) -> Column:
+def _pairs(frequent: Column, scheme: Column, m: Column) -> Column:
     """Hashes of the pairs of frequent tokens of one token class."""
     return F.flatten(
         F.transform(
@@ -114,6 +131,17 @@ def _combinations(frequent: Column, scheme: Column, m: Column) -> Column:
     )
 
 
+def _triples(frequent: Column) -> Column:
+    """Hashes of all triples of a small set's frequent tokens."""
+    rest = lambda i: F.slice(frequent, i + 2, F.size(frequent))
+    return F.flatten(
+        F.transform(
+            frequent,
+            lambda a, i: F.flatten(F.transform(rest(i), lambda b, j: F.transform(F.slice(frequent, i + j + 3, F.size(frequent)), lambda c: F.xxhash64(F.lit(1), a, b, c)))),
+        )
+    )
+
+
 def shared_tokens(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """For each set that can have a partner: own (tokens no other set has), m (prefix tokens after those), bands, l and sketch.
 
@@ -129,7 +157,7 @@ def shared_tokens(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     )
     rows = ordered.withColumn("own", F.col("n") - F.size("l")).withColumn("m", F.col("n") - _need(F.col("n")) + 1 - F.col("own")).filter("m > 0")
     rows = rows.withColumn("band", F.floor(F.log2(F.col("n").cast("double")) / 2).cast("int"))
-    return rows.withColumn("l", F.slice("l", F.lit(1), F.col("m") + _classes(F.col("band")))).withColumn("crowded", F.exists(F.slice("l", F.lit(1), F.col("m")), lambda t: t["f"] > frequent))
+    return rows.withColumn("l", F.slice("l", F.lit(1), F.col("m") + F.greatest(F.lit(SMALL_K - 1), _classes(F.col("band"))))).withColumn("crowded", F.exists(F.slice("l", F.lit(1), F.col("m")), lambda t: t["f"] > frequent))
 
 
 def _classes(band: Column) -> Column:
@@ -139,17 +167,19 @@ def _classes(band: Column) -> Column:
 
 def index(rows: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """sig, key, n, own: the index entries of `shared_tokens`."""
+    rows = rows.filter(F.col("n") >= SMALLEST)
     below = F.floor(F.col("n") * 4 / 5) < F.pow(F.lit(4.0), F.col("band"))
-    schemes = F.when(below & (F.col("band") > 0), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))
+    schemes = F.when(below & (F.col("band") > 1), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))
     rows = rows.withColumn("schemes", schemes).withColumn("prefix", F.slice("l", F.lit(1), F.col("m")))
     rare = F.transform(F.filter("prefix", lambda t: t["f"] <= frequent), lambda t: F.xxhash64(t["token"]))
-    singly = F.transform("prefix", lambda t: F.xxhash64(F.lit("single"), t["token"]))
+
+    def frequent_of(reach: Column) -> Column:
+        return F.transform(F.filter(F.slice("l", F.lit(1), F.col("m") + reach), lambda t: t["f"] > frequent), lambda t: t["token"])
 
     def scheme_entries(c: Column) -> Column:
-        longer = F.filter(F.slice("l", F.lit(1), F.col("m") + _classes(c)), lambda t: t["f"] > frequent)
-        return F.when(c < 2, singly).otherwise(_combinations(F.transform(longer, lambda t: t["token"]), c, _classes(c)))
+        return F.when(c == 1, _triples(frequent_of(F.lit(SMALL_K - 1)))).otherwise(_pairs(frequent_of(_classes(c)), c, _classes(c)))
 
-    crowded = F.when(F.col("crowded") | F.exists("schemes", lambda c: c < 2), F.flatten(F.transform("schemes", scheme_entries))).otherwise(F.array().cast("array<bigint>"))
+    crowded = F.when(F.col("crowded"), F.flatten(F.transform("schemes", scheme_entries))).otherwise(F.array().cast("array<bigint>"))
     entries = rows.select(F.explode(F.array_distinct(F.concat(rare, crowded))).alias("sig"), "key", "n", "own")
     lively = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return entries.join(lively.select("sig"), "sig")
@@ -198,7 +228,7 @@ def _other_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): a row a document with text_hash, n and key; and key, root of the classes that have a link."""
     docs = docs.select("doc_id", "text")
-    rows = written(token_sets(docs))
+    rows = keyed_apart(written(token_sets(docs)))
     kept = written(survivors(rows))
     sets = written(sets_of(docs, kept))
     sketches = written(shared_tokens(sets))
