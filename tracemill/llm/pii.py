@@ -1,27 +1,33 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
 Base: leftmost non-overlapping matches of four formats (email, ip, card, phone), each then held
-to its rule (parts up to 255, Luhn, number of digits); failing matches are dropped.
+to its rule (parts up to 255, Luhn, number of digits); failing matches are dropped. Secrets
+(assigned passwords and tokens, keys by their well-known beginnings) are a fifth kind of seed,
+which has columns of its own.
 
 Bootstrapping finds identifiers that the base misses: a phone number that the base's greedy match
-ran into the card number behind it, a number without a plus, an address with `[at]`. The base
-matches are the seeds. Address runs and runs of digit groups that obey a kind's rule are further
-instances, which begin without confidence; their form is free, so contexts and shapes tell them. An instance fills up to three lexical patterns of its kind: the word before it, the
-word after it, and its own shape (digits and letters by class). Spark scores the bipartite graph
-of patterns and instances in `ROUNDS` rounds: a pattern's confidence is the mean confidence of
-its distinct instances, so one that seeds seldom fill counts for little; an instance's confidence
-is the chance that not all of its patterns err. Instances of at least `ACCEPT`, by patterns of at
-least `RELIABLE` with the support of `SUPPORT` distinct instances, are accepted and count as support
-beside the seeds in the next round, so patterns that only they fill can become trusted. At the end
-the accepted become spans where no base span overlaps them and no better one of their own.
+ran into the card number behind it, a number without a plus, an address with `[at]`, a key that
+nothing names. The base matches are the seeds. Address runs, runs of digit groups that obey a
+kind's rule and opaque runs of letters and digits are further instances, which begin without
+confidence; their form is free, so contexts and shapes tell them. An instance fills up to three
+lexical patterns of its kind: the word before it, the word after it, and its own shape (digits and
+letters by class). Spark scores the bipartite graph of patterns and instances in `ROUNDS` rounds:
+a pattern's confidence is the mean confidence of its distinct instances, so one that seeds seldom
+fill counts for little; an instance's confidence is the chance that not all of its patterns err.
+Instances of at least `ACCEPT`, by patterns of at least `RELIABLE` with the support of `SUPPORT`
+distinct instances, are accepted and count as support beside the seeds in the next round, so
+patterns that only they fill can become trusted. At the end the accepted become spans where no
+base span overlaps them and no better one of their own.
 
 The regular expressions are written so that matching is linear in the text: a match can only
-begin at the start of a run, which a look-behind states, and repetitions are possessive.
-Only texts with a digit, an at sign, a bracketed `at` or a `dot` as a word are searched. The graph is made of hashes and counts.
+begin at the start of a run, which a look-behind states, and repetitions are possessive. Matches
+are rows, and positions are running sums over a text's rows in order, so time is linear in them.
+Only texts with a digit, an at sign, a bracketed `at`, a `dot` as a word or a credential's name are
+searched. The graph is made of hashes and counts.
 
 Edge cases: a null text is empty; documents without findings have zeros, an empty string of
-spans and its hash; repeated rows and ids are each answered; an empty table gives no rows; other
-columns are ignored.
+spans and its hash; repeated rows and ids are each answered; a text of any length is searched
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
+#: The place of secrets behind the kinds.
+SECRET = 4
 _LOCAL = r"A-Za-z0-9._%+\-"
 #: The base formats, as linear-time equivalents.
 BASE = {
@@ -44,29 +52,36 @@ BASE = {
 _NAME = r"[A-Za-z0-9\-]++"
 _AT, _DOT = r"(?:@|[\[({<]\x20?(?i:at|@)\x20?[\])}>])", r"(?:\.|[\[({<]\x20?(?i:dot|\.)\x20?[\])}>])"
 ADDRESS = rf"(?<![{_LOCAL}])[{_LOCAL}]++(?:\x20{{0,2}}{_AT}\x20{{0,2}}{_NAME}(?:\x20?{_DOT}\x20?{_NAME}|\x20(?i:dot)\x20{_NAME})*+|\x20(?i:at)\x20{_NAME}(?:\x20(?i:dot)\x20{_NAME})++)"
-#: The first digit of a group, with up to 15 groups from there on, of at most 19 digits each and 1 to 3 signs apart.
-GROUPS = r"(?<![0-9])(?=([0-9]{1,19}+(?![0-9])(?:[^\p{L}0-9\n]{1,3}+[0-9]{1,19}+(?![0-9])){0,14}+))[0-9]"
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)[\"']?[\x20]{0,2}[=:][\x20]{0,2}[\"']?"
+#: Seeds of secrets: a credential's name with what is assigned to it (the span is the latter), and keys by their public beginnings.
+CREDENTIAL = rf"{_NAMED}[^\s\"',;]{{8,}}+|(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{{16}}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{{36,}}+|sk-[A-Za-z0-9_\-]{{20,}}+|xox[abprs]-[A-Za-z0-9\-]{{10,}}+)"
+#: A run of letters and digits, some of each.
+OPAQUE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"
+#: Everything located in a text, by number: the kinds, the seeds of secrets, then what a context must tell.
+LOCATED = [*BASE.values(), CREDENTIAL, ADDRESS, OPAQUE, "[0-9]++"]
+ADDRESSES, OPAQUES, GROUPS = 5, 6, 7
+#: A run has at most so many digit groups, of at most so many digits together, and 1 to 3 signs between them.
+RUN_GROUPS, RUN_DIGITS, BETWEEN = 15, 19, r"^[^\p{L}0-9\n]{1,3}$"
 #: What a text needs for any of the formats above to match.
-SEARCHED = rf"[0-9@]|{_AT}|\x20(?i:dot)\x20"
+SEARCHED = rf"[0-9@]|{_AT}|\x20(?i:dot)\x20|{_NAMED}"
 ROUNDS = 3
 ACCEPT, SUPPORT, RELIABLE = 0.8, 3, 0.5
 #: Characters on either side in which a neighbouring word is looked for.
 REACH = 48
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """(start, end, value) of the matches, in code points; the gaps between them come from a split."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("gap"), values.alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
-        end = (start + F.length(x["value"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _matches(k: int, text: Column) -> Column:
+    """The matches of a located pattern: its number k, their order i, the gap before, the value, and what is near on either side."""
+    values = F.regexp_extract_all(text, F.lit(LOCATED[k]), F.lit(0))
+    gaps = F.split(text, LOCATED[k], -1)
+    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("before"), values.alias("value"), F.slice(gaps, F.lit(2), F.size(values)).alias("after"))
+    return F.transform(
+        zipped,
+        lambda x, i: F.struct(
+            F.lit(k).alias("k"), i.alias("i"), F.length(x["before"]).alias("gap"), x["value"].alias("value"),
+            F.right(x["before"], F.lit(REACH)).alias("left"), F.left(x["after"], F.lit(REACH)).alias("right"),
+        ),
+    )
 
 
 def _luhn(digits: Column) -> Column:
@@ -88,108 +103,123 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _of_kind(kind: str, spans: Column) -> Column:
-    """Spans with their kind's place in KINDS in front."""
-    k = F.lit(KINDS.index(kind))
-    return F.transform(spans, lambda m: F.struct(k.alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-
-
-def _valid_only(kind: str, spans: Column) -> Column:
-    return F.filter(spans, lambda m: _valid(kind, m["value"]))
-
-
-def base_spans(text: Column) -> Column:
-    """All valid base matches: an array of kind (its place in KINDS), start, end, value."""
-    return F.concat(*[_of_kind(kind, _valid_only(kind, _located(text, BASE[kind]))) for kind in KINDS])
-
-
-def _digit_runs(text: Column) -> Column:
-    """(start, end, value, groups) of every run of whole digit groups that a card, an address or a phone number can be.
-
-    A run begins at any group and ends at any of the next 14, so numbers that stand side by side come apart.
-    A plus before it belongs to it, and so does a bracket that closes within it.
-    """
-    ahead = F.regexp_extract_all(text, F.lit(GROUPS), F.lit(1))
-    pairs = F.arrays_zip(F.slice(F.split(text, GROUPS, -1), F.lit(1), F.size(ahead)).alias("gap"), ahead.alias("value"))
-    none = F.array().cast("array<struct<start:int,value:string,lead:string>>")
+def located(docs: DataFrame) -> DataFrame:
+    """row, doc_id and all matches of a document; no text."""
+    text = F.col("text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(text.rlike(SEARCHED), text).alias("text"))
+    none = F.array().cast("array<struct<k:int,i:int,gap:int,value:string,left:string,right:string>>")
+    found = F.concat(*[_matches(k, text) for k in range(len(LOCATED))])
+    return rows.select("row", "doc_id", F.when(text.isNotNull(), found).otherwise(none).alias("m"))
 
-    def head(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
-        lead = F.regexp_extract(F.right(x["gap"], F.lit(2)), r"\+?\(?$", 0)
-        return F.struct((start + 1).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["value"].alias("value"), lead.alias("lead")))).alias("out"))
 
-    heads = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), head, lambda acc: acc["out"])
+def _before() -> Column:
+    """The last word near before a match, null where there is none."""
+    return F.nullif(F.regexp_extract(F.lower("left"), r"(\p{L}++)[^\p{L}]*$", 1), F.lit(""))
 
-    def run(h: Column, g: Column, i: Column) -> Column:
-        core = F.substring(h["value"], F.lit(1), g["end"])
-        lead = F.when(F.contains(core, F.lit(")")), h["lead"]).otherwise(F.regexp_extract(h["lead"], r"\+$", 0))
-        return F.struct(
-            (h["start"] - F.length(lead)).cast("int").alias("start"), (h["start"] + g["end"]).cast("int").alias("end"), F.concat(lead, core).alias("value"), (i + 1).alias("groups"), F.length(lead).alias("lead"),
-        )
 
-    runs = F.flatten(F.transform(heads, lambda h: F.transform(_located(h["value"], "[0-9]++"), lambda g, i: run(h, g, i))))
-    return F.filter(runs, lambda r: F.length(F.regexp_replace(r["value"], "[^0-9]", "")).between(4, 19))
+def _after() -> Column:
+    return F.nullif(F.regexp_extract(F.lower("right"), r"^[^\p{L}]*+(\p{L}++)", 1), F.lit(""))
 
 
-def loose_spans(text: Column, base: Column) -> Column:
-    """Address and digit runs that obey a kind's rule and that no base span overlaps, in the same shape."""
+def _shape(kind: Column, value: Column) -> Column:
+    """Letters and digits by class; of an opaque secret only the classes that occur and the length."""
+    classes = F.concat_ws("", *[F.when(value.rlike(f"[{c}]"), F.lit(c)) for c in ("A-F", "G-Z", "a-f", "g-z")], F.length(value).cast("string"))
+    return F.when(kind == SECRET, classes).otherwise(F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]", "9"))
 
-    def free(spans: Column) -> Column:
-        return F.filter(spans, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
-    def of_kinds(runs: Column) -> Column:
-        bare = F.transform(
-            runs, lambda r: F.struct((r["start"] + r["lead"]).alias("start"), r["end"].alias("end"), F.substring(r["value"], r["lead"] + 1, F.length(r["value"])).alias("value"), r["groups"].alias("groups"))
-        )
-        of = {"ip": F.filter(bare, lambda r: r["groups"] == 4), "card": bare, "phone": runs}
-        return F.concat(*[_of_kind(k, _valid_only(k, of[k])) for k in of])
+def _slim(rows: DataFrame, seed: bool) -> DataFrame:
+    """Spans with hashes for value and patterns."""
+    kind = F.col("kind")
+    contexts = F.array_compact(F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"), F.concat(F.lit("="), _shape(kind, F.col("value")))))
+    return rows.select(
+        "row", F.lit(seed).alias("seed"), "kind", "start", "end",
+        F.xxhash64("kind", "value").alias("instance"), F.transform(contexts, lambda c: F.xxhash64(kind, c)).alias("patterns"),
+    )
 
-    return F.concat(_of_kind("email", free(_located(text, ADDRESS))), F.transform(F.array(free(_digit_runs(text))), of_kinds)[0])
 
+def _digit_runs(groups: DataFrame) -> DataFrame:
+    """Runs of whole digit groups that a card, an address or a phone number can be, and that no base span meets.
 
-def _contexts(text: Column, span: Column) -> Column:
-    """The lexical patterns a span fills: its neighbouring words, lower-cased and with their side, and its shape."""
-    from_left = F.greatest(span["start"] - REACH, F.lit(0))
-    left = F.lower(F.substring(text, from_left + 1, span["start"] - from_left))
-    right = F.lower(F.substring(text, span["end"] + 1, F.lit(REACH)))
-    return F.array_compact(
+    A run begins at any group and ends at any of the next 14, so numbers that stand side by side
+    come apart. A plus before a phone number belongs to it, and so does a bracket that closes within it.
+    """
+    ordered = Window.partitionBy("row").orderBy("start")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onwards = Window.partitionBy("row").orderBy(F.col("start").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # backwards: Spark computes such a frame in one pass
+    near = lambda w, at: F.when(w.isNotNull(), F.struct(w.alias("w"), F.col(at).alias("at")))
+    one = F.struct("start", "end", F.when((F.col("gap") <= 3) & ~F.col("met"), F.col("left")).alias("sign"), F.left("value", F.lit(RUN_DIGITS + 1)).alias("digits"), "next")
+    rows = groups.withColumn("previous", F.last(near(_before(), "start"), ignorenulls=True).over(upto)).withColumn("next", F.last(near(_after(), "end"), ignorenulls=True).over(onwards))
+    rows = rows.withColumn("g", F.collect_list(one).over(ordered.rowsBetween(Window.currentRow, RUN_GROUPS - 1)))
+    rows = rows.filter(~F.col("met") & (F.length("value") <= RUN_DIGITS)).select("row", "start", "previous", F.regexp_extract(F.right("left", F.lit(2)), r"\+?\(?$", 0).alias("lead"), "g")
+
+    def longer(acc: Column, x: Column) -> Column:
+        first = F.size(acc["runs"]) == 0
+        n = acc["n"] + F.length(x["digits"])
+        goes = acc["open"] & (n <= RUN_DIGITS) & (first | F.coalesce(x["sign"].rlike(BETWEEN), F.lit(False)))
+        core = F.when(first, x["digits"]).otherwise(F.concat(acc["core"], x["sign"], x["digits"]))
+        run = F.struct(core.alias("core"), n.alias("n"), x["end"].alias("end"), x["next"].alias("next"))
+        return F.struct(F.when(goes, core).alias("core"), n.cast("int").alias("n"), goes.alias("open"), F.when(goes, F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"]).alias("runs"))
+
+    empty = F.array().cast("array<struct<core:string,n:int,end:int,next:struct<w:string,at:int>>>")
+    start = F.struct(F.lit(None).cast("string").alias("core"), F.lit(0).alias("n"), F.lit(True).alias("open"), empty.alias("runs"))
+    runs = rows.select("row", "start", "previous", "lead", F.posexplode(F.aggregate("g", start, longer, lambda acc: acc["runs"])).alias("groups", "r"))
+    lead = F.when(F.contains("r.core", F.lit(")")), F.col("lead")).otherwise(F.regexp_extract("lead", r"\+$", 0))
+    core, n = F.col("r.core"), F.col("r.n")
+    kinds = F.array_compact(
         F.array(
-            F.nullif(F.concat(F.lit("<"), F.regexp_extract(left, r"(\p{L}++)[^\p{L}]*$", 1)), F.lit("<")),
-            F.nullif(F.concat(F.lit(">"), F.regexp_extract(right, r"^[^\p{L}]*+(\p{L}++)", 1)), F.lit(">")),
-            F.concat(F.lit("="), F.regexp_replace(F.regexp_replace(span["value"], "[A-Za-z]+", "a"), "[0-9]", "9")),
+            F.when((F.col("groups") == 3) & (n <= 12) & _valid("ip", core), F.struct(F.lit(1).alias("kind"), F.lit("").alias("lead"))),
+            F.when((n >= 16) & _valid("card", core), F.struct(F.lit(2).alias("kind"), F.lit("").alias("lead"))),
+            F.when(n.between(8, 15), F.struct(F.lit(3).alias("kind"), lead.alias("lead"))),
         )
     )
+    spans = runs.select("row", "start", "r", "previous", F.explode(kinds).alias("k"))
+    word = lambda c, far: F.when(far <= REACH, F.col(f"{c}.w"))
+    return spans.select(
+        "row", "k.kind", (F.col("start") - F.length("k.lead")).alias("start"), F.col("r.end").alias("end"), F.concat("k.lead", "r.core").alias("value"),
+        word("previous", F.col("start") - F.col("previous.at")).alias("before"), word("r.next", F.col("r.next.at") - F.col("r.end")).alias("after"),
+    )
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """A row a document with a finding: row, doc_id, base and loose spans with value and context hashes. No texts."""
-    text = F.col("text")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(text.rlike(SEARCHED), text).alias("text"))
-    rows = rows.withColumn("base", F.when(text.isNotNull(), base_spans(text)))
-    rows = rows.withColumn("loose", F.when(text.isNotNull(), loose_spans(text, F.col("base"))))
-
-    def slim(s: Column) -> Column:
-        contexts = F.transform(_contexts(text, s), lambda c: F.xxhash64(s["kind"], c))
-        return F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["kind"], s["value"]).alias("instance"), contexts.alias("patterns")
-        )
-
-    return rows.select("row", "doc_id", *[F.transform(c, slim).alias(c) for c in ("base", "loose")])
+def spans_of(rows: DataFrame) -> DataFrame:
+    """row, seed, kind, start, end (code points), instance and patterns of every valid base match, secret and free candidate."""
+    flat = rows.select("row", F.explode("m").alias("m")).select("row", "m.*").repartition("row")
+    inner = Window.partitionBy("row", "k").orderBy("i")
+    ends = F.sum(F.col("gap") + F.length("value")).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    flat = flat.withColumn("end", ends.cast("int")).withColumn("kind", F.col("k"))
+    flat = flat.withColumn("value", F.when(F.col("k") == SECRET, F.regexp_replace("value", f"^{_NAMED}", "")).otherwise(F.col("value"))).withColumn("start", F.col("end") - F.length("value"))
+    rule = F.lit(True)
+    for kind in ("ip", "card", "phone"):
+        rule = F.when(F.col("k") == KINDS.index(kind), _valid(kind, F.col("value"))).otherwise(rule)
+    flat = flat.withColumn("base", F.col("k") <= SECRET).filter(~F.col("base") | rule)
+    ordered = Window.partitionBy("row").orderBy("start", F.col("base").desc(), "k", "end")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    backwards = Window.partitionBy("row").orderBy(F.col("start").desc(), "base", F.col("k").desc(), F.col("end").desc())
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
+    flat = flat.withColumn("met", F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False)))
+    flat = written(flat.select("row", "k", "kind", "base", "gap", "value", "left", "right", "start", "end", "met"))
+    words = flat.withColumn("before", _before()).withColumn("after", _after())
+    free = words.filter(~F.col("met"))
+    loose = [
+        free.filter(F.col("k") == ADDRESSES).withColumn("kind", F.lit(0)),
+        free.filter(F.col("k") == OPAQUES).withColumn("kind", F.lit(SECRET)),
+        _digit_runs(flat.filter(F.col("k") == GROUPS)),
+    ]
+    out = _slim(words.filter("base"), True)
+    for part in loose:
+        out = out.unionByName(_slim(part.select("row", "kind", "start", "end", "value", "before", "after"), False))
+    return out
 
 
-def scored_patterns(rows: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
+def scored_patterns(spans: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
     """pattern, confidence and support (its distinct seeds and accepted instances) after the rounds of mutual scoring."""
-    edges = [
-        rows.select(F.explode(c).alias("s")).select("s.instance", F.explode("s.patterns").alias("pattern"), F.lit(seed).alias("seed"))
-        for c, seed in (("base", 1.0), ("loose", 0.0))
-    ]
-    graph = written(edges[0].unionByName(edges[1]).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    edges = spans.select("instance", F.explode("patterns").alias("pattern"), F.col("seed").cast("double").alias("seed"))
+    graph = written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     patterns = graph.groupBy("pattern").agg(F.avg("seed").alias("confidence"), F.sum("seed").alias("seeds"), F.sum("seed").alias("support"), F.count(F.lit(1)).alias("n"))
     for _ in range(rounds - 1):
         patterns = written(patterns)
         weighted = graph.join(patterns, "pattern").filter("seed = 0")
         beliefs = weighted.groupBy("instance").agg(_belief(_weight()).alias("belief"))
-        accepted = _accepted(rows, patterns.select("pattern", _weight().alias("confidence"), "support"), accept, support)
+        accepted = _accepted(spans, patterns.select("pattern", _weight().alias("confidence"), "support"), accept, support)
         instances = beliefs.join(accepted.select("instance", F.lit(1.0).alias("one")).distinct(), "instance", "left")
         rated = graph.filter("seed = 0").join(instances, "instance").groupBy("pattern").agg(F.sum("belief").alias("gained"), F.sum("one").alias("found"))
         gained, found = (F.coalesce(c, F.lit(0.0)) for c in ("gained", "found"))
@@ -209,10 +239,10 @@ def _belief(weight: Column) -> Column:
     return F.round(1 - F.exp(F.sum(F.log(1 - weight))), 9)
 
 
-def _accepted(rows: DataFrame, patterns: DataFrame, accept: float, support: int) -> DataFrame:
+def _accepted(spans: DataFrame, patterns: DataFrame, accept: float, support: int) -> DataFrame:
     """row, kind, start, end, instance of the loose spans that trusted patterns accept; of those that overlap, the most certain, then the longest, goes first."""
     span = ("kind", "start", "end", "instance")
-    loose = rows.select("row", F.explode("loose").alias("s")).select("row", *[f"s.{c}" for c in span], F.explode("s.patterns").alias("pattern"))
+    loose = spans.filter(~F.col("seed")).select("row", *span, F.explode("patterns").alias("pattern"))
     trusted = patterns.filter(F.col("support") >= support).filter(F.col("confidence") >= RELIABLE)
     belief = loose.join(trusted, "pattern").groupBy("row", *span).agg(_belief(F.col("confidence")).alias("belief"))
     w = Window.partitionBy("row").orderBy("start", "end", "kind")
@@ -229,10 +259,9 @@ def _accepted(rows: DataFrame, patterns: DataFrame, accept: float, support: int)
     return clusters.select("row", F.explode(F.aggregate("s", none, keep)).alias("s")).select("row", "s.*")
 
 
-def extended(rows: DataFrame, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
-    """row and the added spans of the documents that have some."""
-    good = _accepted(rows, scored_patterns(rows, accept=accept, support=support), accept, support)
-    return good.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+def extended(spans: DataFrame, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
+    """row, kind, start, end of the added spans."""
+    return _accepted(spans, scored_patterns(spans, accept=accept, support=support), accept, support).select("row", "kind", "start", "end")
 
 
 def _is(k: int):
@@ -240,19 +269,25 @@ def _is(k: int):
 
 
 def _text(spans: Column) -> Column:
-    name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
+    name = lambda s: F.element_at(F.array(*map(F.lit, (*KINDS, "secret"))), s["kind"] + 1)
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_sha256, spans (base and added) and n_added of every row."""
-    rows = written(found(docs.select("doc_id", "text")))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    plain = F.transform(F.coalesce("base", F.array().cast(rows.schema["base"].dataType)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = rows.join(extended(rows), "row", "left").withColumn("plain", plain)
+    """doc_id, base counts, base_sha256, spans (base and added), n_added, n_secret, secret_spans and has_private of every row.
+
+    The four kinds fill the counts and spans; secrets, found and added, have columns of their own.
+    """
+    rows = written(located(docs.select("doc_id", "text")))
+    spans = written(spans_of(rows))
+    found = spans.filter("seed").select("row", "kind", "start", "end", F.lit(True).alias("base")).unionByName(extended(spans).withColumn("base", F.lit(False)))
+    by_row = found.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "base")).alias("all"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean>>")
+    out = rows.select("row", "doc_id").join(by_row, "row", "left").withColumn("all", F.coalesce("all", none))
+    out = out.withColumn("plain", F.filter("all", lambda s: s["base"] & (s["kind"] < SECRET))).withColumn("known", F.filter("all", lambda s: s["kind"] < SECRET)).withColumn("secrets", F.filter("all", _is(SECRET)))
     counts = [F.size(F.filter("plain", _is(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    added = F.coalesce("added", none)
     return out.select(
-        "doc_id", *counts, F.sha2(_text(F.col("plain")), 256).alias("base_sha256"), _text(F.concat("plain", added)).alias("spans"),
-        F.size(added).cast("bigint").alias("n_added"),
+        "doc_id", *counts, F.sha2(_text(F.col("plain")), 256).alias("base_sha256"), _text(F.col("known")).alias("spans"),
+        (F.size("known") - F.size("plain")).cast("bigint").alias("n_added"), F.size("secrets").cast("bigint").alias("n_secret"),
+        _text(F.col("secrets")).alias("secret_spans"), (F.size("all") > 0).alias("has_private"),
     )
