@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -138,6 +138,14 @@ def command_class(segment: str | Column) -> Column:
     return out
 
 
+def git_steps(df: DataFrame, command: str) -> DataFrame:
+    """A row a git call in a command line: its place (step), subcommand (sub) and first argument (arg, empty where there is none)."""
+    parts = df.select("*", F.posexplode(segments(command)).alias("step", "_seg")).filter(program("_seg") == "git")
+    rest = F.regexp_extract("_seg", r"\bgit\s+(?:(?:-C|-c)\s+\S+\s+|--?[\w-]+(?:=\S+)?\s+)*(.*)$", 1)
+    words = F.split(F.trim(rest), r"\s+")
+    return parts.withColumn("sub", F.get(words, F.lit(0))).withColumn("arg", F.coalesce(F.get(words, F.lit(1)), F.lit(""))).drop("_seg")
+
+
 def rule_matches(rule: str | Column, call: str | Column) -> Column:
     """Whether a permission rule covers a call: exactly, or by prefix with `:*`; null where the rule has no meaning."""
     r, c = _c(rule), _c(call)

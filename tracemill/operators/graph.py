@@ -13,14 +13,15 @@ def in_degree(edges: DataFrame, target: str = "dst") -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node and its distance from the seeds (a column `node`), up to depth, along edges in either direction.
 
-    One join a level on the frontier only; a level without new nodes adds nothing.
+    One join a level on the frontier only; a level without new nodes adds nothing. Depths are small,
+    so the levels are one lazy plan.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
     for d in range(1, depth + 1):
         step = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").withColumn("distance", F.lit(d)).persist()
+        front = step.join(seen, "node", "left_anti").withColumn("distance", F.lit(d))
         seen = seen.unionByName(front)
     return seen
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as C
 from ..functions.cost import entry_cost
 from ..operators import graph as G
 from ..operators import sequences as S
@@ -114,12 +115,14 @@ def churn_geometry(s: Signals) -> DataFrame:
 @rule("workflow.shared-checkout-rework", "tool_calls")
 def shared_checkout(s: Signals) -> DataFrame:
     """A stash, then a switch of branch, then the stash taken back, in one session in this order."""
-    w = Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    c = bash(s)
-    stash = F.max(F.when(F.col("command").rlike(r"\bgit\s+stash\b(?!\s+(?:pop|apply|list))"), F.col("ord"))).over(w)
-    c = c.withColumn("stashed", stash)
-    switch = F.max(F.when(F.col("command").rlike(r"\bgit\s+(?:switch|checkout)\s") & (F.col("stashed") < F.col("ord")), F.col("ord"))).over(w)
-    c = c.withColumn("switched", switch).filter(F.col("command").rlike(r"\bgit\s+stash\s+(?:pop|apply)\b") & (F.col("switched") > F.col("stashed")))
+    git = C.git_steps(bash(s), "command")
+    w = Window.partitionBy("session_id").orderBy("ord", "step").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("ord", "step")
+    saves = (F.col("sub") == "stash") & F.coalesce(F.col("arg").isin("", "push", "save") | F.col("arg").startswith("-"), F.lit(True))
+    c = git.withColumn("stashed", F.max(F.when(saves, at)).over(w))
+    switch = F.col("sub").isin("switch", "checkout") & (F.col("arg") != "--") & F.col("stashed").isNotNull()
+    c = c.withColumn("switched", F.max(F.when(switch, at)).over(w))
+    c = c.filter((F.col("sub") == "stash") & F.col("arg").isin("pop", "apply") & (F.col("switched") > F.col("stashed")))
     return recommend(c.agg(F.count_distinct("session_id").alias("affected")), F.col("affected") >= 1, F.when(F.col("affected") >= 3, "warning").otherwise("info"), "Sessions share a checkout and get in each other's way")
 
 
@@ -153,14 +156,16 @@ def dropped_assignments(s: Signals) -> DataFrame:
 
 @rule("reliability.self-update-health", "updates")
 def update_health(s: Signals) -> DataFrame:
-    t = s.updates.agg(F.count_if(F.lower("status").rlike("fail|error")).alias("affected"), F.slice(F.array_sort(F.collect_set(F.col("code").cast("string"))), 1, 5).alias("evidence"))
+    codes = s.updates.groupBy(F.col("code").cast("string").alias("code")).agg(F.count(F.lit(1)).alias("n")).filter("code IS NOT NULL")
+    t = with_evidence(s.updates.agg(F.count_if(F.lower("status").rlike("fail|error")).alias("affected")), codes, "code", "n")
     return recommend(t, F.col("affected") > 0, "info", "Updates failed", evidence="evidence")
 
 
 @rule("reliability.config-drift", "backups")
 def config_drift(s: Signals) -> DataFrame:
     c = A.changes(s.backups).filter(F.try_to_timestamp("at") >= s.since(7))
-    return recommend(c.agg(F.count(F.lit(1)).alias("affected"), F.slice(F.array_sort(F.collect_set("key")), 1, 5).alias("evidence")), F.col("affected") > 0, "info", "The configuration changed", evidence="evidence")
+    keys = c.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return recommend(with_evidence(c.agg(F.count(F.lit(1)).alias("affected")), keys, "key", "n"), F.col("affected") > 0, "info", "The configuration changed", evidence="evidence")
 
 
 @rule("safety.policy-change", "backups")
@@ -177,7 +182,8 @@ def mcp_needs_auth(s: Signals) -> DataFrame:
     """Servers that need a login, and whether anything used them (name, needs_auth)."""
     used = s.attribution.filter("kind = 'mcp_server'").groupBy("name").agg(F.sum("invocations").alias("calls"))
     g = s.mcp_auth.filter("needs_auth").join(used, "name", "left")
-    t = g.agg(F.count(F.lit(1)).alias("affected"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.slice(F.array_sort(F.collect_set("name")), 1, 5).alias("evidence"))
+    g = g.withColumn("calls", F.coalesce("calls", F.lit(0)))
+    t = with_evidence(g.agg(F.count(F.lit(1)).alias("affected"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")), g, "name", "calls")
     return recommend(t, F.col("affected") > 0, F.when(F.col("calls") > 0, "critical").otherwise("info"), "Servers wait for a login", evidence="evidence")
 
 
@@ -217,7 +223,8 @@ def model_deceit(s: Signals) -> DataFrame:
 @rule("maintenance.doc-hygiene", "doc_nodes", "doc_edges")
 def doc_hygiene(s: Signals) -> DataFrame:
     links = s.doc_edges.filter("kind = 'md-link'")
-    broken = G.dangling(s.doc_nodes, links).agg(F.count(F.lit(1)).alias("broken"), F.slice(F.array_sort(F.collect_set("dst")), 1, 5).alias("evidence"))
+    lost = G.dangling(s.doc_nodes, links)
+    broken = with_evidence(lost.agg(F.count(F.lit(1)).alias("broken")), lost.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst", "n")
     alone = G.orphans(s.doc_nodes, links).agg(F.count(F.lit(1)).alias("alone"))
     t = broken.crossJoin(F.broadcast(alone)).withColumn("affected", F.col("broken") + F.col("alone"))  # one row each
     return recommend(t, F.col("affected") > 0, F.when(F.col("broken") > 0, "warning").otherwise("info"), "Documents have broken links or none to them", evidence="evidence")
@@ -237,7 +244,8 @@ def memory_hygiene(s: Signals) -> DataFrame:
 
 @rule("maintenance.skill-hook-integrity", "path_refs")
 def path_integrity(s: Signals) -> DataFrame:
-    t = s.path_refs.filter("state = 'missing'").agg(F.count(F.lit(1)).alias("affected"), F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("evidence"))
+    lost = s.path_refs.filter("state = 'missing'")
+    t = with_evidence(lost.agg(F.count(F.lit(1)).alias("affected")), lost.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "n")
     return recommend(t, F.col("affected") > 0, "warning", "Hooks or skills point at nothing", evidence="evidence")
 
 

@@ -1,4 +1,4 @@
-"""Queries over pages as a document graph: a page's host and language path is a node, hrefs are edges."""
+"""Queries over pages as a document graph: the first name of a page's host is a node, and a link's word names the node it means."""
 
 from __future__ import annotations
 
@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from .registry import Tables, query
 
-NODES = "n AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS node, html FROM pages)"
+HOST, WORD = r"^https?://(?:m\.|www\.)?([^./?#]+)", r"^[^.,]*"
+NODES = f"n AS (SELECT page_id, regexp_extract(url, '{HOST}', 1) AS node, html FROM pages)"
 
 
 def _pages(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("node"), "html")
+    return t.pages.select("page_id", F.regexp_extract("url", HOST, 1).alias("node"), "html")
 
 
 def _links(t: Tables) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
-    return _pages(t).select(F.col("node").alias("src"), F.explode(found).alias("dst")).distinct()
+    return _pages(t).select(F.col("node").alias("src"), F.explode(found).alias("dst")).select("src", F.regexp_extract(F.lower("dst"), WORD, 0).alias("dst")).distinct()
 
 
-LINKS = f"{NODES}, l AS (SELECT DISTINCT node AS src, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst FROM n)"
+LINKS = f"{NODES}, l AS (SELECT DISTINCT node AS src, regexp_extract(lower(unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1))), '{WORD}') AS dst FROM n)"
 
 
 @query(f"WITH {LINKS} SELECT src, dst FROM l")
@@ -28,9 +29,9 @@ def doc_graph_edges(t: Tables) -> DataFrame:
     return _links(t)
 
 
-@query(f"WITH {LINKS} SELECT dst, count(*) AS in_degree FROM l GROUP BY 1 HAVING count(*) >= 2")
+@query(f"WITH {LINKS} SELECT dst, count(*) AS in_degree FROM l GROUP BY 1")
 def in_degree(t: Tables) -> DataFrame:
-    return G.in_degree(_links(t)).filter("in_degree >= 2")
+    return G.in_degree(_links(t))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, b AS (SELECT src AS x, dst AS y FROM l UNION SELECT dst, src FROM l),
@@ -41,20 +42,16 @@ def bfs_neighborhood(t: Tables) -> DataFrame:
     return G.neighbourhood(links, links.agg(F.min("src").alias("node")), 3)
 
 
-@query("""WITH a AS (SELECT n_name AS node, n_nationkey AS k FROM nation), e AS (SELECT x.n_name AS src, y.n_name AS dst FROM nation x JOIN nation y ON x.n_nationkey = (y.n_nationkey * 3) % 25)
-  SELECT node FROM a WHERE node NOT IN (SELECT dst FROM e WHERE src <> dst)""")
+@query(f"WITH {LINKS} SELECT DISTINCT node FROM n WHERE node NOT IN (SELECT dst FROM l WHERE src <> dst)")
 def orphan_nodes(t: Tables) -> DataFrame:
-    """Nodes without a link from elsewhere."""
-    n = t.nation.select("n_nationkey", F.col("n_name").alias("node"))
-    e = n.select(F.col("n_nationkey").alias("a"), F.col("node").alias("src")).join(n.select(F.expr("(n_nationkey * 3) % 25").alias("a"), F.col("node").alias("dst")), "a")
-    return G.orphans(n.select("node"), e.select("src", "dst"))
+    """Hosts that no other host links to."""
+    return G.orphans(_pages(t).select("node").distinct(), _links(t))
 
 
-@query(f"WITH {LINKS} SELECT src, dst FROM l WHERE dst NOT IN (SELECT regexp_extract(url, '/(en|fr|de|es)/', 1) FROM pages) AND length(dst) > 8")
+@query(f"WITH {LINKS} SELECT src, dst FROM l WHERE dst NOT IN (SELECT node FROM n)")
 def broken_links(t: Tables) -> DataFrame:
-    """Long links to nothing that exists."""
-    known = t.pages.select(F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("node")).distinct()
-    return G.dangling(known, _links(t)).filter(F.length("dst") > 8).select("src", "dst")
+    """Links whose word is no host."""
+    return G.dangling(_pages(t).select("node").distinct(), _links(t)).select("src", "dst")
 
 
 @query(f"""WITH {NODES}, c AS (SELECT node, count(*) AS pages, count(DISTINCT sha256(html)) AS versions, max(page_id) AS latest FROM n GROUP BY 1)

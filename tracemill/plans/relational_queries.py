@@ -268,9 +268,11 @@ def ledger_page(t: Tables) -> DataFrame:
 
 @query("""WITH o AS (SELECT p_partkey, p_retailprice, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS used FROM part) SELECT p_partkey, used::BIGINT AS used FROM o WHERE used <= 500""")
 def budgeted_prefix(t: Tables) -> DataFrame:
-    """The best ranked files that fit a token budget: a running sum over the small head of the ranking."""
-    w = Window.orderBy(F.desc("p_retailprice"), "p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t.part.withColumn("used", F.sum("p_size").over(w)).filter("used <= 500").select("p_partkey", "used")
+    """The best ranked files that fit a token budget: block sums give each price range its offset, so no task sorts the table."""
+    from ..operators.stats import running_total
+
+    ranked = running_total(t.part.select("p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size", ("p_partkey",), descending=True)
+    return ranked.withColumn("used", F.col("_before") + F.col("p_size")).filter("used <= 500").select("p_partkey", "used")
 
 
 @query("""WITH a AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)

@@ -239,8 +239,11 @@ def repeated_compactions(s: Signals) -> DataFrame:
 
 @rule("context.last-n-runs-audit", "token_entries")
 def last_n_runs(s: Signals) -> DataFrame:
-    r = session_costs(s).withColumn("r", F.row_number().over(Window.orderBy(F.desc("last_ts"), "session_id")))
-    t = r.agg(F.avg(F.when(F.col("r") <= 10, F.col("peak"))).alias("now"), F.avg(F.when(F.col("r") > 10, F.col("peak"))).alias("base"), F.count_if(F.col("r") > 10).alias("n"), F.count_if(F.col("r") <= 10).alias("affected"))
+    c = session_costs(s).select("session_id", "last_ts", "peak")
+    recent = c.orderBy(F.desc("last_ts"), "session_id").limit(10).agg(F.sum("peak").alias("ten"), F.count(F.lit(1)).alias("affected"))
+    every = c.agg(F.sum("peak").alias("all"), F.count(F.lit(1)).alias("sessions"))
+    t = every.crossJoin(F.broadcast(recent)).withColumn("n", F.col("sessions") - F.col("affected"))  # one row each
+    t = t.withColumn("now", F.try_divide("ten", "affected")).withColumn("base", F.try_divide(F.col("all") - F.col("ten"), F.col("n")))
     growth = (F.col("now") - F.col("base")) / F.col("base")
     return recommend(t, (F.col("n") >= 5) & (F.col("now") >= 50_000) & (growth >= 0.25), F.when(growth >= 0.5, "warning").otherwise("info"), "Recent sessions carry more context")
 
@@ -331,11 +334,11 @@ def refusal_rate(s: Signals) -> DataFrame:
 
 @rule("workflow.session-restart-retype", "timeline", "sessions")
 def restart_retype(s: Signals) -> DataFrame:
-    from ..operators.text import similar_openers
+    from ..operators.text import similar_texts
 
     opener = s.timeline.filter("kind = 'user' AND length(summary) >= 40").groupBy("session_id").agg(F.min_by("summary", "ord").alias("opener"))
     rows = s.sessions.select("session_id", "project", "start_ts").join(opener, "session_id")
-    pairs = similar_openers(rows, "session_id", ["project"], "opener", 60, 0.5)
+    pairs = similar_texts(rows, "session_id", ["project"], "opener")
     times = rows.select("session_id", "start_ts")
     near = pairs.join(times, "session_id").join(times.select(F.col("session_id").alias("other"), F.col("start_ts").alias("b")), "other").filter(F.abs(S.micros("start_ts") - S.micros("b")) <= 7 * 86_400_000_000)
     return recommend(near.agg(F.count_distinct("session_id").alias("affected")), F.col("affected") >= 1, "info", "An opening is typed again in a new session")
@@ -399,8 +402,10 @@ def abandoned_tasks(s: Signals) -> DataFrame:
 
 @rule("workflow.unused-installed", "installed", "attribution")
 def unused_installed(s: Signals) -> DataFrame:
-    g = s.installed.join(s.attribution.select("kind", "name").distinct(), ["kind", "name"], "left_anti")
-    t = g.groupBy("kind").agg(F.count(F.lit(1)).alias("affected"), F.slice(F.array_sort(F.collect_set("name")), 1, 5).alias("evidence"))
+    g = s.installed.join(s.attribution.select("kind", "name").distinct(), ["kind", "name"], "left_anti").select("kind", "name").distinct()
+    n = F.row_number().over(Window.partitionBy("kind").orderBy("name"))
+    head = g.withColumn("n", n).filter("n <= 5").groupBy("kind").agg(F.array_sort(F.collect_list("name")).alias("evidence"))
+    t = g.groupBy("kind").agg(F.count(F.lit(1)).alias("affected")).join(head, "kind")
     return recommend(t, F.col("affected") >= 3, "info", "What is installed is not used", evidence="evidence")
 
 
@@ -464,8 +469,9 @@ def allow_overlaps_deny(s: Signals) -> DataFrame:
 @rule("safety.deny-rule-never-triggered", "permission_rules", "tool_calls")
 def idle_deny_rule(s: Signals) -> DataFrame:
     deny = s.permission_rules.filter("kind = 'deny'").select(F.regexp_replace("rule", r":\*$", "").alias("d"))
-    calls = s.tool_calls.select(F.concat("tool_name", F.lit("("), F.coalesce("input.command", F.lit(""))).alias("call")).distinct()
-    idle = deny.join(calls, F.col("call").startswith(F.col("d")), "left_anti")
+    calls = s.tool_calls.select(F.concat("tool_name", F.lit("("), F.coalesce("input.command", F.lit(""))).alias("call"))
+    met = calls.join(F.broadcast(deny.distinct()), F.col("call").startswith(F.col("d"))).select("d").distinct()  # the rules a settings file denies by, a few dozen
+    idle = deny.join(met, "d", "left_anti")
     kept = s.tool_calls.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("since"))
     t = idle.agg(F.count(F.lit(1)).alias("affected")).crossJoin(F.broadcast(kept))  # one row each
     return recommend(t, (F.col("affected") > 0) & (F.col("n") >= 20) & (F.col("since") <= s.since(14)), "info", "Deny rules that nothing meets")
@@ -607,10 +613,10 @@ def activity_trend(s: Signals) -> DataFrame:
 
 @rule("security.secrets-at-rest", "timeline")
 def secrets_at_rest(s: Signals) -> DataFrame:
-    from ..operators.text import secret_counts
+    from ..operators.text import may_hold_secret, secret_counts
 
     kinds = secret_counts("summary")
-    t = s.timeline.filter("summary IS NOT NULL").select(sum(kinds[1:], kinds[0]).alias("n")).agg(F.sum("n").alias("affected"))
+    t = s.timeline.filter(may_hold_secret("summary")).select(sum(kinds[1:], kinds[0]).alias("n")).agg(F.sum("n").alias("affected"))
     return recommend(t, F.col("affected") > 0, "critical", "Secrets lie in transcripts")
 
 
@@ -666,4 +672,4 @@ def cascade(claims: DataFrame, bill: DataFrame) -> DataFrame:
 
 def paired_proof(pairs: DataFrame, min_pairs: int = 12) -> DataFrame:
     """The verdict on a paired experiment: control against treatment cost."""
-    return X.signed_rank_test(pairs.withColumn("delta", F.col("control") - F.col("treatment")), "delta", min_pairs)
+    return X.signed_rank_test(pairs.withColumn("delta", F.col("treatment") - F.col("control")), "delta", min_pairs)

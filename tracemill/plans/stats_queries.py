@@ -43,7 +43,28 @@ def wilcoxon_ranks(t: Tables) -> DataFrame:
     """Signed rank sums with mean ranks of ties, over the few pairs of groups."""
     by = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
     d = t.orders.groupBy("o_orderpriority", F.year("o_orderdate")).agg((by("F") - by("O")).alias("delta"))
-    return X.signed_ranks(d, "delta")
+    return X.signed_ranks(d, "delta").select("pairs", "w_plus", "w_minus")
+
+
+@query("""WITH d AS (SELECT o_custkey, round(avg(o_totalprice) FILTER (o_orderstatus = 'F') / 1000) - round(avg(o_totalprice) FILTER (o_orderstatus = 'O') / 1000) AS delta FROM orders GROUP BY ALL),
+  a AS (SELECT abs(delta) AS a, count(*) AS t, count(*) FILTER (delta < 0) AS neg FROM d WHERE delta IS NOT NULL AND delta <> 0 GROUP BY 1),
+  r AS (SELECT *, coalesce(sum(t) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS r FROM a),
+  w AS (SELECT sum(t)::DOUBLE AS n, sum(r * neg) AS w_minus, sum(t * t * t - t) AS ties FROM r)
+  SELECT n::BIGINT AS pairs, w_minus, round((w_minus - n * (n + 1) / 4 - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM w""")
+def wilcoxon_test(t: Tables) -> DataFrame:
+    """The one-sided signed-rank test with ties over a pair a customer."""
+    by = lambda s: F.round(F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))) / 1000)
+    d = t.orders.groupBy("o_custkey").agg((by("F") - by("O")).alias("delta"))
+    return X.signed_rank_test(d, "delta").select("pairs", "w_minus", F.round("z", 6).alias("z"))
+
+
+@query("""WITH d AS (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS c, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS x FROM orders GROUP BY 1 HAVING c IS NOT NULL AND x IS NOT NULL)
+  SELECT count(*) AS n, round(median(x - c), 4) AS delta, round(100 * median(x - c) / median(c), 6) AS pct FROM d""")
+def paired_medians(t: Tables) -> DataFrame:
+    """The median difference of pairs, in dollars and in percent of the control."""
+    by = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
+    d = t.orders.groupBy("o_custkey").agg(by("O").alias("control"), by("F").alias("treatment")).filter("control IS NOT NULL AND treatment IS NOT NULL")
+    return X.paired_medians(d, "control", "treatment").select("n", F.round("delta", 4).alias("delta"), F.round("pct", 6).alias("pct"))
 
 
 @query("""SELECT round(regr_slope(o_totalprice, x), 6) AS slope, round(regr_intercept(o_totalprice, x), 4) AS intercept, round(regr_r2(o_totalprice, x), 8) AS r2, count(*) AS n

@@ -21,18 +21,20 @@ def hybrid_search(t: Tables) -> DataFrame:
     return X.search(t.documents, "doc_id", "text", list(QUERY), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {TERMS} SELECT term, count(*) AS documents, sum(tf)::BIGINT AS uses FROM t GROUP BY 1 HAVING count(*) >= 50""")
+@query(f"""WITH {TERMS} SELECT term, count(*) AS documents, sum(tf)::BIGINT AS uses FROM t GROUP BY 1""")
 def term_frequencies(t: Tables) -> DataFrame:
-    return X.terms(t.documents, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses")).filter("documents >= 50")
+    return X.terms(t.documents, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses"))
 
 
-@query("""WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:20] AS w FROM documents),
-  g AS (SELECT DISTINCT doc_id, source, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
-  SELECT x AS doc_id, y AS other, round(c / (p.n + q.n - c), 6) AS similarity FROM p r JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c / (p.n + q.n - c) >= 0.5""")
+@query("""WITH w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, source, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM w WHERE len(w) > 0),
+  c AS (SELECT source, s, min(doc_id) AS rep FROM s GROUP BY ALL), g AS (SELECT rep, source, len(s) AS n, unnest(s) AS g FROM c),
+  p AS (SELECT a.rep AS x, b.rep AS y, a.n + b.n AS total, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.source IS NOT DISTINCT FROM b.source AND a.rep < b.rep GROUP BY ALL)
+  SELECT x AS doc_id, y AS other, round(c / (total - c), 6)::DOUBLE AS similarity FROM p WHERE c / (total - c) >= 0.8
+  UNION ALL SELECT c.rep, s.doc_id, 1.0::DOUBLE FROM s JOIN c ON s.s = c.s AND s.source IS NOT DISTINCT FROM c.source WHERE s.doc_id <> c.rep""")
 def near_dup_openers(t: Tables) -> DataFrame:
-    """Openings of one source that were typed again."""
-    return X.similar_openers(t.documents, "doc_id", ["source"], "text", 20, 0.5).select("doc_id", "other", F.round("similarity", 6).alias("similarity"))
+    """Texts of one source that were typed again: five-word shingles of whole texts, similarity 0.8. Equal sets as a class and its members, others as pairs of class representatives."""
+    return X.similar_texts(t.documents, "doc_id", ["source"], "text").select("doc_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT sha256(text) AS block, count(*) AS times, min(doc_id) AS first_id, (count(*) - 1) * any_value(length(text)) AS wasted FROM documents GROUP BY 1 HAVING count(*) >= 2")
@@ -42,12 +44,21 @@ def paste_duplicates(t: Tables) -> DataFrame:
     return d.groupBy("block").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("first_id"), ((F.count(F.lit(1)) - 1) * F.max("n")).alias("wasted")).filter("times >= 2")
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS assigned_token, regexp_replace(substr(text, 1, 0), 'x', '') AS clean FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+def _secret_sql() -> str:
+    text, columns = "coalesce(text, '')", []
+    for kind, p in X.SECRETS.items():
+        columns.append(f"len(regexp_extract_all({text}, '{p}')) AS {kind.replace('-', '_')}")
+        text = f"regexp_replace({text}, '{p}', '[REDACTED:{kind}]', 'g')"
+    return f"SELECT doc_id, {', '.join(columns)}, sha256({text}) AS clean FROM documents"
+
+
+@query(_secret_sql())
 def secret_scan(t: Tables) -> DataFrame:
-    """Documents with secrets; what is left of the secrets' shapes after scrubbing is nothing."""
-    found = t.documents.select("doc_id", "text", *X.secret_counts("text")).filter("assigned_token > 0")
-    left = F.regexp_extract(X.scrub(F.col("text")), X.SECRETS["assigned_token"], 0)
-    return found.select("doc_id", F.col("assigned_token").cast("bigint").alias("assigned_token"), left.alias("clean"))
+    """How many secrets of each kind a document holds, and the hash of the scrubbed text."""
+    text = F.coalesce("text", F.lit(""))
+    some = X.may_hold_secret(text)
+    counts = [F.when(some, c).otherwise(F.lit(0)).cast("bigint").alias(kind.replace("-", "_")) for kind, c in zip(X.SECRETS, X.secret_counts(text))]
+    return t.documents.select("doc_id", *counts, F.sha2(F.when(some, X.scrub(text)).otherwise(text), 256).alias("clean"))
 
 
 @query("""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, len(regexp_extract_all(text, '\\n')) AS breaks, len(regexp_extract_all(text, '\\b(?:the|and)\\b')) AS joins, text LIKE '%@%' AS contact FROM documents""")
@@ -101,15 +112,20 @@ def task_steering_spans(t: Tables) -> DataFrame:
     return s.groupBy("conv_id", "task").agg(F.count_if(F.col("role") == "user").alias("steering"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("""WITH k AS (SELECT DISTINCT conv_id, turn, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM conversations),
-  x AS (SELECT c.conv_id, c.turn AS used, k.token, max(k.turn) AS produced FROM k c JOIN k ON c.conv_id = k.conv_id AND c.token = k.token AND k.turn < c.turn AND k.role = 'assistant' WHERE c.role = 'user' AND length(c.token) >= 7 GROUP BY ALL)
-  SELECT conv_id, produced, used, count(*) AS tokens FROM x GROUP BY ALL""")
+@query(f"""WITH v AS (SELECT source, doc_id, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(text, '{X.DISTINCTIVE}'), lambda v: length(v) <= {X.LONGEST_VALUE} AND regexp_matches(v, '[A-Za-z]') AND (v LIKE '%/%'
+    OR (regexp_matches(v, '^[A-Fa-f0-9]{{12,}}$') AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Fa-f]')) OR (regexp_matches(v, '[0-9]') AND (regexp_matches(v, '[._:/@-]') OR length(v) >= 16))
+    OR (regexp_matches(v, '[._:/@-]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')))), lambda v: lower(v)))) AS value FROM documents),
+  p AS (SELECT source, value, min(doc_id) AS produced FROM v WHERE doc_id % 2 = 0 GROUP BY ALL)
+  SELECT v.source, produced, doc_id AS used, count(*) AS tokens FROM v JOIN p ON v.source IS NOT DISTINCT FROM p.source AND v.value = p.value WHERE doc_id % 2 = 1 AND produced < doc_id GROUP BY ALL""")
 def value_flow_edges(t: Tables) -> DataFrame:
-    """Which earlier answer a user turn's rare words come from: the latest that has them, by a running maximum instead of a self-join."""
-    k = t.conversations.select("conv_id", "turn", "role", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("token")).filter(F.length("token") >= 7)
-    w = Window.partitionBy("conv_id", "token").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    k = k.withColumn("produced", F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(w)).filter("role = 'user' AND produced IS NOT NULL")
-    return k.groupBy("conv_id", "produced", F.col("turn").alias("used")).agg(F.count(F.lit(1)).alias("tokens"))
+    """Where a value came from: documents stand for a source's calls (odd ids) and results (even ids); an edge is from the first result with a distinctive value to a later call with it.
+
+    The first producer is a running minimum over a value's rows, not a self-join.
+    """
+    v = t.documents.select("source", "doc_id", F.explode(X.distinctive_values("text")).alias("value"))
+    w = Window.partitionBy("source", "value").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("produced", F.min(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).over(w)).filter("doc_id % 2 = 1 AND produced IS NOT NULL")
+    return v.groupBy("source", "produced", F.col("doc_id").alias("used")).agg(F.count(F.lit(1)).alias("tokens"))
 
 
 @query("""SELECT count(*) FILTER (regexp_matches(lower(text), '\\b(?:that|with|from)\\b')) AS waits, count(*) FILTER (regexp_matches(text, '^[A-ZÀ-Ý][a-zà-ÿ]+\\.')) AS openers, count(*) FILTER (text = '') AS blank FROM conversations WHERE role = 'assistant'""")
