@@ -68,7 +68,7 @@ def test_cost_rules(spark):
 @pytest.mark.parametrize(("after", "seconds", "n"), [(60_000, 240, 1), (60_000, 360, 0), (70_000, 240, 0)])
 def test_compactions(spark, after, seconds, n):
     rows = [("s", 0, 3.0, 100_000, 1, 0, 0, 0), ("s", seconds, 3.0, after, 1, 0, 0, 0)]
-    assert rules.compactions(rules.Signals(NOW, {"token_entries": entries(spark, rows)})).count() == n
+    assert rules.session_costs(rules.Signals(NOW, {"token_entries": entries(spark, rows)})).first()["shrunk"] == n
 
 
 def test_dark_rules_and_rank(spark):
@@ -122,7 +122,8 @@ def test_cascade_adds_up(spark):
 def test_proof_needs_twelve_pairs(spark):
     of = lambda n, d: spark.createDataFrame([(10.0 + k, 10.0 + k - d * (k + 1)) for k in range(n)], "control double, treatment double")
     assert rules.paired_proof(of(11, 1)).first()["verdict"] == "not-yet-provable"
-    assert rules.paired_proof(of(12, 1)).first()["verdict"] == "better"
+    assert rules.paired_proof(of(12, 1)).first()["verdict"] == "proven"
+    assert rules.paired_proof(of(12, -1)).first()["verdict"] == "null"
     assert rules.paired_proof(of(12, 0)).first()["p"] == 1.0
 
 

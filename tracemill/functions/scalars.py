@@ -98,6 +98,63 @@ def smoothed(successes: str | Column, trials: str | Column, alpha: float = 1.0)
     return (_c(successes) + alpha) / (_c(trials) + 2 * alpha)
 
 
+# -- documents, branches, scores --------------------------------------------------------------
+
+
+def frontmatter(text: str | Column) -> Column:
+    """The key: value lines between the leading dashes of a document as a map, empty where there are none."""
+    block = F.regexp_extract(_c(text), r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n|$)", 1)
+    pairs = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^[\w-]+\s*:"))
+    entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:\s*(.*)$", 1)).alias("v"))
+    return F.map_from_entries(F.transform(pairs, entry))
+
+
+def headings(text: str | Column) -> Column:
+    """The texts of a document's headings in order, fenced code left out."""
+    body = F.regexp_replace(_c(text), r"(?s)(?:^|\n)(```|~~~).*?\n\1", "\n")
+    return F.regexp_extract_all(body, F.lit(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$"), F.lit(1))
+
+
+def doc_slug(path: str | Column) -> Column:
+    """A document's path without its suffix."""
+    return F.regexp_replace(_c(path), r"\.md$", "")
+
+
+def doc_category(path: str | Column) -> Column:
+    """A document's category by its folder: root, or the first folder below docs, or the first folder."""
+    p = _c(path)
+    return F.when(~F.contains(p, F.lit("/")), "root").when(p.rlike("^docs/[^/]+/"), F.regexp_extract(p, "^docs/([^/]+)/", 1)).otherwise(F.regexp_extract(p, "^([^/]+)/", 1))
+
+
+def issue_of_branch(branch: str | Column) -> Column:
+    """The issue number that a feature or fix branch is named by, else null."""
+    return F.nullif(F.regexp_extract(_c(branch), r"^(?:feature|fix)/(\d+)-", 1), F.lit("")).try_cast("bigint")
+
+
+def delivery(state: str | Column, merged_at: str | Column, reverted: str | Column) -> Column:
+    """The outcome of a change request: reverted, merged, closed or open."""
+    return F.when(F.coalesce(_c(reverted), F.lit(False)), "reverted").when(_c(merged_at).isNotNull(), "merged").when(F.lower(_c(state)) == "closed", "closed").otherwise("open")
+
+
+def opener_length(text: str | Column) -> Column:
+    """Whether an opening is short (below 60 characters), medium (below 200) or long."""
+    n = F.length(F.trim(_c(text)))
+    return F.when(n < 60, "short").when(n < 200, "medium").otherwise("long")
+
+
+def weighted_score(correct: str | Column, process: str | Column, cost: str | Column, style: str | Column, vetoes: str | Column) -> Column:
+    """Fixed weights 50, 25, 15 and 10 percent; any veto makes it 0."""
+    return F.when(_c(vetoes) > 0, F.lit(0.0)).otherwise(0.50 * _c(correct) + 0.25 * _c(process) + 0.15 * _c(cost) + 0.10 * _c(style))
+
+
+def regime(version: str | Column, bounds: list[tuple[str, str]]) -> Column:
+    """The regime in force for a version: the last (first version, name) that is not above it; `indeterminate` before the first or without a version."""
+    out, key = F.lit("indeterminate"), version_key(version)
+    for first, name in sorted(bounds, key=lambda b: [int(x) for x in b[0].split(".")]):
+        out = F.when((F.size(key) > 0) & (key >= F.array(*[F.lit(int(x)).cast("bigint") for x in first.split(".")])), name).otherwise(out)
+    return out
+
+
 # -- shell commands ---------------------------------------------------------------------------
 
 #: Classes of commands, tried in this order.

@@ -107,3 +107,44 @@ def kmeans(df: DataFrame, key: str, features: list[str], k: int, seed: int) -> D
     rows = StandardScaler(inputCol="_v", outputCol="_x").fit(rows).transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(rows)
     return model.transform(rows).select(key, "cluster")
+
+
+def ols(df: DataFrame, target: str, terms: list[str], ridge: float = 0.0) -> tuple[dict[str, float], float, int]:
+    """Coefficients (with `intercept`), R squared and the number of rows of a least-squares fit.
+
+    The moments of all pairs of terms are sums in one pass over the rows; only that square table, as
+    large as the number of terms squared, is solved on the driver. Rows with a null are left out; a
+    singular system raises ValueError.
+    """
+    import numpy as np
+
+    x = [F.lit(1.0), *[F.col(f"`{t}`").cast("double") for t in terms]]
+    rows = df.dropna(subset=[target, *[t for t in terms]])
+    y = F.col(target).cast("double")
+    k = len(x)
+    sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(c * y).alias(f"m{i}") for i, c in enumerate(x)] + [F.sum(y * y).alias("yy")]
+    r = rows.agg(*sums).first()
+    if r["g0_0"] is None or r["g0_0"] < k:
+        raise ValueError("fewer rows than terms")
+    gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge * np.eye(k)
+    scale = np.sqrt(np.diag(gram))
+    if (scale == 0).any() or np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-10) < k:
+        raise ValueError("terms depend on each other")
+    moment = np.array([r[f"m{i}"] for i in range(k)])
+    beta = np.linalg.solve(gram / np.outer(scale, scale), moment / scale) / scale
+    n = r["g0_0"]
+    spread = r["yy"] - r["m0"] ** 2 / n
+    error = r["yy"] - 2 * beta @ moment + beta @ gram @ beta
+    return dict(zip(["intercept", *terms], map(float, beta))), float(1 - error / spread) if spread > 0 else 0.0, int(n)
+
+
+def bootstrap_median(df: DataFrame, key: list[str], value: str, resamples: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """One row, low and high: the interval of the medians of resamples, each drawing every row Poisson(1) times by hash.
+
+    A resample's median is the value at which the running number of draws passes half of them.
+    """
+    u = F.pmod(F.xxhash64(*key, "_b", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    times = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+    draws = df.select(*key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")).withColumn("_k", times).filter("_k > 0")
+    medians = draws.groupBy("_b").agg(F.percentile(value, F.lit(0.5), F.col("_k")).alias("_m"))
+    return medians.agg(F.percentile("_m", F.lit(alpha / 2)).alias("low"), F.percentile("_m", F.lit(1 - alpha / 2)).alias("high"))

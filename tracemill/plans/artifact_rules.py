@@ -10,7 +10,7 @@ from ..functions.cost import entry_cost
 from ..operators import graph as G
 from ..operators import sequences as S
 from ..sources import artifacts as A
-from .rules import CHARS_PER_TOKEN, EDIT_TOOLS, MIN_USD, RATE_LIMITS, STALE_WEEKS, Signals, bash, compactions, costs, recommend, rule, session_costs, with_evidence
+from .rules import CHARS_PER_TOKEN, EDIT_TOOLS, MIN_USD, RATE_LIMITS, STALE_WEEKS, Signals, bash, costs, recommend, rule, session_costs, with_evidence
 
 
 @rule("cost.legacy-model-overpay", "token_entries", "model_targets")
@@ -56,11 +56,10 @@ def bloated_instructions(s: Signals) -> DataFrame:
 
 @rule("context.compaction-hot-sessions", "token_entries")
 def hot_sessions(s: Signals) -> DataFrame:
-    n = compactions(s).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    c = session_costs(s).join(n, "session_id", "left").withColumn("pct", 100 * F.col("peak") / 200_000)
+    c = session_costs(s).withColumn("pct", 100 * F.col("peak") / 200_000)
     peak = F.when(F.col("pct") >= 80, 40).when(F.col("pct") >= 50, 20 + 20 * (F.col("pct") - 50) / 30).otherwise(20 * F.col("pct") / 50)
     growth = F.col("peak") / F.col("messages")
-    score = peak + F.when(growth >= 15_000, 25).when(growth >= 5_000, 12).otherwise(0) + F.least(F.lit(15), 7 * F.coalesce("n", F.lit(0)))
+    score = peak + F.when(growth >= 15_000, 25).when(growth >= 5_000, 12).otherwise(0) + F.least(F.lit(15), 7 * F.col("shrunk"))
     t = c.withColumn("risk", score).agg(F.count_if(F.col("risk") >= 60).alias("affected"), F.count(F.lit(1)).alias("n"))
     return recommend(t, (F.col("affected") >= 2) | ((F.col("n") >= 5) & (F.col("affected") >= 0.4 * F.col("n"))), "warning", "Sessions run close to compaction")
 

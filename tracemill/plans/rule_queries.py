@@ -21,8 +21,13 @@ def _only(t: Tables, rule_id: str) -> DataFrame:
     return rules.evaluate(star.signals(t), r).select("id", "severity", F.round("est_savings_usd", 6).alias("usd"), "affected")
 
 
+#: The SQL of every rule that has one, by id: (common tables, body).
+BODIES: dict[str, tuple[str, str]] = {}
+
+
 def _rule(rule_id: str, body: str, ctes: str) -> None:
     """Register one rule; body gives severity, usd, affected."""
+    BODIES[rule_id] = (ctes, body)
     name = "rule_" + rule_id.split(".")[1].replace("-", "_")
     sql = f"WITH {ctes}, x AS ({body}) SELECT '{rule_id}' AS id, severity, round(usd, 6)::DOUBLE AS usd, affected::BIGINT AS affected FROM x"
     query(sql, name)(lambda t: _only(t, rule_id))
@@ -40,7 +45,31 @@ _rule("context.tool-call-right-sizing", """SELECT 'info' AS severity, NULL AS us
 _rule("activity.stale-projects", """SELECT 'info' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 3 AND max(o_orderdate) < TIMESTAMP '1998-12-31' - INTERVAL 28 DAY) HAVING count(*) > 0""", CALLS)
 
 
-@query()
+_rule("cost.cache-economics", """SELECT CASE WHEN unread >= 1 THEN 'warning' ELSE 'info' END AS severity, unread AS usd, affected FROM (SELECT sum(base / 1e6 * 0.1 * read) AS read_usd, NULL::DOUBLE AS unread, 0 AS affected FROM t) WHERE read_usd >= 5""", TOKENS)
+_rule("context.compaction-large-tool-outputs", """SELECT 'info' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT session_id, avg((bytes > 20000)::INT) AS rate FROM k GROUP BY 1) WHERE rate >= 0.25 HAVING count(*) >= 3 AND avg(rate) >= 0.1""", CALLS)
+_rule("cost.expensive-sessions", """SELECT 'info' AS severity, NULL AS usd, 3 AS affected FROM (SELECT sum(cost) AS a, sum(cost) FILTER (n <= 3) AS three, count(*) AS n FROM (SELECT cost, row_number() OVER (ORDER BY cost DESC, session_id) AS n FROM (SELECT session_id, sum(cost) AS cost FROM c GROUP BY 1))) WHERE n >= 5 AND three >= 0.25 * a AND three > 0""", TOKENS)
+_rule("cost.batchable-workload", """SELECT 'info' AS severity, usd, affected FROM (SELECT sum(usd) AS usd, count(*) AS affected FROM (SELECT sum(input + output) AS n, sum(base / 1e6 * (input + 5 * output) * 0.5) AS usd FROM t WHERE l_returnflag = 'A' GROUP BY session_id) WHERE n >= 50000) WHERE usd >= 0.05""", TOKENS)
+_rule("context.over-window", """SELECT 'warning' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT session_id FROM c GROUP BY 1 HAVING max(context) > 200000) HAVING count(*) > 0""", TOKENS)
+_rule("context.last-n-runs-audit", """SELECT CASE WHEN (now - base) / base >= 0.5 THEN 'warning' ELSE 'info' END AS severity, NULL AS usd, affected FROM (SELECT avg(peak) FILTER (n <= 10) AS now, avg(peak) FILTER (n > 10) AS base, count(*) FILTER (n > 10) AS more, count(*) FILTER (n <= 10) AS affected
+  FROM (SELECT peak, row_number() OVER (ORDER BY last DESC, session_id) AS n FROM (SELECT session_id, max(context) AS peak, max(ts) AS last FROM c GROUP BY 1))) WHERE more >= 5 AND now >= 50000 AND (now - base) / base >= 0.25""", TOKENS)
+_rule("workflow.redundant-reads", """SELECT 'info' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT session_id, path FROM k WHERE tool_name = 'Read' GROUP BY ALL HAVING count(*) >= 3) HAVING count(*) > 0""", CALLS)
+_rule("reliability.retry-storms", """SELECT 'warning' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT session_id, isle FROM (SELECT session_id, is_error, sum(new) OVER (PARTITION BY session_id ORDER BY ord) AS isle FROM
+  (SELECT *, CASE WHEN tool_name = lag(tool_name) OVER w AND us - lag(us) OVER w <= 60000000 THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY session_id ORDER BY ord))) GROUP BY ALL HAVING count(*) >= 4 AND bool_or(is_error)) HAVING count(*) > 0""", CALLS)
+_rule("security.secrets-at-rest", """SELECT 'critical' AS severity, NULL AS usd, n AS affected FROM (SELECT sum(len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) + len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"'))) AS n FROM conversations) WHERE n > 0""", CALLS)
+
+
+def _ranked_sql() -> str:
+    order = {r.id: r.order for r in rules.RULES}
+    ctes = ", ".join(dict.fromkeys(c for c, _ in BODIES.values()))
+    union = " UNION ALL ".join(f"SELECT '{i}' AS id, severity, round(usd, 6)::DOUBLE AS usd, affected::BIGINT AS affected, {order[i]} AS emit FROM ({body})" for i, (_, body) in BODIES.items())
+    ranks = " ".join(f"WHEN '{name}' THEN {n}" for name, n in rules.RANK.items())
+    return f"""WITH {ctes}, u AS ({union}) SELECT id, severity, usd, affected,
+      row_number() OVER (ORDER BY CASE severity {ranks} END DESC, coalesce(usd, 0) DESC, usd IS NULL, coalesce(affected, 0) DESC, emit) AS place FROM u"""
+
+
+@query(_ranked_sql())
 def recs_ranked(t: Tables) -> DataFrame:
-    """Every rule that the stand-ins feed, united and ranked; its parts are checked one by one."""
-    return rules.build(star.signals(t))
+    """Every rule that the stand-ins feed, ranked; the oracle ranks those that have SQL, which are all that speak on these tables."""
+    found = rules.build(star.signals(t)).collect()  # a few rows a rule
+    rows = [(r["id"], r["severity"], None if r["est_savings_usd"] is None else round(r["est_savings_usd"], 6), r["affected"], n) for n, r in enumerate(found, 1)]
+    return t.spark.createDataFrame(rows, "id string, severity string, usd double, affected bigint, place bigint")

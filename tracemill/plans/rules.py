@@ -2,14 +2,16 @@
 
 A rule is a function of the tables and a fixed `now`; it returns rows of RECOMMENDATION or None
 where a table that it needs is not available (it is dark then, which is not the same as quiet).
-Rules only aggregate; `recommend` adds the fixed columns, and `build` unites and ranks them all
-in one lazy plan.
+Rules only aggregate; `recommend` adds the fixed columns, and `build` runs them all and ranks what
+they say. What several rules need is written once: tool calls in order, and a row a session with
+every total of its messages, so that the large tables are scanned once and not by every rule.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.cost import context_tokens, entry_cost
 from ..operators import sequences as S
 from ..operators import stats as X
+from ..session import materialized
 
 RECOMMENDATION = (
     "id string, category string, severity string, severity_rank int, title string, est_savings_usd double, est_minutes double, affected bigint, evidence array<string>, emit_order int"
@@ -29,6 +32,8 @@ STALE_WEEKS, MIN_SESSIONS, MIN_TURNS, MAX_REFUSAL, RATE_LIMITS = 4, 3, 50, 0.15,
 LOW_HIT, WINDOW, CHARS_PER_TOKEN = 0.5, 200_000, 4
 EDIT_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
 BYPASSED = r"^\s*(?:grep|rg|find|cat|head|tail|sed|awk|cd)\b"
+#: Rules whose jobs run at a time.
+SIDE_BY_SIDE = 8
 RISKY = {"critical": r"\brm\s+-[a-z]*r[a-z]*f|\bgit\s+push\s+.*--force\b|\bmkfs\b|\bdd\s+if=", "warning": r"\bgit\s+reset\s+--hard\b|\bchmod\s+777\b|\bcurl\b[^|]*\|\s*(?:ba)?sh\b"}
 
 
@@ -42,6 +47,7 @@ class Signals:
 
     now: dt.datetime
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    features: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame | None:
         return self.__dict__.get("tables", {}).get(name)
@@ -49,6 +55,18 @@ class Signals:
     def has(self, *names: str) -> bool:
         return all(n in self.tables for n in names)
 
+    def feature(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several rules share, made and written once."""
+        if name not in self.features:
+            self.features[name] = materialized(make())
+        return self.features[name]
+
+    def prepared(self) -> Signals:
+        """The same signals with tool calls written once, narrow and ordered, so that no rule orders or parses them again."""
+        if "tool_calls" not in self.tables:
+            return self
+        return Signals(self.now, {**self.tables, "tool_calls": materialized(self.tables["tool_calls"])}, self.features)
+
     def since(self, days: float) -> Column:
         return F.lit(self.now - dt.timedelta(days=days))
 
@@ -107,9 +125,25 @@ def costs(s: Signals) -> DataFrame:
 
 
 def session_costs(s: Signals) -> DataFrame:
-    return costs(s).groupBy("session_id").agg(
+    """A row a session: its spend, context and bounds. Every rule on sessions reads this table."""
+    return s.feature("session_costs", lambda: _session_costs(s))
+
+
+def _session_costs(s: Signals) -> DataFrame:
+    hour = F.least("cache_creation_1h", "cache_creation")
+    per = F.col("base") / 1e6
+    sdk = F.coalesce(F.col("entrypoint").startswith("sdk-"), F.lit(False))
+    w = Window.partitionBy("session_id").orderBy("ts", "seq")
+    e = costs(s).withColumn("before", F.lag("context").over(w)).withColumn("gap", S.micros("ts") - S.micros(F.lag("ts").over(w)))
+    shrank = (F.col("context") < 0.7 * F.col("before")) & (F.col("gap") <= 5 * 60 * 1_000_000)
+    return e.groupBy("session_id").agg(
         F.sum("cost").alias("cost"), F.max("context").alias("peak"), F.sum("cache_read").alias("read"), F.sum("cache_creation").alias("made"), F.sum("output").alias("output"),
         F.max("ts").alias("last_ts"), F.bool_or(F.col("base").isNull()).alias("unknown"), F.max("entrypoint").alias("entrypoint"), F.count(F.lit(1)).alias("messages"),  # sdk-* sorts last: one such message makes a session unattended
+        F.sum(hour * per * 0.75).alias("hour_extra"), F.count_if(F.col("cache_creation_1h") > 0).alias("hour_messages"), F.sum(per * 0.1 * F.col("cache_read")).alias("read_usd"), F.sum(per * 2 * hour).alias("hour_usd"),
+        F.sum(0.01 * F.col("web_search")).alias("search_usd"), F.sum("web_search").alias("searches"), F.bool_or(F.col("service_tier") == "priority").alias("priority"),
+        F.sum("thinking").alias("thought"), F.sum("visible").alias("shown"), F.sum(F.col("thinking") * per * 5 * 0.5).alias("thought_usd"),
+        F.sum(F.when(sdk, F.col("input") + F.col("output"))).alias("batch_tokens"), F.sum(F.when(sdk, per * (F.col("input") + 5 * F.col("output")) * 0.5)).alias("batch_usd"),
+        F.count_if(shrank).alias("shrunk"),
     )
 
 
@@ -117,28 +151,18 @@ def bash(s: Signals) -> DataFrame:
     return s.tool_calls.filter("tool_name = 'Bash' AND input.command IS NOT NULL").withColumn("command", F.col("input.command"))
 
 
-def compactions(s: Signals) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("ts", "seq")
-    e = costs(s).withColumn("before", F.lag("context").over(w)).withColumn("gap", S.micros("ts") - S.micros(F.lag("ts").over(w)))
-    return e.filter((F.col("context") < 0.7 * F.col("before")) & (F.col("gap") <= 5 * 60 * 1_000_000))
-
-
 # -- cost -------------------------------------------------------------------------------------
 
 
 @rule("cost.cache-1h-waste", "token_entries")
 def cache_1h_waste(s: Signals) -> DataFrame:
-    extra = F.least("cache_creation_1h", "cache_creation") / 1e6 * F.col("base") * 0.75
-    t = s.token_entries.agg(F.sum(extra).alias("usd"), F.count_if(F.col("cache_creation_1h") > 0).alias("affected"))
+    t = session_costs(s).agg(F.sum("hour_extra").alias("usd"), F.sum("hour_messages").alias("affected"))
     return recommend(t, F.col("usd") >= MIN_USD, F.when(F.col("usd") >= 1, "warning").otherwise("info"), "Hour-long cache writes cost more than they save", usd="usd")
 
 
 @rule("cost.cache-economics", "token_entries")
 def cache_economics(s: Signals) -> DataFrame:
-    c = s.token_entries.groupBy("session_id").agg(
-        F.sum(F.col("base") / 1e6 * 0.1 * F.col("cache_read")).alias("read_usd"), F.sum("cache_read").alias("read"), F.sum(F.col("base") / 1e6 * 2 * F.least("cache_creation_1h", "cache_creation")).alias("hour_usd")
-    )
-    t = c.agg(F.sum("read_usd").alias("read_usd"), F.sum(F.when(F.col("read") == 0, F.col("hour_usd"))).alias("unread"), F.count_if((F.col("read") == 0) & (F.col("hour_usd") > 0)).alias("affected"))
+    t = session_costs(s).agg(F.sum("read_usd").alias("read_usd"), F.sum(F.when(F.col("read") == 0, F.col("hour_usd"))).alias("unread"), F.count_if((F.col("read") == 0) & (F.col("hour_usd") > 0)).alias("affected"))
     return recommend(t, (F.col("read_usd") >= 5) | (F.col("unread") >= 1), F.when(F.col("unread") >= 1, "warning").otherwise("info"), "Context is paid for and not read again", usd="unread")
 
 
@@ -165,27 +189,25 @@ def unknown_model(s: Signals) -> DataFrame:
 
 @rule("cost.web-search-spend", "token_entries")
 def web_search_spend(s: Signals) -> DataFrame:
-    t = costs(s).agg(F.sum(0.01 * F.col("web_search")).alias("search"), F.sum("cost").alias("all"), F.sum("web_search").alias("affected"))
+    t = session_costs(s).agg(F.sum("search_usd").alias("search"), F.sum("cost").alias("all"), F.sum("searches").alias("affected"))
     return recommend(t, (F.col("search") >= 0.5) & (F.col("search") > 0.1 * F.col("all")), "info", "Web searches are a visible part of the spend", usd=0.25 * F.col("search"))
 
 
 @rule("cost.priority-tier-spend", "token_entries")
 def priority_tier(s: Signals) -> DataFrame:
-    t = s.token_entries.filter("service_tier = 'priority'").agg(F.count_distinct("session_id").alias("affected"))
+    t = session_costs(s).agg(F.count_if("priority").alias("affected"))
     return recommend(t, F.col("affected") >= 3, "info", "Sessions run on the priority tier")
 
 
 @rule("cost.disproportionate-thinking", "token_entries")
 def disproportionate_thinking(s: Signals) -> DataFrame:
-    c = s.token_entries.groupBy("session_id").agg(F.sum("thinking").alias("t"), F.sum("visible").alias("v"), F.sum(F.col("thinking") * F.col("base") * 5 / 1e6 * 0.5).alias("usd"))
-    t = c.filter("t >= 20000 AND v >= 2000 AND t >= 2.0D * v").agg(F.count(F.lit(1)).alias("affected"), F.sum("usd").alias("usd"))
+    t = session_costs(s).filter("thought >= 20000 AND shown >= 2000 AND thought >= 2.0D * shown").agg(F.count(F.lit(1)).alias("affected"), F.sum("thought_usd").alias("usd"))
     return recommend(t, F.col("usd") >= 0.25, "info", "Thinking outweighs what is shown", usd="usd")
 
 
 @rule("cost.batchable-workload", "token_entries")
 def batchable_workload(s: Signals) -> DataFrame:
-    c = costs(s).filter(F.col("entrypoint").startswith("sdk-")).groupBy("session_id").agg(F.sum(F.col("input") + F.col("output")).alias("n"), F.sum(F.col("base") / 1e6 * (F.col("input") + 5 * F.col("output")) * 0.5).alias("usd"))
-    t = c.filter("n >= 50000").agg(F.count(F.lit(1)).alias("affected"), F.sum("usd").alias("usd"))
+    t = session_costs(s).filter("batch_tokens >= 50000").agg(F.count(F.lit(1)).alias("affected"), F.sum("batch_usd").alias("usd"))
     return recommend(t, F.col("usd") >= MIN_USD, "info", "Unattended work could run in batches at half the price", usd="usd")
 
 
@@ -217,8 +239,7 @@ def over_window(s: Signals) -> DataFrame:
 
 @rule("context.low-health", "token_entries")
 def low_health(s: Signals) -> DataFrame:
-    n = compactions(s).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    c = session_costs(s).join(n, "session_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = session_costs(s).withColumn("n", F.col("shrunk"))
     hit = F.try_divide(F.col("read"), F.col("read") + F.col("made"))
     lost = F.when(hit < LOW_HIT, 20).otherwise(0) + F.least(F.lit(30), 10 * F.col("n")) + F.when(F.col("peak") > 100_000, 20).otherwise(0) + F.when(F.col("peak") > WINDOW, 20).otherwise(0)
     bad = c.withColumn("score", 100 - lost).filter("score < 50")
@@ -233,7 +254,7 @@ def low_cache_hit(s: Signals) -> DataFrame:
 
 @rule("context.repeated-compactions", "token_entries")
 def repeated_compactions(s: Signals) -> DataFrame:
-    c = compactions(s).groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    c = session_costs(s).select("session_id", F.col("shrunk").alias("n")).filter("n >= 2")
     return recommend(with_evidence(c.agg(F.count(F.lit(1)).alias("affected")), c, "session_id", "n"), F.col("affected") >= 2, "warning", "Sessions compact again and again", evidence="evidence")
 
 
@@ -624,20 +645,25 @@ def secrets_at_rest(s: Signals) -> DataFrame:
 
 
 def evaluate(s: Signals, rules: list[Rule] | None = None) -> DataFrame:
-    """The rows of every rule whose tables are there, unranked."""
-    parts = []
-    for r in rules if rules is not None else RULES:
-        if s.has(*r.needs):
-            category = r.id.split(".")[0]
-            rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
-            parts.append(r.run(s).select(
-                F.lit(r.id).alias("id"), F.lit(category).alias("category"), "severity", rank[F.col("severity")].alias("severity_rank"), "title", "est_savings_usd", "est_minutes", "affected", "evidence",
-                F.lit(r.order).alias("emit_order"),
-            ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The rows of every rule whose tables are there, unranked.
+
+    Each rule is a small job of its own over the shared tables and yields a few rows at most
+    (totals, with up to five labels as evidence), so the jobs run side by side and their rows are
+    put together on the driver; one plan that unites them all would be planned for longer than it runs.
+    """
+    chosen = [r for r in (rules if rules is not None else RULES) if s.has(*r.needs)]
+    rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
+    plans = [
+        r.run(s).select(
+            F.lit(r.id).alias("id"), F.lit(r.id.split(".")[0]).alias("category"), "severity", rank[F.col("severity")].alias("severity_rank"), "title", "est_savings_usd", "est_minutes", "affected", "evidence",
+            F.lit(r.order).alias("emit_order"),
+        )
+        for r in chosen
+    ]
+    spark = next(iter(s.tables.values())).sparkSession
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        found = [row for rows in pool.map(lambda p: p.collect(), plans) for row in rows]
+    return spark.createDataFrame(found, RECOMMENDATION)
 
 
 def ranked(recommendations: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
@@ -655,7 +681,7 @@ def coverage(s: Signals) -> list[tuple[str, str]]:
 
 
 def build(s: Signals, rejected: DataFrame | None = None) -> DataFrame:
-    return ranked(evaluate(s), rejected)
+    return ranked(evaluate(s.prepared()), rejected)
 
 
 def cascade(claims: DataFrame, bill: DataFrame) -> DataFrame:
