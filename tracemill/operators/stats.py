@@ -66,7 +66,7 @@ def signed_rank_test(df: DataFrame, delta: str, min_pairs: int = 12, alpha: floa
     n, w = F.col("pairs").cast("double"), F.coalesce("w_minus", F.lit(0.0))
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     z = F.when((n > 0) & (variance > 0), (w - n * (n + 1) / 4 - 0.5) / F.sqrt(variance))
-    r = r.withColumn("z", z).withColumn("p", F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - normal_cdf(F.col("z")))), F.lit(1.0)))
+    r = r.withColumn("z", z).withColumn("p", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - normal_cdf(F.col("z"))))).otherwise(F.lit(1.0)))
     verdict = F.when(F.col("pairs") < min_pairs, "not-yet-provable").when(F.col("p") < alpha, "proven").otherwise("null")
     return r.withColumn("verdict", verdict)
 

@@ -45,7 +45,7 @@ _rule("context.tool-call-right-sizing", """SELECT 'info' AS severity, NULL AS us
 _rule("activity.stale-projects", """SELECT 'info' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 3 AND max(o_orderdate) < TIMESTAMP '1998-12-31' - INTERVAL 28 DAY) HAVING count(*) > 0""", CALLS)
 
 
-_rule("cost.cache-economics", """SELECT CASE WHEN unread >= 1 THEN 'warning' ELSE 'info' END AS severity, unread AS usd, affected FROM (SELECT sum(base / 1e6 * 0.1 * read) AS read_usd, NULL::DOUBLE AS unread, 0 AS affected FROM t) WHERE read_usd >= 5""", TOKENS)
+_rule("cost.cache-economics", """SELECT CASE WHEN unread >= 1 THEN 'warning' ELSE 'info' END AS severity, unread AS usd, affected FROM (SELECT sum(r) AS read_usd, sum(h) FILTER (n = 0) AS unread, 0 AS affected FROM (SELECT sum(base / 1e6 * 0.1 * read) AS r, sum(read) AS n, sum(base * 0) AS h FROM t GROUP BY session_id)) WHERE read_usd >= 5""", TOKENS)
 _rule("context.compaction-large-tool-outputs", """SELECT 'info' AS severity, NULL AS usd, count(*) AS affected FROM (SELECT session_id, avg((bytes > 20000)::INT) AS rate FROM k GROUP BY 1) WHERE rate >= 0.25 HAVING count(*) >= 3 AND avg(rate) >= 0.1""", CALLS)
 _rule("cost.expensive-sessions", """SELECT 'info' AS severity, NULL AS usd, 3 AS affected FROM (SELECT sum(cost) AS a, sum(cost) FILTER (n <= 3) AS three, count(*) AS n FROM (SELECT cost, row_number() OVER (ORDER BY cost DESC, session_id) AS n FROM (SELECT session_id, sum(cost) AS cost FROM c GROUP BY 1))) WHERE n >= 5 AND three >= 0.25 * a AND three > 0""", TOKENS)
 _rule("cost.batchable-workload", """SELECT 'info' AS severity, usd, affected FROM (SELECT sum(usd) AS usd, count(*) AS affected FROM (SELECT sum(input + output) AS n, sum(base / 1e6 * (input + 5 * output) * 0.5) AS usd FROM t WHERE l_returnflag = 'A' GROUP BY session_id) WHERE n >= 50000) WHERE usd >= 0.05""", TOKENS)
