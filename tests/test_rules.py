@@ -105,10 +105,12 @@ def test_every_rule_plans(spark):
         "mcp_auth": empty("name string, needs_auth boolean"), "settings_findings": empty("severity string"), "git_outcomes": empty("id string, merged_at timestamp, kind string, files array<string>"),
         "deceit": empty("session_id string, unbacked int, contradicted int"), "doc_nodes": empty("node string"), "doc_edges": empty("src string, dst string, kind string"),
         "memory_files": empty("store string, name string, bytes long, longest_line int, is_index boolean"), "memory_links": empty("store string, to string"), "path_refs": empty("path string, state string"),
+        "shadow_calls": empty("axis string, variation string, source string, ts timestamp"), "covered_axes": empty("axis string"), "import_edges": empty("src string, dst string"),
+        "model_evals": empty("task_class string, correct double, process double, cost double, style double, vetoes int, cheaper boolean, ts timestamp"),
+        "local_calibration": empty("task_class string, outcome string"), "config_sections": empty("file string, section string, governed string"),
     })
     assert all(state == "on" for _, state in rules.coverage(s))
-    for r in rules.RULES:
-        assert rules.evaluate(s, [r]).isEmpty(), r.id
+    assert [r["id"] for r in rules.evaluate(s).collect()] == []
 
 
 def test_cascade_adds_up(spark):
@@ -141,3 +143,46 @@ def test_artifact_rules(spark):
     assert {k: r["affected"] for k, r in got.items() if k != "maintenance.doc-hygiene"} == {
         "reliability.post-shipment-rework": 1, "reliability.config-drift": 1, "safety.policy-change": 1, "context.bloated-instructions": 41_000, "workflow.shared-checkout-rework": 1,
     }
+
+
+def test_rules_over_catalogues(spark):
+    of = lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
+    s = rules.Signals(NOW, {
+        "installed": of("kind string, name string", ("mcp_server", "a"), ("plugin", "b"), ("mcp_server", "used"), ("skill", "c")), "attribution": of("session_id string, kind string, name string, invocations long, output_tokens long", ("s", "mcp_server", "used", 1, 1)),
+        "shadow_calls": of("axis string, variation string, source string, ts timestamp", ("prompt", "v", "x", T0), ("prompt", "old", "x", NOW - dt.timedelta(days=40)), ("other", "w", "x", T0)),
+        "shadow": of("axis string, variation string, at string, winner string", *[("tone", "v", "t", "shadow")] * 5, *[("size", "v", "t", "shadow")] * 5), "covered_axes": of("axis string", ("size",)),
+        "model_evals": of("task_class string, correct double, process double, cost double, style double, vetoes int, cheaper boolean, ts timestamp", ("a", 1.0, 0.5, 0.5, 0.5, 0, True, T0), ("b", 1.0, 1.0, 1.0, 1.0, 1, True, T0), ("c", 1.0, 1.0, 1.0, 1.0, 0, True, NOW - dt.timedelta(days=20))),
+        "local_calibration": of("task_class string, outcome string", ("a", "pass"), ("b", "fail"), ("c", "insufficient")),
+        "config_sections": of("file string, section string, governed string", ("ROOT.md", "one", "web/a.ts"), ("ROOT.md", "one", "web/b.ts"), ("ROOT.md", "two", "web/a.ts"), ("ROOT.md", "two", "api/b.ts"), ("web/X.md", "three", "web/a.ts")),
+        "import_edges": of("src string, dst string", ("a", "/hub"), ("b", "/hub"), ("c", "/leaf")), "tool_calls": calls(spark, [("s", "Read", None, p, False, 1, k) for k, p in enumerate(["/hub", "/leaf"] * 3)]),
+        "token_entries": entries(spark, [("h", at, 3.0, n, 0, 0, 0, 0) for at, n in ((1, 1000), (61, 1000), (121, 1000), (181, 90_000))]),
+        "timeline": of("session_id string, ord int, ts timestamp, kind string, summary string", *[("h", k, T0 + dt.timedelta(seconds=60 * k), "user", text) for k, text in enumerate(["please do this", "and that", "fine", "no, that is wrong"])]),
+    })
+    wanted = ("safety.config-hygiene-rollup", "workflow.shadow-prompt", "workflow.uncovered-shadow-axis", "cost.model-eval-routing-gap", "context.over-scoped-config-section", "context.repo-map-context-waste", "workflow.human-input-leverage")
+    got = run(s, *wanted)
+    assert {k: (r["affected"], r["evidence"]) for k, r in got.items()} == {
+        "safety.config-hygiene-rollup": (2, ["a", "b"]), "workflow.shadow-prompt": (1, ["v"]), "workflow.uncovered-shadow-axis": (1, ["tone"]), "cost.model-eval-routing-gap": (1, ["a"]),
+        "context.over-scoped-config-section": (1, ["one"]), "context.repo-map-context-waste": (1, ["/hub"]), "workflow.human-input-leverage": (1, []),
+    }
+    local = [r for r in rules.RULES if r.id == "cost.local-downroute"]
+    assert sorted(r["evidence"][0] for r in rules.evaluate(s, local).collect()) == ["fail", "pass"]
+
+
+def test_waits_and_handoffs(spark):
+    say = [("s", k, T0 + dt.timedelta(minutes=6 * k), "assistant" if k % 2 == 0 else "user", "waiting for the build" if k % 2 == 0 else "done") for k in range(6)]
+    sessions = spark.createDataFrame([("a", "p", T0, T0), ("b", "p", T0 + dt.timedelta(hours=1), NOW)], "session_id string, project string, start_ts timestamp, end_ts timestamp")
+    rows = [("a", "Bash", "gh pr create", None, False, 1, 10), ("b", "Bash", "gh pr list", None, False, 1, 3700), ("b", "Bash", "git log -3", None, False, 1, 3800)]
+    s = rules.Signals(NOW, {"timeline": spark.createDataFrame(say, "session_id string, ord int, ts timestamp, kind string, summary string"), "tool_calls": calls(spark, rows), "sessions": sessions})
+    got = run(s, "workflow.reclaim-wait-windows", "workflow.value-of-agent-handoff")
+    assert got["workflow.reclaim-wait-windows"]["affected"] == 3 and got["workflow.reclaim-wait-windows"]["evidence"] == ["build"] and got["workflow.reclaim-wait-windows"]["severity"] == "warning"
+    assert got["workflow.value-of-agent-handoff"]["evidence"] == ["p"]
+    noted = calls(spark, [*rows, ("a", "Write", None, "/x/HANDOFF.md", False, 1, 20)])
+    assert run(rules.Signals(NOW, {"tool_calls": noted, "sessions": sessions}), "workflow.value-of-agent-handoff") == {}
+
+
+def test_settings_silence_rules(spark):
+    rows = [("s", "Bash", "grep x", None, False, 5, k * 60) for k in range(12)]
+    tables = {"tool_calls": calls(spark, rows)}
+    assert "workflow.native-bypass" in run(rules.Signals(NOW, tables), "workflow.native-bypass")
+    config = spark.createDataFrame([("nativeToolHook", "True"), ("other", "x")], "key string, value string")
+    assert run(rules.Signals(NOW, {**tables, "live_config": config}), "workflow.native-bypass") == {}

@@ -74,3 +74,52 @@ def test_history(spark, tmp_path, t):
     h = read_history(spark, str(tmp_path / "history.jsonl"))
     assert sorted((r["session_id"], r["human"]) for r in h.collect()) == [("s1", False), ("s9", True)]
     assert [r["session_id"] for r in history_only(h, t.sessions).collect()] == ["s9"]
+
+
+def test_transcripts_to_ranked_recommendations(spark, tmp_path):
+    """Lines in, recommendations out: prices by model, calls, errors, steering and settings on the way."""
+    import datetime as dt
+
+    from tracemill.plans import artifact_rules, rules  # noqa: F401  the former registers its rules
+    from tracemill.sources.signals import from_transcripts
+
+    folder = tmp_path / "projects" / "beta"
+    folder.mkdir(parents=True)
+    for n in range(5):
+        at = lambda k: f"2026-01-1{n}T10:{k:02d}:00Z"  # noqa: B023, E731
+        lines = [{"type": "user", "timestamp": at(0), "permissionMode": "bypassPermissions", "message": {"content": "please fix it"}}]
+        for k in range(1, 7):
+            tool = {"type": "tool_use", "id": f"t{k}", "name": "Bash", "input": {"command": "rm -rf /tmp/x" if k == 6 else "grep foo ."}}
+            lines.append(assistant(at(2 * k), f"m{k}", {"input_tokens": 100_000 * (n + 1), "output_tokens": 10_000, "cache_read_input_tokens": 1}, [tool], model="claude-opus-4-8[1m]" if k < 6 else "gpt-x"))
+            lines.append({"type": "user", "timestamp": at(2 * k + 1), "message": {"content": [{"type": "tool_result", "tool_use_id": f"t{k}", "is_error": k % 2 == 0, "content": "x" * 30}]}})
+        lines.append({"type": "user", "timestamp": at(30), "message": {"content": "no, that is wrong"}})
+        (folder / f"s{n}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    t = Transcripts(read_lines(spark, str(tmp_path)))
+    now = dt.datetime(2026, 1, 20)
+    s = from_transcripts(t, now)
+    first = t.token_entries.filter("session_id = 's0'").count()
+    assert first == 6 and s.steering.filter("corrections = 1 AND turns = 1").count() == 5
+    spend = rules.session_costs(s).filter("session_id = 's1'").first()
+    assert abs(spend["cost"] - 5 * (200_000 * 5 + 10_000 * 25 + 0.5) / 1e6) < 1e-9 and spend["unknown"]
+    got = rules.build(s).collect()
+    by = {r["id"]: r for r in got}
+    assert {"safety.dangerous-bypass", "safety.risky-actions", "reliability.tool-errors", "workflow.native-bypass", "cost.unknown-model", "context.over-window"} <= set(by)
+    assert by["workflow.native-bypass"]["affected"] == 25 and by["cost.unknown-model"]["affected"] == 5 and by["reliability.tool-errors"]["affected"] == 15
+    assert [r["severity_rank"] for r in got] == sorted((r["severity_rank"] for r in got), reverse=True)
+    quiet = from_transcripts(t, now, live_config=spark.createDataFrame([("sandboxEnabled", "true")], "key string, value string"))
+    assert "safety.risky-actions" not in {r["id"] for r in rules.build(quiet, spark.createDataFrame([("cost.unknown-model",)], "id string")).collect()}
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    folder = tmp_path / "projects" / "p"
+    (folder / "s" / "subagents").mkdir(parents=True)
+    (folder / "s.jsonl").write_text("\n".join(json.dumps({"type": "user", "n": i, "pad": "x" * 200}) for i in range(3000)))
+    for name in ("b", "a"):
+        (folder / "s" / "subagents" / f"{name}.jsonl").write_text("\n".join(json.dumps({"type": "user", "n": name + str(i)}) for i in range(3)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # several blocks a file
+    try:
+        got = [json.loads(r["line"])["n"] for r in read_lines(spark, str(tmp_path)).orderBy("session_id", "seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [*range(3000), "a0", "a1", "a2", "b0", "b1", "b2"]

@@ -2,6 +2,9 @@
 
 All are windows partitioned by the sequence's key, so they need one exchange on it; none joins a
 sequence with itself. Times are microseconds since the epoch unless a column says otherwise.
+
+What follows a row is taken in reverse order (`following`): a frame that starts at the partition's
+beginning grows by a row at a time, while one that runs to its end is computed anew for each row.
 """
 
 from __future__ import annotations
@@ -16,6 +19,12 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def following(key: list[str], order: list[str | Column], at_once: bool = False):
+    """The rows after a row (with at_once, the row too) as a frame of the reversed order: use last() for the nearest."""
+    w = Window.partitionBy(*key).orderBy(*[(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order])
+    return w.rowsBetween(Window.unboundedPreceding, 0 if at_once else -1)
+
+
 def islands(df: DataFrame, key: list[str], order: list[str], same: list[str], time: str, gap_us: int, out: str = "island") -> DataFrame:
     """Number the runs within a key whose rows agree in `same` and follow within gap_us (inclusive)."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -42,8 +51,8 @@ def asof(left: DataFrame, right: DataFrame, key: list[str], left_time: str, righ
     r = right.select(*key, F.col(right_time).alias("_t"), F.col(value).alias("_v"), F.col(right_time).alias("_rt"), F.lit(0 if not forward else 1).alias("_side"))
     stacked = l.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*key).orderBy("_t", "_side", "_v")
-    frame, pick = (w.rowsBetween(0, Window.unboundedFollowing), F.first) if forward else (w.rowsBetween(Window.unboundedPreceding, 0), F.last)
-    found = stacked.withColumn(out, pick("_v", ignorenulls=True).over(frame)).withColumn(f"{out}_time", pick("_rt", ignorenulls=True).over(frame))
+    frame = following(key, ["_t", "_side", "_v"], at_once=True) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
+    found = stacked.withColumn(out, F.last("_v", ignorenulls=True).over(frame)).withColumn(f"{out}_time", F.last("_rt", ignorenulls=True).over(frame))
     return found.filter(F.col("_side") == (0 if forward else 1)).drop("_side", "_t", "_v", "_rt")
 
 
@@ -55,8 +64,7 @@ def look_ahead(df: DataFrame, key: list[str], order: list[str], rows: int, expr:
 
 def next_where(df: DataFrame, key: list[str], order: list[str], condition: Column, value: Column, out: str) -> DataFrame:
     """The value of the next row that meets a condition, whatever lies between."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(out, F.first(F.when(condition, value), ignorenulls=True).over(w))
+    return df.withColumn(out, F.last(F.when(condition, value), ignorenulls=True).over(following(key, order)))
 
 
 def ngrams(df: DataFrame, key: list[str], order: list[str], item: str, sizes: range, out: str = "gram") -> DataFrame:

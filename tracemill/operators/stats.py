@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """Pearson's correlation; null where one side does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def concordance(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Counts of concordant, discordant and tied pairs of rows; for small, aggregated tables."""
     q = df.select(*[F.col(c).alias(f"_{c}") for c in (key, a, b)])

@@ -258,3 +258,114 @@ def report_card(s: Signals) -> DataFrame:
     g = g.filter("n >= 5").withColumn("verdict", verdict).filter("verdict <> 'keep'")
     t = g.agg(F.count(F.lit(1)).alias("affected"), F.count_if(F.col("verdict") == "move").alias("moves"))
     return recommend(with_evidence(t, g, "project", "bad"), F.col("affected") > 0, F.when(F.col("moves") > 0, "warning").otherwise("info"), "Projects where the agent fails often", evidence="evidence")
+
+
+# -- rules over catalogues, calibrations and several sessions ----------------------------------
+
+
+@rule("safety.config-hygiene-rollup", "installed", "attribution")
+def config_hygiene(s: Signals) -> DataFrame:
+    """Servers and plugins that are installed and never used."""
+    kinds = s.installed.filter("kind IN ('mcp_server', 'plugin')").select("kind", "name").distinct()
+    idle = kinds.join(s.attribution.select("kind", "name").distinct(), ["kind", "name"], "left_anti").withColumn("n", F.lit(1))
+    t = with_evidence(idle.agg(F.count(F.lit(1)).alias("affected")), idle, "name", "n")
+    return recommend(t, F.col("affected") >= 2, F.when(F.col("affected") >= 5, "warning").otherwise("info"), "Installed servers and plugins lie idle", evidence="evidence")
+
+
+@rule("workflow.shadow-prompt", "shadow_calls")
+def shadow_prompt(s: Signals) -> DataFrame:
+    """Variations tried on the prompt axis within a month (axis, variation, source, ts)."""
+    fresh = s.shadow_calls.filter("axis = 'prompt'").filter(F.col("ts") >= s.since(30))
+    g = fresh.groupBy("variation", "source").agg(F.count(F.lit(1)).alias("n"))
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "variation", "n"), F.col("affected") > 0, "info", "A prompt variation has been tried", evidence="evidence")
+
+
+@rule("workflow.uncovered-shadow-axis", "shadow", "covered_axes")
+def uncovered_axis(s: Signals) -> DataFrame:
+    """Axes whose variation wins and that no rule covers (axis)."""
+    g = A.shadow_wins(s.shadow).join(s.covered_axes.select("axis").distinct(), "axis", "left_anti")
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "axis", "rate"), F.col("affected") > 0, "info", "An experiment wins on an axis that no rule covers", evidence="evidence")
+
+
+@rule("workflow.human-input-leverage", "token_entries", "timeline")
+def input_leverage(s: Signals) -> DataFrame:
+    """Spans between user turns that cost far more than usual and follow a correction or an interruption.
+
+    A message belongs to the last user turn before it: turns and messages are stacked and the turn is carried on.
+    """
+    from ..sources.signals import steering_kind
+
+    turn = s.timeline.filter("kind = 'user'").select("session_id", S.micros("ts").alias("t_us"), F.struct("ord", ((steering_kind("summary") == "corrective") | F.col("summary").startswith("[Request interrupted")).alias("steered")).alias("turn"))
+    spent = s.token_entries.select("session_id", S.micros("ts").alias("us"), (F.col("input") + F.col("output")).alias("tokens"))
+    spans = S.asof(spent, turn, ["session_id"], "us", "t_us", "turn", out="at").filter("at IS NOT NULL").groupBy("session_id", "at").agg(F.sum("tokens").alias("tokens"))
+    m = spans.agg(F.percentile("tokens", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    t = spans.crossJoin(F.broadcast(m)).filter("n >= 4 AND at.steered AND tokens >= 3 * median AND tokens >= 50000").agg(F.count(F.lit(1)).alias("affected"))  # one row
+    return recommend(t, F.col("affected") > 0, F.when(F.col("affected") >= 3, "warning").otherwise("info"), "Corrections set off expensive stretches of work")
+
+
+#: What a session waits for, tried in this order.
+WAITS = (("review", r"\breview|approv|merge"), ("deploy", r"\bdeploy|releas|publish"), ("build", r"\bbuild|compil|install|bundle"), ("test", r"\btest|suite|\bci\b|lint"))
+
+
+@rule("workflow.reclaim-wait-windows", "timeline")
+def wait_windows(s: Signals) -> DataFrame:
+    """Passive waits of a minute or more by what is waited for."""
+    w = Window.partitionBy("session_id").orderBy("ord")
+    said = F.last(F.when(F.col("kind") == "assistant", F.struct("summary", "ts")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    c = s.timeline.withColumn("said", said).filter("kind = 'user'").withColumn("gap", (S.micros("ts") - S.micros("said.ts")) / 1e6)
+    c = c.filter((F.col("gap") >= 60) & F.lower("said.summary").rlike(r"\b(?:wait(?:ing)?|let me know when|once (?:it|that) (?:is|finishes))\b"))
+    kind = F.lit("other")
+    for name, pattern in reversed(WAITS):
+        kind = F.when(F.lower("said.summary").rlike(pattern), name).otherwise(kind)
+    g = c.groupBy(kind.alias("wait")).agg(F.count(F.lit(1)).alias("n"), F.sum("gap").alias("gap"), F.max("gap").alias("worst"))
+    t = g.agg(F.sum("n").alias("affected"), (F.sum("gap") / 60).alias("minutes"), F.max("worst").alias("worst"))
+    return recommend(with_evidence(t, g, "wait", "gap", 6), F.col("affected") >= 3, F.when(F.col("worst") >= 300, "warning").otherwise("info"), "Waiting time could be used", minutes="minutes", evidence="evidence")
+
+
+@rule("workflow.value-of-agent-handoff", "tool_calls", "sessions")
+def handoff(s: Signals) -> DataFrame:
+    """Sessions that changed something outside, left no note, and whose project's next session looked it up again within twenty minutes of its start."""
+    c = bash(s)
+    outside = c.filter(F.col("command").rlike(r"\bgh\s+(?:pr|issue|release)\s+(?:create|merge|edit)\b|\bgit\s+push\b|\b(?:kubectl|terraform)\s+apply\b")).select("session_id").distinct()
+    noted = s.tool_calls.filter(F.col("tool_name").isin(*EDIT_TOOLS) & F.col("input.file_path").rlike(r"(?i)(?:handoff|notes?|todo|status|memory)[^/]*\.md$")).select("session_id").distinct()
+    silent = outside.join(noted, "session_id", "left_anti")
+    w = Window.partitionBy("project").orderBy("start_ts", "session_id")
+    after = s.sessions.withColumn("next", F.lead(F.struct("session_id", "start_ts")).over(w)).filter("next IS NOT NULL").select("session_id", "project", F.col("next.session_id").alias("later"), F.col("next.start_ts").alias("began"))
+    again = c.filter(F.col("command").rlike(r"\bgh\s+(?:pr|issue|run)\s+(?:list|view|status|checks)\b|\bgit\s+(?:log|status|fetch)\b")).select(F.col("session_id").alias("later"), "ts")
+    hits = silent.join(after, "session_id").join(again, "later").filter(S.micros("ts") - S.micros("began") <= 20 * 60_000_000)
+    g = hits.groupBy("session_id", "project").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "project", "n"), F.col("affected") > 0, F.when(F.col("affected") >= 3, "warning").otherwise("info"), "The next session finds out again what the last one did", evidence="evidence")
+
+
+@rule("cost.model-eval-routing-gap", "model_evals")
+def eval_routing_gap(s: Signals) -> DataFrame:
+    """Task classes that a cheaper model passed lately (task_class, correct, process, cost, style, vetoes, cheaper, ts)."""
+    score = C.weighted_score("correct", "process", "cost", "style", "vetoes")
+    g = s.model_evals.filter("cheaper").filter(F.col("ts") >= s.since(14)).groupBy("task_class").agg(F.avg(score).alias("score"), F.max("vetoes").alias("vetoes")).filter("score >= 0.6D AND vetoes = 0")
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "task_class", "score"), F.col("affected") > 0, "info", "Evaluations show a cheaper model is good enough", evidence="evidence")
+
+
+@rule("cost.local-downroute", "local_calibration")
+def local_downroute(s: Signals) -> DataFrame:
+    """What calibration says of local models (task_class, outcome): proven where it passed, an honest no where it failed, silence where it is not enough."""
+    g = s.local_calibration.filter("outcome IN ('pass', 'fail')").groupBy("outcome").agg(F.count_distinct("task_class").alias("affected"))
+    return recommend(g.withColumn("evidence", F.array("outcome")), F.col("affected") > 0, "info", "Local models were calibrated", evidence="evidence")
+
+
+@rule("context.over-scoped-config-section", "config_sections")
+def over_scoped(s: Signals) -> DataFrame:
+    """Sections of a root instruction file whose governed files all lie in one folder (file, section, governed)."""
+    top = F.regexp_extract("governed", "^([^/]+)/", 1)
+    g = s.config_sections.filter(~F.contains("file", F.lit("/"))).groupBy("file", "section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(top).alias("folders"), F.min(top).alias("folder")).filter("folders = 1 AND folder <> ''")
+    t = g.agg(F.count(F.lit(1)).alias("affected"))
+    return recommend(with_evidence(t, g, "section", "n"), F.col("affected") > 0, F.when(F.col("affected") >= 3, "warning").otherwise("info"), "Instructions for one folder load everywhere", evidence="evidence")
+
+
+@rule("context.repo-map-context-waste", "tool_calls", "import_edges")
+def map_waste(s: Signals) -> DataFrame:
+    """Files that are read again and never changed, and that at least two others import (src, dst)."""
+    path = F.col("input.file_path")
+    changed = s.tool_calls.filter(F.col("tool_name").isin(*EDIT_TOOLS)).select(path.alias("path")).distinct()
+    reads = s.tool_calls.filter("tool_name = 'Read'").groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n")).filter("path IS NOT NULL AND n >= 3").join(changed, "path", "left_anti")
+    g = reads.join(G.in_degree(s.import_edges).filter("in_degree >= 2").withColumnRenamed("dst", "path"), "path")
+    return recommend(with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g, "path", "n"), F.col("affected") > 0, "info", "Central files are read again instead of mapped", evidence="evidence")

@@ -397,7 +397,7 @@ def adoption_lifecycle(t: Tables) -> DataFrame:
   SELECT event_type, round(sum(least(tail, 40)), 4)::BIGINT AS carried, max(tail) AS longest FROM x GROUP BY 1""")
 def cache_tail(t: Tables) -> DataFrame:
     """How many later calls carry a call's output, at most forty each."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    w = S.following(["user_id"], ["us", "event_id"])
     x = _events(t).withColumn("tail", F.count(F.lit(1)).over(w))
     return x.groupBy("event_type").agg(F.sum(F.least("tail", F.lit(40))).alias("carried"), F.max("tail").alias("longest"))
 

@@ -265,13 +265,13 @@ def last_n_runs(s: Signals) -> DataFrame:
     every = c.agg(F.sum("peak").alias("all"), F.count(F.lit(1)).alias("sessions"))
     t = every.crossJoin(F.broadcast(recent)).withColumn("n", F.col("sessions") - F.col("affected"))  # one row each
     t = t.withColumn("now", F.try_divide("ten", "affected")).withColumn("base", F.try_divide(F.col("all") - F.col("ten"), F.col("n")))
-    growth = (F.col("now") - F.col("base")) / F.col("base")
+    growth = F.try_divide(F.col("now") - F.col("base"), F.col("base"))
     return recommend(t, (F.col("n") >= 5) & (F.col("now") >= 50_000) & (growth >= 0.25), F.when(growth >= 0.5, "warning").otherwise("info"), "Recent sessions carry more context")
 
 
 @rule("context.tool-call-right-sizing", "tool_calls")
 def right_sizing(s: Signals) -> DataFrame:
-    later = F.count(F.lit(1)).over(Window.partitionBy("session_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
+    later = F.count(F.lit(1)).over(S.following(["session_id"], ["ord"]))
     excess = F.when((F.col("tool_name") == "Read") & (F.col("result_bytes") > 25_000), F.col("result_bytes") - 4_000).when(F.col("result_bytes") > 10_000, F.col("result_bytes") - 2_000)
     c = s.tool_calls.withColumn("tokens", excess / CHARS_PER_TOKEN * F.least(later, F.lit(40))).filter("tokens IS NOT NULL")
     t = c.agg(F.count(F.lit(1)).alias("affected"), F.sum("tokens").alias("tokens"))
@@ -333,7 +333,7 @@ def low_tool_effectiveness(s: Signals) -> DataFrame:
 def correction_mining(s: Signals) -> DataFrame:
     stem = F.regexp_extract("input.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     c = s.tool_calls.withColumn("stem", stem).filter(F.length("stem") >= 3)
-    w = Window.partitionBy("session_id", "stem").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    w = S.following(["session_id", "stem"], ["ord"])
     c = c.withColumn("fixed", F.min(F.when(~F.coalesce("is_error", F.lit(True)), F.col("ord"))).over(w)).filter("is_error AND fixed - ord <= 6")
     return recommend(c.agg(F.count(F.lit(1)).alias("affected")), F.col("affected") > 0, "info", "Failed paths that a later call got right")
 
@@ -432,14 +432,14 @@ def unused_installed(s: Signals) -> DataFrame:
 
 @rule("workflow.autonomy-over-steered", "steering")
 def over_steered(s: Signals) -> DataFrame:
-    t = s.steering.filter("success >= 0.9D").agg(F.count_if(F.col("corrections") >= 1).alias("affected"), F.corr("corrections", "success").alias("r"))
+    t = s.steering.filter("success >= 0.9D").agg(F.count_if(F.col("corrections") >= 1).alias("affected"), X.pearson("corrections", "success").alias("r"))
     return recommend(t, F.col("affected") >= 3, "info", "Tasks that pass are steered all the same")
 
 
 @rule("workflow.prompt-clarity", "steering")
 def prompt_clarity(s: Signals) -> DataFrame:
     vague = F.col("specificity") < 0.5
-    t = s.steering.agg(F.corr(1 - F.col("specificity"), "corrections").alias("r"), (F.avg(F.when(vague, F.col("corrections"))) - F.avg(F.when(~vague, F.col("corrections")))).alias("gap"), F.count(F.lit(1)).alias("n"), F.count_if(vague).alias("affected"))
+    t = s.steering.agg(X.pearson(1 - F.col("specificity"), "corrections").alias("r"), (F.avg(F.when(vague, F.col("corrections"))) - F.avg(F.when(~vague, F.col("corrections")))).alias("gap"), F.count(F.lit(1)).alias("n"), F.count_if(vague).alias("affected"))
     return recommend(t, (F.col("n") >= 6) & (F.col("r") >= 0.45) & (F.col("gap") >= 1) & (F.col("affected") >= 2) & (F.col("n") - F.col("affected") >= 2), "info", "Vague prompts bring follow-ups")
 
 
@@ -663,7 +663,23 @@ def evaluate(s: Signals, rules: list[Rule] | None = None) -> DataFrame:
     spark = next(iter(s.tables.values())).sparkSession
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
         found = [row for rows in pool.map(lambda p: p.collect(), plans) for row in rows]
-    return spark.createDataFrame(found, RECOMMENDATION)
+    out = spark.createDataFrame(found, RECOMMENDATION)
+    return out.join(silenced(s.live_config), "id", "left_anti").select(*out.columns) if s.has("live_config") else out
+
+
+#: Settings that answer a rule: once they hold, it has nothing more to say.
+ANSWERED = (
+    ("cost.cache-1h-waste", "cacheTtl", "5m"), ("cost.legacy-model-overpay", "modelPinned", "true"), ("cost.model-routing-rollup", "modelRouting", "true"), ("cost.batchable-workload", "batchMode", "true"),
+    ("context.repeated-compactions", "autoCompactEnabled", "false"), ("context.bloated-instructions", "instructionsSplit", "true"), ("workflow.native-bypass", "nativeToolHook", "true"),
+    ("workflow.redundant-reads", "rereadHook", "true"), ("safety.dangerous-bypass", "disableBypassPermissionsMode", "disable"), ("safety.risky-actions", "sandboxEnabled", "true"),
+    ("safety.unattended-sessions", "disableBypassPermissionsMode", "disable"), ("speed.hook-overhead", "hooksDisabled", "true"), ("workflow.conversational-availability", "backgroundCommands", "true"),
+)
+
+
+def silenced(live_config: DataFrame) -> DataFrame:
+    """Ids of the rules that the settings in force (key, value) already answer."""
+    answers = live_config.sparkSession.createDataFrame(list(ANSWERED), "id string, key string, value string")
+    return live_config.select("key", F.lower("value").alias("value")).join(F.broadcast(answers), ["key", "value"]).select("id").distinct()  # a dozen rows
 
 
 def ranked(recommendations: DataFrame, rejected: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ def prompt_corr(t: Tables) -> DataFrame:
     """Pearson's correlation of length and quality, and the gap of means."""
     d = t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id")
     gap = F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))) - F.avg(F.when(F.col("quality") == 0, F.col("n_chars")))
-    return d.agg(F.round(F.corr("n_chars", "quality"), 6).alias("r"), F.count(F.lit(1)).alias("n"), F.round(gap, 4).alias("gap"))
+    return d.agg(F.round(X.pearson("n_chars", "quality"), 6).alias("r"), F.count(F.lit(1)).alias("n"), F.round(gap, 4).alias("gap"))
 
 
 @query("""WITH x AS (SELECT source, avg(n_chars) AS a, avg(quality) AS b FROM documents JOIN labels USING (doc_id) GROUP BY 1)

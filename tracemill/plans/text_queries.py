@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import text as X
+from ..operators.sequences import following
 from .registry import Tables, query
 
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -83,7 +84,7 @@ def assistant_features(t: Tables) -> DataFrame:
   SELECT answer - turn AS wait, count(*) AS n FROM n WHERE role = 'user' AND answer IS NOT NULL GROUP BY 1""")
 def response_latency(t: Tables) -> DataFrame:
     """How many turns on the next answer to each user turn is; one answer may serve several."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    w = following(["conv_id"], ["turn"])
     n = t.conversations.withColumn("answer", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w))
     return n.filter("role = 'user' AND answer IS NOT NULL").groupBy((F.col("answer") - F.col("turn")).alias("wait")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -32,12 +32,19 @@ TEXT_CHARS, TOOL_CHARS, RESULT_CHARS = 2.6, 1.7, 3.5
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """session_id, part, seq (order of lines) and the line's text of every transcript below path."""
+    """session_id, project, file, part, seq and the line's text of every transcript below path.
+
+    seq orders a session's lines as text: the top file before its sub-agents' by name, then the place
+    in the file (block, then row), however Spark deals the files' blocks to its tasks.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
     file = F.col("_metadata.file_path")
     session = F.coalesce(F.nullif(F.regexp_extract(file, r"/([^/]+)/subagents/[^/]+\.jsonl$", 1), F.lit("")), F.regexp_extract(file, r"([^/]+)\.jsonl$", 1))
     project = F.regexp_extract(file, r"/projects/([^/]+)/", 1)
-    return raw.select(session.alias("session_id"), project.alias("project"), file.alias("file"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    part = F.when(F.contains(file, F.lit("/subagents/")), F.concat(F.lit("1"), F.regexp_extract(file, r"([^/]+)\.jsonl$", 1))).otherwise(F.lit("0"))
+    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0")
+    row = F.lpad(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string"), 10, "0")
+    return raw.select(session.alias("session_id"), project.alias("project"), file.alias("file"), part.alias("part"), F.concat_ws("|", part, block, row).alias("seq"), F.col("value").alias("line"))
 
 
 def count(c: str | Column) -> Column:
