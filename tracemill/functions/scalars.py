@@ -155,6 +155,51 @@ def regime(version: str | Column, bounds: list[tuple[str, str]]) -> Column:
     return out
 
 
+#: Words that tell a task's class, tried in this order; authoring is also the default.
+TASK_CLASSES = (
+    ("authoring", r"\b(?:implement|build|add|fix|refactor|write|create|code|coder|develop)\b"),
+    ("review", r"\b(?:review|audit|critique|approve|reviewer)\b"),
+    ("mechanical", r"\b(?:classify|pick|label|status|replay|triage|sort|tag)\b"),
+)
+
+
+def task_class(opener: str | Column) -> Column:
+    """authoring, review or mechanical, by an opening's words; code work wins, and so it does where nothing is said."""
+    o, out = F.lower(F.coalesce(_c(opener), F.lit(""))), F.lit("authoring")
+    for name, pattern in reversed(TASK_CLASSES):
+        out = F.when(o.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def permission_rule(rule: str | Column) -> Column:
+    """tool, spec and whether the spec is a prefix, of a rule such as Bash(git push:*); a bare tool has no spec."""
+    r = F.trim(_c(rule))
+    spec = F.nullif(F.regexp_extract(r, r"^[\w-]+\((.*)\)$", 1), F.lit(""))
+    return F.struct(F.regexp_extract(r, r"^([\w-]+)", 1).alias("tool"), F.regexp_replace(spec, r":\*$", "").alias("spec"), F.coalesce(spec.rlike(r":\*$"), F.lit(False)).alias("prefix"))
+
+
+def relative_path(path: str | Column) -> Column:
+    """A relative path without repeated separators and `.` parts; null where it is absolute or empty."""
+    p = _c(path)
+    parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
+    return F.when(~F.startswith(p, F.lit("/")) & (F.size(parts) > 0), F.array_join(parts, "/"))
+
+
+def short_id(session: str | Column, n: int = 8) -> Column:
+    """The beginning of a session's id."""
+    return F.left(_c(session), F.lit(n))
+
+
+def percent_of(part: str | Column, whole: str | Column) -> Column:
+    """A share in whole percent, halves up; 0 of nothing is 0."""
+    return F.when(_c(whole) > 0, F.floor(100.0 * _c(part) / _c(whole) + 0.5)).otherwise(F.lit(0)).cast("int")
+
+
+def topics(text: str | Column, least: int = 4) -> Column:
+    """The distinct words of a text that can name a topic: letters and digits, at least so long, in order of appearance."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= least))
+
+
 # -- shell commands ---------------------------------------------------------------------------
 
 #: Classes of commands, tried in this order.

@@ -230,3 +230,146 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends are both among the nodes."""
     ends = nodes.select("node").distinct()
     return edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+# -- the bill, the edits, the experiments ------------------------------------------------------
+
+#: The buckets of a bill's composition.
+BUCKETS = ("prefix", "history", "payloads", "residual", "thinking", "visible")
+
+
+def composition(sessions: DataFrame) -> DataFrame:
+    """Each session's billed tokens in six buckets, and the dollars of each.
+
+    sessions: session_id, messages, prefix_tokens (of the static prefix, a turn), history, payloads,
+    billed_input, billed_output, thinking, input_cost, output_cost. What prefix, history and tool
+    payloads make up is scaled down where it exceeds the billed input and leaves a residual where it
+    falls short, so the buckets always add up to the bill; dollars follow the tokens of their side.
+    """
+    raw = {"prefix": F.greatest(F.lit(0.0), F.col("prefix_tokens") * F.col("messages").cast("double")), "history": F.greatest(F.lit(0.0), F.coalesce("history", F.lit(0)).cast("double")), "payloads": F.greatest(F.lit(0.0), F.coalesce("payloads", F.lit(0)).cast("double"))}
+    rows = sessions.select("session_id", "billed_input", "billed_output", "input_cost", "output_cost", F.least(F.greatest(F.lit(0), F.coalesce("thinking", F.lit(0))), F.col("billed_output")).cast("double").alias("thinking"), *[c.alias(f"_{k}") for k, c in raw.items()])
+    whole = F.col("_prefix") + F.col("_history") + F.col("_payloads")
+    scale = F.when(whole > F.col("billed_input"), F.col("billed_input") / whole).otherwise(F.lit(1.0))
+    rows = rows.select("session_id", "billed_input", "billed_output", "input_cost", "output_cost", "thinking", *[(F.col(f"_{k}") * scale).alias(k) for k in raw], F.greatest(F.lit(0.0), F.col("billed_input") - whole).alias("residual"))
+    rows = rows.withColumn("visible", F.col("billed_output") - F.col("thinking"))
+    side = lambda k: ("input_cost", "billed_input") if k in ("prefix", "history", "payloads", "residual") else ("output_cost", "billed_output")
+    return rows.select("session_id", *BUCKETS, *[F.coalesce(F.try_divide(F.col(k) * F.col(side(k)[0]), F.col(side(k)[1])), F.lit(0.0)).alias(f"{k}_usd") for k in BUCKETS])
+
+
+def churn_geometry(edits: DataFrame) -> DataFrame:
+    """session_id, file: tasks, edits, gross and net lines, ranges edited again (also by a later task), and gross by net lines.
+
+    edits: session_id, file, task, range (null where the patch is empty), gross, net.
+    """
+    ranges = edits.filter("range IS NOT NULL").groupBy("session_id", "file", "range").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("tasks")).filter("n >= 2")
+    again = ranges.groupBy("session_id", "file").agg(F.count(F.lit(1)).alias("again"), F.count_if(F.col("tasks") > 1).alias("later"))
+    g = edits.groupBy("session_id", "file").agg(F.count_distinct("task").alias("tasks"), F.count(F.lit(1)).alias("edits"), F.sum("gross").alias("gross"), F.sum("net").alias("net"))
+    g = g.join(again, ["session_id", "file"], "left").withColumn("again", F.coalesce("again", F.lit(0))).withColumn("later", F.coalesce("later", F.lit(0)))
+    return g.withColumn("distance", F.round(F.col("gross") / F.greatest(F.lit(1), F.abs("net")), 1))
+
+
+def domain_coverage(needs: DataFrame, present: DataFrame) -> DataFrame:
+    """domain: PROVE where every input is there, INFER where some are missing, CANNOT_SEE where no core one is. needs: domain, input, core; present: input."""
+    j = needs.join(present.select("input").distinct().withColumn("_there", F.lit(True)), "input", "left")
+    g = j.groupBy("domain").agg(F.count_if("core").alias("core"), F.count_if(F.col("core") & F.col("_there").isNotNull()).alias("core_there"), F.count_if(F.col("_there").isNull()).alias("missing"))
+    return g.select("domain", "missing", F.when((F.col("core") > 0) & (F.col("core_there") == 0), "CANNOT_SEE").when(F.col("missing") > 0, "INFER").otherwise("PROVE").alias("status"))
+
+
+def arm_comparison(outcomes: DataFrame) -> DataFrame:
+    """task_class: runs of either arm, their pass rates, mean tokens, and the differences of arm b from arm a."""
+    of = lambda arm, c: F.avg(F.when(F.col("arm") == arm, c))
+    g = outcomes.groupBy("task_class").agg(
+        *[F.count_if(F.col("arm") == a).alias(f"n_{a}") for a in "ab"], *[of(a, F.col("passed").cast("double")).alias(f"pass_{a}") for a in "ab"], *[of(a, F.col("tokens")).alias(f"tokens_{a}") for a in "ab"]
+    )
+    return g.withColumn("pass_gain", F.col("pass_b") - F.col("pass_a")).withColumn("token_change", F.try_divide(F.col("tokens_b") - F.col("tokens_a"), F.col("tokens_a")))
+
+
+def daily_trend(rows: DataFrame, now: dt.datetime, max_days: int = 120, ts: str = "ts") -> DataFrame:
+    """day, n: counts a day without gaps, from the first day (at most max_days back) to the last."""
+    days = rows.filter(F.col(ts) >= F.lit(now - dt.timedelta(days=max_days))).groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    spine = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
+    return spine.join(days, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def paired_change(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """by: pairs with both values and the mean difference b - a; null where no pair has both."""
+    d = F.col(b) - F.col(a)
+    return pairs.groupBy(*by).agg(F.count(d).alias("pairs"), F.avg(d).alias("mean_change"))
+
+
+def branch_deliveries(branches: DataFrame, requests: DataFrame) -> DataFrame:
+    """branch with the change request that delivered it: that of the same head branch, else the latest of its issue number.
+
+    branches: branch; requests: id, head, at. Two equi-joins; no branch meets every request.
+    """
+    exact = requests.groupBy(F.col("head").alias("branch")).agg(F.max_by("id", F.struct("at", "id")).alias("by_head"))
+    issue = requests.withColumn("issue", C.issue_of_branch("head")).filter("issue IS NOT NULL").groupBy("issue").agg(F.max_by("id", F.struct("at", "id")).alias("by_issue"))
+    rows = branches.select("branch").distinct().withColumn("issue", C.issue_of_branch("branch"))
+    return rows.join(exact, "branch", "left").join(issue, "issue", "left").select("branch", F.coalesce("by_head", "by_issue").alias("id"), F.when(F.col("by_head").isNotNull(), "head").when(F.col("by_issue").isNotNull(), "issue").otherwise("none").alias("how"))
+
+
+def rework_links(requests: DataFrame) -> DataFrame:
+    """id with the next merged request that touches one of its files: later, files in common. requests: id, merged_at, files.
+
+    The next one by file is a lead over the file's merges, so a busy file never meets itself in a self-join.
+    """
+    f = requests.filter("merged_at IS NOT NULL").select("id", "merged_at", F.explode(F.array_distinct("files")).alias("file"))
+    nxt = F.lead(F.struct("merged_at", "id")).over(Window.partitionBy("file").orderBy("merged_at", "id"))
+    g = f.withColumn("n", nxt).filter("n IS NOT NULL").groupBy("id", F.col("n.merged_at").alias("then"), F.col("n.id").alias("later")).agg(F.count(F.lit(1)).alias("files"))
+    return g.groupBy("id").agg(F.min(F.struct("then", "later", "files")).alias("m")).select("id", "m.later", "m.files")
+
+
+def report_card(sessions: DataFrame, calls: DataFrame, errors: DataFrame) -> DataFrame:
+    """project: sessions, calls, failures, throttled and other errors, and keep, flag or move. Sides are summed by session before they meet."""
+    c = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("is_error").alias("bad"))
+    e = errors.groupBy("session_id").agg(F.count_if(F.col("status").isin(429, 529)).alias("throttled"), F.count(F.lit(1)).alias("errors"))
+    j = sessions.select("session_id", "project").join(c, "session_id", "left").join(e, "session_id", "left")
+    g = j.groupBy("project").agg(F.count(F.lit(1)).alias("sessions"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("calls", "bad", "throttled", "errors")])
+    few, rate = F.col("calls") < 5, F.try_divide("bad", "calls")
+    return g.withColumn("verdict", F.when(few, "too-few").when(rate >= 0.4, "move").when((rate >= 0.2) | (F.col("errors") >= 5), "flag").otherwise("keep"))
+
+
+def scorecard(sessions: DataFrame) -> DataFrame:
+    """session_id with its axes (0 to 100: cost, context, reliability, safety), the overall mean of those it has, and the weakest.
+
+    sessions: session_id, cost, typical_cost, peak, window, calls, bad, dangerous; an axis whose input is missing is null.
+    """
+    axes = {
+        "cost_axis": F.when(F.col("typical_cost") > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 150 - 50 * F.col("cost") / F.col("typical_cost")))),
+        "context_axis": F.when(F.col("window") > 0, F.greatest(F.lit(0.0), 100 * (1 - F.col("peak") / F.col("window")))),
+        "reliability_axis": F.when(F.col("calls") > 0, 100.0 * (1 - F.col("bad") / F.col("calls"))),
+        "safety_axis": F.when(F.col("dangerous").isNotNull(), F.greatest(F.lit(0.0), 100.0 - 25 * F.col("dangerous"))),
+    }
+    rows = sessions.select("session_id", *[c.alias(k) for k, c in axes.items()])
+    there = F.array_compact(F.array(*axes))
+    weakest = F.array_min(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("v"), F.lit(k).alias("k"))) for k in axes])))
+    return rows.withColumn("overall", F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))).withColumn("weakest", weakest["k"])
+
+
+def task_success(spans: DataFrame) -> DataFrame:
+    """session_id, task: score and verdict of a task's span.
+
+    spans: session_id, task, calls, bad, verified (a passing check after the last edit), claimed (the
+    closing words say it is done), corrected (the next user turn corrects it), reopened (its topic comes
+    back later). A correction or a return overrules a claim; a claim without a check is only likely.
+    """
+    score = 0.5 + 0.3 * F.col("verified").cast("int") + 0.1 * F.col("claimed").cast("int") - 0.4 * F.col("corrected").cast("int") - 0.3 * F.col("reopened").cast("int") - 0.2 * F.coalesce(F.try_divide("bad", "calls"), F.lit(0.0))
+    rows = spans.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    verdict = F.when(F.col("corrected") | F.col("reopened"), "failed").when(F.col("verified"), "passed").when(F.col("claimed"), "likely").otherwise("unknown")
+    return rows.select("session_id", "task", F.round("score", 6).alias("score"), verdict.alias("verdict"))
+
+
+def run_buckets(runs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept runs by task shape: bucket (class, size of the change, how many tools), runs, first run, mean cost."""
+    shape = F.concat_ws("|", "task_class", F.when(F.col("edits") == 0, "none").when(F.col("edits") <= 3, "small").when(F.col("edits") <= 10, "medium").otherwise("large"), F.least("tools", F.lit(5)))
+    return runs.join(kept.select("run_id"), "run_id", "left_semi").groupBy(shape.alias("bucket")).agg(F.count(F.lit(1)).alias("runs"), F.min("run_id").alias("first"), F.avg("cost").alias("mean_cost"))
+
+
+def discovery_failures(commands: DataFrame, skills: DataFrame, used: DataFrame, least: int = 3) -> DataFrame:
+    """session_id, skill: installed skills that a session did by hand, told by at least `least` of a skill's keywords in its commands, and did not call.
+
+    commands: session_id, command; skills: skill, keyword; used: session_id, skill. Words meet keywords by equality.
+    """
+    words = commands.select("session_id", F.explode(F.array_distinct(F.split(F.lower("command"), "[^a-z0-9]+"))).alias("keyword")).distinct()
+    g = words.join(skills, "keyword").groupBy("session_id", "skill").agg(F.count_distinct("keyword").alias("n")).filter(F.col("n") >= least)
+    return g.join(used.select("session_id", "skill").distinct(), ["session_id", "skill"], "left_anti")

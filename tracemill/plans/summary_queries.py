@@ -363,3 +363,165 @@ def delivery_outcomes(t: Tables) -> DataFrame:
     branch = F.when(k % 3 == 0, F.concat(F.lit("feature/"), k, F.lit("-x"))).when(k % 3 == 1, F.concat(F.lit("fix/"), k, F.lit("-y"))).otherwise("feature/9-z")
     outcome = C.delivery(F.when(F.col("o_orderstatus") == "P", "CLOSED").otherwise("open"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), F.col("o_orderkey") % 7 == 0)
     return t.orders.groupBy((C.issue_of_branch(branch) % 10).alias("issue"), outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+COMPOSED = """s AS (SELECT o_orderkey AS session_id, (o_custkey % 9) * 1000 AS h, (o_custkey % 5) * 2000 AS p, floor(o_totalprice)::BIGINT AS bi, floor(o_totalprice / 10)::BIGINT AS bo, (o_custkey % 40) * 1000 AS th, o_orderkey % 7 AS m FROM orders),
+  r AS (SELECT *, m * 3000.0 AS pre, m * 3000.0 + h + p AS whole, least(th, bo)::DOUBLE AS t FROM s), k AS (SELECT *, CASE WHEN whole > bi THEN bi / whole ELSE 1.0 END AS k FROM r)"""
+
+
+@query(f"""WITH {COMPOSED} SELECT round(sum(pre * k), 3) AS prefix, round(sum(h * k), 3) AS history, round(sum(p * k), 3) AS payloads, round(sum(greatest(0, bi - whole)), 3) AS residual, round(sum(t), 3) AS thinking, round(sum(bo - t), 3) AS visible,
+  round(sum(pre * k * 3.0 / 1e6), 6) AS prefix_usd, round(sum((bo - t) * 15.0 / 1e6), 6) AS visible_usd FROM k""")
+def context_composition(t: Tables) -> DataFrame:
+    """The bill of all sessions in six buckets, which add up to it."""
+    k, o, price = F.col("o_custkey"), F.col("o_orderkey"), F.col("o_totalprice")
+    bi, bo = F.floor(price), F.floor(price / 10)
+    rows = t.orders.select(o.alias("session_id"), (o % 7).alias("messages"), F.lit(3000.0).alias("prefix_tokens"), (k % 9 * 1000).alias("history"), (k % 5 * 2000).alias("payloads"), bi.alias("billed_input"), bo.alias("billed_output"), (k % 40 * 1000).alias("thinking"), (bi * 3.0 / 1e6).alias("input_cost"), (bo * 15.0 / 1e6).alias("output_cost"))
+    c = Y.composition(rows)
+    return c.agg(*[F.round(F.sum(b), 3).alias(b) for b in Y.BUCKETS], F.round(F.sum("prefix_usd"), 6).alias("prefix_usd"), F.round(F.sum("visible_usd"), 6).alias("visible_usd"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS session_id, l_suppkey % 4 AS file, l_linenumber % 2 AS task, CASE WHEN l_linenumber <> 4 THEN l_partkey % 2 END AS range, l_quantity::BIGINT AS gross, l_linenumber - 3 AS net FROM lineitem),
+  a AS (SELECT session_id, file, count(*) AS again, count(*) FILTER (tasks > 1) AS later FROM (SELECT session_id, file, range, count(DISTINCT task) AS tasks FROM e WHERE range IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+  g AS (SELECT session_id, file, count(DISTINCT task) AS tasks, count(*) AS edits, sum(gross)::BIGINT AS gross, sum(net)::BIGINT AS net FROM e GROUP BY ALL)
+  SELECT g.*, coalesce(again, 0) AS again, coalesce(later, 0) AS later, round(gross / greatest(1, abs(net)), 1) AS distance FROM g LEFT JOIN a USING (session_id, file)""")
+def churn_geometry(t: Tables) -> DataFrame:
+    """Lines written against lines kept, and ranges edited again."""
+    n = F.col("l_linenumber")
+    e = t.lineitem.select(F.col("l_orderkey").alias("session_id"), (F.col("l_suppkey") % 4).alias("file"), (n % 2).alias("task"), F.when(n != 4, F.col("l_partkey") % 2).alias("range"), F.col("l_quantity").cast("bigint").alias("gross"), (n - 3).alias("net"))
+    return Y.churn_geometry(e)
+
+
+@query("""WITH n AS (SELECT DISTINCT n_regionkey AS domain, n_nationkey AS input, n_nationkey % 2 = 0 AS core FROM nation), p AS (SELECT DISTINCT c_nationkey AS input FROM customer WHERE c_nationkey % 5 IN (0, 2, 4) AND c_nationkey < 20)
+  SELECT domain, count(*) FILTER (input NOT IN (SELECT input FROM p)) AS missing, CASE WHEN count(*) FILTER (core) > 0 AND count(*) FILTER (core AND input IN (SELECT input FROM p)) = 0 THEN 'CANNOT_SEE' WHEN count(*) FILTER (input NOT IN (SELECT input FROM p)) > 0 THEN 'INFER' ELSE 'PROVE' END AS status FROM n GROUP BY 1""")
+def domain_coverage(t: Tables) -> DataFrame:
+    """What each domain can prove from the inputs that are there."""
+    needs = t.nation.select(F.col("n_regionkey").alias("domain"), F.col("n_nationkey").alias("input"), (F.col("n_nationkey") % 2 == 0).alias("core"))
+    present = t.customer.filter("c_nationkey % 5 IN (0, 2, 4) AND c_nationkey < 20").select(F.col("c_nationkey").alias("input"))
+    return Y.domain_coverage(needs, present)
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS task_class, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS arm, (o_orderstatus = 'F')::INT AS passed, o_totalprice AS tokens FROM orders),
+  g AS (SELECT task_class, count(*) FILTER (arm = 'a') AS n_a, count(*) FILTER (arm = 'b') AS n_b, avg(passed) FILTER (arm = 'a') AS pa, avg(passed) FILTER (arm = 'b') AS pb, avg(tokens) FILTER (arm = 'a') AS ta, avg(tokens) FILTER (arm = 'b') AS tb FROM o GROUP BY 1)
+  SELECT task_class, n_a, n_b, round(pb - pa, 6) AS pass_gain, round((tb - ta) / ta, 6) AS token_change FROM g""")
+def arm_comparison(t: Tables) -> DataFrame:
+    """Two arms by task class."""
+    o = t.orders.select(F.col("o_orderpriority").alias("task_class"), F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("arm"), (F.col("o_orderstatus") == "F").alias("passed"), F.col("o_totalprice").alias("tokens"))
+    return Y.arm_comparison(o).select("task_class", "n_a", "n_b", F.round("pass_gain", 6).alias("pass_gain"), F.round("token_change", 6).alias("token_change"))
+
+
+@query("""WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-04-03' AND o_custkey % 9 = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d) SELECT day, coalesce(n, 0) AS n FROM s LEFT JOIN d USING (day)""")
+def daily_trend(t: Tables) -> DataFrame:
+    """Counts a day of the last 120, empty days too."""
+    return Y.daily_trend(t.orders.filter("o_custkey % 9 = 0").withColumn("ts", F.col("o_orderdate").cast("timestamp")), NOW)
+
+
+@query("""SELECT o_orderpriority AS axis, count(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice - o_custkey END) AS pairs, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice - o_custkey END), 4) AS mean_change FROM orders GROUP BY 1""")
+def paired_change(t: Tables) -> DataFrame:
+    """The mean difference of pairs that have both sides."""
+    p = t.orders.select(F.col("o_orderpriority").alias("axis"), F.col("o_custkey").alias("a"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("b"))
+    return Y.paired_change(p, ["axis"], "a", "b").withColumn("mean_change", F.round("mean_change", 4))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'feature/' || o_custkey || '-a' ELSE 'topic-' || o_custkey END AS head, o_orderdate AS dt FROM orders WHERE o_orderstatus = 'F'),
+  b AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'feature/' || o_custkey || '-b' ELSE 'topic-' || o_custkey END AS branch FROM orders),
+  h AS (SELECT head, id FROM r QUALIFY row_number() OVER (PARTITION BY head ORDER BY dt DESC, id DESC) = 1), i AS (SELECT regexp_extract(head, '^(?:feature|fix)/([0-9]+)-', 1) AS issue, id FROM r WHERE head LIKE 'feature/%' QUALIFY row_number() OVER (PARTITION BY issue ORDER BY dt DESC, id DESC) = 1)
+  SELECT branch, coalesce(h.id, i.id) AS id, CASE WHEN h.id IS NOT NULL THEN 'head' WHEN i.id IS NOT NULL THEN 'issue' ELSE 'none' END AS how FROM b LEFT JOIN h ON head = branch LEFT JOIN i ON issue = nullif(regexp_extract(branch, '^(?:feature|fix)/([0-9]+)-', 1), '')""")
+def branch_deliveries(t: Tables) -> DataFrame:
+    """Which request delivered a branch: by its head, else by its issue."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    topic = F.concat(F.lit("topic-"), k)
+    requests = t.orders.filter("o_orderstatus = 'F'").select(o.alias("id"), F.when(o % 3 == 0, F.concat(F.lit("feature/"), k, F.lit("-a"))).otherwise(topic).alias("head"), F.col("o_orderdate").alias("at"))
+    return Y.branch_deliveries(t.orders.select(F.when(o % 2 == 0, F.concat(F.lit("feature/"), k, F.lit("-b"))).otherwise(topic).alias("branch")), requests)
+
+
+@query("""WITH f AS (SELECT DISTINCT o_orderkey AS id, o_orderdate AS dt, l_partkey % 50 AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT id, file, lead(dt) OVER w AS later_at, lead(id) OVER w AS later FROM f WINDOW w AS (PARTITION BY file ORDER BY dt, id)),
+  g AS (SELECT id, later_at, later, count(*) AS files FROM n WHERE later IS NOT NULL GROUP BY ALL) SELECT id, later, files FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY later_at, later) = 1""")
+def rework_links(t: Tables) -> DataFrame:
+    """The next request that touches a merged one's files."""
+    files = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 50).alias("files"))
+    return Y.rework_links(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("merged_at")).join(files, "id"))
+
+
+@query(f"""WITH {ERRORS}, s AS (SELECT DISTINCT session_id, session_id::INT % 6 AS project FROM c), k AS (SELECT session_id, count(*) AS calls, count(*) FILTER (bad) AS bad FROM c GROUP BY 1), x AS (SELECT session_id, count(*) FILTER (status IN (429, 529)) AS throttled, count(*) AS errors FROM e GROUP BY 1),
+  g AS (SELECT project, count(*) AS sessions, sum(calls)::BIGINT AS calls, sum(bad)::BIGINT AS bad, coalesce(sum(throttled), 0)::BIGINT AS throttled, coalesce(sum(errors), 0)::BIGINT AS errors FROM s LEFT JOIN k USING (session_id) LEFT JOIN x USING (session_id) GROUP BY 1)
+  SELECT *, CASE WHEN calls < 5 THEN 'too-few' WHEN bad / calls >= 0.4 THEN 'move' WHEN bad / calls >= 0.2 OR errors >= 5 THEN 'flag' ELSE 'keep' END AS verdict FROM g""")
+def report_card(t: Tables) -> DataFrame:
+    """Projects by how often their sessions fail."""
+    c = _calls(t)
+    return Y.report_card(c.select("session_id", (F.col("session_id").cast("int") % 6).alias("project")).distinct(), c, _errors(t))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS session_id, greatest(0, least(100, 150 - 50 * o_totalprice / 150000)) AS c, CASE WHEN o_custkey % 3 <> 0 THEN greatest(0, 100 * (1 - o_totalprice / 400000)) END AS x, CASE WHEN o_custkey % 4 > 0 THEN 100.0 * (1 - (o_custkey % 2) / (o_custkey % 4)) END AS r, CASE WHEN o_orderstatus <> 'P' THEN greatest(0, 100.0 - 25 * (o_orderkey % 6)) END AS f FROM orders)
+  SELECT session_id, round((c + coalesce(x, 0) + coalesce(r, 0) + coalesce(f, 0)) / (1 + (x IS NOT NULL)::INT + (r IS NOT NULL)::INT + (f IS NOT NULL)::INT), 6) AS overall,
+    CASE least(c, coalesce(x, 999), coalesce(r, 999), coalesce(f, 999)) WHEN x THEN CASE WHEN c = x THEN 'context_axis' ELSE 'context_axis' END WHEN c THEN 'cost_axis' WHEN r THEN 'reliability_axis' ELSE 'safety_axis' END AS weakest FROM s""")
+def session_scorecard(t: Tables) -> DataFrame:
+    """Sessions by four axes; of equal axes the first by name is the weakest."""
+    k = F.col("o_custkey")
+    rows = t.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_totalprice").alias("cost"), F.lit(150_000.0).alias("typical_cost"), F.col("o_totalprice").alias("peak"), F.when(k % 3 != 0, F.lit(400_000.0)).alias("window"), (k % 4).alias("calls"), (k % 2).alias("bad"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 6).alias("dangerous"))
+    return Y.scorecard(rows).select("session_id", F.round("overall", 6).alias("overall"), "weakest")
+
+
+@query("""WITH s AS (SELECT o_orderkey AS session_id, o_custkey AS task, o_custkey % 5 AS calls, least(o_custkey % 3, o_custkey % 5) AS bad, o_orderstatus = 'F' AS v, o_orderkey % 3 = 0 AS c, o_orderkey % 7 = 0 AS x, o_orderkey % 11 = 0 AS r FROM orders)
+  SELECT session_id, task, round(greatest(0, least(1, 0.5 + 0.3 * v::INT + 0.1 * c::INT - 0.4 * x::INT - 0.3 * r::INT - 0.2 * coalesce(bad / nullif(calls, 0), 0))), 6)::DOUBLE AS score, CASE WHEN x OR r THEN 'failed' WHEN v THEN 'passed' WHEN c THEN 'likely' ELSE 'unknown' END AS verdict FROM s""")
+def task_success(t: Tables) -> DataFrame:
+    """Tasks by what speaks for and against their success."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    rows = t.orders.select(o.alias("session_id"), k.alias("task"), (k % 5).alias("calls"), F.least(k % 3, k % 5).alias("bad"), (F.col("o_orderstatus") == "F").alias("verified"), (o % 3 == 0).alias("claimed"), (o % 7 == 0).alias("corrected"), (o % 11 == 0).alias("reopened"))
+    return Y.task_success(rows)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS run_id, o_orderpriority || '|' || CASE WHEN o_custkey % 15 = 0 THEN 'none' WHEN o_custkey % 15 <= 3 THEN 'small' WHEN o_custkey % 15 <= 10 THEN 'medium' ELSE 'large' END || '|' || least(o_orderkey % 8, 5) AS bucket, o_totalprice AS cost FROM orders WHERE o_orderstatus = 'F')
+  SELECT bucket, count(*) AS runs, min(run_id) AS first, round(avg(cost), 4) AS mean_cost FROM r GROUP BY 1""")
+def run_buckets(t: Tables) -> DataFrame:
+    """Kept runs by the shape of their task."""
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("task_class"), (F.col("o_custkey") % 15).alias("edits"), (F.col("o_orderkey") % 8).alias("tools"), F.col("o_totalprice").alias("cost"))
+    return Y.run_buckets(runs, t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"))).withColumn("mean_cost", F.round("mean_cost", 4))
+
+
+@query(f"""WITH {CALLS}, w AS (SELECT DISTINCT session_id, unnest(regexp_split_to_array(lower(command), '[^a-z0-9]+')) AS keyword FROM c), s AS (SELECT 's' || i AS skill, unnest(['view', 'k' || (i % 4), i::VARCHAR, 'n']) AS keyword FROM range(30) t(i)), u AS (SELECT DISTINCT session_id, 's' || k AS skill FROM c WHERE tool = 'signup')
+  SELECT session_id, skill, count(DISTINCT w.keyword) AS n FROM w JOIN s USING (keyword) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.session_id = w.session_id AND u.skill = s.skill) GROUP BY ALL HAVING count(DISTINCT w.keyword) >= 4""")
+def discovery_failures(t: Tables) -> DataFrame:
+    """Skills that a session did by hand."""
+    c = _calls(t)
+    i = F.col("id").cast("int")
+    skills = t.spark.range(30).select(F.concat(F.lit("s"), i).alias("skill"), F.explode(F.array(F.lit("view"), F.concat(F.lit("k"), i % 4), i.cast("string"), F.lit("n"))).alias("keyword"))
+    return Y.discovery_failures(c, skills, c.filter("tool_name = 'signup'").select("session_id", F.concat(F.lit("s"), "k").alias("skill")), 4)
+
+
+@query(r"""SELECT CASE WHEN regexp_matches(t, '\b(?:implement|build|add|fix|refactor|write|create|code|coder|develop)\b') THEN 'authoring' WHEN regexp_matches(t, '\b(?:review|audit|critique|approve|reviewer)\b') THEN 'review' WHEN regexp_matches(t, '\b(?:classify|pick|label|status|replay|triage|sort|tag)\b') THEN 'mechanical' ELSE 'authoring' END AS task_class, count(*) AS n
+  FROM (SELECT lower(CASE o_custkey % 6 WHEN 0 THEN 'Coder: implement review' WHEN 1 THEN 'please REVIEW this' WHEN 2 THEN 'triage the queue' WHEN 3 THEN 'hello' WHEN 4 THEN 'audit and label' ELSE 'fix it' END) AS t FROM orders) GROUP BY 1""")
+def task_classes(t: Tables) -> DataFrame:
+    """Tasks by the words of their opening."""
+    words = ("Coder: implement review", "please REVIEW this", "triage the queue", "hello", "audit and label", "fix it")
+    opener = F.element_at(F.array(*map(F.lit, words)), (F.col("o_custkey") % 6 + 1).cast("int"))
+    return t.orders.groupBy(C.task_class(opener).alias("task_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CALLS} SELECT session_id, (floor(100.0 * count(*) FILTER (bad) / count(*) + 0.5))::INT AS bad_percent, left('session-' || session_id, 10) AS short FROM c GROUP BY 1")
+def failure_percent(t: Tables) -> DataFrame:
+    """The share of failed calls in whole percent, and sessions' short names."""
+    g = _calls(t).groupBy("session_id").agg(F.count_if("is_error").alias("bad"), F.count(F.lit(1)).alias("n"))
+    return g.select("session_id", C.percent_of("bad", "n").alias("bad_percent"), C.short_id(F.concat(F.lit("session-"), "session_id"), 10).alias("short"))
+
+
+@query(r"""WITH r AS (SELECT DISTINCT CASE o_custkey % 4 WHEN 0 THEN 'Bash(git push:*)' WHEN 1 THEN 'Bash(ls ' || (o_custkey % 10) || ')' WHEN 2 THEN 'WebFetch' ELSE ' Read(./src//a/./b) ' END AS rule FROM orders)
+  SELECT trim(rule) AS rule, regexp_extract(trim(rule), '^([\w-]+)', 1) AS tool, regexp_replace(nullif(regexp_extract(trim(rule), '^[\w-]+\((.*)\)$', 1), ''), ':\*$', '') AS spec, coalesce(regexp_matches(nullif(regexp_extract(trim(rule), '^[\w-]+\((.*)\)$', 1), ''), ':\*$'), false) AS prefix,
+  CASE WHEN rule LIKE ' Read%' THEN 'src/a/b' END AS path FROM r""")
+def permission_rules(t: Tables) -> DataFrame:
+    """Permission rules taken apart; the path of a file rule is put in one form."""
+    k = F.col("o_custkey")
+    rule = F.when(k % 4 == 0, "Bash(git push:*)").when(k % 4 == 1, F.concat(F.lit("Bash(ls "), k % 10, F.lit(")"))).when(k % 4 == 2, "WebFetch").otherwise(" Read(./src//a/./b) ")
+    r = t.orders.select(F.trim(rule).alias("rule")).distinct().withColumn("p", C.permission_rule("rule"))
+    return r.select("rule", "p.tool", "p.spec", "p.prefix", F.when(F.col("p.tool") == "Read", C.relative_path("p.spec")).alias("path"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, '---' || chr(10) || 'title: T' || doc_id || chr(10) || 'kind : note' || chr(10) || '---' || chr(10) || '# One ' || doc_id || chr(10) || '```' || chr(10) || '# not' || chr(10) || '```' || chr(10) || '## Two ##' || chr(10) AS md,
+  CASE doc_id % 3 WHEN 0 THEN 'a' || doc_id || '.md' WHEN 1 THEN 'docs/guide/b' || doc_id || '.md' ELSE 'src/c' || doc_id || '.md' END AS path FROM documents)
+  SELECT doc_id, 'T' || doc_id AS title, 'note' AS kind, 'One ' || doc_id || '|Two' AS headings, regexp_replace(path, '\.md$', '') AS slug, CASE doc_id % 3 WHEN 0 THEN 'root' WHEN 1 THEN 'guide' ELSE 'src' END AS category FROM d""")
+def doc_outline(t: Tables) -> DataFrame:
+    """Front matter, headings outside code, slug and category of Markdown documents."""
+    i = F.col("doc_id")
+    md = F.concat(F.lit("---\ntitle: T"), i, F.lit("\nkind : note\n---\n# One "), i, F.lit("\n```\n# not\n```\n## Two ##\n"))
+    path = F.when(i % 3 == 0, F.concat(F.lit("a"), i, F.lit(".md"))).when(i % 3 == 1, F.concat(F.lit("docs/guide/b"), i, F.lit(".md"))).otherwise(F.concat(F.lit("src/c"), i, F.lit(".md")))
+    d = t.documents.select("doc_id", md.alias("md"), path.alias("path")).withColumn("f", C.frontmatter("md"))
+    return d.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["kind"].alias("kind"), F.array_join(C.headings("md"), "|").alias("headings"), C.doc_slug("path").alias("slug"), C.doc_category("path").alias("category"))
