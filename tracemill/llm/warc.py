@@ -12,7 +12,8 @@ line, goes on from there, and reports the bytes in between as a gap: file, start
 Archives of others are read too: any WARC/x.y, digests in hex or base32 (of the body behind an HTTP
 head), members of several records, where only the part that fails is a gap, in inflated bytes.
 
-Edge cases: a null html is an empty payload; a null url is written as empty; a null page id is
+Edge cases: a long payload is one record, and a task holds one archive and one inflated member at
+a time; a null html is an empty payload; a null url is written as empty; a null page id is
 smaller than any other; repeated rows with the winning page id are each a response; an empty
 table makes no archives and no rows; other columns are ignored.
 """
@@ -200,16 +201,23 @@ def _opens(data: bytes, at: int) -> bool:
         return False
 
 
-def _next(data: bytes, start: int) -> int:
-    """The first place from start on where a member or record begins, or the end."""
-    version = ANY_VERSION.search(data, start)
-    plain = version.start() if version else len(data)
-    at = data.find(MAGIC, start, plain)
-    while at >= 0:
-        if _opens(data, at):
-            return at
-        at = data.find(MAGIC, at + 1, plain)
-    return plain
+class _Finder:
+    """Finds the next place where a member or record begins. The next version line is kept until it is passed, so a damaged archive is scanned once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.plain = data, -1
+
+    def after(self, start: int) -> int:
+        """The first such place from start on, or the end."""
+        if self.plain < start:
+            version = ANY_VERSION.search(self.data, start)
+            self.plain = version.start() if version else len(self.data)
+        at = self.data.find(MAGIC, start, self.plain)
+        while at >= 0:
+            if _opens(self.data, at):
+                return at
+            at = self.data.find(MAGIC, at + 1, self.plain)
+        return self.plain
 
 
 def _records(content: bytes, offset: int) -> Iterator[dict]:
@@ -235,7 +243,7 @@ def _records(content: bytes, offset: int) -> Iterator[dict]:
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order, and a row with gap_bytes and gap_reason for each stretch that had none."""
-    at, bad, reason = 0, None, ""
+    at, bad, reason, finder = 0, None, "", _Finder(data)
     while at < len(data):
         try:
             if data[at : at + 3] == MAGIC:
@@ -249,7 +257,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = _next(data, at + 1)
+            at = finder.after(at + 1)
             continue
         if bad is not None:
             yield {"offset": bad, "gap_bytes": at - bad, "gap_reason": reason}
@@ -266,24 +274,34 @@ def salvage(data: bytes) -> Iterator[dict]:
 def planned(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html, digest, keeper: the page id of the response with the same payload, null where the payload is single or small.
 
-    Only digests move in the count; the join is on the digests that occur twice.
+    Only digests move in the count; small payloads, and so empty pages, take no part in the join.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    large = rows.filter(F.octet_length("html") >= min_revisit)
+    small, large = rows.filter(F.octet_length("html") < min_revisit), rows.filter(F.octet_length("html") >= min_revisit)
     twice = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "keeper")
-    return rows.join(twice, "digest", "left")
+    keeper = twice.schema["keeper"].dataType
+    return small.withColumn("keeper", F.lit(None).cast(keeper)).unionByName(large.join(twice, "digest", "left").select(*rows.columns, "keeper"))
 
 
 def _file_system(folder: str):
+    """The file system of a URI. A bare path is only this machine's where the caller says so by `file:`."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-    return system, path
+    return fs.FileSystem.from_uri(f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and "://" not in folder else folder)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """folder with a scheme: a bare path lies on the cluster's default file system, as Spark's own readers take it."""
+    if ":" in folder.split("/")[0]:
+        return folder
+    base = (spark.conf.get("spark.hadoop.fs.defaultFS", None) or "file:///").rstrip("/")
+    return ("file://" if base == "file:" else base) + folder
 
 
 def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write the archives below folder, which all executors reach; returns file, records, bytes by file, once they are there."""
+    folder = _qualified(pages.sparkSession, folder)
     _file_system(folder)[0].create_dir(_file_system(folder)[1], recursive=True)
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
