@@ -309,6 +309,47 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.decontaminate(odd, items.limit(0)).filter("contaminated").count() == 0 and decontaminate.clean(none, items).count() == 0
 
 
+def test_decontamination_keys(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    items = spark.createDataFrame([("a", item), ("b", item), ("c", "other words that nobody has said before at all")], "item_id string, text string")
+    texts = [(None, "x " + item), (None, "x " + item), (3, item + " y"), (3, "nothing"), (4, None)]
+    d = docs(spark, texts).withColumn("hash", F.lit(1)).withColumn("item_ids", F.lit("mine"))
+    got = decontaminate.decontaminate(d, items).collect()
+    assert sorted((str(r["doc_id"]), r["item_ids"], r["containment"]) for r in got) == [("3", [], None), ("3", ["a", "b"], 1.0), ("4", [], None), ("None", ["a", "b"], 1.0), ("None", ["a", "b"], 1.0)]
+    assert decontaminate.decontaminate(d.limit(0), items).count() == 0 and decontaminate.clean(d, items.limit(0)).count() == 5
+
+
+def test_decontamination_matches_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([3, 5, 6, 9, 14, 30, 70])))) for i in range(60)]
+    texts = []
+    for i in range(80):
+        own = [r.choice(words) for _ in range(r.choice([0, 4, 40, 400]))]
+        for _ in range(2):
+            part = r.choice(items)[1].split()
+            for _ in range(r.choice([0, 0, 1, 3])):
+                part[r.randrange(len(part))] = "changed"
+            at = r.randrange(len(own) + 1)
+            own[at:at] = part
+        texts.append((i, " ".join(own)))
+    sets, known = {i: shingle_set(t) for i, t in texts}, {i: shingle_set(t) for i, t in items}
+    want = {(i, k) for i, s in sets.items() for k, q in known.items() if 5 * len(s & q) >= 4 * len(q)}
+    got = decontaminate.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], k) for x in got for k in x["item_ids"]} == want and len(want) > 40
+
+
+def test_join_of_long_texts(spark):
+    long = [f"l{k}" for k in range(120_000)]
+    near = list(long)
+    near[60_000] = "changed"
+    far = [f"m{k}" if k % 3 == 0 else w for k, w in enumerate(long)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far))])).collect()}
+    assert got == {1: (119_996, 1), 2: (119_996, 1), 3: (119_996, 3)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 600
     pages = spark.createDataFrame([(1, "http://a/1", big), (2, "http://a/2 x", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (7, "u", "WARC/1.1\r\n in the text \r\n\r\n" * 50)], "page_id long, url string, html string")
@@ -318,6 +359,20 @@ def test_warc_round_trip(spark, tmp_path):
         revisit = html == big and page_id != 2
         assert got[page_id] == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    long = "<p>" + "long text " * 300_000
+    odd = spark.createDataFrame([(1, "u", long, "x", 5), (1, "u", long, "y", 6), (0, None, long, "z", 7), (2, "u", "", "z", 7)], "page_id long, url string, html string, digest string, keeper long")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(odd).collect())
+    assert got == [(0, len(long), "revisit", 1), (1, len(long), "response", None), (1, len(long), "response", None), (2, 0, "response", None)]
+
+
+def test_salvage_scans_a_damaged_archive_once():
+    import time
+
+    packed = [warc.member(warc.record(i, "u", b"x%d" % i * 200, hashlib.sha1(b"x%d" % i * 200).hexdigest(), None)) for i in range(4000)]
+    hurt = b"".join(p[:-9] + bytes(1) + p[-8:] if i % 2 else p for i, p in enumerate(packed)) + b"\0" * 3_000_000
+    began = time.perf_counter()
+    out = list(warc.salvage(hurt))
+    assert len([r for r in out if "payload" in r]) >= 2000 and time.perf_counter() - began < 10
 
 
 def test_salvage():
@@ -505,6 +560,12 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         ids[k] = {r["doc_id"] for r in now.select("doc_id").collect()}
     assert ids[0] == {*range(40), 50, 53} and ids[1] == ids[0] - {50} and ids[2] == ids[1] - {53} and ids[4] == ids[3] <= ids[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    assert {"text", "slot", "law"} <= set(now.columns) and now.filter("text IS NULL").count() == 0
+    nameless = docs(spark, [(None, t) for _, t in texts[:3]] + texts[:3]).withColumn("slot", F.lit("own")).withColumn("_row", F.lit(1))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        nameless = stage(spark, nameless, str(tmp_path))
+        assert k == 4 or nameless.columns[-2:] == ["slot", "_row"]
+    assert nameless.count() >= 3 and {r["slot"] for r in nameless.collect()} != {"own"}
     empty = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
