@@ -200,6 +200,22 @@ def topics(text: str | Column, least: int = 4) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= least))
 
 
+#: What a turn's language says, by kind.
+LANGUAGE = {
+    "refusal": r"\bi (?:can't|cannot|can not|won't|am unable to|'m unable to)\b",
+    "hedge": r"\b(?:might|maybe|perhaps|possibly|i think|it seems|should work|probably)\b",
+    "wait": r"\b(?:wait(?:ing)?|let me know when|once (?:it|that|this) (?:is|finishes|completes)|hold on)\b",
+    "claim": r"\b(?:all tests pass|done|completed?|fixed|successfully|works now)\b",
+    "interrupt": r"^\[request interrupted by user",
+}
+
+
+def language_flags(text: str | Column) -> list[Column]:
+    """A boolean column for each kind of LANGUAGE."""
+    t = F.lower(F.coalesce(_c(text), F.lit("")))
+    return [t.rlike(p).alias(kind) for kind, p in LANGUAGE.items()]
+
+
 # -- shell commands ---------------------------------------------------------------------------
 
 #: Classes of commands, tried in this order.

@@ -79,3 +79,22 @@ def calendar(df: DataFrame, day: str, keys: list[str] | None = None) -> DataFram
     """A row a day from the first to the last day of df (of each key)."""
     bounds = df.groupBy(*(keys or [])).agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
     return bounds.select(*(keys or []), F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias(day))
+
+
+def lifecycle(df: DataFrame, key: list[str], order: list[str], event: str) -> DataFrame:
+    """The state that a key's events lead to in their order: shown, applied, verified or reverted; and how often each way was gone.
+
+    An ordered fold as running maxima: a verification counts only while something is applied, that is
+    where the last application before it is later than the last reversal; a reversal only undoes what
+    is applied. The last event that counted is the state.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_n", F.row_number().over(w))
+    at = lambda e: F.coalesce(F.max(F.when(F.col(event) == e, F.col("_n"))).over(before), F.lit(0))
+    rows = rows.withColumn("_on", at("applied") > at("reverted"))
+    counts = F.col(event).isin("shown", "applied") | (F.col(event).isin("verified", "reverted") & F.col("_on"))
+    kept = rows.filter(counts)
+    later = kept.filter((F.col(event) != "shown") | ~F.col("_on"))
+    of = lambda e: F.count_if(F.col(event) == e).alias(e)
+    return kept.groupBy(*key).agg(*[of(e) for e in ("shown", "applied", "verified", "reverted")]).join(later.groupBy(*key).agg(F.max_by(event, "_n").alias("state")), key)

@@ -409,3 +409,13 @@ def recurrence_window(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     b = _events(t).withColumn("done", F.max(F.when(F.col("event_type") == "purchase", F.col("us"))).over(w))
     return b.groupBy("event_type").agg(F.count_if(F.col("us") - F.col("done") <= 14 * 24 * HOUR).alias("recurred"), F.count(F.lit(1)).alias("calls"))
+
+
+@query(f"""WITH {E}, n AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'shown' WHEN 'click' THEN 'applied' WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'reverted' ELSE 'other' END AS e, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM e),
+  o AS (SELECT *, coalesce(max(n) FILTER (e = 'applied') OVER w, 0) > coalesce(max(n) FILTER (e = 'reverted') OVER w, 0) AS live FROM n WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  k AS (SELECT * FROM o WHERE e IN ('shown', 'applied') OR (e IN ('verified', 'reverted') AND live))
+  SELECT user_id, count(*) FILTER (e = 'shown') AS shown, count(*) FILTER (e = 'applied') AS applied, count(*) FILTER (e = 'verified') AS verified, count(*) FILTER (e = 'reverted') AS reverted, arg_max(e, n) FILTER (e <> 'shown' OR NOT live) AS state FROM k GROUP BY 1 HAVING state IS NOT NULL""")
+def lifecycle_fold(t: Tables) -> DataFrame:
+    """Where a user's events end up, as a fold that depends on their order."""
+    kind = F.when(F.col("event_type") == "view", "shown").when(F.col("event_type") == "click", "applied").when(F.col("event_type") == "purchase", "verified").when(F.col("event_type") == "error", "reverted").otherwise("other")
+    return S.lifecycle(_events(t).withColumn("e", kind), ["user_id"], ["us", "event_id"], "e")
