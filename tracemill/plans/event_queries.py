@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scope
 from ..operators import rollups as R
 from ..operators import sequences as S
 from .registry import Tables, query
@@ -303,8 +304,7 @@ def reliability_grouping_sets(t: Tables) -> DataFrame:
 @query(f"""WITH {E}, m AS (SELECT max(ts) AS last FROM e) SELECT event_type, count(*) AS calls, round(sum(value), 4) AS spend FROM e, m WHERE ts BETWEEN last - INTERVAL 7 DAY AND last GROUP BY 1""")
 def time_filter(t: Tables) -> DataFrame:
     """The last seven days, counted back from the data's own end."""
-    last = t.events.agg(F.max("ts").alias("last"))
-    rows = t.events.join(F.broadcast(last), F.expr("ts BETWEEN last - INTERVAL 7 DAYS AND last"))  # one row
+    rows = scope.within(t.events, "ts", "7d")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("spend"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scope
 from ..operators import rollups as R
 from .registry import Tables, query
 
@@ -200,14 +201,14 @@ def union_precedence(t: Tables) -> DataFrame:
 def project_filter(t: Tables) -> DataFrame:
     """Sessions of the projects that pass a filter, by semi-join."""
     kept = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t.orders.filter("o_orderpriority = '1-URGENT'").join(kept, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
+    return scope.of_sessions(scope.route(t.orders, o_orderpriority="1-URGENT"), kept, "o_custkey").select("o_orderkey", "o_totalprice")
 
 
 @query("""SELECT l_suppkey, count(*) AS messages FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 250000) GROUP BY 1""")
 def semi_scope(t: Tables) -> DataFrame:
     """A table without the filtered column, scoped by the sessions that survive."""
     kept = t.orders.filter("o_totalprice > 250000").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.join(kept, "l_orderkey", "left_semi").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("messages"))
+    return scope.of_sessions(t.lineitem, kept, "l_orderkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("messages"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_orderdate, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n,
@@ -263,7 +264,7 @@ def config_drift(t: Tables) -> DataFrame:
 @query("""WITH o AS (SELECT o_orderkey, o_orderdate, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) SELECT o_orderkey, o_totalprice FROM o WHERE k BETWEEN 101 AND 150""")
 def ledger_page(t: Tables) -> DataFrame:
     """The third page of fifty, by offset and limit."""
-    return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
+    return scope.page(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100, 50)
 
 
 @query("""WITH o AS (SELECT p_partkey, p_retailprice, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS used FROM part) SELECT p_partkey, used::BIGINT AS used FROM o WHERE used <= 500""")
@@ -289,3 +290,13 @@ def prefix_unique_lookup(t: Tables) -> DataFrame:
     """Short ids resolve only where they are unambiguous."""
     p = t.part.groupBy(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 3).alias("prefix")).agg(F.min("p_partkey").alias("part"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     return t.lineitem.join(p, F.col("l_partkey") == F.col("part")).groupBy("part", "prefix").agg(F.count(F.lit(1)).alias("refs"))
+
+
+@query("""SELECT c_mktsegment AS segment, count(*) AS sessions, max(o_orderdate)::DATE AS last_day FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-06-30' AND o_orderdate + INTERVAL 30 DAY >= TIMESTAMP '1997-02-01' GROUP BY 1""")
+def overlap_scope(t: Tables) -> DataFrame:
+    """Sessions whose span touches a range of days, by segment."""
+    start = F.col("o_orderdate").cast("timestamp")
+    rows = t.orders.withColumn("a", start).withColumn("b", start + F.expr("INTERVAL 30 DAYS"))
+    low, high = F.lit("1997-02-01").cast("timestamp"), F.lit("1997-06-30").cast("timestamp")
+    kept = scope.overlapping(rows, "a", "b", low, high).filter(F.col("a") >= F.lit("1997-01-01").cast("timestamp"))
+    return kept.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("sessions"), F.max("o_orderdate").cast("date").alias("last_day"))
