@@ -482,14 +482,14 @@ def unattended_sessions(s: Signals) -> DataFrame:
 
 @rule("safety.allow-rule-overlaps-deny", "permission_rules")
 def allow_overlaps_deny(s: Signals) -> DataFrame:
-    of = lambda kind, name: s.permission_rules.filter(F.col("kind") == kind).select(F.regexp_replace("rule", r":\*$", "").alias(name))
+    of = lambda kind, name: s.permission_rules.filter(F.col("kind") == kind).select(F.regexp_replace("rule", r":?\*?\)?$", "").alias(name))
     t = of("allow", "a").join(of("deny", "d"), F.col("a").startswith(F.col("d"))).agg(F.count_distinct("a").alias("affected"))
     return recommend(t, F.col("affected") > 0, "info", "Allow rules that a deny rule shadows")
 
 
 @rule("safety.deny-rule-never-triggered", "permission_rules", "tool_calls")
 def idle_deny_rule(s: Signals) -> DataFrame:
-    deny = s.permission_rules.filter("kind = 'deny'").select(F.regexp_replace("rule", r":\*$", "").alias("d"))
+    deny = s.permission_rules.filter("kind = 'deny'").select(F.regexp_replace("rule", r":?\*?\)?$", "").alias("d"))
     calls = s.tool_calls.select(F.concat("tool_name", F.lit("("), F.coalesce("input.command", F.lit(""))).alias("call"))
     met = calls.join(F.broadcast(deny.distinct()), F.col("call").startswith(F.col("d"))).select("d").distinct()  # the rules a settings file denies by, a few dozen
     idle = deny.join(met, "d", "left_anti")
