@@ -107,3 +107,17 @@ def test_nearly_every_rule_fires(world):
     silent = {r.id for r in here} - fired - ELSEWHERE
     assert len(here) >= 90 and silent == set()
     assert next(r for r in got if r["id"] == "workflow.shared-checkout-rework")["affected"] == 1  # dropping a stash is not taking it back
+
+
+def test_the_rest(spark, world):
+    names = "session_id string, ts timestamp, base double, input long, cache_creation long, cache_creation_1h long, cache_read long, output long, web_search long, seq long, entrypoint string, service_tier string, thinking long, visible long"
+    rows = [(f"e{k}", at(k), 3.0, 40_000, 10, 0, 5, 1, 0, k, "cli", None, 0, 1) for k in range(6)] + [(f"r{k}", at(100 + k), 3.0, 90_000, 10, 0, 5, 1, 0, k, "cli", None, 0, 1) for k in range(10)]
+    rows += [("sdk", at(-5), 3.0, 2 * 10**6, 10, 0, 5, 1, 0, 0, "sdk-py", None, 0, 1)]
+    calls = world.tool_calls.limit(1).withColumn("n", rules.F.explode(rules.F.sequence(rules.F.lit(1), rules.F.lit(25)))).withColumn("tool_name", rules.F.lit("Bash"))
+    s = rules.Signals(NOW, {"token_entries": spark.createDataFrame(rows, names), "tool_calls": calls, "api_errors": world.api_errors})
+    wanted = {"cost.automation-share", "context.low-cache-hit", "safety.prompt-friction", "reliability.api-errors"}
+    got = {r["id"]: r for r in rules.evaluate(s, [r for r in rules.RULES if r.id in wanted]).collect()}
+    assert set(got) == wanted and got["context.low-cache-hit"]["affected"] == 17
+    s = rules.Signals(NOW, {"token_entries": spark.createDataFrame(rows[:16], names)})
+    recent = rules.evaluate(s, [r for r in rules.RULES if r.id == "context.last-n-runs-audit"]).collect()
+    assert [(r["severity"], r["affected"]) for r in recent] == [("warning", 10)]
