@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 #: Words too common to search for.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "it", "this", "that")
 
@@ -17,8 +19,14 @@ def tokens(text: str | Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A word without its ing, ed, es or s, if three letters stay."""
-    return F.regexp_replace(word, "^(.{3,}?)(?:ing|ed|es|s)$", "$1")
+    """A word without its ing, ed, es or s, if three letters stay; by plain string functions, since every word of a corpus goes through."""
+    n = F.length(word)
+    return (
+        F.when(F.endswith(word, F.lit("ing")) & (n >= 6), F.left(word, n - 3))
+        .when((F.endswith(word, F.lit("ed")) | F.endswith(word, F.lit("es"))) & (n >= 5), F.left(word, n - 2))
+        .when(F.endswith(word, F.lit("s")) & (n >= 4), F.left(word, n - 1))
+        .otherwise(word)
+    )
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,28 +35,27 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.transform(words, stem)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def search(df: DataFrame, key: str, text: str, query: list[str], k: int, lexical: float = 0.68, semantic: float = 0.32, threshold: float = 0.12) -> DataFrame:
     """The k best texts by a blend of matched query terms and cosine similarity of term counts.
 
-    A text's score needs that text only, so it is one expression a row and nothing moves before the
-    top-k. Texts without any of the stems as a part are dropped by a plain search first.
+    A text's score needs that text only: one pass over its sorted stems counts each query stem and
+    the squares of all counts, so nothing moves before the top-k. Texts without any of the stems as a
+    part are dropped by a plain search first.
     """
-    found = F.transform(F.filter(tokens(text), lambda w: ~w.isin(*STOP_WORDS)), stem)
+    stems = F.array_sort(F.transform(F.filter(tokens(text), lambda w: ~w.isin(*STOP_WORDS)), stem))
     some = [F.contains(F.lower(text), F.lit(q)) for q in query]
-    rows = df.filter(reduce(lambda a, b: a | b, some)).select(key, F.array_sort(found).alias("_s"))
-    times = [F.size(F.filter("_s", _equals(q))) for q in query]
-    hits, dot = sum(((t > 0).cast("int") for t in times), F.lit(0)), sum(times, F.lit(0))
+    names = [f"q{i}" for i in range(len(query))]
 
     def run(acc: Column, w: Column) -> Column:  # the n-th occurrence in a row adds n * n - (n - 1) * (n - 1) to the squares
         n = F.when(w == acc["w"], acc["n"] + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("w"), n.alias("n"), (acc["sq"] + 2 * n - 1).cast("bigint").alias("sq"))
-
-    squares = F.aggregate("_s", F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sq")), run, lambda acc: acc["sq"])
-    scored = rows.select(key, hits.alias("hits"), dot.alias("dot"), F.when(hits > 0, F.sqrt(squares)).alias("norm")).filter("hits > 0")
+        hit = [(acc[c] + F.when(w == F.lit(q), 1).otherwise(0)).alias(c) for c, q in zip(names, query)]
+        return F.struct(w.alias("w"), n.alias("n"), (acc["sq"] + 2 * n - 1).cast("bigint").alias("sq"), *hit)
+
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sq"), *[F.lit(0).alias(c) for c in names])
+    # exploded, so that the filters below use the counts and don't compute them again
+    counted = df.filter(reduce(lambda a, b: a | b, some)).select(key, F.explode(F.array(F.aggregate(stems, start, run))).alias("c")).select(key, "c.*")
+    hits, dot = sum(((F.col(c) > 0).cast("int") for c in names), F.lit(0)), sum((F.col(c) for c in names), F.lit(0))
+    scored = counted.select(key, hits.alias("hits"), dot.alias("dot"), F.sqrt("sq").alias("norm")).filter("hits > 0")
     score = lexical * F.col("hits") / len(query) + semantic * F.col("dot") / (F.col("norm") * F.sqrt(F.lit(float(len(query)))))
     return scored.withColumn("score", score).filter(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
@@ -69,23 +76,24 @@ def similar_texts(df: DataFrame, key: str, scope: list[str], text: str, size: in
     Equal sets form a class: its smallest key is listed with every other member, and only these
     smallest keys meet sets that differ. A set of n shingles may lack n - ceil(floor n) of a
     partner's, so its prefix in the order rare to frequent, one longer than that, holds a shared
-    one; shingles of one class only are counted off. Candidates are verified on the whole sets.
+    one; shingles of one class only are counted off. Candidates are verified on the whole sets. Sets
+    and classes are written once, since several steps read them.
     """
-    sets = df.select(F.col(key).alias("_key"), *scope, shingle_set(text, size).alias("_s")).filter(F.size("_s") > 0)
-    sets = sets.withColumn("_class", F.xxhash64(F.array_sort("_s")))
-    classes = sets.groupBy(*scope, "_class").agg(F.min("_key").alias("_key"), F.first("_s").alias("_s"))
-    least = classes.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_class").alias("_c"), F.col("_key").alias("_least"))
-    alike = sets.drop("_s").join(least, [F.col("_class") == F.col("_c"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope]]).filter("_key <> _least")
-    tokens_of = classes.select("_key", *scope, F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
-    counts = tokens_of.groupBy(*scope, "_g").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1")
-    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in scope], F.col("_g").alias("_t"), "_f")
-    shared = tokens_of.join(counts, [F.col("_g") == F.col("_t"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope]])
-    lists = shared.groupBy("_key", *scope, "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_l"))
+    mine = [F.col(c).cast("string") for c in scope]
+    sets = df.select(F.col(key).alias("_key"), *mine, shingle_set(text, size).alias("_s")).filter(F.size("_s") > 0)
+    sets = sets.select("_key", F.transform("_s", lambda g: F.xxhash64(*mine, g)).alias("_s"))  # a shingle of another scope is another one
+    sets = materialized(sets.withColumn("_class", F.xxhash64(F.array_sort("_s"))))
+    least = sets.groupBy("_class").agg(F.min("_key").alias("_key"))
+    classes = materialized(sets.join(least, ["_class", "_key"]).select("_class", "_key", "_s").dropDuplicates(["_class"]))
+    alike = sets.select("_key", "_class").join(classes.select("_class", F.col("_key").alias("_least")), "_class").filter("_key <> _least")
+    grams = classes.select("_key", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
+    counts = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1")
+    lists = grams.join(counts, "_g").groupBy("_key", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_l"))
     room = F.floor(F.col("_n") * (1 - floor) + 1e-9).cast("int") + 1 - (F.col("_n") - F.size("_l"))
-    heads = lists.withColumn("_m", room).filter("_m > 0").select("_key", *scope, "_n", F.explode(F.slice("_l", F.lit(1), F.col("_m"))).alias("_p")).select("_key", *scope, "_n", F.col("_p._g").alias("_g"))
-    other = heads.select(F.col("_key").alias("_other"), *[F.col(c).alias(f"_{c}") for c in scope], F.col("_n").alias("_on"), F.col("_g").alias("_og"))
+    heads = lists.withColumn("_m", room).filter("_m > 0").select("_key", "_n", F.explode(F.slice("_l", F.lit(1), F.col("_m"))).alias("_p")).select("_key", "_n", F.col("_p._g").alias("_g"))
+    other = heads.select(F.col("_key").alias("_other"), F.col("_n").alias("_on"), "_g")
     near = (F.least("_n", "_on") >= floor * F.greatest("_n", "_on") - 1e-9) & (F.col("_key") < F.col("_other"))
-    pairs = heads.join(other, [F.col("_g") == F.col("_og"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope]]).filter(near).select("_key", "_other").distinct()
+    pairs = heads.join(other, "_g").filter(near).select("_key", "_other").distinct()
     left = classes.select("_key", "_s")
     right = classes.select(F.col("_key").alias("_other"), F.col("_s").alias("_os"))
     both = pairs.join(left, "_key").join(right, "_other").withColumn("_c", F.size(F.array_intersect("_s", "_os")))
