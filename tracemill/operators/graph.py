@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 
 def in_degree(edges: DataFrame, target: str = "dst") -> DataFrame:
     return edges.groupBy(target).agg(F.count(F.lit(1)).alias("in_degree"))
@@ -13,15 +15,17 @@ def in_degree(edges: DataFrame, target: str = "dst") -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node and its distance from the seeds (a column `node`), up to depth, along edges in either direction.
 
-    One join a level on the frontier only; a level without new nodes adds nothing. Depths are small,
-    so the levels are one lazy plan.
+    One join a level on the frontier only, and each frontier is written, so a level reads the ones
+    before it and does not compute them again; a level without new nodes is the last.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select("node").distinct().withColumn("distance", F.lit(0))
+    seen = materialized(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
         step = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").withColumn("distance", F.lit(d))
+        front = materialized(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
