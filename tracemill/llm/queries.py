@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language_id, mixing, ngram_join, pii, quality, sharding, token_count, warc
+from . import chat, decontaminate, language_id, minhash, mixing, ngram_join, pii, quality, sharding, spelling, token_count, warc
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_personal_data": op2_personal_data,
@@ -60,6 +68,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sharding": op10_sharding,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 OP3_SQL = r"""
@@ -153,8 +163,7 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, pos::BIGINT AS pos,
 FROM p JOIN k USING (conv_id)
 """
 
-OP4_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, hash(g) AS g FROM ({SHINGLES_SQL.format(id="doc_id", table="documents")})),
+COMPONENTS_SQL = """
 n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
 p AS (
     SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
@@ -168,10 +177,56 @@ FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id
 LEFT JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = documents.doc_id
 """
 
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, hash(g) AS g FROM ({SHINGLES_SQL.format(id="doc_id", table="documents")})),
+{COMPONENTS_SQL}"""
+
+OP11_SQL = f"""
+SELECT *, doc_id = component_id AS kept FROM (
+WITH RECURSIVE d AS (SELECT doc_id, hash(g) AS g FROM ({SHINGLES_SQL.replace("w) < 5", "w) < 4").replace("w) - 3", "w) - 2").replace("i+4", "i+3").format(id="doc_id", table="documents")})),
+{COMPONENTS_SQL})
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE c AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i))
+), o AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), d AS (
+    SELECT run, count(*) AS k, hex(doc_id || ':' || run) AS x FROM o WHERE length(run) >= 5 GROUP BY doc_id, run
+), h AS (
+    SELECT run, k, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) AS h
+    FROM d, c
+), w AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3
+), v AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), p AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+    UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON w.word = v.v
+    UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON w.word = v.v
+), f AS (
+    SELECT word, any_value(n) AS n, count(*) AS n_near, min((-m, other)) AS best FROM p GROUP BY word
+), g AS (
+    SELECT word, n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n FROM f
+), s AS (
+    SELECT word, form AS root, 1 AS depth FROM g WHERE form IS NOT NULL
+    UNION ALL SELECT s.word, g.form, depth + 1 FROM s JOIN g ON g.word = s.root WHERE g.form IS NOT NULL
+)
+SELECT w.word, form, coalesce(e.root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM w LEFT JOIN g ON g.word = w.word LEFT JOIN (SELECT word, arg_max(root, depth) AS root FROM s GROUP BY word) e ON e.word = w.word
+"""
+
 ORACLES = {
     "op4_ngram_join": OP4_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op3_source_mixing": OP3_SQL,
+    "op11_minhash_dedup": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
