@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language_id, minhash, mixing, ngram_join, pii, quality, sharding, spelling, token_count, warc
+from . import alignment, chat, decontaminate, language_id, minhash, mixing, ngram_join, pii, quality, sharding, spelling, token_count, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_personal_data": op2_personal_data,
@@ -70,6 +74,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_minhash_dedup": op11_minhash_dedup,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 OP3_SQL = r"""
