@@ -346,19 +346,6 @@ def scorecard(sessions: DataFrame) -> DataFrame:
     return rows.withColumn("overall", F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))).withColumn("weakest", weakest["k"])
 
 
-def task_success(spans: DataFrame) -> DataFrame:
-    """session_id, task: score and verdict of a task's span.
-
-    spans: session_id, task, calls, bad, verified (a passing check after the last edit), claimed (the
-    closing words say it is done), corrected (the next user turn corrects it), reopened (its topic comes
-    back later). A correction or a return overrules a claim; a claim without a check is only likely.
-    """
-    score = 0.5 + 0.3 * F.col("verified").cast("int") + 0.1 * F.col("claimed").cast("int") - 0.4 * F.col("corrected").cast("int") - 0.3 * F.col("reopened").cast("int") - 0.2 * F.coalesce(F.try_divide("bad", "calls"), F.lit(0.0))
-    rows = spans.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    verdict = F.when(F.col("corrected") | F.col("reopened"), "failed").when(F.col("verified"), "passed").when(F.col("claimed"), "likely").otherwise("unknown")
-    return rows.select("session_id", "task", F.round("score", 6).alias("score"), verdict.alias("verdict"))
-
-
 def run_buckets(runs: DataFrame, kept: DataFrame) -> DataFrame:
     """The kept runs by task shape: bucket (class, size of the change, how many tools), runs, first run, mean cost."""
     shape = F.concat_ws("|", "task_class", F.when(F.col("edits") == 0, "none").when(F.col("edits") <= 3, "small").when(F.col("edits") <= 10, "medium").otherwise("large"), F.least("tools", F.lit(5)))

@@ -12,6 +12,7 @@ from ..functions import scalars as C
 from ..operators import reclaim as Q
 from ..operators import stats as X
 from ..operators import summaries as Y
+from ..operators import task_success as K
 from ..sources import star
 from .registry import Tables, query
 
@@ -461,13 +462,42 @@ def session_scorecard(t: Tables) -> DataFrame:
     return Y.scorecard(rows).select("session_id", F.round("overall", 6).alias("overall"), "weakest")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS session_id, o_custkey AS task, o_custkey % 5 AS calls, least(o_custkey % 3, o_custkey % 5) AS bad, o_orderstatus = 'F' AS v, o_orderkey % 3 = 0 AS c, o_orderkey % 7 = 0 AS x, o_orderkey % 11 = 0 AS r FROM orders)
-  SELECT session_id, task, round(greatest(0, least(1, 0.5 + 0.3 * v::INT + 0.1 * c::INT - 0.4 * x::INT - 0.3 * r::INT - 0.2 * coalesce(bad / nullif(calls, 0), 0))), 6)::DOUBLE AS score, CASE WHEN x OR r THEN 'failed' WHEN v THEN 'passed' WHEN c THEN 'likely' ELSE 'unknown' END AS verdict FROM s""")
+@query("""WITH e AS (SELECT user_id::VARCHAR AS session_id, event_id, epoch_us(ts) AS us, event_type AS kind, value, '#' || (props->>'$.k') AS topic FROM events),
+  s AS (SELECT session_id, us, row_number() OVER w - 1 AS task, lag(us) OVER w AS prev, lead(us) OVER w AS nxt FROM e WHERE kind = 'purchase' WINDOW w AS (PARTITION BY session_id ORDER BY us)),
+  m AS (SELECT e.*, (SELECT count(*) FROM s WHERE s.session_id = e.session_id AND s.us < e.us) AS task FROM e WHERE kind <> 'purchase'),
+  h AS (SELECT *, CASE WHEN value > 40 THEN 'correct' WHEN value < 5 THEN 'accept' ELSE 'neutral' END AS verdict FROM m WHERE kind = 'signup'),
+  c AS (SELECT *, CASE WHEN value > 10 THEN 'completed' ELSE 'blocked' END AS claim FROM m WHERE kind = 'view' AND (value > 10 OR value < 1)),
+  tp AS (SELECT DISTINCT m.session_id, m.task, m.topic FROM m JOIN s ON s.session_id = m.session_id AND s.task = m.task WHERE m.kind IN ('signup', 'view')),
+  sp AS (SELECT s.session_id, s.task, coalesce(s.prev, (SELECT min(us) FROM m WHERE m.session_id = s.session_id AND m.task = s.task), s.us) AS start_us, s.us AS end_us,
+    coalesce((SELECT arg_min(verdict, (us, event_id)) FROM h WHERE h.session_id = s.session_id AND h.us > s.us AND (s.nxt IS NULL OR h.us < s.nxt)), 'none') AS verdict,
+    coalesce((SELECT arg_max(claim, (us, event_id)) FROM c WHERE c.session_id = s.session_id AND c.task = s.task), 'none') AS claim,
+    (SELECT count(*) FROM m WHERE m.session_id = s.session_id AND m.task = s.task AND kind = 'click' AND value > 60) AS muts,
+    (SELECT count(*) FROM m WHERE m.session_id = s.session_id AND m.task = s.task AND kind = 'error') AS results,
+    (SELECT count(*) FROM m WHERE m.session_id = s.session_id AND m.task = s.task AND kind = 'error' AND value > 40) AS errs FROM s),
+  p AS (SELECT *, claim = 'completed' AND muts > 0 AS backed, least(0.35, 0.35 * coalesce(errs / nullif(results, 0), 0)) AS pen FROM sp),
+  q AS (SELECT *, CASE WHEN verdict = 'accept' THEN 1.0 WHEN verdict = 'correct' THEN 0.0 WHEN claim = 'completed' THEN greatest(0, CASE WHEN verdict = 'neutral' THEN CASE WHEN backed THEN 0.72 ELSE 0.62 END ELSE CASE WHEN backed THEN 0.6 ELSE 0.52 END END - pen)
+      WHEN claim = 'blocked' THEN greatest(0, CASE WHEN verdict = 'neutral' THEN 0.25 ELSE 0.2 END - pen) WHEN errs > 0 THEN greatest(0, 0.45 - pen) ELSE 0.5 END AS raw,
+    CASE WHEN verdict IN ('accept', 'correct') THEN 'high' WHEN claim <> 'none' THEN CASE WHEN verdict = 'neutral' THEN 'med' ELSE 'low' END WHEN errs > 0 THEN 'low' ELSE 'unknown' END AS conf FROM p),
+  d AS (SELECT q.session_id, q.task, q.end_us, tp.topic, q.verdict, q.conf FROM q JOIN tp ON tp.session_id = q.session_id AND tp.task = q.task WHERE claim = 'completed' AND backed AND round(raw, 3) >= 0.5),
+  t1 AS (SELECT h.session_id AS turn_session, h.us, h.event_id, d.session_id, d.task, d.end_us, d.verdict, d.topic, row_number() OVER (PARTITION BY h.event_id ORDER BY d.end_us DESC, d.session_id, d.task) AS rk
+    FROM h JOIN d ON d.topic = h.topic AND d.end_us < h.us AND h.us - d.end_us <= 14 * 86400000000 WHERE h.verdict = 'correct'),
+  dm AS (SELECT session_id, task, max(us) AS proof_us, arg_max(turn_session, (us, event_id)) AS proof_session, arg_max(topic, (us, event_id)) AS topic FROM t1 WHERE rk = 1 AND verdict <> 'accept' GROUP BY ALL),
+  up AS (SELECT d.session_id, d.task, min(d.topic) AS topic FROM d WHERE conf <> 'high' AND (SELECT max(us) FROM h) - d.end_us >= 14 * 86400000000 GROUP BY d.session_id, d.task
+    HAVING NOT bool_or(EXISTS (SELECT 1 FROM h WHERE h.topic = d.topic AND h.us > d.end_us AND h.us - d.end_us <= 14 * 86400000000)))
+  SELECT q.session_id, q.task, start_us, end_us, CASE WHEN dm.task IS NOT NULL THEN 'correct' ELSE verdict END AS verdict, claim, CASE WHEN dm.task IS NOT NULL OR up.task IS NOT NULL THEN 'high' ELSE conf END AS confidence,
+    round(CASE WHEN dm.task IS NOT NULL THEN 0 WHEN up.task IS NOT NULL THEN greatest(raw, 0.9) ELSE raw END, 3)::DOUBLE AS score, CASE WHEN dm.task IS NOT NULL THEN 'demoted' WHEN up.task IS NOT NULL THEN 'corroborated' END AS recurrence,
+    coalesce(dm.topic, up.topic) AS topic, proof_session, proof_us FROM q LEFT JOIN dm ON dm.session_id = q.session_id AND dm.task = q.task LEFT JOIN up ON up.session_id = q.session_id AND up.task = q.task AND dm.task IS NULL""")
 def task_success(t: Tables) -> DataFrame:
-    """Tasks by what speaks for and against their success."""
-    o, k = F.col("o_orderkey"), F.col("o_custkey")
-    rows = t.orders.select(o.alias("session_id"), k.alias("task"), (k % 5).alias("calls"), F.least(k % 3, k % 5).alias("bad"), (F.col("o_orderstatus") == "F").alias("verified"), (o % 3 == 0).alias("claimed"), (o % 7 == 0).alias("corrected"), (o % 11 == 0).alias("reopened"))
-    return Y.task_success(rows)
+    """Tasks by what the user says next, what the agent claims and what comes back: purchases close tasks, signups are the user's words, views the agent's, clicks calls and errors results."""
+    kind, value = F.col("event_type"), F.col("value")
+    e = t.events.select(F.col("user_id").cast("string").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("ord"), kind, value, F.array(F.concat(F.lit("#"), F.get_json_object("props", "$.k"))).alias("topic"))
+    humans = e.filter(kind == "signup").select("session_id", "us", "ord", F.when(value > 40, "correct").when(value < 5, "accept").otherwise("neutral").alias("verdict"), F.col("topic").alias("topics"))
+    role = F.when(kind == "view", "assistant_text").when(kind == "click", "tool_use").when(kind == "error", "tool_result")
+    claim = F.when((kind == "view") & (value > 10), "completed").when((kind == "view") & (value < 1), "blocked").otherwise("none")
+    topics = F.when(kind == "view", F.col("topic")).otherwise(F.array().cast("array<string>"))
+    events = e.select("session_id", "us", "ord", role.alias("kind"), claim.alias("claim"), ((kind == "error") & (value > 40)).alias("is_error"), ((kind == "click") & (value > 60)).alias("mutating"), topics.alias("topics")).filter("kind IS NOT NULL")
+    rows = K.task_success(e.filter(kind == "purchase").select("session_id", "us"), humans, events)
+    return rows.select("session_id", F.col("task").cast("bigint").alias("task"), "start_us", "end_us", "verdict", "claim", "confidence", "score", "recurrence", "topic", "proof_session", "proof_us")
 
 
 @query("""WITH r AS (SELECT o_orderkey AS run_id, o_orderpriority || '|' || CASE WHEN o_custkey % 15 = 0 THEN 'none' WHEN o_custkey % 15 <= 3 THEN 'small' WHEN o_custkey % 15 <= 10 THEN 'medium' ELSE 'large' END || '|' || least(o_orderkey % 8, 5) AS bucket, o_totalprice AS cost FROM orders WHERE o_orderstatus = 'F')
