@@ -194,12 +194,6 @@ def top_per_domain(findings: DataFrame) -> DataFrame:
     return findings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def verdict(findings: DataFrame) -> DataFrame:
-    """One row: findings, the worst severity and what that means; no finding is fine."""
-    t = findings.agg(F.count(F.lit(1)).alias("findings"), F.coalesce(F.max("severity_rank"), F.lit(0)).alias("worst"), F.sum("est_savings_usd").alias("usd"))
-    return t.withColumn("verdict", F.when(F.col("worst") >= 3, "act-now").when(F.col("worst") == 2, "look").when(F.col("worst") == 1, "minor").otherwise("fine"))
-
-
 def monthly(savings: DataFrame, ts: str = "ts", usd: str = "saving_usd") -> DataFrame:
     """One row: observed savings carried to thirty days by the span they cover (a day at least)."""
     days = F.greatest(F.lit(1.0), (micros(F.max(ts)) - micros(F.min(ts))) / 86_400e6)
@@ -319,33 +313,6 @@ def rework_links(requests: DataFrame) -> DataFrame:
     return g.groupBy("id").agg(F.min(F.struct("then", "later", "files")).alias("m")).select("id", "m.later", "m.files")
 
 
-def report_card(sessions: DataFrame, calls: DataFrame, errors: DataFrame) -> DataFrame:
-    """project: sessions, calls, failures, throttled and other errors, and keep, flag or move. Sides are summed by session before they meet."""
-    c = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("is_error").alias("bad"))
-    e = errors.groupBy("session_id").agg(F.count_if(F.col("status").isin(429, 529)).alias("throttled"), F.count(F.lit(1)).alias("errors"))
-    j = sessions.select("session_id", "project").join(c, "session_id", "left").join(e, "session_id", "left")
-    g = j.groupBy("project").agg(F.count(F.lit(1)).alias("sessions"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("calls", "bad", "throttled", "errors")])
-    few, rate = F.col("calls") < 5, F.try_divide("bad", "calls")
-    return g.withColumn("verdict", F.when(few, "too-few").when(rate >= 0.4, "move").when((rate >= 0.2) | (F.col("errors") >= 5), "flag").otherwise("keep"))
-
-
-def scorecard(sessions: DataFrame) -> DataFrame:
-    """session_id with its axes (0 to 100: cost, context, reliability, safety), the overall mean of those it has, and the weakest.
-
-    sessions: session_id, cost, typical_cost, peak, window, calls, bad, dangerous; an axis whose input is missing is null.
-    """
-    axes = {
-        "cost_axis": F.when(F.col("typical_cost") > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 150 - 50 * F.col("cost") / F.col("typical_cost")))),
-        "context_axis": F.when(F.col("window") > 0, F.greatest(F.lit(0.0), 100 * (1 - F.col("peak") / F.col("window")))),
-        "reliability_axis": F.when(F.col("calls") > 0, 100.0 * (1 - F.col("bad") / F.col("calls"))),
-        "safety_axis": F.when(F.col("dangerous").isNotNull(), F.greatest(F.lit(0.0), 100.0 - 25 * F.col("dangerous"))),
-    }
-    rows = sessions.select("session_id", *[c.alias(k) for k, c in axes.items()])
-    there = F.array_compact(F.array(*axes))
-    weakest = F.array_min(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("v"), F.lit(k).alias("k"))) for k in axes])))
-    return rows.withColumn("overall", F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))).withColumn("weakest", weakest["k"])
-
-
 def run_buckets(runs: DataFrame, kept: DataFrame) -> DataFrame:
     """The kept runs by task shape: bucket (class, size of the change, how many tools), runs, first run, mean cost."""
     shape = F.concat_ws("|", "task_class", F.when(F.col("edits") == 0, "none").when(F.col("edits") <= 3, "small").when(F.col("edits") <= 10, "medium").otherwise("large"), F.least("tools", F.lit(5)))

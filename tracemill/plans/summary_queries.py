@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cost as P
 from ..functions import scalars as C
 from ..operators import reclaim as Q
+from ..operators import scorecards as Z
 from ..operators import stats as X
 from ..operators import summaries as Y
 from ..operators import task_success as K
@@ -235,10 +236,45 @@ def top_per_domain(t: Tables) -> DataFrame:
     return Y.top_per_domain(_findings(t)).select("category", "severity_rank", "emit_order")
 
 
-@query(f"WITH {FINDINGS} SELECT count(*) AS findings, max(severity_rank) AS worst, round(sum(usd), 2) AS usd, 'act-now' AS verdict FROM f HAVING max(severity_rank) = 3")
+DIGEST = """g AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'safety' ELSE o_orderpriority END AS category, CASE WHEN o_totalprice > 300000 THEN 'critical' WHEN o_totalprice > 150000 THEN 'warning' ELSE 'info' END AS severity,
+    row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, c_nationkey AS nation FROM orders JOIN customer ON o_custkey = c_custkey),
+  v AS (SELECT r_regionkey AS region, CASE WHEN count(s_suppkey) = 0 THEN 'CANNOT_SEE' WHEN min(s_acctbal) < -950 THEN 'INFER' ELSE 'PROVE' END AS status, CASE WHEN max(s_acctbal) < 9900 THEN 'old' END AS note
+    FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)"""
+
+
+def _digest(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders as findings, ranked by price; regions as domains, covered by their suppliers."""
+    price = F.col("o_totalprice")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_custkey", price, (-price).alias("less")).withColumn("one", F.lit(1))
+    ranked = X.running_total(rows, "o_totalprice", "one", ("o_orderkey",), descending=True)
+    findings = ranked.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "safety").otherwise(F.col("o_orderpriority")).alias("category"),
+        F.when(price > 300_000, "critical").when(price > 150_000, "warning").otherwise("info").alias("severity"), (F.col("_before") + 1).alias("rank"), "nation",
+    )
+    places = t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey"), "left").join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    status = F.when(F.count("s_suppkey") == 0, "CANNOT_SEE").when(F.min("s_acctbal") < -950, "INFER").otherwise("PROVE")
+    return findings, places.groupBy(F.col("r_regionkey").alias("domain")).agg(status.alias("status"), F.when(F.max("s_acctbal") < 9900, "old").alias("stale_note"))
+
+
+@query(f"""WITH {DIGEST} SELECT CASE WHEN seen = 0 THEN 'unknown' WHEN n = 0 THEN 'ok' WHEN lead IS NOT NULL THEN 'critical' ELSE 'attention' END AS tone,
+    CASE WHEN seen = 0 OR n = 0 THEN NULL ELSE coalesce(lead, other, first) END AS named, n AS findings, crit AS critical, seen AS observed, blind
+  FROM (SELECT count(*) AS n, count(*) FILTER (severity = 'critical') AS crit, arg_min(id, rank) FILTER (severity = 'critical' AND category = 'safety') AS lead, arg_min(id, rank) FILTER (category <> 'safety') AS other, arg_min(id, rank) AS first FROM g),
+    (SELECT count(*) FILTER (status <> 'CANNOT_SEE') AS seen, count(*) FILTER (status = 'CANNOT_SEE') AS blind FROM v)""")
 def digest_verdict(t: Tables) -> DataFrame:
-    """What all findings come to."""
-    return Y.verdict(_findings(t)).withColumn("usd", F.round("usd", 2))
+    """What all findings come to, given what could be seen."""
+    return Z.digest_verdict(*_digest(t))
+
+
+@query(f"""WITH {DIGEST}, d AS (SELECT n_regionkey AS region, arg_min(id, rank) AS id FROM g JOIN nation ON nation = n_nationkey WHERE severity <> 'info' AND n_nationkey < 12 GROUP BY 1)
+  SELECT v.region AS domain, d.id, CASE status WHEN 'PROVE' THEN 'healthy' WHEN 'INFER' THEN 'sparse' ELSE 'blind-spot' END AS level,
+    CASE WHEN d.id IS NOT NULL THEN NULL WHEN status = 'CANNOT_SEE' THEN 'uninstrumented' WHEN note IS NOT NULL THEN 'stale' WHEN status = 'INFER' THEN 'uninstrumented' ELSE 'clean' END AS empty_state
+  FROM v LEFT JOIN d ON d.region = v.region""")
+def digest_domains(t: Tables) -> DataFrame:
+    """Every domain's first finding, or why it has none. Orders of some nations are findings, so that some regions have none."""
+    findings, coverage = _digest(t)
+    of = t.nation.select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("domain"))
+    found = findings.filter("severity <> 'info' AND nation < 12").join(of, "nation")
+    return Z.digest_domains(found, coverage, t.region.select(F.col("r_regionkey").alias("domain")))
 
 
 @query("SELECT round(sum(o_totalprice), 2) AS observed, round(sum(o_totalprice) / greatest(1, date_diff('day', min(o_orderdate), max(o_orderdate))) * 30, 4) AS monthly FROM orders")
@@ -443,23 +479,72 @@ def rework_links(t: Tables) -> DataFrame:
     return Y.rework_links(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("merged_at")).join(files, "id"))
 
 
-@query(f"""WITH {ERRORS}, s AS (SELECT DISTINCT session_id, session_id::INT % 6 AS project FROM c), k AS (SELECT session_id, count(*) AS calls, count(*) FILTER (bad) AS bad FROM c GROUP BY 1), x AS (SELECT session_id, count(*) FILTER (status IN (429, 529)) AS throttled, count(*) AS errors FROM e GROUP BY 1),
-  g AS (SELECT project, count(*) AS sessions, sum(calls)::BIGINT AS calls, sum(bad)::BIGINT AS bad, coalesce(sum(throttled), 0)::BIGINT AS throttled, coalesce(sum(errors), 0)::BIGINT AS errors FROM s LEFT JOIN k USING (session_id) LEFT JOIN x USING (session_id) GROUP BY 1)
-  SELECT *, CASE WHEN calls < 5 THEN 'too-few' WHEN bad / calls >= 0.4 THEN 'move' WHEN bad / calls >= 0.2 OR errors >= 5 THEN 'flag' ELSE 'keep' END AS verdict FROM g""")
+@query("""WITH c AS (SELECT user_id, props->>'$.k' AS k, event_type, value FROM events), r AS (SELECT DISTINCT user_id AS session_id, '/p' || k AS cwd, CASE WHEN event_type = 'click' THEN 'sdk-py' ELSE event_type END AS entrypoint FROM c WHERE event_type IN ('click', 'view') AND value > 80),
+  t AS (SELECT user_id AS session_id, floor(value / 25)::INT AS attempt, value * 10 AS wasted FROM c WHERE event_type = 'error'),
+  g AS (SELECT user_id AS session_id, max(floor(value / 20)::INT) AS attempt, max(value * 30) AS ttfb, count(*) FILTER (value > 180) AS lost FROM c WHERE event_type = 'purchase' GROUP BY 1),
+  s AS (SELECT coalesce(a.session_id, g.session_id) AS session_id, n, storms, greatest(a.attempt, g.attempt) AS attempt, wasted, ttfb, lost
+    FROM (SELECT session_id, count(*) AS n, count(*) FILTER (attempt >= 4) AS storms, max(attempt) AS attempt, sum(wasted) AS wasted FROM t GROUP BY 1) a FULL JOIN g ON a.session_id = g.session_id),
+  x AS (SELECT user_id AS session_id, '/p' || min(k) AS cwd, 'unknown' AS entrypoint FROM c WHERE event_type = 'signup' GROUP BY 1),
+  m AS (SELECT * FROM r UNION ALL SELECT x.* FROM x JOIN s USING (session_id) WHERE session_id NOT IN (SELECT session_id FROM r)),
+  e AS (SELECT cwd, entrypoint, count(*) AS n FROM m GROUP BY ALL), w AS (SELECT cwd, sum(n) AS sessions, arg_min(entrypoint, (-n, entrypoint)) AS entrypoint, max(n) / sum(n) AS share FROM e GROUP BY 1),
+  j AS (SELECT cwd, coalesce(sum(n), 0) AS n, coalesce(sum(storms), 0) AS storms, coalesce(max(attempt), 0) AS attempt, coalesce(sum(wasted), 0) AS wasted, coalesce(max(ttfb), 0) AS ttfb, coalesce(sum(lost), 0) AS lost, count(s.session_id) AS signals FROM m LEFT JOIN s USING (session_id) GROUP BY 1),
+  d AS (SELECT *, CASE WHEN sessions <= 2 THEN 'low-signal' WHEN share >= 0.7 THEN 'committed' ELSE 'split' END AS attribution,
+    CASE WHEN floor(coalesce(100.0 * storms / nullif(n, 0), 0) + 0.5) >= 25 OR attempt >= 8 THEN 40 ELSE 0 END + CASE WHEN ttfb >= 5000 THEN 25 ELSE 0 END + CASE WHEN wasted >= 60000 THEN 15 ELSE 0 END + CASE WHEN lost > 0 AND entrypoint LIKE 'sdk-%' THEN 10 ELSE 0 END AS drag_score FROM w JOIN j USING (cwd))
+  SELECT cwd, sessions::BIGINT AS sessions, attribution, drag_score, CASE WHEN drag_score >= 45 THEN 'HEAVY' WHEN drag_score >= 20 THEN 'DRAG' ELSE 'OK' END AS drag,
+    CASE WHEN attribution = 'low-signal' THEN 'MOVE' WHEN attribution = 'split' OR signals = 0 THEN 'FLAG' WHEN drag_score < 20 THEN 'KEEP' WHEN drag_score < 45 THEN 'FLAG' ELSE 'MOVE' END AS verdict FROM d""")
 def report_card(t: Tables) -> DataFrame:
-    """Projects by how often their sessions fail."""
-    c = _calls(t)
-    return Y.report_card(c.select("session_id", (F.col("session_id").cast("int") % 6).alias("project")).distinct(), c, _errors(t))
-
-
-@query("""WITH s AS (SELECT o_orderkey AS session_id, greatest(0, least(100, 150 - 50 * o_totalprice / 150000)) AS c, CASE WHEN o_custkey % 3 <> 0 THEN greatest(0, 100 * (1 - o_totalprice / 400000)) END AS x, CASE WHEN o_custkey % 4 > 0 THEN 100.0 * (1 - (o_custkey % 2) / (o_custkey % 4)) END AS r, CASE WHEN o_orderstatus <> 'P' THEN greatest(0, 100.0 - 25 * (o_orderkey % 6)) END AS f FROM orders)
-  SELECT session_id, round((c + coalesce(x, 0) + coalesce(r, 0) + coalesce(f, 0)) / (1 + (x IS NOT NULL)::INT + (r IS NOT NULL)::INT + (f IS NOT NULL)::INT), 6) AS overall,
-    CASE least(c, coalesce(x, 999), coalesce(r, 999), coalesce(f, 999)) WHEN x THEN CASE WHEN c = x THEN 'context_axis' ELSE 'context_axis' END WHEN c THEN 'cost_axis' WHEN r THEN 'reliability_axis' ELSE 'safety_axis' END AS weakest FROM s""")
+    """Folders by who works in them and how reliably: clicks and views place sessions, errors are failed calls, purchases log lines, signups place the rest."""
+    kind, value, k = F.col("event_type"), F.col("value"), F.get_json_object("props", "$.k")
+    e = t.events.select(F.col("user_id").alias("session_id"), kind, value, F.concat(F.lit("/p"), k).alias("cwd"), k.alias("k"))
+    registry = e.filter(kind.isin("click", "view") & (value > 80)).select("session_id", "cwd", F.when(kind == "click", "sdk-py").otherwise(kind).alias("entrypoint")).distinct()
+    telemetry = e.filter(kind == "error").select("session_id", F.floor(value / 25).cast("int").alias("attempt"), (value * 10).alias("wasted_ms"))
+    debug = e.filter(kind == "purchase").select("session_id", F.floor(value / 20).cast("int").alias("max_attempt"), (value * 30).alias("ttfb_p90_ms"), (value > 180).cast("int").alias("fast_mode_lost"))
+    context = e.filter(kind == "signup").groupBy("session_id").agg(F.concat(F.lit("/p"), F.min("k")).alias("cwd"), F.lit("unknown").alias("entrypoint"))
+    return Z.report_card(registry, telemetry, debug, context).select("cwd", "sessions", "attribution", "drag_score", "drag", "verdict")
+
+
+CARD = """e AS (SELECT user_id AS session_id, epoch_us(ts) AS us, event_id, event_type AS kind, value AS v, props->>'$.k' AS k FROM events),
+  f AS (SELECT session_id, sum(v) FILTER (kind = 'view') / 500 AS cost, max(v) * 1000 AS peak, 200000 AS win, (arg_max(v, (us, event_id)) - arg_min(v, (us, event_id))) * 1e6 / ((max(us) - min(us)) / 3.6e9) AS growth, count(*) FILTER (v > 190) AS comp,
+    coalesce(sum(v) FILTER (kind = 'click'), 0) AS rd, coalesce(sum(v) FILTER (kind = 'purchase'), 0) AS mk, bool_or(v < 1) AS unk, CASE WHEN count(*) > 20 THEN count(*) FILTER (kind = 'error') * 5 < count(*) END AS good, count(*) FILTER (kind = 'signup') > 15 AS lab,
+    (max(us) - min(us)) / 6e9 AS minutes, count(*) FILTER (kind = 'signup') AS turns, count(*) FILTER (kind = 'error' AND v > 90) AS api, count(*) FILTER (kind = 'error' AND v > 150) AS retr, count(*) FILTER (kind = 'error' AND v > 120) AS recov,
+    count(*) FILTER (kind = 'purchase' AND v > 120) AS perm, bool_or(kind = 'purchase' AND v > 180) AS byp, count(*) FILTER (kind = 'click') AS calls, count(*) FILTER (kind = 'error' AND v > 100) AS terr, count(*) FILTER (kind = 'click' AND v > 185) AS dh,
+    count(*) FILTER (kind = 'click' AND v BETWEEN 175 AND 185) AS dm, count(*) FILTER (kind = 'click' AND v < 4) AS hc, count(*) FILTER (kind = 'click' AND v < 2) AS mcp, count(*) FILTER (kind = 'click' AND v < 3) AS hp, count(DISTINCT k) AS files,
+    count(*) FILTER (kind = 'click') - count(DISTINCT k) FILTER (kind = 'click') AS rep, count(*) FILTER (kind = 'purchase') AS hooks, count(*) FILTER (kind = 'purchase' AND v > 150) AS herr, count(*) FILTER (kind = 'purchase' AND v > 110) AS spans FROM e GROUP BY 1),
+  b AS (SELECT *, CASE WHEN peak > win THEN 1 WHEN peak > win * 0.5 THEN 2 ELSE 0 END AS crowd FROM f),
+  a AS (SELECT session_id, 'cost' AS axis, cost IS NOT NULL AS known, 100 - CASE WHEN cost > 10 THEN 35 WHEN cost > 3 THEN 25 WHEN cost > 1 THEN 12 ELSE 0 END - [0, 30, 18][crowd + 1] - least(30, comp * 10) - CASE WHEN growth > 50000 THEN 10 ELSE 0 END
+      - CASE WHEN rd + mk > 0 THEN (1 - rd / (rd + mk)) * 12 ELSE 0 END - CASE WHEN unk THEN 5 ELSE 0 END AS s, 'high' AS sure, false AS fl FROM b
+    UNION ALL SELECT session_id, 'outcome', good IS NOT NULL, CASE WHEN good THEN 64 ELSE 34 END + 10 * ((terr + api = 0)::INT + (comp = 0)::INT + (cost IS NULL OR cost <= 1)::INT) + CASE WHEN lab THEN CASE WHEN good THEN 6 ELSE -6 END ELSE 0 END - least(12, 3 * (terr + api)) - least(10, comp * 5),
+      CASE WHEN lab THEN 'high' ELSE 'medium' END, false FROM b
+    UNION ALL SELECT session_id, 'speed', true, CASE WHEN minutes / greatest(1, turns) <= 2 THEN 95 WHEN minutes / greatest(1, turns) <= 10 THEN 82 WHEN minutes / greatest(1, turns) <= 30 THEN 62 ELSE 42 END - least(25, retr * 5), 'medium', false FROM b
+    UNION ALL SELECT session_id, 'security', calls > 0 OR perm > 0, 100 - CASE WHEN byp THEN 30 ELSE 0 END - least(60, dh * 30) - least(30, dm * 10), CASE WHEN dm > 0 THEN 'medium' WHEN perm > 0 THEN 'high' ELSE 'medium' END, true FROM b
+    UNION ALL SELECT session_id, 'portability', calls > 0, 100 - least(40, hc * 8) - least(30, mcp * 10) - least(30, hp * 15), CASE WHEN calls >= 2 THEN 'high' ELSE 'medium' END, true FROM b
+    UNION ALL SELECT session_id, 'reliability', calls > 0 OR api > 0 OR hooks > 0, 100 - CASE WHEN terr > 0 THEN least(45, floor(coalesce(100.0 * terr / nullif(calls, 0), 0) + 0.5)) ELSE 0 END - least(40, 10 * (api - recov)) - least(20, 4 * recov) - least(24, 8 * herr), CASE WHEN calls > 0 OR hooks > 0 THEN 'high' ELSE 'medium' END, true FROM b
+    UNION ALL SELECT session_id, 'focus', true, 100 - CASE WHEN cost IS NOT NULL THEN [0, 30, 15][crowd + 1] + least(25, comp * 8) + CASE WHEN growth > 50000 THEN 10 ELSE 0 END ELSE 0 END - CASE WHEN turns > 0 AND calls > 20 * turns THEN 20 ELSE 0 END - CASE WHEN files > 20 THEN 15 ELSE 0 END
+      - least(20, rep * 4) - least(24, greatest(0, spans - 1) * 6), CASE WHEN cost IS NOT NULL AND calls > 0 THEN 'high' ELSE 'medium' END, true FROM b),
+  z AS (SELECT *, greatest(0, least(100, floor(s + 0.5))) AS w FROM a)
+  SELECT session_id, axis, CASE WHEN NOT known THEN 50 WHEN fl AND sure = 'medium' AND w > 50 THEN floor(50 + (w - 50) * 0.4 + 0.5) ELSE w END::INT AS score, CASE WHEN known THEN sure ELSE 'low' END AS confidence FROM z"""
+
+
+@query(f"WITH {CARD}")
 def session_scorecard(t: Tables) -> DataFrame:
-    """Sessions by four axes; of equal axes the first by name is the weakest."""
-    k = F.col("o_custkey")
-    rows = t.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_totalprice").alias("cost"), F.lit(150_000.0).alias("typical_cost"), F.col("o_totalprice").alias("peak"), F.when(k % 3 != 0, F.lit(400_000.0)).alias("window"), (k % 4).alias("calls"), (k % 2).alias("bad"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 6).alias("dangerous"))
-    return Y.scorecard(rows).select("session_id", F.round("overall", 6).alias("overall"), "weakest")
+    """Users' events as sessions, on seven axes."""
+    kind, v, us = F.col("event_type"), F.col("value"), F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t.events.select(F.col("user_id").alias("session_id"), us.alias("us"), "event_id", kind, v, F.get_json_object("props", "$.k").alias("k"))
+    n = lambda of, also=F.lit(True): F.count_if((kind == of) & also)
+    total = lambda of: F.coalesce(F.sum(F.when(kind == of, v)), F.lit(0.0))
+    at = F.struct("us", "event_id")
+    g = e.groupBy("session_id").agg(
+        (F.sum(F.when(kind == "view", v)) / 500).alias("cost"), (F.max(v) * 1000).alias("peak"), F.lit(200_000).alias("window"), (F.max_by(v, at) - F.min_by(v, at)).alias("gain"), F.max("us").alias("last"), F.min("us").alias("first"),
+        F.count_if(v > 190).alias("compactions"), total("click").alias("cache_read"), total("purchase").alias("cache_made"), F.bool_or(v < 1).alias("unknown_model"), F.count(F.lit(1)).alias("n"), n("error").alias("errors"),
+        n("signup").alias("user_turns"), n("error", v > 90).alias("api_errors"), n("error", v > 150).alias("api_retries"), n("error", v > 120).alias("api_recovered"), n("purchase", v > 120).alias("permission_rows"),
+        F.bool_or((kind == "purchase") & (v > 180)).alias("bypass"), n("click").alias("calls"), n("error", v > 100).alias("tool_errors"), n("click", v > 185).alias("dangerous_high"), n("click", v.between(175, 185)).alias("dangerous_medium"),
+        n("click", v < 4).alias("harness_calls"), n("click", v < 2).alias("mcp_calls"), n("click", v < 3).alias("harness_paths"), F.count_distinct("k").alias("files"), F.count_distinct(F.when(kind == "click", F.col("k"))).alias("clicked"),
+        n("purchase").alias("hooks"), n("purchase", v > 150).alias("hook_errors"), n("purchase", v > 110).alias("task_spans"),
+    )
+    span = F.col("last") - F.col("first")
+    g = g.withColumn("growth_per_hour", F.try_divide(F.col("gain") * 1e6, span / 3.6e9)).withColumn("minutes", span / 6e9).withColumn("repeats", F.col("calls") - F.col("clicked"))
+    g = g.withColumn("good", F.when(F.col("n") > 20, F.col("errors") * 5 < F.col("n"))).withColumn("labelled", F.col("user_turns") > 15)
+    return Z.session_scorecard(g.withColumn("has_tokens", F.col("cost").isNotNull()).withColumn("has_tools", F.col("calls") > 0).withColumn("has_timeline", F.lit(True)).withColumn("has_runtime", F.col("hooks") > 0))
 
 
 @query("""WITH e AS (SELECT user_id::VARCHAR AS session_id, event_id, epoch_us(ts) AS us, event_type AS kind, value, '#' || (props->>'$.k') AS topic FROM events),
