@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialized
+from .quantiles import exact_quantiles
+
 
 def pearson(a: str | Column, b: str | Column) -> Column:
     """Pearson's correlation; null where one side does not vary."""
@@ -81,7 +84,11 @@ def signed_rank_test(df: DataFrame, delta: str, min_pairs: int = 12, alpha: floa
 
 def paired_medians(df: DataFrame, control: str, treatment: str) -> DataFrame:
     """n, the median of treatment - control, and that as a percentage of the median control (null where that is 0)."""
-    m = df.agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col(treatment) - F.col(control), F.lit(0.5)).alias("delta"), F.percentile(control, F.lit(0.5)).alias("base"))
+    pairs = materialized(df.select(F.col(control).alias("base"), (F.col(treatment) - F.col(control)).alias("delta")))
+    median = lambda c: exact_quantiles(pairs, [], c, [0.5]).select(F.col("q")[0].alias(c))
+    m = pairs.agg(F.count(F.lit(1)).alias("n"))
+    for c in ("delta", "base"):
+        m = m.join(F.broadcast(median(c)), F.lit(True), "left")  # one row
     return m.select("n", "delta", F.when(F.col("base") != 0, 100 * F.col("delta") / F.col("base")).alias("pct"))
 
 

@@ -9,6 +9,8 @@ from ..functions import scalars as C
 from ..functions.cost import entry_cost
 from ..operators import graph as G
 from ..operators import sequences as S
+from ..operators.quantiles import exact_quantiles
+from ..session import materialized
 from ..sources import artifacts as A
 from .rules import CHARS_PER_TOKEN, EDIT_TOOLS, MIN_USD, RATE_LIMITS, STALE_WEEKS, Signals, bash, costs, recommend, rule, session_costs, with_evidence
 
@@ -298,7 +300,8 @@ def input_leverage(s: Signals) -> DataFrame:
     turn = s.timeline.filter("kind = 'user'").select("session_id", S.micros("ts").alias("t_us"), F.struct("ord", ((steering_kind("summary") == "corrective") | F.col("summary").startswith("[Request interrupted")).alias("steered")).alias("turn"))
     spent = s.token_entries.select("session_id", S.micros("ts").alias("us"), (F.col("input") + F.col("output")).alias("tokens"))
     spans = S.asof(spent, turn, ["session_id"], "us", "t_us", "turn", out="at").filter("at IS NOT NULL").groupBy("session_id", "at").agg(F.sum("tokens").alias("tokens"))
-    m = spans.agg(F.percentile("tokens", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    spans = materialized(spans)
+    m = exact_quantiles(spans, [], "tokens", [0.5]).select(F.col("q")[0].alias("median"), "n")
     t = spans.crossJoin(F.broadcast(m)).filter("n >= 4 AND at.steered AND tokens >= 3 * median AND tokens >= 50000").agg(F.count(F.lit(1)).alias("affected"))  # one row
     return recommend(t, F.col("affected") > 0, F.when(F.col("affected") >= 3, "warning").otherwise("info"), "Corrections set off expensive stretches of work")
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import deceit as D
+from ..operators import quantiles as N
 from ..operators import scope
 from ..operators import rollups as R
 from ..operators import sequences as S
+from ..operators import trajectories as J
+from ..session import materialized
 from .registry import Tables, query
 
 GAP = 6 * 3600 * 1_000_000
@@ -67,9 +71,10 @@ def error_retry_sequences(t: Tables) -> DataFrame:
     """What follows an error, how often and how soon."""
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     rows = _events(t).withColumn("next_tool", F.lead("event_type").over(w)).withColumn("wait", F.lead("us").over(w) - F.col("us"))
-    return rows.filter(F.col("is_error") & F.col("next_tool").isNotNull()).groupBy("next_tool").agg(
-        F.count(F.lit(1)).alias("times"), F.count_distinct("user_id").alias("sessions"), F.round(F.median("wait") / 1e6, 3).alias("median_wait_s")
-    )
+    rows = rows.filter(F.col("is_error") & F.col("next_tool").isNotNull()).select("user_id", "next_tool", "wait")
+    waits = N.exact_quantiles(rows, ["next_tool"], "wait", [0.5])
+    counts = rows.groupBy("next_tool").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("user_id").alias("sessions"))
+    return counts.join(waits, "next_tool").select("next_tool", "times", "sessions", F.round(F.col("q")[0] / 1e6, 3).alias("median_wait_s"))
 
 
 @query(f"WITH {E} SELECT user_id, count(*) AS entries, min(us) AS started_us, max(us) AS ended_us, max(us) - min(us) AS duration_us, arg_min(event_type, (us, event_id)) AS opener FROM e GROUP BY 1")
@@ -155,8 +160,7 @@ def turn_latency_quantiles(t: Tables) -> DataFrame:
     """Exact interpolated quantiles of the time since the session's previous call."""
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     gaps = _events(t).select(F.col("event_type").alias("tool"), (F.col("us") - F.lag("us").over(w)).alias("gap")).filter("gap IS NOT NULL")
-    q = F.percentile("gap", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    rows = gaps.groupBy("tool").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
+    rows = N.exact_quantiles(gaps, ["tool"], "gap", [0.5, 0.9, 0.95])
     return rows.select("tool", "n", *[F.round(F.col("q")[i] / 1e6, 3).alias(c) for i, c in enumerate(("p50", "p90", "p95"))])
 
 
@@ -172,11 +176,10 @@ def latency_histogram(t: Tables) -> DataFrame:
 
 def _task_cost(t: Tables, inclusive: bool) -> DataFrame:
     spans = S.span_index(_events(t), ["user_id"], ["us", "event_id"], F.col("event_type") == "purchase", inclusive, "task")
-    costs = spans.groupBy("user_id", "task").agg(F.sum("value").alias("cost"), F.count(F.lit(1)).alias("calls"))
-    return costs.agg(
-        F.count(F.lit(1)).alias("tasks"), F.round(F.avg("cost"), 4).alias("mean_cost"), F.round(F.percentile("cost", F.lit(0.5)), 4).alias("p50"),
-        F.round(F.percentile("cost", F.lit(0.9)), 4).alias("p90"), F.max("calls").alias("most_calls"),
-    )
+    costs = materialized(spans.groupBy("user_id", "task").agg(F.sum("value").alias("cost"), F.count(F.lit(1)).alias("calls")))
+    q = N.exact_quantiles(costs, [], "cost", [0.5, 0.9])
+    whole = costs.agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg("cost"), 4).alias("mean_cost"), F.max("calls").alias("most_calls"))
+    return whole.join(F.broadcast(q), F.lit(True), "left").select("tasks", "mean_cost", F.round(F.col("q")[0], 4).alias("p50"), F.round(F.col("q")[1], 4).alias("p90"), "most_calls")  # one row each
 
 
 def _task_sql(frame: str) -> str:
@@ -237,9 +240,9 @@ def agent_effectiveness(t: Tables) -> DataFrame:
     """Runs that a successful call follows in time, and the median time to the next call."""
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     e = _events(t).withColumn("wait", F.lead("us").over(w) - F.col("us")).withColumn("failed", F.lead("is_error").over(w))
-    return e.groupBy(F.col("event_type").alias("agent")).agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if((F.col("wait") <= GAP) & ~F.col("failed")).alias("followed"), F.round(F.median("wait") / 1e6, 3).alias("median_follow_s")
-    )
+    e = e.select(F.col("event_type").alias("agent"), "wait", "failed")
+    counts = e.groupBy("agent").agg(F.count(F.lit(1)).alias("runs"), F.count_if((F.col("wait") <= GAP) & ~F.col("failed")).alias("followed"))
+    return counts.join(N.exact_quantiles(e, ["agent"], "wait", [0.5]), "agent", "left").select("agent", "runs", "followed", F.round(F.col("q")[0] / 1e6, 3).alias("median_follow_s"))
 
 
 @query(f"""WITH {E}, g AS (SELECT user_id, event_type || '>' || lead(event_type) OVER w AS g2,
@@ -419,3 +422,28 @@ def lifecycle_fold(t: Tables) -> DataFrame:
     """Where a user's events end up, as a fold that depends on their order."""
     kind = F.when(F.col("event_type") == "view", "shown").when(F.col("event_type") == "click", "applied").when(F.col("event_type") == "purchase", "verified").when(F.col("event_type") == "error", "reverted").otherwise("other")
     return S.lifecycle(_events(t).withColumn("e", kind), ["user_id"], ["us", "event_id"], "e")
+
+
+@query(f"""WITH {E}, o AS (SELECT user_id FROM e GROUP BY 1 HAVING 4 * count(*) FILTER (is_error) < count(*)), g AS (SELECT user_id, event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(event_type, 3) OVER w AS d, lead(event_type, 4) OVER w AS f
+    FROM e WHERE user_id IN (SELECT user_id FROM o) WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+  u AS (SELECT user_id, [a, b, c] AS r FROM g WHERE c IS NOT NULL UNION ALL SELECT user_id, [a, b, c, d] FROM g WHERE d IS NOT NULL UNION ALL SELECT user_id, [a, b, c, d, f] FROM g WHERE f IS NOT NULL),
+  s AS (SELECT r, count(DISTINCT user_id) AS sessions, count(*) AS occurrences FROM u WHERE len(list_distinct(r)) > 1 GROUP BY 1 HAVING count(DISTINCT user_id) >= 2)
+  SELECT array_to_string(r, ' -> ') AS signature, len(r)::INT AS length, sessions, occurrences, NOT EXISTS (SELECT 1 FROM s l WHERE len(l.r) = len(s.r) + 1 AND (l.r[:-2] = s.r OR l.r[2:] = s.r) AND l.sessions = s.sessions AND l.occurrences = s.occurrences) AS closed FROM s""")
+def successful_trajectories(t: Tables) -> DataFrame:
+    """Runs of tools that recur in sessions with few errors, and whether a longer one of equal support contains them."""
+    e = _events(t)
+    good = e.groupBy(F.col("user_id").alias("session_id")).agg((4 * F.count_if("is_error") < F.count(F.lit(1))).alias("good"))
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    return J.recurring_runs(e.select(F.col("user_id").alias("session_id"), order.alias("ord"), F.col("event_type").alias("tool")), good)
+
+
+@query(f"""WITH {E}, c AS (SELECT user_id AS session_id, us, event_id, event_type = 'view' AS turn, event_type = 'view' AND value > 20 AS action, event_type = 'view' AND value < 60 AS success, CASE WHEN event_type = 'purchase' AND value > 30 THEN value > 45 END AS failed FROM e),
+  w AS (SELECT *, last_value(failed IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY us, event_id) AS latest, count(failed) OVER (PARTITION BY session_id) > 0 AS runs FROM c)
+  SELECT session_id, count(*) AS turns, count(*) FILTER (action AND runs) AS backed, count(*) FILTER (action AND NOT runs) AS unbacked, count(*) FILTER (success AND latest) AS contradicted FROM w WHERE turn GROUP BY 1""")
+def unborne_claims(t: Tables) -> DataFrame:
+    """Claims against the record: views are turns with claims by value, some purchases are verification runs."""
+    kind, value = F.col("event_type"), F.col("value")
+    e = t.events.select(F.col("user_id").alias("session_id"), F.struct(S.micros("ts").alias("us"), "event_id").alias("seq"), kind, value)
+    turns = e.filter(kind == "view").select("session_id", "seq", (value > 20).alias("action"), (value < 60).alias("success"), F.lit("").alias("text"))
+    runs = e.filter((kind == "purchase") & (value > 30)).select("session_id", "seq", F.lit(0).alias("pos"), (value > 45).alias("failed"))
+    return D.unborne_claims(turns, runs).drop("snippets")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.cost import context_tokens, entry_cost
 from ..operators import sequences as S
 from ..operators import stats as X
+from ..operators.quantiles import exact_quantiles
 from ..session import materialized
 
 RECOMMENDATION = (
@@ -387,7 +388,7 @@ def plan_verification(s: Signals) -> DataFrame:
 
 @rule("workflow.runaway-workflow-cost", "workflows")
 def runaway_workflow(s: Signals) -> DataFrame:
-    m = s.workflows.agg(F.percentile("tokens", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("runs"))
+    m = exact_quantiles(s.workflows, [], "tokens", [0.5]).select(F.col("q")[0].alias("median"), F.col("n").alias("runs"))
     t = s.workflows.join(F.broadcast(m)).filter("runs >= 4 AND tokens > 3 * median AND tokens > 200000").agg(F.count(F.lit(1)).alias("affected"))  # one row
     return recommend(t, F.col("affected") > 0, "warning", "A workflow run used far more than the others")
 
