@@ -24,8 +24,8 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,13 @@ from .common import written
 #: Up to so many id pairs with their counts (some 40 MB) go to every executor.
 BROADCAST_PAIRS = 1 << 20
 #: Characters of a block's texts, and tokens that a worker remembers.
-BLOCK, REMEMBERED = 1 << 22, 1 << 21
+BLOCK, REMEMBERED = 1 << 23, 1 << 22
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
+#: Tokens of a piece in which a cut's token is looked up.
+SHORT = 64
+#: Pieces whose bytes are compared at once.
+STRETCH = 1024
 #: Longer pieces go to the tokenizer library by themselves.
 LONG_PIECE = 1000
 
@@ -80,6 +84,8 @@ class ByteLevel:
         letters = byte_letters()
         vocabulary = self.library.get_vocab()
         self.bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
+        self.sizes = np.zeros(max(self.bytes) + 1, np.int32)
+        self.sizes[list(self.bytes)] = [len(x) for x in self.bytes.values()]
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"].get("merges", [])]
@@ -105,6 +111,7 @@ class Tokenizers:
         self.a = ByteLevel(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int32)
         self.forget()
 
     def _piece(self, i: int) -> bytes:
@@ -113,32 +120,45 @@ class Tokenizers:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.sizes, self.starts = (array("i"), array("i")), (array("i"), array("i")), (array("q", [0]), array("q", [0]))
+        self.ids, self.sizes, self.starts = ([np.empty(0, np.int32)] * 2, [np.empty(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2)
         #: 1: tokens that do not give the piece; 2: white space at an end or nothing, so that a cut there may be wrong.
-        self.marks = bytearray()
+        self.marks = np.empty(0, np.uint8)
+
+    def _wrong(self, tokens: list[list[int]], lengths: np.ndarray, encoded: list[bytes]) -> np.ndarray:
+        """Whether B's tokens do not give a piece; pieces are compared in stretches and singly only in a stretch that differs."""
+        want = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
+        wrong = lengths != want
+        for lo in range(0, len(tokens), STRETCH):
+            part = tokens[lo : lo + STRETCH]
+            if wrong[lo : lo + STRETCH].any() or b"".join(map(self.bytes_b.__getitem__, chain.from_iterable(part))) != b" " + b" ".join(encoded[lo : lo + STRETCH]):
+                wrong[lo : lo + STRETCH] = [b"".join([self.bytes_b[i] for i in t]) != b" " + e for t, e in zip(part, encoded[lo : lo + STRETCH])]
+        return wrong
 
     def _meet(self, pieces: list[str]) -> None:
         found = self.a.ids([f" {p}" for p in pieces]), self.b.encode(pieces, num_threads=1)
-        tables = self.a.bytes, self.bytes_b
-        for k, p in enumerate(pieces):
-            self.known[p] = len(self.marks)
-            whole, mark = f" {p}".encode(), 0 if p and not p[0].isspace() and not p[-1].isspace() else 2
-            for side in (0, 1):
-                ids = found[side][k]
-                tokens = [tables[side][i] for i in ids]
-                if b"".join(tokens) != whole:
-                    mark |= 1
-                self.ids[side].extend(ids)
-                self.sizes[side].extend(map(len, tokens))
-                self.starts[side].append(len(self.ids[side]))
-            self.marks.append(mark)
+        encoded = [p.encode() for p in pieces]
+        marks = np.fromiter((0 if p and not p[0].isspace() and not p[-1].isspace() else 2 for p in pieces), np.uint8, len(pieces))
+        for side, (tokens, table) in enumerate(zip(found, (self.a.sizes, self.sizes_b))):
+            counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            ids = np.fromiter(chain.from_iterable(tokens), np.int32, counts.sum())
+            sizes = table[ids]
+            ends = np.cumsum(counts)
+            total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            lengths = total[ends] - total[ends - counts]
+            if side:
+                marks |= self._wrong(tokens, lengths, encoded).astype(np.uint8)
+            elif not self.a.quick:
+                marks |= np.array([b"".join([self.a.bytes[i] for i in t]) != b" " + e for t, e in zip(tokens, encoded)], np.uint8)
+            self.ids[side], self.sizes[side] = np.concatenate([self.ids[side], ids]), np.concatenate([self.sizes[side], sizes])
+            self.starts[side] = np.concatenate([self.starts[side], self.starts[side][-1] + ends])
+        self.known.update(zip(pieces, range(len(self.marks), len(self.marks) + len(pieces))))
+        self.marks = np.concatenate([self.marks, marks])
 
     def _numbers(self, cut: list[list[str]]) -> np.ndarray:
-        known = self.known
-        new = {p for pieces in cut for p in pieces if p not in known}
+        new = set(chain.from_iterable(cut)).difference(self.known)
         if new:
             self._meet(list(new))
-        return np.fromiter((known[p] for pieces in cut for p in pieces), np.int64)
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
 
     def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[pa.Array]]:
         """For every text the numbers of its pieces; and a, a_ends, b, b_ends of the pieces."""
@@ -147,25 +167,24 @@ class Tokenizers:
         cut = [t.split(" ") if t else [] for t in texts]
         at = self._numbers(cut)
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in cut])
-        odd = np.unique(owner[np.frombuffer(bytes(self.marks), np.uint8)[at] > 1])
+        odd = np.unique(owner[self.marks[at] > 1])
         if len(odd):  # white space beside a space: these spaces are no cuts
             for i in odd:
                 cut[i] = _cut(texts[i])
             at = self._numbers(cut)
             owner = np.repeat(np.arange(len(texts)), [len(p) for p in cut])
-        bad = np.bincount(owner, np.frombuffer(bytes(self.marks), np.uint8)[at] & 1, len(texts)) > 0
+        bad = np.bincount(owner, self.marks[at] & 1, len(texts)) > 0
         at, owner = at[~bad[owner]], owner[~bad[owner]]
         pieces, numbers = np.unique(at, return_inverse=True)
         per_text = np.split(numbers.astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if len(texts) else []
         out = []
         for ids, sizes, starts in zip(self.ids, self.sizes, self.starts):
-            starts = np.array(starts)
             lengths = starts[pieces + 1] - starts[pieces]
             rows = np.concatenate([[0], np.cumsum(lengths)])
             place = np.repeat(starts[pieces] - rows[:-1], lengths) + np.arange(rows[-1])
-            ends = np.concatenate([[0], np.cumsum(np.array(sizes)[place], dtype=np.int64)])
+            ends = np.concatenate([[0], np.cumsum(sizes[place], dtype=np.int64)])
             ends = ends[1:] - np.repeat(ends[rows[:-1]], lengths)
-            out += [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (np.array(ids)[place], ends)]
+            out += [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (ids[place], ends)]
         return per_text, out
 
 
@@ -227,26 +246,36 @@ def _link(a: Column, b: Column) -> Column:
     return a * F.lit(PACK) + b
 
 
-def _last_of(ends: Column, cuts: Column) -> Column:
-    """For the g-th cut, g plus the index of the token that ends there: where ends and cuts, sorted together, have equal neighbours."""
-    return _let(F.sort_array(F.concat(ends, cuts)), lambda both: F.filter(F.sequence(F.lit(0), F.size(both) - 2), lambda k: F.get(both, k) == F.get(both, k + 1)))
+def _lasts(ends: Column, cuts: Column) -> Column:
+    """For each cut the number, from 1, of the token that ends there.
+
+    In a short piece it is looked up. In a long one ends and cuts are sorted together: the g-th cut stands
+    where two neighbours are equal, with g cuts before it.
+    """
+    sorted_places = _let(F.sort_array(F.concat(ends, cuts)), lambda both: F.filter(F.sequence(F.lit(0), F.size(both) - 2), lambda k: F.get(both, k) == F.get(both, k + 1)))
+    looked_up = F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
+    return F.when(F.size(ends) <= SHORT, looked_up).otherwise(F.transform(sorted_places, lambda p, g: p - g + 1))
 
 
 def _cut_up(w: Column, names_a: Column, names_b: Column, cuts: Column) -> Column:
     """text and links of a piece with several groups, some of several tokens."""
 
-    def group(g: Column, last: Column) -> Column:
-        start = lambda side: F.when(g == 0, F.lit(0)).otherwise(F.get(last[side], g - 1) - g + 2)
-        size = lambda side, s: F.get(last[side], g) - g - s + 1
-        text = lambda i, j: F.concat(F.array_join(F.slice(names_a, i + 1, size("a", i)), ","), F.lit("|"), F.array_join(F.slice(names_b, j + 1, size("b", j)), ","))
-        links = lambda i, j: F.flatten(F.transform(F.slice(w["a"], i + 1, size("a", i)), lambda x: F.transform(F.slice(w["b"], j + 1, size("b", j)), lambda y: _link(x, y))))
-        return _let(F.struct(start("a").alias("a"), start("b").alias("b")), lambda s: F.struct(text(s["a"], s["b"]).alias("text"), links(s["a"], s["b"]).alias("links")))
+    def group(s: Column) -> Column:
+        n, m = s["to_a"] - s["a"], s["to_b"] - s["b"]
+        listed = lambda names, at, size: F.array_join(F.slice(names, at + 1, size), ",")
+        pair = F.struct(F.concat(F.get(names_a, s["a"]), F.lit("|"), F.get(names_b, s["b"])).alias("text"), F.array(_link(F.get(w["a"], s["a"]), F.get(w["b"], s["b"]))).alias("links"))
+        many = F.struct(
+            F.concat(listed(names_a, s["a"], n), F.lit("|"), listed(names_b, s["b"], m)).alias("text"),
+            F.flatten(F.transform(F.slice(w["a"], s["a"] + 1, n), lambda x: F.transform(F.slice(w["b"], s["b"] + 1, m), lambda y: _link(x, y)))).alias("links"),
+        )
+        return F.when((n == 1) & (m == 1), pair).otherwise(many)
 
-    def joined(last: Column) -> Column:
-        groups = F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), lambda g: group(g, last))
-        return _let(groups, lambda all_: F.struct(F.array_join(all_["text"], ";").alias("text"), F.flatten(all_["links"]).alias("links")))
+    def bounds(to: Column) -> Column:
+        before = lambda places, g: F.when(g == 0, F.lit(0)).otherwise(F.get(places, g - 1))
+        return F.transform(to["a"], lambda e, g: F.struct(before(to["a"], g).alias("a"), e.alias("to_a"), before(to["b"], g).alias("b"), F.get(to["b"], g).alias("to_b")))
 
-    return _let(F.struct(_last_of(w["a_ends"], cuts).alias("a"), _last_of(w["b_ends"], cuts).alias("b")), joined)
+    groups = _let(F.struct(_lasts(w["a_ends"], cuts).alias("a"), _lasts(w["b_ends"], cuts).alias("b")), lambda to: F.transform(bounds(to), group))
+    return _let(groups, lambda all_: F.struct(F.array_join(all_["text"], ";").alias("text"), F.flatten(all_["links"]).alias("links")))
 
 
 def aligned(w: Column) -> Column:
@@ -270,7 +299,10 @@ def aligned(w: Column) -> Column:
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """docs (doc_id, row, n_a, n_b, n_groups, groups_sha256, pieces) and the links of the pieces, a row a block."""
+    """A struct a block: docs (doc_id, row, n_a, n_b, n_groups, groups_sha256, pieces) and the links of the pieces.
+
+    Left as a struct, since each field that is taken of it apart would compute it anew.
+    """
     def total(d: Column, each: Column, name: str) -> Column:
         return F.aggregate(d["pieces"], F.lit(0).cast("bigint"), lambda acc, p: acc + F.get(each, p)).alias(name)
 
@@ -284,13 +316,14 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         return _let(fields, lambda of: F.struct(F.transform("docs", lambda d: counted(d, of)).alias("docs"), of["links"].alias("links")))
 
     words = F.transform("words", lambda w: F.struct(F.size(w["a"]).alias("n_a"), F.size(w["b"]).alias("n_b"), aligned(w).alias("g")))
-    return tokenized(docs, path_a, path_b).select(_let(words, block).alias("block")).select("block.*")
+    return tokenized(docs, path_a, path_b).select(_let(words, block).alias("block"))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """pair, count (documents that have it linked) and best (whether no pair of its A id has more)."""
-    of_doc = lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["pieces"]), lambda p: F.get("links", p))))
-    counts = found.select(F.explode(F.flatten(F.transform("docs", of_doc))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count"))
+    of_doc = lambda d: F.flatten(F.transform(F.array_distinct(d["pieces"]), lambda p: F.get("links", p)))
+    held = found.select(F.explode(F.transform("docs", of_doc)).alias("held")).select(F.explode(F.array_distinct("held")).alias("pair"))
+    counts = held.groupBy("pair").agg(F.count(F.lit(1)).alias("count"))
     counts = written(counts.withColumn("a", F.expr(f"pair div {PACK}")))
     most = counts.groupBy("a").agg(F.max("count").alias("most"))
     return written(counts.join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).cast("int").alias("best")))
@@ -298,7 +331,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
-    found = written(blocks(docs, *(paths or vocabulary_paths())))
+    found = written(blocks(docs, *(paths or vocabulary_paths()))).select("block.docs", "block.links")
     pairs = pair_counts(found)
     of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get("links", p))).alias("links"))
     links = found.select(F.explode(F.transform("docs", of_doc)).alias("d")).select("d.row", F.explode("d.links").alias("pair"))
