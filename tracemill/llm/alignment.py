@@ -39,7 +39,7 @@ from .common import written
 #: Up to so many id pairs with their counts (some 40 MB) go to every executor.
 BROADCAST_PAIRS = 1 << 20
 #: Characters of a block's texts, and tokens that a worker remembers.
-BLOCK, REMEMBERED = 1 << 23, 1 << 22
+BLOCK, REMEMBERED = 1 << 21, 1 << 20
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
 #: Tokens of a piece in which a cut's token is looked up.
