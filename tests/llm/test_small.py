@@ -38,7 +38,7 @@ def test_language(spark, odd, none):
     from pyspark.sql import functions as F
 
     d = train("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
-    model = language_id.fit(language_id.training_rows(d))
+    model = language_id.trained(d)
     out = rows(language_id.identify(d, model))
     assert all(r["lang_pred"] == r["lang"] and 0 <= r["score"] <= 1 for r in out.values())
     assert any(r["held_out"] for r in out.values())
@@ -438,8 +438,13 @@ def test_quality_verdict_matches_a_plain_version(spark):
         hashes = [(int.from_bytes(w, "little") * 0x9E3779B97F4A7C15 + len(w)) % 0xFFFFFFFFFFFFFFC5 for w in words]
         one = [mixed(h) for h in hashes]
         word_cells = [m >> 40 & quality.HALF - 1 for m in one] + [mixed(a * 3 + b) >> 40 & quality.HALF - 1 for a, b in zip(one, one[1:])]
-        byte_cells = [quality.HALF + (int.from_bytes(data[k : k + 5], "big") * 0x9E3779B97F4A7C15 % 2**64 >> 52 & quality.HALF - 1) for k in range(len(data) - 4)]
-        value = model.bias + sum(float(np.mean([model.weights[c] for c in cells], dtype=np.float64)) for cells in (word_cells, byte_cells) if cells)
+        points, char_cells = [ord(c) for c in text or ""], []
+        for k in range(len(points) - 4):
+            code = points[k]
+            for c in points[k + 1 : k + 5]:
+                code = (code * 0x9E3779B97F4A7C15 + c) % 2**64
+            char_cells.append(quality.HALF + (mixed(code) >> 52 & quality.HALF - 1))
+        value = model.bias + sum(float(np.mean([model.weights[c] for c in cells], dtype=np.float64)) for cells in (word_cells, char_cells) if cells)
         p = 1 / (1 + np.exp(-(0.8 * value - 0.2)))
         assert abs(got[i]["probability"] - p) < 1e-5
         failed = len(words) < 20 or 100 * got[i]["n_repeat_words"] > 30 * len(words)
@@ -569,3 +574,53 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     empty = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_language_learns_from_whole_texts(spark):
+    filler = "lorem ipsum dolor sit amet " * 900  # over 20,000 characters that all share
+    ends = {"en": "the cat and the dog sat on the mat with a hat ", "de": "der hund und die katze sassen auf der matte mit hut "}
+    texts = [(i, filler + ends["en" if i % 2 else "de"] * 500) for i in range(24)]
+    d = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
+    model = language_id.trained(d, landmarks_per_language=4)
+    probe = docs(spark, [(100, ends["en"] * 3), (101, ends["de"] * 3)])
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(probe, model).collect()} == {100: "en", 101: "de"}
+    few = [(r["lang"], r["text"]) for r in d.filter(~language_id.held_out()).collect()]
+    assert model.kernel.width == language_id.fit(few, 4).kernel.width
+
+
+def test_language_blocks_and_many_languages(monkeypatch):
+    import numpy as np
+
+    rows = [(f"l{k:02d}", "".join(chr(97 + (k * 7 + j * j) % 26) for j in range(60)) + f" {i}") for k in range(6) for i in range(5)]
+    whole = language_id.fit(rows, 3)
+    want = whole.scores([t for _, t in rows])
+    monkeypatch.setattr(language_id, "COLUMNS", 16)
+    monkeypatch.setattr(language_id, "CELLS", 64)
+    assert np.allclose(language_id.fit(rows, 3).scores([t for _, t in rows]), want, atol=1e-3)
+    monkeypatch.setattr(language_id, "MAX_LANDMARKS", 4)
+    assert len(language_id.landmark_places([x for x, _ in rows], 3)) == 4
+    assert language_id.fit(rows, 3).languages == sorted({x for x, _ in rows})
+
+
+def test_text_ids(spark, tmp_path):
+    good = [(f"g {i}", " ".join(f"wörd{(i * 7 + k) % 50} flows" for k in range(30))) for i in range(30)]
+    bad = [(f"b/{i}", " ".join(f"##x{(i + k) % 9}$$" for k in range(40 + i))) for i in range(30)]
+    d = spark.createDataFrame(good + bad, "doc_id string, text string")
+    labels = spark.createDataFrame([(i, int(i.startswith("g")), 0) for i, _ in good + bad], "doc_id string, quality int, toxic int")
+    got = quality.judge(d, labels).collect()
+    assert all((r["probability"] > 0.5) == r["doc_id"].startswith("g") for r in got) and len(got) == 60
+    ids = ["a b", "null", "", "12", "ä>%+", None, "z" * 10]
+    pages = spark.createDataFrame([(i, "u", "x" * 2000 if i != "12" else "small") for i in ids], "page_id string, url string, html string")
+    back = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert set(back) == set(ids)
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in back.items()} == {i: ("response", None) if i in ("12", "ä>%+") else ("revisit", "ä>%+") for i in ids}
+
+
+def test_quality_of_a_text_above_one_piece(monkeypatch):
+    import numpy as np
+
+    text = "ünï côdé wörds 漢字 and more " * 40
+    h = quality.statistics(text)[1]
+    whole = quality.features(h, text)
+    monkeypatch.setattr(quality, "PIECE", 64)
+    assert np.allclose(quality.features(h, text), whole)

@@ -8,11 +8,14 @@ those features gives a value for each language. Scoring a batch is two matrix pr
 by landmarks, then kernel values by languages.
 
 Characters fall in `ALPHABET` classes: the landmarks' most frequent letters, one class for other
-letters, one for everything else (which parts words). The n-grams that count are the landmarks',
-the `MAX_WIDTH` that most of them have.
+letters, one for everything else (which parts words). All n-grams that a landmark has count; there
+are at most `ALPHABET` + `ALPHABET`^2 + `ALPHABET`^3, and products go over them in blocks of columns.
 
 The training rows are a bounded sample: of each language at most `PER_LANGUAGE` ids, the ones of
-the lowest id hashes, with at most `LONGEST` characters each; what is predicted are whole texts.
+the lowest id hashes, and at most `SAMPLE` rows in all (one a language where there are more
+languages). Tasks read their texts whole and send which n-grams they have, some kilobytes a text
+however long it is. Landmarks are at most `MAX_LANDMARKS`; of more languages than that the first by
+code point have one, and all are still told apart by their kernel values.
 
 Edge cases: of languages with equal values the first by code point wins; a text that is null or has no letter gets `und` and score 0; with no training row
 at all every text does. Null ids are not held out and never train. Repeated rows and ids are
@@ -21,6 +24,7 @@ each answered; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,18 +34,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled_ids
+from .common import sampled_ids, written
 
-PER_LANGUAGE = 300
-LONGEST = 20_000
+PER_LANGUAGE, SAMPLE = 300, 6_000
 LANDMARKS_PER_LANGUAGE = 48
-#: Landmarks of all languages together, and the n-grams they are described by (those that most landmarks have): the broadcast matrix has at most their product in bytes.
-MAX_LANDMARKS, MAX_WIDTH = 960, 32_768
+#: Landmarks of all languages together; the broadcast matrix has a bit for each of their n-grams, 32 MB at most.
+MAX_LANDMARKS = 960
 ALPHABET = 64
+#: All n-grams of one, two and three classes.
+CODES = ALPHABET + ALPHABET**2 + ALPHABET**3
+OFFSETS = (0, ALPHABET, ALPHABET + ALPHABET**2)
 RIDGE = 1e-2
 UNKNOWN = "und"
-#: Characters handled at a time, and rows of a presence matrix.
-PIECE, BLOCK = 1 << 20, 128
+#: Characters handled at a time, rows and cells of a presence matrix, and columns that are multiplied at a time.
+PIECE, BLOCK, CELLS, COLUMNS = 1 << 20, 128, 1 << 22, 1 << 15
 
 
 @dataclass
@@ -51,7 +57,7 @@ class Kernel:
     classes: np.ndarray  # of every code point
     columns: list[np.ndarray]  # of every n-gram of one, two, three classes; -1 for those no landmark has
     width: int
-    landmarks: np.ndarray | None = None  # landmarks x width, of bytes
+    landmarks: np.ndarray | None = None  # landmarks x width, packed bits
     piece: int = PIECE
 
     def presence(self, texts: list[str]) -> np.ndarray:
@@ -74,12 +80,32 @@ class Kernel:
                     flat[row * self.width + found[found >= 0]] = 1
         return out
 
+    def marks(self, lo: int) -> np.ndarray:
+        """COLUMNS columns of the landmarks from lo (a multiple of 8), turned; kept where there are no others."""
+        found = self.__dict__.get("_marks")
+        if found is None:
+            found = np.unpackbits(self.landmarks[:, lo // 8 : (lo + COLUMNS) // 8], axis=1, count=min(COLUMNS, self.width - lo)).astype(np.float32).T
+            if self.width <= COLUMNS:
+                self.__dict__["_marks"] = found
+        return found
+
+    def kernel_values(self, own: np.ndarray) -> np.ndarray:
+        """rows x landmarks, from rows x width of presence."""
+        product, sizes = np.zeros((len(own), len(self.landmarks)), np.float32), np.zeros(len(self.landmarks), np.float32)
+        for lo in range(0, self.width, COLUMNS):
+            marks = self.marks(lo)
+            product += own[:, lo : lo + COLUMNS] @ marks
+            sizes += marks.sum(0)
+        return product / np.sqrt(np.maximum(own.sum(1), 1)[:, None] * np.maximum(sizes, 1)[None])
+
+    def rows_at_once(self) -> int:
+        return max(1, min(BLOCK, CELLS // max(1, self.width)))
+
     def values(self, texts: list[str]) -> np.ndarray:
         """texts x landmarks."""
-        own = self.presence(texts)
-        marks = self.landmarks.astype(np.float32)
-        product = own @ marks.T
-        return product / np.sqrt(np.maximum(own.sum(1), 1)[:, None] * np.maximum(marks.sum(1), 1)[None])
+        step = self.rows_at_once()
+        parts = [self.kernel_values(self.presence(texts[i : i + step])) for i in range(0, len(texts), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.landmarks)), np.float32)
 
 
 @dataclass
@@ -96,8 +122,8 @@ def _letters(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalpha())
 
 
-def kernel_of(landmarks: list[str]) -> Kernel:
-    counts = Counter(c for t in landmarks for c in _letters(t))
+def classes_of(counts: Counter) -> np.ndarray:
+    """The class of every code point, from the landmarks' letter counts."""
     frequent = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]]
     classes = np.zeros(0x110000, np.uint8)
     for point in range(0x110000):
@@ -107,58 +133,95 @@ def kernel_of(landmarks: list[str]) -> Kernel:
         classes[ord(c)] = k
         if len(c.upper()) == 1:
             classes[ord(c.upper())] = k
-    offsets, probe_width = (0, ALPHABET, ALPHABET + ALPHABET**2), ALPHABET + ALPHABET**2 + ALPHABET**3
-    probe = Kernel(classes, [np.arange(base, base + ALPHABET**n) for base, n in zip(offsets, (1, 2, 3))], probe_width)
-    held = np.zeros(probe_width, np.int32)  # landmarks that have the n-gram
-    for t in landmarks:
-        held += probe.presence([t])[0] > 0
-    for base in offsets:
-        held[base] = 0  # white space and signs alone say nothing
-    order = np.lexsort((np.arange(probe_width), -held))
-    chosen = np.sort(order[: min(MAX_WIDTH, int((held > 0).sum()))])
-    number = np.full(probe_width, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    kernel = Kernel(classes, [number[base : base + ALPHABET**n] for base, n in zip(offsets, (1, 2, 3))], len(chosen))
-    kernel.landmarks = np.concatenate([kernel.presence([t]).astype(np.uint8) for t in landmarks])
-    return kernel
+    return classes
 
 
-def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
-    """A model from (language, text) rows; they are few, so it runs on the driver."""
-    languages = sorted({lang for lang, _ in rows})
-    by = {lang: [t for x, t in rows if x == lang] for lang in languages}
-    each = min(landmarks_per_language, MAX_LANDMARKS // max(1, len(languages)))
-    landmarks = [t for lang in languages for t in by[lang][: max(1, each)]]
-    if not landmarks:
-        return Model(None, None, [])
-    kernel = kernel_of(landmarks)
-    value, vector = np.linalg.eigh(kernel.values(landmarks).astype(np.float64))
+def every_code(classes: np.ndarray) -> Kernel:
+    """A kernel without landmarks that tells all n-grams."""
+    return Kernel(classes, [np.arange(base, base + ALPHABET**n) for base, n in zip(OFFSETS, (1, 2, 3))], CODES)
+
+
+def landmark_places(langs: list[str], per_language: int = LANDMARKS_PER_LANGUAGE) -> list[int]:
+    """The rows that are landmarks: the first of each language, by language."""
+    languages = sorted(set(langs))[:MAX_LANDMARKS]
+    each = max(1, min(per_language, MAX_LANDMARKS // max(1, len(languages))))
+    at = {lang: [i for i, x in enumerate(langs) if x == lang][:each] for lang in languages}
+    return [i for lang in languages for i in at[lang]]
+
+
+def solve(classes: np.ndarray, langs: list[str], packed: np.ndarray, places: list[int], ridge: float = RIDGE) -> Model:
+    """A model from the packed n-gram bits (rows x CODES / 8) of the sample's texts; they are few, so it runs on the driver."""
+    held = np.zeros(CODES, np.int32)  # landmarks that have the n-gram
+    for i in places:
+        held += np.unpackbits(packed[i], count=CODES)
+    held[list(OFFSETS)] = 0  # white space and signs alone say nothing
+    chosen = np.flatnonzero(held)
+    number = np.full(CODES, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    own = lambda rows: np.stack([np.unpackbits(packed[i], count=CODES)[chosen] for i in rows])
+    marks = np.stack([np.packbits(np.unpackbits(packed[i], count=CODES)[chosen]) for i in places])
+    kernel = Kernel(classes, [number[base : base + ALPHABET**n] for base, n in zip(OFFSETS, (1, 2, 3))], len(chosen), marks)
+    step = kernel.rows_at_once()
+    k = np.concatenate([kernel.kernel_values(own(range(i, min(i + step, len(langs)))).astype(np.float32)) for i in range(0, len(langs), step)])
+    value, vector = np.linalg.eigh(k[places].astype(np.float64))
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])  # landmarks x rank
-    texts = [t for _, t in rows]
-    k = np.concatenate([kernel.values(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)])
     features = k @ root
-    goal = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(languages)[None], 1.0, -1.0)
-    scale = np.array([len(rows) / (len(languages) * len(by[lang])) for lang, _ in rows])[:, None]
-    gram = features.T @ (scale * features) + ridge * len(rows) * np.eye(features.shape[1]) / features.shape[1]
+    languages = sorted(set(langs))
+    sizes = Counter(langs)
+    goal = np.where(np.array(langs)[:, None] == np.array(languages)[None], 1.0, -1.0)
+    scale = np.array([len(langs) / (len(languages) * sizes[lang]) for lang in langs])[:, None]
+    gram = features.T @ (scale * features) + ridge * len(langs) * np.eye(features.shape[1]) / features.shape[1]
     return Model(kernel, (root @ np.linalg.solve(gram, features.T @ (scale * goal))).astype(np.float32), languages)
 
 
+def fit(rows: list[tuple[str, str]], landmarks_per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+    """A model from (language, text) rows in memory."""
+    if not rows:
+        return Model(None, None, [])
+    langs = [lang for lang, _ in rows]
+    places = landmark_places(langs, landmarks_per_language)
+    probe = every_code(classes_of(Counter(c for i in places for c in _letters(rows[i][1]))))
+    return solve(probe.classes, langs, np.stack([np.packbits(probe.presence([t])[0] > 0) for _, t in rows]), places, ridge)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> list[tuple[str, str]]:
-    """The sample to learn from: at most per_language ids of each language, by id hash, and of each text at most its first `longest` characters."""
-    usable = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    few = sampled_ids(usable, "lang", per_language)
+def trained(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks_per_language: int = LANDMARKS_PER_LANGUAGE) -> Model:
+    """A model from the sample of docs: its texts stay with the tasks, which send letter counts of the landmarks and n-gram bits of all rows."""
+    known = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    n_languages = known.select("lang").distinct().count()
+    usable = known.filter(F.col("text").rlike(r"\p{L}"))
+    few = sampled_ids(usable, "lang", max(1, min(per_language, SAMPLE // max(1, n_languages))))
     if not few:
-        return []
-    wanted = docs.sparkSession.createDataFrame(few, usable.select("lang", "doc_id").schema)
-    chosen = usable.select("lang", "doc_id", "text").join(F.broadcast(wanted), ["lang", "doc_id"])  # at most per_language rows a language
-    texts = chosen.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, longest)).alias("text")).collect()
-    known = {(r["lang"], r["doc_id"]): r["text"] for r in texts}
-    return [(lang, known[lang, i]) for lang, i in few]
+        return Model(None, None, [])
+    langs = [lang for lang, _ in few]
+    places = landmark_places(langs, landmarks_per_language)
+    marked = set(places)
+    schema = usable.select("lang", "doc_id").schema.add("place", "integer").add("mark", "boolean")
+    wanted = docs.sparkSession.createDataFrame([(*row, k, k in marked) for k, row in enumerate(few)], schema)
+    chosen = usable.select("lang", "doc_id", "text").join(F.broadcast(wanted), ["lang", "doc_id"])  # at most SAMPLE rows, or one a language
+    texts = written(chosen.groupBy("place", "mark").agg(F.min("text").alias("text")))  # of a repeated id, one text
+
+    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            n = Counter(c for t in rows["text"] for c in _letters(t))
+            yield pd.DataFrame({"letter": list(n), "n": list(n.values())})
+
+    counted = texts.filter("mark").select("text").mapInPandas(letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect()  # a row a letter
+    classes = classes_of(Counter({r["letter"]: r["n"] for r in counted}))
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        probe = every_code(shared.value)
+        for rows in batches:
+            yield pd.DataFrame({"place": rows["place"], "bits": [zlib.compress(np.packbits(probe.presence([t])[0] > 0).tobytes(), 1) for t in rows["text"]]})
+
+    sent = {r["place"]: bytes(r["bits"]) for r in texts.select("place", "text").mapInPandas(bits, "place int, bits binary").collect()}
+    packed = np.stack([np.frombuffer(zlib.decompress(sent[k]), np.uint8) for k in range(len(few))])
+    return solve(classes, langs, packed, places)
 
 
 def predictor(spark, model: Model):
@@ -172,8 +235,9 @@ def predictor(spark, model: Model):
             names = np.full(len(texts), UNKNOWN, object)
             scores = np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if t is not None and m.languages]
-            for start in range(0, len(known), BLOCK):
-                rows = known[start : start + BLOCK]
+            step = m.kernel.rows_at_once() if known else BLOCK
+            for start in range(0, len(known), step):
+                rows = known[start : start + step]
                 values = m.scores([texts.iat[i] for i in rows])
                 best = values.argmax(1)
                 names[rows] = np.array(m.languages, object)[best]
@@ -184,7 +248,7 @@ def predictor(spark, model: Model):
 
 
 def _predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    predict = predictor(docs.sparkSession, model or fit(training_rows(docs)))
+    predict = predictor(docs.sparkSession, model or trained(docs))
     return docs.withColumn("_p", predict(F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))))
 
 

@@ -1,12 +1,14 @@
 """Quality rules: fixed text statistics, and a logistic regression over hashed n-grams.
 
 The regression sees the relative frequencies of hashed word one- and two-grams and of hashed
-byte five-grams, learns from labelled rows (quality 0 or 1) and is calibrated by Platt's method
+character five-grams (code points), learns from labelled rows (quality 0 or 1) and is calibrated by Platt's method
 on rows it did not learn from; a document is kept where its calibrated probability reaches a
 fixed threshold and the base rule does not fail it. Scoring runs in Arrow batches: with
 relative frequencies a text's value is the mean of its n-grams' weights.
 
-The training rows are a bounded sample: of each label at most `PER_LABEL` ids, by id hash.
+The training rows are a bounded sample: of each label at most `PER_LABEL` ids, by id hash. Ids may
+be of any type. Repeated windows of words are told by 64-bit hashes of rolled word hashes, so
+n_repeat_words holds up to their collisions (some 1e-10 for a text of 100,000 words).
 
 Edge cases: a null text has no words and fails the base rule; texts without n-grams score by the
 intercept; labels that are null, or of ids that aren't among the documents, are not used; with
@@ -29,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import sampled_ids
 
 PER_LABEL = 1000
-HALF = 1 << 12  # hashed features of words, and as many of bytes
+HALF = 1 << 12  # hashed features of words, and as many of characters
 THRESHOLD = 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Bytes hashed at a time.
-PIECE = 1 << 20
+#: Characters hashed at a time, and how many make an n-gram.
+PIECE, GRAM = 1 << 20, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -79,33 +81,33 @@ def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, bytes]:
-    """The five counts of a text, its words' hashes and its bytes."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = data.split()  # of bytes: at ASCII white space only
+def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, str]:
+    """The five counts of a text, its words' hashes and the text."""
+    text = text or ""
+    words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at ASCII white space only
     h = _hash_words(words)
     if not words:
-        return (0, 0, 0, 0, 0), h, data
+        return (0, 0, 0, 0, 0), h, text
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     chars = len(text) - sum(map(text.count, SPACES))
-    return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(h)), h, data
+    return (len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(h)), h, text
 
 
-def cells(h: np.ndarray, data: bytes) -> Iterator[np.ndarray]:
-    """The hashed features' cells, with repeats: word one- and two-grams, then byte five-grams in pieces."""
+def cells(h: np.ndarray, text: str) -> Iterator[np.ndarray]:
+    """The hashed features' cells, with repeats: word one- and two-grams, then character n-grams in pieces."""
     mask = np.uint64(HALF - 1)
     one = _mixed(h)
     yield (one >> np.uint64(40) & mask).astype(np.int64)
     if len(h) > 1:
         yield (_mixed(one[:-1] * np.uint64(3) + one[1:]) >> np.uint64(40) & mask).astype(np.int64)
-    for start in range(0, len(data), PIECE):
-        b = np.frombuffer(data[start : start + PIECE + 4], np.uint8).astype(np.uint64)
-        n = len(b) - 4
+    for start in range(0, len(text), PIECE):
+        points = np.frombuffer(text[start : start + PIECE + GRAM - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(points) - GRAM + 1
         if n > 0:
-            code = b[:n]
-            for k in range(1, 5):
-                code = code << np.uint64(8) | b[k : k + n]
-            yield (code * _MIX >> np.uint64(52) & mask).astype(np.int64) + HALF
+            code = points[:n]
+            for k in range(1, GRAM):
+                code = code * _MIX + points[k : k + n]
+            yield (_mixed(code) >> np.uint64(52) & mask).astype(np.int64) + HALF
 
 
 @dataclass
@@ -115,9 +117,9 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
-    def probability(self, h: np.ndarray, data: bytes) -> float:
+    def probability(self, h: np.ndarray, text: str) -> float:
         total = {0: [0.0, 0], 1: [0.0, 0]}
-        for c in cells(h, data):
+        for c in cells(h, text):
             if len(c):
                 part = total[int(c[0] >= HALF)]
                 part[0] += float(self.weights[c].sum(dtype=np.float64))
@@ -126,10 +128,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -40, 40))))
 
 
-def features(h: np.ndarray, data: bytes) -> np.ndarray:
-    """Relative frequencies of word cells and of byte cells."""
+def features(h: np.ndarray, text: str) -> np.ndarray:
+    """Relative frequencies of word cells and of character cells."""
     counts = np.zeros(2 * HALF)
-    for c in cells(h, data):
+    for c in cells(h, text):
         counts += np.bincount(c, minlength=2 * HALF)
     for half in (counts[:HALF], counts[HALF:]):
         half /= max(half.sum(), 1)
@@ -178,15 +180,14 @@ def training_set(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = [features(*statistics(t)[1:]).tobytes() for t in rows["text"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "quality": rows["quality"], "x": out})
+            yield pd.DataFrame({"place": rows["place"], "quality": rows["quality"], "x": out})
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most per_label ids of each label
     one = chosen.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of a repeated id, one text
-    rows = one.mapInPandas(vectors, "doc_id long, quality int, x binary").collect()
-    seen = {r["doc_id"]: r for r in rows}
-    order = sorted(seen, key=lambda i: (i * 2654435761 % 2**32, i))
-    x = np.frombuffer(b"".join(bytes(seen[i]["x"]) for i in order), np.float32).reshape(len(order), 2 * HALF)
-    return x, np.array([seen[i]["quality"] for i in order], np.float64)
+    placed = one.select(F.xxhash64("doc_id").alias("place"), F.col("quality").cast("int").alias("quality"), "text")
+    rows = sorted(placed.mapInPandas(vectors, "place long, quality int, x binary").collect(), key=lambda r: (r["place"], r["quality"], bytes(r["x"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), 2 * HALF)
+    return x, np.array([r["quality"] for r in rows], np.float64)
 
 
 def scorer(spark, model: Model):
@@ -200,8 +201,8 @@ def scorer(spark, model: Model):
         for texts in batches:
             rows = []
             for text in texts:
-                counts, h, data = statistics(text)
-                rows.append((*counts, m.probability(h, data)))
+                counts, h, whole = statistics(text)
+                rows.append((*counts, m.probability(h, whole)))
             yield pd.DataFrame(rows, columns=[*names, "probability"])
 
     return score

@@ -14,7 +14,7 @@ head), members of several records, where only the part that fails is a gap, in i
 
 Edge cases: a long payload is one record, and a task holds one archive and one inflated member at
 a time; a null html is an empty payload; a null url is written as empty; a null page id is
-smaller than any other; repeated rows with the winning page id are each a response; an empty
+smaller than any other; ids of any type that text can hold come back as they were; repeated rows with the winning page id are each a response; an empty
 table makes no archives and no rows; other columns are ignored.
 """
 
@@ -25,11 +25,12 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegralType, LongType, StringType, StructField, StructType
 
 from .common import scratch_dir
 
@@ -63,8 +64,10 @@ RECORD = StructType(
 # -- one record -------------------------------------------------------------------------------
 
 
-def urn(page_id: int | None) -> str:
-    return "<urn:page:%s>" % ("null" if page_id is None else page_id)
+def urn(page_id: int | str | None) -> str:
+    """A page's name: the digits of a whole number, null, or any other id's text, escaped."""
+    plain = page_id is None or re.fullmatch(r"-?[0-9]+", str(page_id)) and not isinstance(page_id, str)
+    return "<urn:page:%s>" % ("null" if page_id is None else page_id if plain else f"text:{quote(page_id, safe='')}")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
@@ -302,6 +305,7 @@ def _qualified(spark: SparkSession, folder: str) -> str:
 def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write the archives below folder, which all executors reach; returns file, records, bytes by file, once they are there."""
     folder = _qualified(pages.sparkSession, folder)
+    number = int if _whole_number(pages) else str
     _file_system(folder)[0].create_dir(_file_system(folder)[1], recursive=True)
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,7 +318,7 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
         out, n, size = None, 0, 0
         for rows in batches:
             for page_id, url, html, digest, keeper in rows.itertuples(index=False):
-                page_id, keeper = (None if pd.isna(x) else int(x) for x in (page_id, keeper))
+                page_id, keeper = (None if pd.isna(x) else number(x) for x in (page_id, keeper))
                 refers = urn(keeper) if keeper is not None and keeper != page_id else None
                 data = member(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers))
                 out = out or system.open_output_stream(own)
@@ -325,7 +329,7 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
             system.move(own, name)
             yield pd.DataFrame({"file": [name], "records": [n], "bytes": [size]})
 
-    rows = planned(pages, min_revisit).select("page_id", "url", "html", "digest", "keeper")
+    rows = planned(pages, min_revisit).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("keeper").cast("string").alias("keeper"))
     made = rows.mapInPandas(tasks, "file string, records long, bytes long").collect()  # a row a file
     schema = "file string, records long, bytes long"
     return pages.sparkSession.createDataFrame([tuple(r) for r in made], schema)
@@ -361,8 +365,16 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return out.where(out.notna(), None)
 
 
-def _page(column: str):
-    return F.regexp_extract(column, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+def _whole_number(pages: DataFrame) -> bool:
+    return isinstance(pages.schema["page_id"].dataType, IntegralType)
+
+
+def _page(column: str, pages: DataFrame):
+    """The page id of a name, of the type that pages have; whole numbers as long."""
+    if _whole_number(pages):
+        return F.regexp_extract(column, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    text = r"^<urn:page:text:([^>]*)>$"
+    return F.when(F.col(column).rlike(text), F.url_decode(F.regexp_extract(column, text, 1))).cast(pages.schema["page_id"].dataType)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -373,9 +385,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     if files.isEmpty():
         return pages.limit(0).select(
             "page_id", F.lit(0).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"),
-            F.lit(None).cast("long").alias("refers_to"),
+            F.lit(None).cast("long" if _whole_number(pages) else pages.schema["page_id"].dataType).alias("refers_to"),
         )
     rows = read(spark, folder, payloads=False).filter("gap_bytes IS NULL")
     return rows.select(
-        _page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to")
+        _page("record_id", pages).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to", pages).alias("refers_to")
     )
