@@ -219,3 +219,33 @@ def test_quantiles_are_exact(spark, limit):
     every = [v for vs in groups.values() for v in vs]
     assert len(whole) == 1 and whole[0]["n"] == len(every) and abs(whole[0]["q"][0] - np.median(every)) < 1e-12
     assert quantiles.exact_quantiles(df.filter("v > 1e9"), [], "v", [0.5], limit).count() == 0
+
+
+def test_retypes_match_all_pairs(spark):
+    from tracemill.operators import retypes
+
+    r = random.Random(2)
+    day = 86_400_000_000
+    base = [[r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(r.randrange(9)) + chr(97 + r.randrange(26)) for _ in range(r.choice([8, 14, 30]))] for _ in range(6)]
+    rows = []
+    for i in range(140):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            w[r.randrange(len(w))] = "x" + "".join(r.choices("abcdef", k=4))
+        rows.append((f"s{i:03d}", r.choice(["p", "q"]), r.randrange(60 * day), " ".join(w).replace("0", " /src/a.ts ")))
+    rows += [("none", "p", 5, None), ("short", "p", 5, "hi"), ("command", "p", 5, "/run " + "alpha beta gamma delta " * 4), ("nowhere", None, 5, rows[0][3]), ("never", "p", None, rows[0][3])]
+    df = spark.createDataFrame(rows, "session_id string, project string, us long, opener string")
+    sets = {}
+    for x in retypes.openers(df).collect():
+        sets[x["session_id"]] = (x["us"], set(x["s"]))
+    assert not {"none", "short", "command", "nowhere", "never"} & set(sets)
+    for window in (7 * day, day):
+        links = {a: {b for b in sets if b != a and abs(sets[a][0] - sets[b][0]) <= window and len(sets[a][1] & sets[b][1]) >= 0.5 * len(sets[a][1] | sets[b][1])} for a in sets}
+        root = {a: a for a in links if links[a]}
+        for _ in root:
+            for a in root:
+                root[a] = min([root[a], *(root[b] for b in links[a])])
+        want = {a: (root[a], sum(v == root[a] for v in root.values()), len(links[a])) for a in root}
+        got = {x["session_id"]: (x["cluster"], x["size"], x["links"]) for x in retypes.retype_clusters(df, window).collect()}
+        assert got == want and len(want) > 10
+    assert retypes.retype_clusters(df.limit(0)).count() == 0

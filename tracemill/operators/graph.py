@@ -39,3 +39,24 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose target is not a node."""
     return edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component) of every node on an edge (u, v), by alternating star contraction.
+
+    Every node's larger neighbours move to its smallest one, then every node and its smaller neighbours to
+    the smallest of them; the rounds grow with the logarithm of the nodes and each is written.
+    """
+    now = materialized(edges.filter("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct())
+    seen = None
+    while True:
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lo", "hi"))).first()
+        if mark[0] == 0 or mark == seen:
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()
+        seen = mark
+        both = now.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(now.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
+        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("to"))
+        up = both.join(least, "n").filter("m > n").select(F.col("to").alias("lo"), F.col("m").alias("hi")).distinct()
+        low = up.groupBy("hi").agg(F.min("lo").alias("to"))
+        down = up.join(low, "hi").filter("lo <> to").select(F.col("to").alias("lo"), F.col("lo").alias("hi"))
+        now = materialized(down.unionByName(low.select(F.col("to").alias("lo"), "hi")).distinct())

@@ -356,14 +356,14 @@ def refusal_rate(s: Signals) -> DataFrame:
 
 @rule("workflow.session-restart-retype", "timeline", "sessions")
 def restart_retype(s: Signals) -> DataFrame:
-    from ..operators.text import similar_texts
-
-    opener = s.timeline.filter("kind = 'user' AND length(summary) >= 40").groupBy("session_id").agg(F.min_by("summary", "ord").alias("opener"))
-    rows = s.sessions.select("session_id", "project", "start_ts").join(opener, "session_id")
-    pairs = similar_texts(rows, "session_id", ["project"], "opener")
-    times = rows.select("session_id", "start_ts")
-    near = pairs.join(times, "session_id").join(times.select(F.col("session_id").alias("other"), F.col("start_ts").alias("b")), "other").filter(F.abs(S.micros("start_ts") - S.micros("b")) <= 7 * 86_400_000_000)
-    return recommend(near.agg(F.count_distinct("session_id").alias("affected")), F.col("affected") >= 1, "info", "An opening is typed again in a new session")
+    """Sessions of a project that opened with nearly the words of another within a week; unattended ones re-use prompts by design."""
+    from ..operators.retypes import retype_clusters
+
+    opener = s.timeline.filter("kind = 'user'").groupBy("session_id").agg(F.min_by("summary", "ord").alias("opener"))
+    rows = s.sessions.filter("NOT coalesce(unattended, false)").select("session_id", "project", S.micros("start_ts").alias("us")).join(opener, "session_id")
+    g = retype_clusters(rows)
+    t = with_evidence(g.agg(F.count(F.lit(1)).alias("affected")), g.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster", "n")
+    return recommend(t, F.col("affected") >= 1, "info", "An opening is typed again in a new session", evidence="evidence")
 
 
 @rule("workflow.mid-turn-interrupt-steering", "timeline")

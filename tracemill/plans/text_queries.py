@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
+from ..operators import retypes as R
 from ..operators import text as X
 from ..operators.sequences import following
 from .registry import Tables, query
@@ -39,6 +40,17 @@ def near_dup_openers(t: Tables) -> DataFrame:
     return X.similar_texts(t.documents, "doc_id", ["source"], "text").select("doc_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, lang, doc_id * 10 AS minute, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), '`+', ' ', 'g'), '\\S*/\\S*', ' ', 'g'), '\\d+', ' ', 'g'), '[^a-z]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(f"'{x}'" for x in R.STOP_WORDS)})) AS w
+    FROM documents WHERE lang IS NOT NULL AND length(trim(text)) >= {R.MIN_CHARS} AND NOT regexp_matches(text, '^\\s*/')),
+  g AS (SELECT doc_id, lang, minute, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w WHERE len(w) >= {R.MIN_TOKENS}),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.lang = b.lang AND a.doc_id <> b.doc_id AND abs(a.minute - b.minute) <= 10080 GROUP BY ALL),
+  l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c >= 0.5 * (p.n + q.n - c)), r AS (SELECT x, x AS y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+  k AS (SELECT x, min(y) AS cluster FROM r GROUP BY 1) SELECT k.x AS session_id, cluster, count(*) OVER (PARTITION BY cluster) AS size, links FROM k JOIN (SELECT x, count(*) AS links FROM l GROUP BY 1) d ON d.x = k.x""")
+def retype_clusters(t: Tables) -> DataFrame:
+    """Documents as openers, one in ten minutes: clusters of near-duplicate texts of a language within a week, with their links."""
+    return R.retype_clusters(t.documents.select(F.col("doc_id").alias("session_id"), F.col("lang").alias("project"), (F.col("doc_id") * 600_000_000).alias("us"), F.col("text").alias("opener")))
+
+
 @query("SELECT sha256(text) AS block, count(*) AS times, min(doc_id) AS first_id, (count(*) - 1) * any_value(length(text)) AS wasted FROM documents GROUP BY 1 HAVING count(*) >= 2")
 def paste_duplicates(t: Tables) -> DataFrame:
     """Blocks pasted more than once, by hash, and the characters that costs."""
