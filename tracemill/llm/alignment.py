@@ -39,7 +39,7 @@ from .common import written
 #: Up to so many id pairs with their counts (some 40 MB) go to every executor.
 BROADCAST_PAIRS = 1 << 20
 #: Characters of a block's texts, and tokens that a worker remembers.
-BLOCK, REMEMBERED = 1 << 21, 1 << 20
+BLOCK, REMEMBERED = 1 << 21, 1 << 21
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
 #: Tokens of a piece in which a cut's token is looked up.
@@ -77,17 +77,15 @@ class ByteLevel:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
         letters = byte_letters()
-        vocabulary = self.library.get_vocab()
+        vocabulary = told["model"]["vocab"] | {t["content"]: t["id"] for t in told.get("added_tokens") or []}
         self.bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocabulary.items()}
         self.sizes = np.zeros(max(self.bytes) + 1, np.int32)
         self.sizes[list(self.bytes)] = [len(x) for x in self.bytes.values()]
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"].get("merges", [])]
         merged = [vocabulary[x + y] for x, y in pairs]
         cutting = told.get("pre_tokenizer") or {}
@@ -95,6 +93,16 @@ class ByteLevel:
         ranks = {self.bytes[i]: i for t, i in told["model"]["vocab"].items() if all(c in letters for c in t)}
         self.quick = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
 
+    @property
+    def library(self):
+        """The file's own library, loaded where it is needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
+
     def ids(self, pieces: list[str]) -> list[list[int]]:
         if self.quick is None:
             return [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
@@ -160,8 +168,8 @@ class Tokenizers:
             self._meet(list(new))
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
 
-    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[pa.Array]]:
-        """For every text the numbers of its pieces; and a, a_ends, b, b_ends of the pieces."""
+    def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[pa.Array]]:
+        """For every text the numbers of its pieces, and of its A and B tokens; and a, a_ends, b, b_ends of the pieces."""
         if len(self.ids[0]) > REMEMBERED:
             self.forget()
         cut = [t.split(" ") if t else [] for t in texts]
@@ -177,15 +185,16 @@ class Tokenizers:
         at, owner = at[~bad[owner]], owner[~bad[owner]]
         pieces, numbers = np.unique(at, return_inverse=True)
         per_text = np.split(numbers.astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if len(texts) else []
-        out = []
+        out, counts = [], []
         for ids, sizes, starts in zip(self.ids, self.sizes, self.starts):
             lengths = starts[pieces + 1] - starts[pieces]
+            counts.append(np.bincount(owner, lengths[numbers], len(texts)).astype(np.int64))
             rows = np.concatenate([[0], np.cumsum(lengths)])
             place = np.repeat(starts[pieces] - rows[:-1], lengths) + np.arange(rows[-1])
             ends = np.concatenate([[0], np.cumsum(sizes[place], dtype=np.int64)])
             ends = ends[1:] - np.repeat(ends[rows[:-1]], lengths)
             out += [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (ids[place], ends)]
-        return per_text, out
+        return per_text, counts, out
 
 
 #: One per worker process, by vocabularies.
@@ -210,10 +219,10 @@ def _one(values: pa.Array) -> pa.Array:
 
 
 def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of docs (doc_id, row, pieces: numbers of words) and words (a, a_ends, b, b_ends)."""
+    """Rows of docs (doc_id, row, n_a, n_b, pieces: numbers of words) and words (a, a_ends, b, b_ends)."""
     ints = ArrayType(IntegerType(), False)
     rows = docs.select("doc_id", "text")
-    doc = StructType([rows.schema["doc_id"]]).add("row", LongType()).add("pieces", ints)
+    doc = StructType([rows.schema["doc_id"]]).add("row", LongType()).add("n_a", LongType()).add("n_b", LongType()).add("pieces", ints)
     word = StructType().add("a", ints).add("a_ends", ints).add("b", ints).add("b_ends", ints)
     schema = StructType().add("docs", ArrayType(doc, False)).add("words", ArrayType(word, False))
 
@@ -226,10 +235,10 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             sizes = [s or 0 for s in pa.compute.utf8_length(batch.column("text")).to_pylist()]
             for lo, hi in _ranges(sizes):
                 part = batch.slice(lo, hi - lo)
-                per_text, tokens = both.block(part.column("text").to_pylist())
+                per_text, counts, tokens = both.block(part.column("text").to_pylist())
                 ends = np.cumsum([0, *map(len, per_text)], dtype=np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *per_text])))
-                named = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + hi - lo)), pieces], names=["doc_id", "row", "pieces"])
+                named = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + hi - lo)), *map(pa.array, counts), pieces], names=["doc_id", "row", "n_a", "n_b", "pieces"])
                 words = pa.StructArray.from_arrays(tokens, names=["a", "a_ends", "b", "b_ends"])
                 yield pa.RecordBatch.from_arrays([_one(named), _one(words)], names=["docs", "words"])
                 row += hi - lo
@@ -260,22 +269,23 @@ def _lasts(ends: Column, cuts: Column) -> Column:
 def _cut_up(w: Column, names_a: Column, names_b: Column, cuts: Column) -> Column:
     """text and links of a piece with several groups, some of several tokens."""
 
-    def group(s: Column) -> Column:
-        n, m = s["to_a"] - s["a"], s["to_b"] - s["b"]
-        listed = lambda names, at, size: F.array_join(F.slice(names, at + 1, size), ",")
-        pair = F.struct(F.concat(F.get(names_a, s["a"]), F.lit("|"), F.get(names_b, s["b"])).alias("text"), F.array(_link(F.get(w["a"], s["a"]), F.get(w["b"], s["b"]))).alias("links"))
-        many = F.struct(
-            F.concat(listed(names_a, s["a"], n), F.lit("|"), listed(names_b, s["b"], m)).alias("text"),
-            F.flatten(F.transform(F.slice(w["a"], s["a"] + 1, n), lambda x: F.transform(F.slice(w["b"], s["b"] + 1, m), lambda y: _link(x, y)))).alias("links"),
-        )
-        return F.when((n == 1) & (m == 1), pair).otherwise(many)
+    def joined(to: Column) -> Column:
+        before = lambda side, g: F.when(g == 0, F.lit(0)).otherwise(F.get(to[side], g - 1))
+        single = lambda end, g: (end - before("a", g) == 1) & (F.get(to["b"], g) - before("b", g) == 1)
+        part = lambda values, side, end, g: F.slice(values, before(side, g) + 1, end - before(side, g))
+
+        def text(end: Column, g: Column) -> Column:
+            pair = F.concat(F.get(names_a, end - 1), F.lit("|"), F.get(names_b, F.get(to["b"], g) - 1))
+            return F.when(single(end, g), pair).otherwise(F.concat(F.array_join(part(names_a, "a", end, g), ","), F.lit("|"), F.array_join(part(names_b, "b", F.get(to["b"], g), g), ",")))
 
-    def bounds(to: Column) -> Column:
-        before = lambda places, g: F.when(g == 0, F.lit(0)).otherwise(F.get(places, g - 1))
-        return F.transform(to["a"], lambda e, g: F.struct(before(to["a"], g).alias("a"), e.alias("to_a"), before(to["b"], g).alias("b"), F.get(to["b"], g).alias("to_b")))
+        def links(end: Column, g: Column) -> Column:
+            pair = F.array(_link(F.get(w["a"], end - 1), F.get(w["b"], F.get(to["b"], g) - 1)))
+            every = F.transform(part(w["a"], "a", end, g), lambda x: F.transform(part(w["b"], "b", F.get(to["b"], g), g), lambda y: _link(x, y)))
+            return F.when(single(end, g), pair).otherwise(F.flatten(every))
 
-    groups = _let(F.struct(_lasts(w["a_ends"], cuts).alias("a"), _lasts(w["b_ends"], cuts).alias("b")), lambda to: F.transform(bounds(to), group))
-    return _let(groups, lambda all_: F.struct(F.array_join(all_["text"], ";").alias("text"), F.flatten(all_["links"]).alias("links")))
+        return F.struct(F.array_join(F.transform(to["a"], text), ";").alias("text"), F.flatten(F.transform(to["a"], links)).alias("links"))
+
+    return _let(F.struct(_lasts(w["a_ends"], cuts).alias("a"), _lasts(w["b_ends"], cuts).alias("b")), joined)
 
 
 def aligned(w: Column) -> Column:
@@ -295,7 +305,7 @@ def aligned(w: Column) -> Column:
         found = F.when((n == F.size(w["a"])) & (n == F.size(w["b"])), single).when(n == 1, whole).otherwise(many)
         return _let(found, lambda x: F.struct(n.alias("groups"), x["text"].alias("text"), x["links"].alias("links")))
 
-    return _let(F.array_intersect(w["a_ends"], w["b_ends"]), by_shape)
+    return _let(F.when(w["a_ends"] == w["b_ends"], w["a_ends"]).otherwise(F.array_intersect(w["a_ends"], w["b_ends"])), by_shape)
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -303,20 +313,17 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     Left as a struct, since each field that is taken of it apart would compute it anew.
     """
-    def total(d: Column, each: Column, name: str) -> Column:
-        return F.aggregate(d["pieces"], F.lit(0).cast("bigint"), lambda acc, p: acc + F.get(each, p)).alias(name)
-
     def counted(d: Column, of: Column) -> Column:
         text = F.array_join(F.transform(d["pieces"], lambda p: F.get(of["text"], p)), ";")
         digest = F.when(F.size(d["pieces"]) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256")
-        return F.struct(d["doc_id"].alias("doc_id"), d["row"].alias("row"), *[total(d, of[n], n) for n in ("n_a", "n_b", "n_groups")], digest, d["pieces"].alias("pieces"))
+        groups = F.aggregate(d["pieces"], F.lit(0).cast("bigint"), lambda acc, p: acc + F.get(of["groups"], p)).alias("n_groups")
+        return F.struct(*[d[n].alias(n) for n in ("doc_id", "row", "n_a", "n_b")], groups, digest, d["pieces"].alias("pieces"))
 
     def block(w: Column) -> Column:
-        fields = F.struct(w["n_a"].alias("n_a"), w["n_b"].alias("n_b"), w["g"]["groups"].alias("n_groups"), w["g"]["text"].alias("text"), w["g"]["links"].alias("links"))
+        fields = F.struct(*[w[n].alias(n) for n in ("groups", "text", "links")])
         return _let(fields, lambda of: F.struct(F.transform("docs", lambda d: counted(d, of)).alias("docs"), of["links"].alias("links")))
 
-    words = F.transform("words", lambda w: F.struct(F.size(w["a"]).alias("n_a"), F.size(w["b"]).alias("n_b"), aligned(w).alias("g")))
-    return tokenized(docs, path_a, path_b).select(_let(words, block).alias("block"))
+    return tokenized(docs, path_a, path_b).select(_let(F.transform("words", aligned), block).alias("block"))
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
