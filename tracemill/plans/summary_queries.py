@@ -603,13 +603,11 @@ def discovery_failures(t: Tables) -> DataFrame:
     return Y.discovery_failures(c, skills, c.filter("tool_name = 'signup'").select("session_id", F.concat(F.lit("s"), "k").alias("skill")), 4)
 
 
-@query(r"""SELECT CASE WHEN regexp_matches(t, '\b(?:implement|build|add|fix|refactor|write|create|code|coder|develop)\b') THEN 'authoring' WHEN regexp_matches(t, '\b(?:review|audit|critique|approve|reviewer)\b') THEN 'review' WHEN regexp_matches(t, '\b(?:classify|pick|label|status|replay|triage|sort|tag)\b') THEN 'mechanical' ELSE 'authoring' END AS task_class, count(*) AS n
-  FROM (SELECT lower(CASE o_custkey % 6 WHEN 0 THEN 'Coder: implement review' WHEN 1 THEN 'please REVIEW this' WHEN 2 THEN 'triage the queue' WHEN 3 THEN 'hello' WHEN 4 THEN 'audit and label' ELSE 'fix it' END) AS t FROM orders) GROUP BY 1""")
+@query(r"""SELECT lang, CASE WHEN regexp_matches(t, '\b(?:implement|build|add|fix|refactor|write|create|code|coder|develop)\b') THEN 'authoring' WHEN regexp_matches(t, '\b(?:review|audit|critique|approve|reviewer)\b') THEN 'review' WHEN regexp_matches(t, '\b(?:classify|pick|label|status|replay|triage|sort|tag)\b') THEN 'mechanical' ELSE 'authoring' END AS task_class, count(*) AS n
+  FROM (SELECT lang, lower(coalesce(text, '')) AS t FROM documents) GROUP BY ALL""")
 def task_classes(t: Tables) -> DataFrame:
-    """Tasks by the words of their opening."""
-    words = ("Coder: implement review", "please REVIEW this", "triage the queue", "hello", "audit and label", "fix it")
-    opener = F.element_at(F.array(*map(F.lit, words)), (F.col("o_custkey") % 6 + 1).cast("int"))
-    return t.orders.groupBy(C.task_class(opener).alias("task_class")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents as openings of tasks, by their words."""
+    return t.documents.groupBy("lang", C.task_class("text").alias("task_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {CALLS} SELECT session_id, (floor(100.0 * count(*) FILTER (bad) / count(*) + 0.5))::INT AS bad_percent, left('session-' || session_id, 10) AS short FROM c GROUP BY 1")
@@ -619,24 +617,31 @@ def failure_percent(t: Tables) -> DataFrame:
     return g.select("session_id", C.percent_of("bad", "n").alias("bad_percent"), C.short_id(F.concat(F.lit("session-"), "session_id"), 10).alias("short"))
 
 
-@query(r"""WITH r AS (SELECT DISTINCT CASE o_custkey % 4 WHEN 0 THEN 'Bash(git push:*)' WHEN 1 THEN 'Bash(ls ' || (o_custkey % 10) || ')' WHEN 2 THEN 'WebFetch' ELSE ' Read(./src//a/./b) ' END AS rule FROM orders)
-  SELECT trim(rule) AS rule, regexp_extract(trim(rule), '^([\w-]+)', 1) AS tool, regexp_replace(nullif(regexp_extract(trim(rule), '^[\w-]+\((.*)\)$', 1), ''), ':\*$', '') AS spec, coalesce(regexp_matches(nullif(regexp_extract(trim(rule), '^[\w-]+\((.*)\)$', 1), ''), ':\*$'), false) AS prefix,
-  CASE WHEN rule LIKE ' Read%' THEN 'src/a/b' END AS path FROM r""")
+@query(r"""WITH u AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL),
+  r AS (SELECT DISTINCT 'WebFetch' AS tool, 'domain:' || host AS spec, false AS prefix, NULL AS path, 'WebFetch(domain:' || host || ')' AS rule FROM u WHERE host <> ''
+    UNION ALL SELECT DISTINCT 'Read', './/' || path, false, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), '/'), 'Read(.//' || path || ')' FROM u WHERE path <> ''
+    UNION ALL SELECT DISTINCT 'Bash', 'open ' || path, true, NULL, 'Bash(open ' || path || ':*)' FROM u WHERE path <> '')
+  SELECT rule, tool, spec, prefix, path FROM r""")
 def permission_rules(t: Tables) -> DataFrame:
-    """Permission rules taken apart; the path of a file rule is put in one form."""
-    k = F.col("o_custkey")
-    rule = F.when(k % 4 == 0, "Bash(git push:*)").when(k % 4 == 1, F.concat(F.lit("Bash(ls "), k % 10, F.lit(")"))).when(k % 4 == 2, "WebFetch").otherwise(" Read(./src//a/./b) ")
-    r = t.orders.select(F.trim(rule).alias("rule")).distinct().withColumn("p", C.permission_rule("rule"))
+    """Permission rules for pages' hosts and paths, taken apart; the path of a file rule is put in one form."""
+    host, path = F.regexp_extract("url", "^https?://([^/]+)", 1), F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1)
+    u = t.pages.filter("url IS NOT NULL").select(host.alias("host"), path.alias("path")).distinct()
+    of = lambda part, head, tail: F.when(F.col(part) != "", F.concat(F.lit(head), part, F.lit(tail)))
+    rules = F.array_compact(F.array(of("host", " WebFetch(domain:", ") "), of("path", "Read(.//", ")"), of("path", "Bash(open ", ":*)")))
+    r = u.select(F.explode(rules).alias("rule")).select(F.trim("rule").alias("rule")).distinct().withColumn("p", C.permission_rule("rule"))
     return r.select("rule", "p.tool", "p.spec", "p.prefix", F.when(F.col("p.tool") == "Read", C.relative_path("p.spec")).alias("path"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, '---' || chr(10) || 'title: T' || doc_id || chr(10) || 'kind : note' || chr(10) || '---' || chr(10) || '# One ' || doc_id || chr(10) || '```' || chr(10) || '# not' || chr(10) || '```' || chr(10) || '## Two ##' || chr(10) AS md,
-  CASE doc_id % 3 WHEN 0 THEN 'a' || doc_id || '.md' WHEN 1 THEN 'docs/guide/b' || doc_id || '.md' ELSE 'src/c' || doc_id || '.md' END AS path FROM documents)
-  SELECT doc_id, 'T' || doc_id AS title, 'note' AS kind, 'One ' || doc_id || '|Two' AS headings, regexp_replace(path, '\.md$', '') AS slug, CASE doc_id % 3 WHEN 0 THEN 'root' WHEN 1 THEN 'guide' ELSE 'src' END AS category FROM d""")
+@query(r"""WITH d AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<\r\n]*)</title>', 1) AS title, regexp_extract(coalesce(html, ''), '<html lang="([a-z-]*)"', 1) AS lang, regexp_extract_all(coalesce(html, ''), '<h[1-6]>([^<\r\n]*)</h', 1) AS hs,
+    regexp_extract(coalesce(url, ''), '^https?://[^/]+/([^?#]*)', 1) AS slug FROM pages)
+  SELECT page_id, trim(regexp_replace(title, '^\s*', '')) AS title, lang, array_to_string(list_filter(list_transform(hs, lambda h: regexp_extract('# ' || h, '^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1)), lambda x: x <> ''), '|') AS headings, slug,
+    CASE WHEN slug NOT LIKE '%/%' THEN 'root' WHEN slug LIKE 'docs/%/%' THEN string_split(slug, '/')[2] ELSE string_split(slug, '/')[1] END AS category FROM d""")
 def doc_outline(t: Tables) -> DataFrame:
-    """Front matter, headings outside code, slug and category of Markdown documents."""
-    i = F.col("doc_id")
-    md = F.concat(F.lit("---\ntitle: T"), i, F.lit("\nkind : note\n---\n# One "), i, F.lit("\n```\n# not\n```\n## Two ##\n"))
-    path = F.when(i % 3 == 0, F.concat(F.lit("a"), i, F.lit(".md"))).when(i % 3 == 1, F.concat(F.lit("docs/guide/b"), i, F.lit(".md"))).otherwise(F.concat(F.lit("src/c"), i, F.lit(".md")))
-    d = t.documents.select("doc_id", md.alias("md"), path.alias("path")).withColumn("f", C.frontmatter("md"))
-    return d.select("doc_id", F.col("f")["title"].alias("title"), F.col("f")["kind"].alias("kind"), F.array_join(C.headings("md"), "|").alias("headings"), C.doc_slug("path").alias("slug"), C.doc_category("path").alias("category"))
+    """Pages as Markdown: front matter from their title and language, headings, slug and category by their path."""
+    html = F.coalesce("html", F.lit(""))
+    found = F.regexp_extract_all(html, F.lit(r"<h[1-6]>([^<\r\n]*)</h"), F.lit(1))
+    head = F.concat(F.lit("---\ntitle: "), F.regexp_extract(html, r"<title>([^<\r\n]*)</title>", 1), F.lit("\nlang : "), F.regexp_extract(html, '<html lang="([a-z-]*)"', 1), F.lit("\n---\n```\n# no heading\n```\n"))
+    md = F.concat(head, F.array_join(F.transform(found, lambda h: F.concat(F.lit("# "), h)), "\n"))
+    path = F.concat(F.regexp_extract(F.coalesce("url", F.lit("")), r"^https?://[^/]+/([^?#]*)", 1), F.lit(".md"))
+    d = t.pages.select("page_id", md.alias("md"), path.alias("path")).withColumn("f", C.frontmatter("md"))
+    return d.select("page_id", F.col("f")["title"].alias("title"), F.col("f")["lang"].alias("lang"), F.array_join(C.headings("md"), "|").alias("headings"), C.doc_slug("path").alias("slug"), C.doc_category("path").alias("category"))

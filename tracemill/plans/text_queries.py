@@ -149,14 +149,9 @@ def wait_flags(t: Tables) -> DataFrame:
     return c.agg(F.count_if(F.lower("text").rlike(r"\b(?:that|with|from)\b")).alias("waits"), F.count_if(F.col("text").rlike("^[A-ZÀ-Ý][a-zà-ÿ]+\\.")).alias("openers"), F.count_if(F.col("text") == "").alias("blank"))
 
 
-#: Turns as they occur, dealt over the conversations by id, since the texts there hold no such words.
-SAID = ("I can't do that.", "This might work, I think", "Waiting for the build", "All tests pass now", "[Request interrupted by user]", "Let me know when it is ready", "plain words", "Done. It should work")
-
-
-@query(f"""WITH c AS (SELECT role, lower((['{"', '".join(w.replace("'", "''") for w in SAID)}'])[(conv_id + turn) % 8 + 1]) AS t FROM conversations)
+@query(f"""WITH c AS (SELECT role, lower(text) AS t FROM conversations UNION ALL SELECT 'document', lower(text) FROM documents)
   SELECT role, {", ".join(f"count(*) FILTER (regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')) AS {k}" for k, p in C.LANGUAGE.items())} FROM c GROUP BY 1""")
 def language_flags(t: Tables) -> DataFrame:
-    """Refusals, hedges, waits, claims and interruptions by role."""
-    said = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
-    flags = t.conversations.select("role", *C.language_flags(said))
-    return flags.groupBy("role").agg(*[F.count_if(k).alias(k) for k in C.LANGUAGE])
+    """Refusals, hedges, waits, claims and interruptions in what is said, by role, and in documents."""
+    said = t.conversations.select("role", "text").unionByName(t.documents.select(F.lit("document").alias("role"), "text"))
+    return said.select("role", *C.language_flags(F.col("text"))).groupBy("role").agg(*[F.count_if(k).alias(k) for k in C.LANGUAGE])
