@@ -138,10 +138,10 @@ def test_artifact_rules(spark):
         "instructions": of("scope string, project string, chars long", ("global", None, 30_000), ("project", "p", 9_000), ("project", "q", 11_000)),
         "tool_calls": calls(spark, [("s", "Bash", c, None, False, 1, k) for k, c in enumerate(["git stash", "git switch main", "git stash pop"])]),
     })
-    got = run(s, "maintenance.doc-hygiene", "reliability.post-shipment-rework", "reliability.config-drift", "safety.policy-change", "context.bloated-instructions", "workflow.shared-checkout-rework")
+    got = run(s, "maintenance.doc-hygiene", "reliability.post-shipment-rework", "reliability.config-drift", "safety.policy-change", "context.bloated-claude-md", "workflow.shared-checkout-rework")
     assert got["maintenance.doc-hygiene"]["evidence"] == ["gone"] and got["maintenance.doc-hygiene"]["affected"] == 2
     assert {k: r["affected"] for k, r in got.items() if k != "maintenance.doc-hygiene"} == {
-        "reliability.post-shipment-rework": 1, "reliability.config-drift": 1, "safety.policy-change": 1, "context.bloated-instructions": 41_000, "workflow.shared-checkout-rework": 1,
+        "reliability.post-shipment-rework": 1, "reliability.config-drift": 1, "safety.policy-change": 1, "context.bloated-claude-md": 41_000, "workflow.shared-checkout-rework": 1,
     }
 
 

@@ -76,7 +76,7 @@ def world(spark):
         "plans": of("name string, has_verification boolean, file_refs int, words int", *[(f"p{k}", False, 7, 10) for k in range(3)]),
         "workflows": of("status string, tokens long, rate_limited int", ("ok", 1000, 0), ("ok", 1000, 0), ("failed", 1000, 12), ("ok", 900_000, 0)),
         "tasks": of("session_id string, task_id string, status string, owner string, blocked_by array<string>, mtime timestamp", *tasks),
-        "installed": of("kind string, name string", *[("skill", f"s{k}") for k in range(3)], *[("plugin", f"p{k}") for k in range(5)]),
+        "installed": of("kind string, name string", *[("skill", f"s{k}") for k in range(3)], *[("plugin", f"p{k}") for k in range(5)], *[(kind, f"{kind}{k}") for kind in ("agent", "command") for k in range(3)]),
         "steering": of("session_id string, specificity double, turns long, corrections double, success double", *[(f"v{k}", 0.25, 3, 3.0, 0.95) for k in range(4)], *[(f"c{k}", 0.75, 3, 0.0, 0.95) for k in range(4)]),
         "permission_rules": of("kind string, rule string", ("deny", "Bash(curl:*)"), ("allow", "Bash(curl x:*)")),
         "latency": of("model string, api_ms double, output_tokens long", *[("slow", 200_000.0, 2000) for _ in range(3)], *[("fast", 2000.0, 2000) for _ in range(3)]),

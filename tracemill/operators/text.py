@@ -82,7 +82,8 @@ def similar_texts(df: DataFrame, key: str, scope: list[str], text: str, size: in
     mine = [F.col(c).cast("string") for c in scope]
     sets = df.select(F.col(key).alias("_key"), *mine, shingle_set(text, size).alias("_s")).filter(F.size("_s") > 0)
     sets = sets.select("_key", F.transform("_s", lambda g: F.xxhash64(*mine, g)).alias("_s"))  # a shingle of another scope is another one
-    sets = materialized(sets.withColumn("_class", F.xxhash64(F.array_sort("_s"))))
+    named = F.transform(F.array(F.array_sort("_s")), lambda s: F.concat_ws("-", F.xxhash64(s).cast("string"), F.xxhash64(F.lit(1), s).cast("string")))[0]
+    sets = materialized(sets.withColumn("_class", named))  # two fingerprints tell sets apart
     least = sets.groupBy("_class").agg(F.min("_key").alias("_key"))
     classes = materialized(sets.join(least, ["_class", "_key"]).select("_class", "_key", "_s").dropDuplicates(["_class"]))
     alike = sets.select("_key", "_class").join(classes.select("_class", F.col("_key").alias("_least")), "_class").filter("_key <> _least")
@@ -138,18 +139,23 @@ def scrub(text: Column) -> Column:
     return text
 
 
-#: What can be a distinctive value, and its length at most.
+#: What can be a distinctive value, its length at most, and the forms that make a chance meeting unlikely, each by what it has to hold.
 DISTINCTIVE, LONGEST_VALUE = r"[A-Za-z0-9][A-Za-z0-9._:/@-]{8,}[A-Za-z0-9]", 160
+FORMS = {
+    "path": ("/",),
+    "hash": ("^[A-Fa-f0-9]{12,}$", "[0-9]", "[A-Fa-f]"),
+    "numbered name": ("[0-9]", "[._:@-]"),
+    "long id": ("[0-9]", ".{16}"),
+    "name of mixed case": ("[._:@-]", "[a-z]", "[A-Z]"),
+}
 
 
 def distinctive_values(text: str | Column) -> Column:
-    """The values of a text, lower-cased, whose form makes a chance meeting unlikely: paths, hashes, ids, mixed-case names with separators."""
+    """The values of a text, lower-cased, that have a letter and one of the telling forms."""
 
     def telling(v: Column) -> Column:
-        letter, digit, mark = v.rlike("[A-Za-z]"), v.rlike("[0-9]"), v.rlike("[._:/@-]")
-        digest = v.rlike("^[A-Fa-f0-9]{12,}$") & digit & v.rlike("[A-Fa-f]")
-        mixed = v.rlike("[a-z]") & v.rlike("[A-Z]")
-        return letter & (F.length(v) <= LONGEST_VALUE) & (F.contains(v, F.lit("/")) | digest | (digit & (mark | (F.length(v) >= 16))) | (mark & mixed))
+        forms = [reduce(lambda x, y: x & y, [v.rlike(p) for p in parts]) for parts in FORMS.values()]
+        return v.rlike("[A-Za-z]") & (F.length(v) <= LONGEST_VALUE) & reduce(lambda x, y: x | y, forms)
 
     values = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(DISTINCTIVE), F.lit(0))
     return F.array_distinct(F.transform(F.filter(values, telling), F.lower))

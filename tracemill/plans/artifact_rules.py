@@ -47,7 +47,7 @@ def format_churn(s: Signals) -> DataFrame:
     return recommend(t, (F.col("affected") >= 12) & (F.col("lines") >= 120) & (F.col("affected") >= 0.25 * F.col("n")), "info", "Edits only change formatting")
 
 
-@rule("context.bloated-instructions", "instructions")
+@rule("context.bloated-claude-md", "instructions")
 def bloated_instructions(s: Signals) -> DataFrame:
     """The largest set of instruction files that load together: the global ones and a project's (scope, project, chars)."""
     g = s.instructions.filter("scope = 'global'").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("g"))
@@ -188,7 +188,7 @@ def mcp_needs_auth(s: Signals) -> DataFrame:
     return recommend(t, F.col("affected") > 0, F.when(F.col("calls") > 0, "critical").otherwise("info"), "Servers wait for a login", evidence="evidence")
 
 
-@rule("reliability.settings-invalid", "settings_findings")
+@rule("reliability.settings-json-invalid", "settings_findings")
 def settings_invalid(s: Signals) -> DataFrame:
     t = s.settings_findings.filter("severity IN ('error', 'warning')").agg(F.count(F.lit(1)).alias("affected"), F.count_if(F.col("severity") == "error").alias("errors"))
     return recommend(t, F.col("affected") > 0, F.when(F.col("errors") > 0, "warning").otherwise("info"), "Settings have faults")

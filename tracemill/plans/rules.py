@@ -422,13 +422,18 @@ def abandoned_tasks(s: Signals) -> DataFrame:
     return recommend(g.agg(F.sum("n").alias("affected")), F.col("affected") > 0, "info", "Open tasks lie idle")
 
 
-@rule("workflow.unused-installed", "installed", "attribution")
-def unused_installed(s: Signals) -> DataFrame:
-    g = s.installed.join(s.attribution.select("kind", "name").distinct(), ["kind", "name"], "left_anti").select("kind", "name").distinct()
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("name"))
-    head = g.withColumn("n", n).filter("n <= 5").groupBy("kind").agg(F.array_sort(F.collect_list("name")).alias("evidence"))
-    t = g.groupBy("kind").agg(F.count(F.lit(1)).alias("affected")).join(head, "kind")
-    return recommend(t, F.col("affected") >= 3, "info", "What is installed is not used", evidence="evidence")
+def _unused(kind: str, title: str) -> Callable[[Signals], DataFrame]:
+    def run(s: Signals) -> DataFrame:
+        g = s.installed.filter(F.col("kind") == kind).join(s.attribution.select("kind", "name").distinct(), ["kind", "name"], "left_anti").select("name").distinct()
+        head = g.orderBy("name").limit(5).agg(F.array_sort(F.collect_list("name")).alias("evidence"))
+        t = g.agg(F.count(F.lit(1)).alias("affected")).crossJoin(F.broadcast(head))  # one row each
+        return recommend(t, F.col("affected") >= 3, "info", title, evidence="evidence")
+
+    return run
+
+
+for _kind, _named in (("skill", "skills"), ("agent", "subagents"), ("command", "commands"), ("plugin", "plugins")):
+    rule(f"workflow.unused-installed-{_named}", "installed", "attribution")(_unused(_kind, f"Installed {_named} are not used"))
 
 
 @rule("workflow.autonomy-over-steered", "steering")
@@ -671,7 +676,7 @@ def evaluate(s: Signals, rules: list[Rule] | None = None) -> DataFrame:
 #: Settings that answer a rule: once they hold, it has nothing more to say.
 ANSWERED = (
     ("cost.cache-1h-waste", "cacheTtl", "5m"), ("cost.legacy-model-overpay", "modelPinned", "true"), ("cost.model-routing-rollup", "modelRouting", "true"), ("cost.batchable-workload", "batchMode", "true"),
-    ("context.repeated-compactions", "autoCompactEnabled", "false"), ("context.bloated-instructions", "instructionsSplit", "true"), ("workflow.native-bypass", "nativeToolHook", "true"),
+    ("context.repeated-compactions", "autoCompactEnabled", "false"), ("context.bloated-claude-md", "instructionsSplit", "true"), ("workflow.native-bypass", "nativeToolHook", "true"),
     ("workflow.redundant-reads", "rereadHook", "true"), ("safety.dangerous-bypass", "disableBypassPermissionsMode", "disable"), ("safety.risky-actions", "sandboxEnabled", "true"),
     ("safety.unattended-sessions", "disableBypassPermissionsMode", "disable"), ("speed.hook-overhead", "hooksDisabled", "true"), ("workflow.conversational-availability", "backgroundCommands", "true"),
 )

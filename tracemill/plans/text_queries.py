@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import retypes as R
+from ..operators import search_index as I
 from ..operators import text as X
 from ..operators.sequences import following
+from ..session import scratch_folder
 from .registry import Tables, query
 
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -24,6 +26,27 @@ def hybrid_search(t: Tables) -> DataFrame:
     return X.search(t.documents, "doc_id", "text", list(QUERY), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+INDEXED = "Thandthe reering ouorthe plans"
+_Q = I.query_terms(INDEXED)
+_W = ", ".join(f"('{t}', {float(_Q.count(t))})" for t in dict.fromkeys(_Q)) + "".join(f", ('concept:{I.CONCEPT_OF[t]}', {I.CONCEPT_WEIGHT})" for t in _Q if t in I.CONCEPT_OF)
+
+
+@query(f"""WITH c(term, concept) AS (VALUES {", ".join(f"('{t}', 'concept:{n}')" for t, n in I.CONCEPT_OF.items())}), q(term, qw) AS (VALUES {_W}),
+  w AS (SELECT doc_id, regexp_replace(w, '{I.ENDING}', '') AS term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents)),
+  t AS (SELECT doc_id, term, count(*)::DOUBLE AS w FROM w WHERE length(term) > 1 AND term NOT IN ({", ".join(f"'{x}'" for x in I.STOP_WORDS)}) GROUP BY ALL),
+  v AS (SELECT * FROM t UNION ALL SELECT doc_id, concept, sum(w) * {I.CONCEPT_WEIGHT} FROM t JOIN c USING (term) GROUP BY ALL),
+  n AS (SELECT doc_id, sum(w * w) AS norm2, sum(w * coalesce(qw, 0)) AS dot FROM v LEFT JOIN q USING (term) GROUP BY 1),
+  s AS (SELECT d.doc_id, least(1, CASE WHEN contains(lower(text), '{INDEXED.lower()}') THEN 0.75 ELSE 0 END + ({" + ".join(f"contains(lower(text), '{t}')::INT" for t in _Q)}) / {len(_Q)}.0)::DOUBLE AS lexical, coalesce(dot / sqrt(norm2 * (SELECT sum(qw * qw) FROM q)), 0) AS semantic
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id WHERE text IS NOT NULL)
+  SELECT doc_id, round(0.68 * lexical + 0.32 * semantic, 9) AS score, CASE WHEN semantic < 0.12 THEN 'full-text' WHEN lexical > 0 THEN 'hybrid' ELSE 'semantic' END AS match
+  FROM s WHERE lexical > 0 OR semantic >= 0.12 ORDER BY 0.68 * lexical + 0.32 * semantic DESC, doc_id LIMIT 100""")
+def indexed_search(t: Tables) -> DataFrame:
+    """A top-k report: the hundred best documents for a query, by a stored index of all documents."""
+    folder = scratch_folder(t.spark, "index")
+    I.build(t.documents, "doc_id", "text", folder)
+    return I.search(t.spark, folder, INDEXED).select(F.col("key").alias("doc_id"), F.round("score", 9).alias("score"), "match")
+
+
 @query(f"""WITH {TERMS} SELECT term, count(*) AS documents, sum(tf)::BIGINT AS uses FROM t GROUP BY 1""")
 def term_frequencies(t: Tables) -> DataFrame:
     return X.terms(t.documents, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses"))

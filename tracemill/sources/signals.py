@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cost import base_price
+from ..operators.deceit import from_transcripts as unborne
 from ..plans.rules import Signals
 from .transcripts import Transcripts
 
@@ -52,5 +53,6 @@ def from_transcripts(t: Transcripts, now: dt.datetime, **artifacts: DataFrame) -
     tables = {
         "token_entries": entries, "tool_calls": calls, "sessions": t.sessions, "api_errors": t.api_errors, "timeline": t.timeline, "turns": t.turns, "stop_hooks": t.stop_hooks,
         "permission_rows": t.permission_rows, "attribution": t.attribution, "tool_inventory": t.tool_inventory, "daily": daily, "steering": steering(t.timeline, calls),
+        "deceit": unborne(t).select("session_id", "unbacked", "contradicted"),
     }
     return Signals(now, {**tables, **artifacts})
