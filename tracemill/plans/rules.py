@@ -22,6 +22,7 @@ from ..operators import sequences as S
 from ..operators import stats as X
 from ..operators.quantiles import exact_quantiles
 from ..session import materialized
+from ..sources.settings import answered
 
 RECOMMENDATION = (
     "id string, category string, severity string, severity_rank int, title string, est_savings_usd double, est_minutes double, affected bigint, evidence array<string>, emit_order int"
@@ -670,22 +671,7 @@ def evaluate(s: Signals, rules: list[Rule] | None = None) -> DataFrame:
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
         found = [row for rows in pool.map(lambda p: p.collect(), plans) for row in rows]
     out = spark.createDataFrame(found, RECOMMENDATION)
-    return out.join(silenced(s.live_config), "id", "left_anti").select(*out.columns) if s.has("live_config") else out
-
-
-#: Settings that answer a rule: once they hold, it has nothing more to say.
-ANSWERED = (
-    ("cost.cache-1h-waste", "cacheTtl", "5m"), ("cost.legacy-model-overpay", "modelPinned", "true"), ("cost.model-routing-rollup", "modelRouting", "true"), ("cost.batchable-workload", "batchMode", "true"),
-    ("context.repeated-compactions", "autoCompactEnabled", "false"), ("context.bloated-claude-md", "instructionsSplit", "true"), ("workflow.native-bypass", "nativeToolHook", "true"),
-    ("workflow.redundant-reads", "rereadHook", "true"), ("safety.dangerous-bypass", "disableBypassPermissionsMode", "disable"), ("safety.risky-actions", "sandboxEnabled", "true"),
-    ("safety.unattended-sessions", "disableBypassPermissionsMode", "disable"), ("speed.hook-overhead", "hooksDisabled", "true"), ("workflow.conversational-availability", "backgroundCommands", "true"),
-)
-
-
-def silenced(live_config: DataFrame) -> DataFrame:
-    """Ids of the rules that the settings in force (key, value) already answer."""
-    answers = live_config.sparkSession.createDataFrame(list(ANSWERED), "id string, key string, value string")
-    return live_config.select("key", F.lower("value").alias("value")).join(F.broadcast(answers), ["key", "value"]).select("id").distinct()  # a dozen rows
+    return out.join(answered(s.live_config), "id", "left_anti").select(*out.columns) if s.has("live_config") else out
 
 
 def ranked(recommendations: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
