@@ -229,3 +229,8 @@ def test_small_blocks_and_forgetting_change_nothing(libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 10)
     assert list(alignment._ranges([4, 5, 30, 1, 9, 1])) == [(0, 2), (2, 3), (3, 5), (5, 6)]
     assert both.a.quick is not None
+    quick = alignment.Tokenizers(*alignment.vocabulary_paths())
+    plain = alignment.Tokenizers(*alignment.vocabulary_paths())
+    plain.a.quick = None  # by the file's own library alone
+    long = ["y" * 1500 + " end", "one two  three", *texts]
+    assert [x.tolist() for x in quick.block(long)[1]] == [x.tolist() for x in plain.block(long)[1]]

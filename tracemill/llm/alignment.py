@@ -39,7 +39,7 @@ from .common import written
 #: Up to so many id pairs with their counts (some 40 MB) go to every executor.
 BROADCAST_PAIRS = 1 << 20
 #: Characters of a block's texts, and tokens that a worker remembers.
-BLOCK, REMEMBERED = 1 << 21, 1 << 21
+BLOCK, REMEMBERED = 1 << 21, 1 << 20
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
 #: Tokens of a piece in which a cut's token is looked up.
@@ -103,11 +103,22 @@ class ByteLevel:
             self._library.encode_special_tokens = True
         return self._library
 
-    def ids(self, pieces: list[str]) -> list[list[int]]:
+    def ids(self, pieces: list[str], plain: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, each with a space before it, and how many each has.
+
+        The first `plain` ones have no white space at an end, so a token begins at each space that is put between
+        them: they are encoded in one go and told apart by their bytes (lengths, the spaces included).
+        """
         if self.quick is None:
-            return [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-        quick = self.quick.encode_ordinary
-        return [quick(p) if len(p) <= LONG_PIECE else self.library.encode(p, add_special_tokens=False).ids for p in pieces]
+            rest, joined = [e.ids for e in self.library.encode_batch([f" {p}" for p in pieces], add_special_tokens=False)], np.empty(0, np.int32)
+            plain = 0
+        else:
+            joined = np.array(self.quick.encode_ordinary(" " + " ".join(pieces[:plain])) if plain else [], np.int32)
+            encode = lambda p: self.quick.encode_ordinary(p) if len(p) <= LONG_PIECE else self.library.encode(p, add_special_tokens=False).ids
+            rest = [encode(f" {p}") for p in pieces[plain:]]
+        last = np.searchsorted(np.cumsum(self.sizes[joined], dtype=np.int64), np.cumsum(lengths[:plain], dtype=np.int64))
+        counts = np.concatenate([np.diff(last, prepend=-1), np.fromiter(map(len, rest), np.int64, len(rest))])
+        return np.concatenate([joined, np.fromiter(chain.from_iterable(rest), np.int32)]), counts.astype(np.int64)
 
 
 class Tokenizers:
@@ -143,20 +154,25 @@ class Tokenizers:
         return wrong
 
     def _meet(self, pieces: list[str]) -> None:
-        found = self.a.ids([f" {p}" for p in pieces]), self.b.encode(pieces, num_threads=1)
+        odd = [not p or p[0].isspace() or p[-1].isspace() for p in pieces]
+        first = [p for p, o in zip(pieces, odd) if not o and len(p) <= LONG_PIECE]
+        rest = [p for p, o in zip(pieces, odd) if o or len(p) > LONG_PIECE]
+        pieces = first + rest
         encoded = [p.encode() for p in pieces]
-        marks = np.fromiter((0 if p and not p[0].isspace() and not p[-1].isspace() else 2 for p in pieces), np.uint8, len(pieces))
-        for side, (tokens, table) in enumerate(zip(found, (self.a.sizes, self.sizes_b))):
-            counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            ids = np.fromiter(chain.from_iterable(tokens), np.int32, counts.sum())
-            sizes = table[ids]
-            ends = np.cumsum(counts)
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
+        marks = np.zeros(len(pieces), np.uint8)
+        marks[len(first) :] = [2 if not p or p[0].isspace() or p[-1].isspace() else 0 for p in rest]
+        tokens = self.b.encode(pieces, num_threads=1)
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        both = self.a.ids(pieces, len(first), lengths), (np.fromiter(chain.from_iterable(tokens), np.int32, counts.sum()), counts)
+        for side, ((ids, counts), table) in enumerate(zip(both, (self.a.sizes, self.sizes_b))):
+            sizes, ends = table[ids], np.cumsum(counts)
             total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            lengths = total[ends] - total[ends - counts]
             if side:
-                marks |= self._wrong(tokens, lengths, encoded).astype(np.uint8)
+                marks |= self._wrong(tokens, total[ends] - total[ends - counts], encoded).astype(np.uint8)
             elif not self.a.quick:
-                marks |= np.array([b"".join([self.a.bytes[i] for i in t]) != b" " + e for t, e in zip(tokens, encoded)], np.uint8)
+                whole = [b"".join(map(self.a.bytes.__getitem__, ids[e - n : e].tolist())) for e, n in zip(ends, counts)]
+                marks |= np.array([x != b" " + e for x, e in zip(whole, encoded)], np.uint8)
             self.ids[side], self.sizes[side] = np.concatenate([self.ids[side], ids]), np.concatenate([self.sizes[side], sizes])
             self.starts[side] = np.concatenate([self.starts[side], self.starts[side][-1] + ends])
         self.known.update(zip(pieces, range(len(self.marks), len(self.marks) + len(pieces))))
