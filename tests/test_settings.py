@@ -35,3 +35,35 @@ def test_every_answer_is_of_a_rule():
 
     known = {r.id for r in rules.RULES}
     assert {i for i, *_ in (*settings.SETTING_ANSWERS, *settings.MARKERS)} <= known
+
+
+def test_each_transition_comes_once(spark, tmp_path):
+    import datetime as dt
+
+    from tracemill.plans import adoption, artifact_rules, rules  # noqa: F401
+
+    now = dt.datetime(2026, 2, 1)
+    call = lambda k, name, command, path: ("s", f"t{k}", k, 0, now - dt.timedelta(seconds=900 - 10 * k), name, "{}", (command, path), False, 30_000, now, k)
+    schema = "session_id string, tool_use_id string, seq long, pos int, ts timestamp, tool_name string, input_json string, input struct<command: string, file_path: string>, is_error boolean, result_bytes long, result_ts timestamp, ord int"
+    calls = spark.createDataFrame([call(k, "Bash", "grep x", None) for k in range(12)] + [call(20 + k, "Read", None, "/again") for k in range(4)], schema)
+    taken = "## Key files\nLoad these files once into context"
+    native = "## Prefer native tools and path-safe shell usage\nchoose native tools or path-safe alternatives before Bash"
+    config = lambda *texts: spark.createDataFrame([("instructions", t) for t in texts], "key string, value string")
+    chosen = {"workflow.native-bypass", "workflow.redundant-reads"}
+    kept, rules.RULES[:] = list(rules.RULES), [r for r in rules.RULES if r.id in chosen]
+    try:
+        folder = str(tmp_path / "receipts")
+        run = lambda n, *texts: {(r["finding_id"], r["kind"], r["marker_heading"]) for r in adoption.record(rules.Signals(now, {"tool_calls": calls, "live_config": config(*texts)}), folder, n).collect()}
+        assert run(1, native) == {("workflow.native-bypass", "ORGANIC", "Prefer native tools and path-safe shell usage")}  # never shown
+        wanted = {("workflow.redundant-reads", "SUPPRESSED", "Key files")}
+        assert run(2, native, taken) == wanted | {("workflow.native-bypass", "ORGANIC", "Prefer native tools and path-safe shell usage")}
+        again = run(2, native, taken)
+        assert again >= wanted and len(again) == 2  # a run done again says the same
+        assert run(3, taken) == set()  # suppressed already; the other is shown
+        assert run(4, native, taken) == {("workflow.native-bypass", "SUPPRESSED", "Prefer native tools and path-safe shell usage")}
+        run(5)  # both are shown once more
+        assert {x[0] for x in run(6, taken)} == {"workflow.redundant-reads"}
+        rows = adoption.receipts(spark, folder, 7).filter("kind = 'SUPPRESSED'").groupBy("finding_id").count().collect()
+        assert {r["finding_id"]: r["count"] for r in rows} == {"workflow.redundant-reads": 2, "workflow.native-bypass": 1}
+    finally:
+        rules.RULES[:] = kept
