@@ -67,3 +67,26 @@ def test_each_transition_comes_once(spark, tmp_path):
         assert {r["finding_id"]: r["count"] for r in rows} == {"workflow.redundant-reads": 2, "workflow.native-bypass": 1}
     finally:
         rules.RULES[:] = kept
+
+
+def test_sections_meet_what_sessions_do(spark):
+    import datetime as dt
+
+    from tracemill.operators import config_attribution as attribution
+
+    at = lambda k: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=k)
+    calls = spark.createDataFrame([
+        ("a", at(0), "Bash", "npx vite build && vite build", None), ("a", at(1), "Bash", "npm run build", None), ("b", at(2), "Bash", "tsc -b; npx vite build", None), ("c", at(3), "Bash", None, None),
+        ("a", at(4), "Grep", None, None), ("b", at(5), "Bash", "ls | grep x; cat y", None), ("b", at(6), "Bash", "echo cat", None),
+        ("a", at(7), "Read", None, "/r/REFERENCES.md"), ("a", at(8), "Read", None, "/r/src/lib/parse-a.ts"), ("b", at(9), "Read", None, "parse-b.ts"), ("b", at(10), "Read", None, "references.md"),
+        ("c", None, "Read", None, "parse-c.ts"), ("d", at(11), "Write", None, "parse-d.ts"),
+    ], "session_id string, ts timestamp, tool_name string, command string, file string")
+    sections = spark.createDataFrame([
+        (1, "AGENTS.md", "How to Build", []), (2, "README.md", "Build", None), (3, "x", "Prefer Read and Grep", None), (4, "x", "Maps", ["docs/REFERENCES.md", "y"]), (5, None, None, None), (6, "CLAUDE.md", "Deploy", ["REFERENCES.md"]),
+    ], "section_id int, scope string, heading string, references array<string>")
+    got = {r["section_id"]: (r["signature_id"] and r["signature_id"].split("/")[0], r["attributability"], r["good"], r["bad"], r["sessions"]) for r in attribution.attribute_sections(sections, calls).collect()}
+    assert got == {
+        1: ("build-command", "attributable", 2, 2, 2), 2: (None, "unfalsifiable", None, None, None), 3: ("native-tool", "attributable", 1, 2, 2), 4: ("key-file-pin", "attributable", 1, 1, 2),
+        5: (None, "unfalsifiable", None, None, None), 6: ("build-command", "attributable", 2, 2, 2),
+    }
+    assert {r["attributability"] for r in attribution.attribute_sections(sections, calls.limit(0)).collect()} == {"unattributable", "unfalsifiable"}
