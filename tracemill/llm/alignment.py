@@ -39,7 +39,7 @@ from .common import written
 #: Up to so many id pairs with their counts (some 40 MB) go to every executor.
 BROADCAST_PAIRS = 1 << 20
 #: Characters of a block's texts, and tokens that a worker remembers.
-BLOCK, REMEMBERED = 1 << 21, 1 << 20
+BLOCK, REMEMBERED = 1 << 20, 1 << 19
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
 #: Tokens of a piece in which a cut's token is looked up.
@@ -256,7 +256,11 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *per_text])))
                 named = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + hi - lo)), *map(pa.array, counts), pieces], names=["doc_id", "row", "n_a", "n_b", "pieces"])
                 words = pa.StructArray.from_arrays(tokens, names=["a", "a_ends", "b", "b_ends"])
-                yield pa.RecordBatch.from_arrays([_one(named), _one(words)], names=["docs", "words"])
+                out = pa.RecordBatch.from_arrays([_one(named), _one(words)], names=["docs", "words"])
+                del part, per_text, counts, tokens, pieces, named, words  # one block at a time
+                yield out
+                del out
+                pa.default_memory_pool().release_unused()
                 row += hi - lo
 
     return rows.mapInArrow(run, schema)
