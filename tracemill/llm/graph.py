@@ -1,39 +1,7 @@
-"""Connected components of an edge table, by alternating star contraction."""
+"""Connected components of the classes of texts: the graph operators of the library, under the names used here."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import components, merged
 
-from .common import written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours move to its smallest neighbour (or itself)."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours move to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for every node on an edge (u, v).
-
-    Each round is written out, so an executor that is lost costs one round; the number of rounds
-    grows with the logarithm of the number of nodes.
-    """
-    now = written(edges.filter("u <> v").select("u", "v").distinct())
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == mark or seen[0] == 0:
-            break
-        mark = seen
-        now = written(_small_star(_large_star(now).distinct()).distinct())
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+__all__ = ["components", "merged"]

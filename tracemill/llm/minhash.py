@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from .common import written
-from .graph import components
+from .graph import merged
 from .ngram_join import SKETCH_WORDS, _likely, keyed_apart, verified
 
 SIZE = 4
@@ -202,7 +202,7 @@ def linked(docs: DataFrame, stars: int = STARS) -> tuple[DataFrame, DataFrame]:
     lively = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     entries = written(spread.join(lively.select("sig"), "sig"))
     sets = written(_sets(docs, classes.join(entries.select("key").distinct(), "key", "left_semi").select("key", "n", "text_hash")))
-    edges, roots = None, None
+    roots = None
     for number in range(stars + 1):
         placed = _placed(entries, roots)
         if number < stars:
@@ -210,9 +210,11 @@ def linked(docs: DataFrame, stars: int = STARS) -> tuple[DataFrame, DataFrame]:
             entries = written(entries)
         else:
             pairs = _rest(placed, classes.select("key", "sketch"))
-        found = written(verified(written(pairs), sets))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = written(components(edges))
+        pairs = written(pairs)
+        if roots is None or not pairs.isEmpty():
+            roots = merged(roots, written(verified(pairs, sets)))
+        if entries.isEmpty():
+            break
     return rows.select("doc_id", "text_hash", "n", "key"), roots.withColumnRenamed("node", "key")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fingerprint, shingles, written
-from .graph import components
+from .graph import merged
 
 #: Sets below this size are counted by all tokens, others by the region (of 1024 parts).
 WHOLE, REGION = 128, 307
@@ -233,15 +233,15 @@ def linked(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     sets = written(sets_of(docs, kept))
     sketches = written(shared_tokens(sets))
     entries = written(index(sketches))
-    edges, roots = None, None
+    roots = None
     for number in range(rounds + 1):
         placed = entries.withColumn("root", F.col("key"))
         if roots is not None:
             placed = entries.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         pairs = _leader_pairs(placed, number) if number < rounds else _other_pairs(placed, sketches)
-        found = written(verified(written(pairs), sets))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = written(components(edges))
+        pairs = written(pairs)
+        if roots is None or not pairs.isEmpty():
+            roots = merged(roots, written(verified(pairs, sets)))
     return rows.drop("listed"), roots.withColumnRenamed("node", "key")
 
 
