@@ -30,6 +30,8 @@ CONCEPTS = {
 }
 CONCEPT_WEIGHT, LEXICAL, SEMANTIC, BONUS, THRESHOLD, LIMIT = 2.25, 0.68, 0.32, 0.75, 0.12, 100
 BUCKETS = 64
+#: Up to so many words that hold a part of the query go to every executor.
+BROADCAST_WORDS = 200_000
 
 
 def _stemmed(word: str) -> str:
@@ -51,26 +53,32 @@ def _bucket(term: str | Column):
 
 
 def build(df: DataFrame, key: str, text: str, folder: str) -> None:
-    """Write the index of df below folder: stems, words, vocabulary, norms and texts. Null texts and those without words are found by nothing."""
+    """Write the index of df below folder: stems, words, vocabulary, norms and texts. Null texts and those without words are found by nothing.
+
+    Texts are dealt by key once; words, stems and concepts are counted where they lie and written in one
+    pass, a folder a kind and bucket, so that postings are never shuffled.
+    """
     spark = df.sparkSession
-    words = df.select(F.col(key).alias("key"), F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("word")).filter("word <> ''")
-    counts = words.groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
-    _save(counts.select("key", "word", _bucket(F.col("word"))), f"{folder}/words", "bucket")
-    counted = spark.read.parquet(f"{folder}/words")
-    counted.groupBy("word").agg(F.count(F.lit(1)).alias("texts")).write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    stems = counts.select("key", F.regexp_replace("word", ENDING, "").alias("term"), "tf").filter((F.length("term") > 1) & ~F.col("term").isin(*STOP_WORDS))
-    stems = stems.groupBy("key", "term").agg(F.sum("tf").cast("double").alias("w"))
-    concept = F.create_map(*[F.lit(x) for kv in CONCEPT_OF.items() for x in kv])[F.col("term")]
-    concepts = stems.withColumn("term", F.concat(F.lit("concept:"), concept)).filter("term IS NOT NULL").groupBy("key", "term").agg((F.sum("w") * CONCEPT_WEIGHT).alias("w"))
-    both = stems.unionByName(concepts)
-    _save(both.select("key", "term", "w", _bucket(F.col("term"))), f"{folder}/stems", "bucket")
-    spark.read.parquet(f"{folder}/stems").groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("norm2")).write.mode("overwrite").parquet(f"{folder}/norms")
+    dealt = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).repartition("key")
+    counts = dealt.select("key", F.explode(F.split("text", "[^a-z0-9]+")).alias("word")).filter("word <> ''").groupBy("key", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    stem = F.regexp_replace("word", ENDING, "")
+    some = counts.withColumn("stem", F.when((F.length(stem) > 1) & ~stem.isin(*STOP_WORDS), stem))
+    concept = F.create_map(*[F.lit(x) for kv in CONCEPT_OF.items() for x in kv])[F.col("stem")]
+    kinds = F.array(
+        F.struct(F.lit("words").alias("kind"), F.col("word").alias("term"), F.col("tf").alias("w")),
+        F.struct(F.lit("stems").alias("kind"), F.col("stem").alias("term"), F.col("tf").alias("w")),
+        F.struct(F.lit("stems").alias("kind"), F.concat(F.lit("concept:"), concept).alias("term"), (F.col("tf") * CONCEPT_WEIGHT).alias("w")),
+    )
+    both = some.select("key", F.explode(kinds).alias("p")).select("key", "p.*").filter("term IS NOT NULL").groupBy("key", "kind", "term").agg(F.sum("w").alias("w"))
+    placed = both.select("key", "term", "w", "kind", _bucket(F.col("term"))).sortWithinPartitions("kind", "bucket", "term")
+    placed.write.mode("overwrite").partitionBy("kind", "bucket").option("compression", "zstd").parquet(f"{folder}/postings")
+    _postings(spark, folder, "words").groupBy("term").agg(F.count(F.lit(1)).alias("texts")).withColumnRenamed("term", "word").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    _postings(spark, folder, "stems").groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("norm2")).write.mode("overwrite").parquet(f"{folder}/norms")
     df.select(F.col(key).alias("key"), F.lower(text).alias("text")).write.mode("overwrite").parquet(f"{folder}/texts")
 
 
-def _save(df: DataFrame, path: str, bucket: str) -> None:
-    """A folder a bucket; a frequent term's postings are spread over files by their keys' hash."""
-    df.repartition(F.col(bucket), F.pmod(F.xxhash64("key"), F.lit(4))).sortWithinPartitions(df.columns[1]).write.mode("overwrite").partitionBy(bucket).parquet(path)
+def _postings(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/postings").filter(F.col("kind") == kind).drop("kind")
 
 
 def search(spark: SparkSession, folder: str, query: str, k: int = LIMIT) -> DataFrame:
@@ -89,7 +97,8 @@ def search(spark: SparkSession, folder: str, query: str, k: int = LIMIT) -> Data
         empty = spark.createDataFrame([], "part string, word string, bucket int")
         hits = F.array_compact(F.array(*[F.when(F.contains("word", F.lit(p)), F.lit(p)) for p in wanted])) if wanted else None
         found = vocabulary.select("word", F.explode(hits).alias("part")).select("part", "word", _bucket(F.col("word"))) if wanted else empty
-        return spark.read.parquet(f"{folder}/words").join(found, ["bucket", "word"]).select("key", "part").distinct()
+        found = F.broadcast(found) if found.count() <= BROADCAST_WORDS else found  # then postings stay where they lie
+        return _postings(spark, folder, "words").withColumnRenamed("term", "word").join(found, ["bucket", "word"]).select("key", "part").distinct()
 
     overlap = holding(distinct).join(spark.createDataFrame([(t, n) for t, n in ((t, terms.count(t)) for t in distinct)], "part string, times int"), "part").groupBy("key").agg(F.sum("times").alias("hits"))
     texts = spark.read.parquet(f"{folder}/texts")
@@ -97,7 +106,7 @@ def search(spark: SparkSession, folder: str, query: str, k: int = LIMIT) -> Data
         holders = holding(parts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(parts)).select("key")
         texts = texts.join(holders, "key", "left_semi")
     exact = texts.filter(F.contains("text", F.lit(whole))).select("key", F.lit(BONUS).alias("bonus")) if whole else texts.limit(0).select("key", F.lit(BONUS).alias("bonus"))
-    postings = spark.read.parquet(f"{folder}/stems").filter(F.col("bucket").isin(*{_bucket(t) for t in weights}) & F.col("term").isin(*weights)) if weights else spark.read.parquet(f"{folder}/stems").limit(0)
+    postings = _postings(spark, folder, "stems").filter(F.col("bucket").isin(*{_bucket(t) for t in weights}) & F.col("term").isin(*weights)) if weights else _postings(spark, folder, "stems").limit(0)
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("term")] if weights else F.lit(0.0)
     dots = postings.groupBy("key").agg(F.sum(F.col("w") * weight).alias("dot"))
     own = sum(w * w for w in weights.values()) or 1.0
