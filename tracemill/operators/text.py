@@ -12,6 +12,9 @@ from ..session import materialized
 #: Words too common to search for.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "it", "this", "that")
 
+#: Sets below this size are looked at whole when classes are sorted out, others by a region of hashes.
+WHOLE = 128
+
 
 def tokens(text: str | Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
@@ -60,45 +63,66 @@ def search(df: DataFrame, key: str, text: str, query: list[str], k: int, lexical
     return scored.withColumn("score", score).filter(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
-def shingle_set(text: str | Column, size: int) -> Column:
-    """Distinct 64-bit hashes of a text's `size`-word shingles; a shorter text is one shingle, one without words has none."""
+def shingle_set(text: str | Column, size: int, *salt: Column) -> Column:
+    """Distinct 64-bit hashes of a text's `size`-word shingles; a shorter text is one shingle, one without words has none. Another salt makes other hashes."""
 
     def of(w: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
-        return F.array_distinct(F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < size, F.array(F.xxhash64(w))).otherwise(every))
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*salt, *[F.get(w, i + j) for j in range(size)]))
+        return F.array_distinct(F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < size, F.array(F.xxhash64(*salt, w))).otherwise(every))
 
     return F.transform(F.array(tokens(text)), of)[0]  # the tokens are computed once, in the array
 
 
+def _may_lack(n: Column, floor: float) -> Column:
+    """How many of its shingles a set of n may lack in a partner's."""
+    return F.floor(n * (1 - floor) + 1e-9).cast("int")
+
+
+def _meeting(sets: DataFrame, floor: float) -> DataFrame:
+    """_class, _key (its smallest) and _n of the classes that may have a partner.
+
+    A class of which more than it may lack occurs in no other class has none. Of long sets only a region of
+    the hashes is looked at, half as large again as what may lack.
+    """
+    in_region = F.col("_g").bitwiseAND(F.lit(1023)) < min(1024, int(1536 * (1 - floor)))
+    rows = sets.select(F.xxhash64("_class").alias("_c"), F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
+    listed = rows.filter((F.col("_n") * floor <= WHOLE) | in_region).select("_c", "_g").repartition("_g")  # all of what a set below WHOLE can meet; each moves once
+    single = listed.groupBy("_g").agg(F.min("_c").alias("_c"), F.max("_c").alias("_last")).filter("_c = _last")
+    own = single.groupBy("_c").agg(F.count(F.lit(1)).alias("_all"), F.count_if(in_region).alias("_some"))
+    classes = sets.groupBy("_class", F.size("_s").alias("_n")).agg(F.min("_key").alias("_key")).withColumn("_c", F.xxhash64("_class"))
+    unshared = F.coalesce(F.when(F.col("_n") < WHOLE, F.col("_all")).otherwise(F.col("_some")), F.lit(0))
+    return classes.join(own, "_c", "left").filter(unshared <= _may_lack(F.col("_n"), floor)).select("_class", "_key", "_n")
+
+
 def similar_texts(df: DataFrame, key: str, scope: list[str], text: str, size: int = 5, floor: float = 0.8) -> DataFrame:
     """Rows of one scope whose whole texts' shingle sets have a Jaccard similarity of at least floor: key, other, similarity.
 
     Equal sets form a class: its smallest key is listed with every other member, and only these
-    smallest keys meet sets that differ. A set of n shingles may lack n - ceil(floor n) of a
-    partner's, so its prefix in the order rare to frequent, one longer than that, holds a shared
-    one; shingles of one class only are counted off. Candidates are verified on the whole sets. Sets
-    and classes are written once, since several steps read them.
+    smallest keys meet sets that differ. Classes that have too many shingles of their own drop out
+    before whole sets move. A set of n shingles may lack n - ceil(floor n) of a partner's, so its
+    prefix in the order rare to frequent, one longer than that, holds a shared one; shingles of one
+    class only are counted off. Candidates are verified on the whole sets. Sets are written once,
+    and those of the classes that are left, since several steps read them.
     """
     mine = [F.col(c).cast("string") for c in scope]
-    sets = df.select(F.col(key).alias("_key"), *mine, shingle_set(text, size).alias("_s")).filter(F.size("_s") > 0)
-    sets = sets.select("_key", F.transform("_s", lambda g: F.xxhash64(*mine, g)).alias("_s"))  # a shingle of another scope is another one
-    named = F.transform(F.array(F.array_sort("_s")), lambda s: F.concat_ws("-", F.xxhash64(s).cast("string"), F.xxhash64(F.lit(1), s).cast("string")))[0]
-    sets = materialized(sets.withColumn("_class", named))  # two fingerprints tell sets apart
-    least = sets.groupBy("_class").agg(F.min("_key").alias("_key"))
-    classes = materialized(sets.join(least, ["_class", "_key"]).select("_class", "_key", "_s").dropDuplicates(["_class"]))
-    alike = sets.select("_key", "_class").join(classes.select("_class", F.col("_key").alias("_least")), "_class").filter("_key <> _least")
-    grams = classes.select("_key", F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
-    counts = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f")).filter("_f > 1")
-    lists = grams.join(counts, "_g").groupBy("_key", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_l"))
-    room = F.floor(F.col("_n") * (1 - floor) + 1e-9).cast("int") + 1 - (F.col("_n") - F.size("_l"))
-    heads = lists.withColumn("_m", room).filter("_m > 0").select("_key", "_n", F.explode(F.slice("_l", F.lit(1), F.col("_m"))).alias("_p")).select("_key", "_n", F.col("_p._g").alias("_g"))
-    other = heads.select(F.col("_key").alias("_other"), F.col("_n").alias("_on"), "_g")
-    near = (F.least("_n", "_on") >= floor * F.greatest("_n", "_on") - 1e-9) & (F.col("_key") < F.col("_other"))
-    pairs = heads.join(other, "_g").filter(near).select("_key", "_other").distinct()
-    left = classes.select("_key", "_s")
-    right = classes.select(F.col("_key").alias("_other"), F.col("_s").alias("_os"))
-    both = pairs.join(left, "_key").join(right, "_other").withColumn("_c", F.size(F.array_intersect("_s", "_os")))
-    found = both.withColumn("similarity", F.col("_c") / (F.size("_s") + F.size("_os") - F.col("_c"))).filter(F.col("similarity") >= floor - 1e-12)
+    some = F.filter(F.array(shingle_set(text, size, *mine)), lambda s: F.size(s) > 0)  # exploded, so that sets are computed once
+    rows = df.select(F.col(key).alias("_key"), F.explode(some).alias("_s")).withColumn("_s", F.sort_array("_s"))
+    sets = materialized(rows.withColumn("_class", F.concat_ws("-", F.xxhash64("_s").cast("string"), F.xxhash64(F.lit(1), "_s").cast("string"))))  # two fingerprints tell sets apart
+    least = sets.groupBy("_class").agg(F.min("_key").alias("_least"))
+    alike = sets.select("_key", "_class").join(least, "_class").filter("_key <> _least")
+    classes = materialized(sets.join(_meeting(sets, floor), ["_class", "_key"]).dropDuplicates(["_class"]).select(F.xxhash64("_class").alias("_c"), "_key", "_n", "_s"))
+    grams = classes.select("_c", "_key", "_n", F.explode("_s").alias("_g")).repartition("_g")  # dealt once for both uses
+    counts = grams.groupBy("_g").agg(F.count(F.lit(1)).cast("int").alias("_f")).filter("_f > 1")
+    lists = grams.join(counts, "_g").groupBy("_c", "_key", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_g"))).alias("_l"))
+    own = lists.withColumn("_own", F.col("_n") - F.size("_l")).withColumn("_m", _may_lack(F.col("_n"), floor) + 1 - F.col("_own"))
+    heads = materialized(own.filter("_m > 0").select("_c", "_key", "_n", "_own", F.explode(F.slice("_l", F.lit(1), F.col("_m"))["_g"]).alias("_g")))
+    other = heads.select(F.col("_c").alias("_oc"), F.col("_key").alias("_other"), F.col("_n").alias("_on"), F.col("_own").alias("_oo"), "_g")
+    near = (F.least("_n", "_on") >= floor * F.greatest("_n", "_on") - 1e-9) & ((1 + floor) * (F.col("_own") + F.col("_oo")) <= (1 - floor) * (F.col("_n") + F.col("_on")) + 1e-9)
+    pairs = heads.join(other, "_g").filter(near & (F.col("_key") < F.col("_other"))).select("_c", "_oc").distinct()
+    left = classes.select("_c", "_key", "_s")
+    right = classes.select(F.col("_c").alias("_oc"), F.col("_key").alias("_other"), F.col("_s").alias("_os"))
+    both = pairs.join(left, "_c").join(right, "_oc").select("_key", "_other", F.size(F.array_intersect("_s", "_os")).alias("_b"), (F.size("_s") + F.size("_os")).alias("_total"))
+    found = both.withColumn("similarity", F.col("_b") / (F.col("_total") - F.col("_b"))).filter(F.col("similarity") >= floor - 1e-12)
     equal = alike.select(F.col("_least").alias(key), F.col("_key").alias("other"), F.lit(1.0).alias("similarity"))
     return equal.unionByName(found.select(F.col("_key").alias(key), F.col("_other").alias("other"), "similarity"))
 
