@@ -19,8 +19,8 @@ from ..session import materialized
 from .graph import components
 from .sequences import asof
 
-#: Parts of a block's word pairs that are looked at apart.
-PARTS = 8
+#: Parts of a block's word pairs that are looked at apart, and how many word pairs a task looks at.
+PARTS, A_TASK = 8, 1 << 22
 #: The window, the floor, what is too short to compare, and words that carry no task.
 WINDOW_US, FLOOR = 7 * 24 * 3600 * 1_000_000, 0.5
 MIN_CHARS, MIN_TOKENS = 40, 6
@@ -70,12 +70,14 @@ def _meeting(rows: DataFrame, window_us: int, floor: float) -> DataFrame:
     placed = rows.select("session_id", "key", "s", F.explode(F.array(week, week - 1)).alias("block"))
     of = lambda part: F.transform(F.filter("s", lambda g: F.pmod(g, F.lit(PARTS)) == part), lambda g: F.shiftright(g, 32).cast("int"))
     parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), of(i).alias("l")) for i in range(PARTS)])).alias("p")
-    dealt = rows.select("us", F.xxhash64("key").alias("c"), parts).select(F.explode(F.array(week, week - 1)).alias("block"), "c", "p.part", "p.l").repartition("block", "part")
+    found = rows.agg(F.sum(F.size("s"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * found // A_TASK)  # by what comes out of the arrays, not by their bytes
+    dealt = rows.select("us", F.xxhash64("key").alias("c"), parts).select(F.explode(F.array(week, week - 1)).alias("block"), "c", "p.part", "p.l").repartition(tasks, "block", "part")
     single = dealt.select("block", "part", "c", F.explode("l").alias("g")).groupBy("block", "part", "g").agg(F.min("c").alias("c"), F.max("c").alias("last")).filter("c = last")
     own = single.groupBy("c", "block").agg(F.count(F.lit(1)).alias("own"))
     least = rows.groupBy("key").agg(F.min("session_id").alias("rep"))
-    found = placed.select("key", F.xxhash64("key").alias("c"), F.size("s").alias("n"), "block").distinct().join(own, ["c", "block"], "left")
-    return found.filter(F.coalesce("own", F.lit(0)) <= _may_lack(F.col("n"), floor)).join(least, "key").select("rep", "key", "n", "block")
+    every = placed.select("key", F.xxhash64("key").alias("c"), F.size("s").alias("n"), "block").distinct().join(own, ["c", "block"], "left")
+    return every.filter(F.coalesce("own", F.lit(0)) <= _may_lack(F.col("n"), floor)).join(least, "key").select("rep", "key", "n", "block")
 
 
 def linked_classes(rows: DataFrame, window_us: int, floor: float) -> DataFrame:
