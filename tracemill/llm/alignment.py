@@ -1,17 +1,15 @@
 """Alignment of two tokenizers' tokens over the corpus, with what token pairs are linked how often.
 
-Tokenizing is the only Python. A worker cuts a text at single spaces between two characters that
-are not white space: there a token of either tokenizer begins whatever stands around. It returns
-blocks of documents: the distinct pieces of a block with ids and byte ends of both tokenizers'
-tokens, and for every document the numbers of its pieces. What is equal in a block is aligned once.
-All else are higher-order functions and joins:
-
-1. The byte offsets at which tokens of both end are the intersection of the two end arrays; they
-   cut the tokens into groups.
-2. The place of the cuts among a side's tokens comes from sorting its ends together with the cuts:
-   a cut is where two neighbours are equal. So a piece costs a sort, not a search a group, however
-   long it is.
-3. Every A token of a group links to every B token of it. An id pair counts once a document; the
+Python tokenizes and cuts up what is tokenized. A worker cuts a text at single spaces between two
+characters that are not white space: there a token of either tokenizer begins whatever stands around.
+New pieces are tokenized and aligned in numpy, all at once, and remembered. Blocks of documents come
+back: the distinct pieces of a block with the text and the links of their groups, and for every
+document the numbers of its pieces. All else are higher-order functions and joins.
+
+1. The pieces' bytes lie one after the other, and both tokenizers' tokens end at offsets in them.
+   Where one side's token ends at an offset that is marked by the other side, it ends a group; so a
+   piece costs a look a token, however long it is.
+2. Every A token of a group links to every B token of it. An id pair counts once a document; the
    counts are summed before they are shuffled. Pairs are broadcast to the links up to
    `BROADCAST_PAIRS` rows, else joined, where Spark splits hot pairs.
 
@@ -32,18 +30,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .common import written
 
 #: Up to so many id pairs with their counts (some 40 MB) go to every executor.
 BROADCAST_PAIRS = 1 << 20
-#: Characters of a block's texts, and tokens that a worker remembers.
+#: Characters of a block's texts, and links (one a token or more) that a worker remembers.
 BLOCK, REMEMBERED = 1 << 20, 1 << 19
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
-#: Tokens of a piece in which a cut's token is looked up.
-SHORT = 64
 #: Pieces whose bytes are compared at once.
 STRETCH = 1024
 #: Longer pieces go to the tokenizer library by themselves.
@@ -121,8 +117,46 @@ class ByteLevel:
         return np.concatenate([joined, np.fromiter(chain.from_iterable(rest), np.int32)]), counts.astype(np.int64)
 
 
+def aligned(ids: list[np.ndarray], counts: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """groups (their number), text (ids by group) and links of every piece.
+
+    ids and sizes are those of all pieces' tokens, by side, and counts the tokens a piece; both sides give the same bytes.
+    """
+    ends = [np.cumsum(s, dtype=np.int64) for s in sizes]
+    marked = np.zeros((2, max([0, *(e[-1] for e in ends if len(e))]) + 1), bool)
+    for side, e in enumerate(ends):
+        marked[side, e] = True
+    cuts = [marked[1 - side, e] for side, e in enumerate(ends)]
+    group = [np.cumsum(c) - c for c in cuts]
+    tokens = [np.bincount(g, minlength=c.sum()) for g, c in zip(group, cuts)]  # of a side, by group
+    first = [np.cumsum(n) - n for n in tokens]
+    pieces_ends = [np.concatenate([[0], np.cumsum(n)]) for n in counts]
+
+    per_token = tokens[1][group[0]]
+    linked = np.concatenate([[0], np.cumsum(per_token)])
+    a = np.repeat(np.arange(len(ids[0])), per_token)
+    b = np.arange(linked[-1]) - np.repeat(linked[:-1] - first[1][group[0]], per_token)
+    links = ids[0][a] * np.int64(PACK) + ids[1][b]
+
+    # A row a token, in the order of the text: its decimals, and what follows it.
+    decimals = np.arange(max([0, *(i.max() for i in ids if len(i))]) + 1).astype("S")
+    decimals = decimals.view(np.uint8).reshape(len(decimals), -1)
+    letters = np.zeros((len(ids[0]) + len(ids[1]), decimals.shape[1] + 1), np.uint8)
+    for side, after in enumerate("|;"):
+        place = np.arange(len(ids[side])) + (first[1][group[0]] if side == 0 else (first[0] + tokens[0])[group[1]])
+        letters[place, :-1] = decimals[ids[side]]
+        letters[place, -1] = np.where(cuts[side], ord(after), ord(","))
+    text_ends = pieces_ends[0] + pieces_ends[1]
+    letters[text_ends[1:][np.diff(text_ends) > 0] - 1, -1] = 0
+    shown = letters != 0
+    written_to = np.concatenate([[0], np.cumsum(shown.sum(axis=1))])[text_ends]
+    text = pa.StringArray.from_buffers(len(counts[0]), pa.py_buffer(written_to.astype(np.int32)), pa.py_buffer(letters[shown]))
+    groups = np.diff(np.concatenate([[0], np.cumsum(cuts[0])])[pieces_ends[0]])
+    return groups, text, pa.ListArray.from_arrays(pa.array(linked[pieces_ends[0]].astype(np.int32)), pa.array(links, pa.int64()))
+
+
 class Tokenizers:
-    """Both tokenizers, and the tokens of the pieces a worker has met."""
+    """Both tokenizers, and the aligned tokens of the pieces a worker has met."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -139,7 +173,9 @@ class Tokenizers:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.sizes, self.starts = ([np.empty(0, np.int32)] * 2, [np.empty(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2)
+        #: Of every piece: A tokens, B tokens and groups; text and links.
+        self.counts = [np.empty(0, np.int64)] * 3
+        self.words = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int64()))]
         #: 1: tokens that do not give the piece; 2: white space at an end or nothing, so that a cut there may be wrong.
         self.marks = np.empty(0, np.uint8)
 
@@ -165,16 +201,20 @@ class Tokenizers:
         tokens = self.b.encode(pieces, num_threads=1)
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         both = self.a.ids(pieces, len(first), lengths), (np.fromiter(chain.from_iterable(tokens), np.int32, counts.sum()), counts)
-        for side, ((ids, counts), table) in enumerate(zip(both, (self.a.sizes, self.sizes_b))):
-            sizes, ends = table[ids], np.cumsum(counts)
-            total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            if side:
-                marks |= self._wrong(tokens, total[ends] - total[ends - counts], encoded).astype(np.uint8)
-            elif not self.a.quick:
-                whole = [b"".join(map(self.a.bytes.__getitem__, ids[e - n : e].tolist())) for e, n in zip(ends, counts)]
-                marks |= np.array([x != b" " + e for x, e in zip(whole, encoded)], np.uint8)
-            self.ids[side], self.sizes[side] = np.concatenate([self.ids[side], ids]), np.concatenate([self.sizes[side], sizes])
-            self.starts[side] = np.concatenate([self.starts[side], self.starts[side][-1] + ends])
+        of_a, of_b = both[0][1], both[1][1]
+        sizes = [self.a.sizes[both[0][0]], self.sizes_b[both[1][0]]]
+        ends = np.cumsum(of_b)
+        total = np.concatenate([[0], np.cumsum(sizes[1], dtype=np.int64)])
+        marks |= self._wrong(tokens, total[ends] - total[ends - of_b], encoded).astype(np.uint8)
+        if not self.a.quick:
+            ids, ends = both[0][0], np.cumsum(of_a)
+            whole = [b"".join(map(self.a.bytes.__getitem__, ids[e - n : e].tolist())) for e, n in zip(ends, of_a)]
+            marks |= np.array([x != b" " + e for x, e in zip(whole, encoded)], np.uint8)
+        right = marks & 1 == 0
+        kept = [np.repeat(right, n) for n in (of_a, of_b)]
+        groups, *words = aligned([ids[k] for (ids, _), k in zip(both, kept)], [of_a * right, of_b * right], [s[k] for s, k in zip(sizes, kept)])
+        self.counts = [np.concatenate(x) for x in zip(self.counts, (of_a, of_b, groups))]
+        self.words = [pa.concat_arrays(x) for x in zip(self.words, words)]
         self.known.update(zip(pieces, range(len(self.marks), len(self.marks) + len(pieces))))
         self.marks = np.concatenate([self.marks, marks])
 
@@ -185,8 +225,8 @@ class Tokenizers:
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
 
     def block(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], list[pa.Array]]:
-        """For every text the numbers of its pieces, and of its A and B tokens; and a, a_ends, b, b_ends of the pieces."""
-        if len(self.ids[0]) > REMEMBERED:
+        """For every text the numbers of its pieces, and of its A tokens, B tokens and groups; and text and links of the pieces."""
+        if len(self.words[1].values) > REMEMBERED:
             self.forget()
         cut = [t.split(" ") if t else [] for t in texts]
         at = self._numbers(cut)
@@ -201,16 +241,8 @@ class Tokenizers:
         at, owner = at[~bad[owner]], owner[~bad[owner]]
         pieces, numbers = np.unique(at, return_inverse=True)
         per_text = np.split(numbers.astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if len(texts) else []
-        out, counts = [], []
-        for ids, sizes, starts in zip(self.ids, self.sizes, self.starts):
-            lengths = starts[pieces + 1] - starts[pieces]
-            counts.append(np.bincount(owner, lengths[numbers], len(texts)).astype(np.int64))
-            rows = np.concatenate([[0], np.cumsum(lengths)])
-            place = np.repeat(starts[pieces] - rows[:-1], lengths) + np.arange(rows[-1])
-            ends = np.concatenate([[0], np.cumsum(sizes[place], dtype=np.int64)])
-            ends = ends[1:] - np.repeat(ends[rows[:-1]], lengths)
-            out += [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (ids[place], ends)]
-        return per_text, counts, out
+        counts = [np.bincount(owner, n[at], len(texts)).astype(np.int64) for n in self.counts]
+        return per_text, counts, [w.take(pa.array(pieces)) for w in self.words]
 
 
 #: One per worker process, by vocabularies.
@@ -235,12 +267,13 @@ def _one(values: pa.Array) -> pa.Array:
 
 
 def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Rows of docs (doc_id, row, n_a, n_b, pieces: numbers of words) and words (a, a_ends, b, b_ends)."""
-    ints = ArrayType(IntegerType(), False)
+    """Rows of docs (doc_id, row, n_a, n_b, n_groups, pieces: numbers of words), and text and links of the words."""
     rows = docs.select("doc_id", "text")
-    doc = StructType([rows.schema["doc_id"]]).add("row", LongType()).add("n_a", LongType()).add("n_b", LongType()).add("pieces", ints)
-    word = StructType().add("a", ints).add("a_ends", ints).add("b", ints).add("b_ends", ints)
-    schema = StructType().add("docs", ArrayType(doc, False)).add("words", ArrayType(word, False))
+    doc = StructType([rows.schema["doc_id"]])
+    for name in ("row", "n_a", "n_b", "n_groups"):
+        doc = doc.add(name, LongType())
+    schema = StructType().add("docs", ArrayType(doc.add("pieces", ArrayType(IntegerType(), False)), False))
+    schema = schema.add("text", ArrayType(StringType(), False)).add("links", ArrayType(ArrayType(LongType(), False), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path_a, path_b) not in _tokenizers:
@@ -251,13 +284,12 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             sizes = [s or 0 for s in pa.compute.utf8_length(batch.column("text")).to_pylist()]
             for lo, hi in _ranges(sizes):
                 part = batch.slice(lo, hi - lo)
-                per_text, counts, tokens = both.block(part.column("text").to_pylist())
+                per_text, counts, words = both.block(part.column("text").to_pylist())
                 ends = np.cumsum([0, *map(len, per_text)], dtype=np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *per_text])))
-                named = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + hi - lo)), *map(pa.array, counts), pieces], names=["doc_id", "row", "n_a", "n_b", "pieces"])
-                words = pa.StructArray.from_arrays(tokens, names=["a", "a_ends", "b", "b_ends"])
-                out = pa.RecordBatch.from_arrays([_one(named), _one(words)], names=["docs", "words"])
-                del part, per_text, counts, tokens, pieces, named, words  # one block at a time
+                named = pa.StructArray.from_arrays([part.column("doc_id"), pa.array(np.arange(row, row + hi - lo)), *map(pa.array, counts), pieces], names=["doc_id", "row", "n_a", "n_b", "n_groups", "pieces"])
+                out = pa.RecordBatch.from_arrays([_one(named), *map(_one, words)], names=["docs", "text", "links"])
+                del part, per_text, counts, words, pieces, named  # one block at a time
                 yield out
                 del out
                 pa.default_memory_pool().release_unused()
@@ -266,84 +298,15 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, which is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _link(a: Column, b: Column) -> Column:
-    return a * F.lit(PACK) + b
-
-
-def _lasts(ends: Column, cuts: Column) -> Column:
-    """For each cut the number, from 1, of the token that ends there.
-
-    In a short piece it is looked up. In a long one ends and cuts are sorted together: the g-th cut stands
-    where two neighbours are equal, with g cuts before it.
-    """
-    sorted_places = _let(F.sort_array(F.concat(ends, cuts)), lambda both: F.filter(F.sequence(F.lit(0), F.size(both) - 2), lambda k: F.get(both, k) == F.get(both, k + 1)))
-    looked_up = F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))
-    return F.when(F.size(ends) <= SHORT, looked_up).otherwise(F.transform(sorted_places, lambda p, g: p - g + 1))
-
-
-def _cut_up(w: Column, names_a: Column, names_b: Column, cuts: Column) -> Column:
-    """text and links of a piece with several groups, some of several tokens."""
-
-    def joined(to: Column) -> Column:
-        before = lambda side, g: F.when(g == 0, F.lit(0)).otherwise(F.get(to[side], g - 1))
-        single = lambda end, g: (end - before("a", g) == 1) & (F.get(to["b"], g) - before("b", g) == 1)
-        part = lambda values, side, end, g: F.slice(values, before(side, g) + 1, end - before(side, g))
-
-        def text(end: Column, g: Column) -> Column:
-            pair = F.concat(F.get(names_a, end - 1), F.lit("|"), F.get(names_b, F.get(to["b"], g) - 1))
-            return F.when(single(end, g), pair).otherwise(F.concat(F.array_join(part(names_a, "a", end, g), ","), F.lit("|"), F.array_join(part(names_b, "b", F.get(to["b"], g), g), ",")))
-
-        def links(end: Column, g: Column) -> Column:
-            pair = F.array(_link(F.get(w["a"], end - 1), F.get(w["b"], F.get(to["b"], g) - 1)))
-            every = F.transform(part(w["a"], "a", end, g), lambda x: F.transform(part(w["b"], "b", F.get(to["b"], g), g), lambda y: _link(x, y)))
-            return F.when(single(end, g), pair).otherwise(F.flatten(every))
-
-        return F.struct(F.array_join(F.transform(to["a"], text), ";").alias("text"), F.flatten(F.transform(to["a"], links)).alias("links"))
-
-    return _let(F.struct(_lasts(w["a_ends"], cuts).alias("a"), _lasts(w["b_ends"], cuts).alias("b")), joined)
-
-
-def aligned(w: Column) -> Column:
-    """groups (their number), text (ids by group) and links of a piece w (a, a_ends, b, b_ends)."""
-    names_a, names_b = w["a"].cast("array<string>"), w["b"].cast("array<string>")
-    single = F.struct(
-        F.array_join(F.zip_with(names_a, names_b, lambda x, y: F.concat(x, F.lit("|"), y)), ";").alias("text"), F.zip_with(w["a"], w["b"], _link).alias("links")
-    )
-    whole = F.struct(
-        F.concat(F.array_join(names_a, ","), F.lit("|"), F.array_join(names_b, ",")).alias("text"),
-        F.flatten(F.transform(w["a"], lambda x: F.transform(w["b"], lambda y: _link(x, y)))).alias("links"),
-    )
-
-    def by_shape(cuts: Column) -> Column:
-        many = _let(names_a, lambda a: _let(names_b, lambda b: _cut_up(w, a, b, cuts)))
-        n = F.size(cuts)
-        found = F.when((n == F.size(w["a"])) & (n == F.size(w["b"])), single).when(n == 1, whole).otherwise(many)
-        return _let(found, lambda x: F.struct(n.alias("groups"), x["text"].alias("text"), x["links"].alias("links")))
-
-    return _let(F.when(w["a_ends"] == w["b_ends"], w["a_ends"]).otherwise(F.array_intersect(w["a_ends"], w["b_ends"])), by_shape)
-
-
 def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A struct a block: docs (doc_id, row, n_a, n_b, n_groups, groups_sha256, pieces) and the links of the pieces.
+    """A row a block: docs (doc_id, row, n_a, n_b, n_groups, groups_sha256, pieces) and the links of the pieces."""
 
-    Left as a struct, since each field that is taken of it apart would compute it anew.
-    """
-    def counted(d: Column, of: Column) -> Column:
-        text = F.array_join(F.transform(d["pieces"], lambda p: F.get(of["text"], p)), ";")
+    def hashed(d: Column) -> Column:
+        text = F.array_join(F.transform(d["pieces"], lambda p: F.get("text", p)), ";")
         digest = F.when(F.size(d["pieces"]) > 0, F.sha2(text, 256)).otherwise("").alias("groups_sha256")
-        groups = F.aggregate(d["pieces"], F.lit(0).cast("bigint"), lambda acc, p: acc + F.get(of["groups"], p)).alias("n_groups")
-        return F.struct(*[d[n].alias(n) for n in ("doc_id", "row", "n_a", "n_b")], groups, digest, d["pieces"].alias("pieces"))
-
-    def block(w: Column) -> Column:
-        fields = F.struct(*[w[n].alias(n) for n in ("groups", "text", "links")])
-        return _let(fields, lambda of: F.struct(F.transform("docs", lambda d: counted(d, of)).alias("docs"), of["links"].alias("links")))
+        return F.struct(*[d[n].alias(n) for n in ("doc_id", "row", "n_a", "n_b", "n_groups")], digest, d["pieces"].alias("pieces"))
 
-    return tokenized(docs, path_a, path_b).select(_let(F.transform("words", aligned), block).alias("block"))
+    return tokenized(docs, path_a, path_b).select(F.transform("docs", hashed).alias("docs"), "links")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -358,7 +321,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
-    found = written(blocks(docs, *(paths or vocabulary_paths()))).select("block.docs", "block.links")
+    found = written(blocks(docs, *(paths or vocabulary_paths())))
     pairs = pair_counts(found)
     of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get("links", p))).alias("links"))
     links = found.select(F.explode(F.transform("docs", of_doc)).alias("d")).select("d.row", F.explode("d.links").alias("pair"))
