@@ -38,6 +38,8 @@ from .common import written
 BROADCAST_PAIRS = 1 << 20
 #: Characters of a block's texts, and links (one a token or more) that a worker remembers.
 BLOCK, REMEMBERED = 1 << 20, 1 << 19
+#: Blocks are large rows, and a reader takes up to 4096 rows of a row group at once: so many are one.
+ROW_GROUP = {"parquet.block.row.count.limit": "8"}
 #: Links are packed as the A id times this plus the B id.
 PACK = 1 << 31
 #: Pieces whose bytes are compared at once.
@@ -321,7 +323,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row."""
-    found = written(blocks(docs, *(paths or vocabulary_paths())))
+    found = written(blocks(docs, *(paths or vocabulary_paths())), ROW_GROUP)
     pairs = pair_counts(found)
     of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get("links", p))).alias("links"))
     links = found.select(F.explode(F.transform("docs", of_doc)).alias("d")).select("d.row", F.explode("d.links").alias("pair"))

@@ -52,10 +52,10 @@ def sampled_ids(rows: DataFrame, group: str, per_group: int) -> list[tuple]:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the scratch area: its lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """df as a Parquet table in the scratch area: its lineage ends there, and a lost executor costs no recomputation. Options are Parquet's."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
